@@ -5,8 +5,10 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from chalkline.llm.containers import fill_containers
 from chalkline.llm.labels import label_roles, normal_label_col
 from chalkline.llm.nearest import nearest_in_time
+from chalkline.llm.pieces import cut_pieces, with_text
 from chalkline.llm.runs import collapse_runs
 from chalkline.llm.splits import assign_groups, components, recording_key_col
 from chalkline.llm.turns import speaker_turns
@@ -100,6 +102,25 @@ def p6_found(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
+def p8_containers(spark: SparkSession, folder: str) -> DataFrame:
+    """Every document, or piece of one over 2,048 tokens, with its container."""
+    documents = table(spark, folder, "documents")
+    pieces = cut_pieces(documents, "doc_id", "text", 2048, whole=True)
+    return fill_containers(pieces, ["doc_id", "piece_no", "start_char", "end_char"], "n_tokens", 2048)
+
+
+def _pieces(spark: SparkSession, folder: str) -> DataFrame:
+    return cut_pieces(table(spark, folder, "documents"), "doc_id", "text", 1500, overlap=100)
+
+
+def p10_pieces(spark: SparkSession, folder: str) -> DataFrame:
+    return with_text(_pieces(spark, folder), table(spark, folder, "documents"), "doc_id", "text")
+
+
+def p10_found(spark: SparkSession, folder: str) -> DataFrame:
+    return _pieces(spark, folder).select("doc_id").distinct()
+
+
 _LATEST = "(SELECT * FROM {t} QUALIFY row_number() OVER (PARTITION BY {k} ORDER BY ingested_at DESC NULLS LAST) = 1)"
 _SLIDES, _SPEECH, _READINGS = (
     _LATEST.format(t=t, k=k)
@@ -140,7 +161,8 @@ FROM r GROUP BY video_name, chain, run
 
 
 def queries() -> dict:
-    return {"p1_found": p1_found, "p1_pairs": p1_pairs, "p2_found": p2_found, "p2_splits": p2_splits, "p3_found": p3_found, "p3_runs": p3_runs, "p6_found": p6_found, "p6_turns": p6_turns}
+    return {"p1_found": p1_found, "p1_pairs": p1_pairs, "p2_found": p2_found, "p2_splits": p2_splits, "p3_found": p3_found, "p3_runs": p3_runs, "p6_found": p6_found, "p6_turns": p6_turns,
+        "p8_containers": p8_containers, "p10_found": p10_found, "p10_pieces": p10_pieces}
 
 
 def oracle_sql() -> dict[str, str]:
