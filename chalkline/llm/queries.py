@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from chalkline.llm.containers import fill_containers
 from chalkline.llm.labels import label_roles, normal_label_col
+from chalkline.llm.leaks import find_leaks
 from chalkline.llm.nearest import nearest_in_time
 from chalkline.llm.pieces import cut_pieces, with_text
 from chalkline.llm.runs import collapse_runs
@@ -109,6 +110,16 @@ def p8_containers(spark: SparkSession, folder: str) -> DataFrame:
     return fill_containers(pieces, ["doc_id", "piece_no", "start_char", "end_char"], "n_tokens", 2048)
 
 
+def p9_leaks(spark: SparkSession, folder: str) -> DataFrame:
+    """Documents and the items they leak, with the number of leaked windows."""
+    items = table(spark, folder, "eval_items").withColumn("by_words", F.lower(F.substring("lang", 1, 2)) == "en")
+    return find_leaks(table(spark, folder, "documents"), "doc_id", "text", items, "item_id", "text", "by_words")
+
+
+def p9_found(spark: SparkSession, folder: str) -> DataFrame:
+    return p9_leaks(spark, folder).select("doc_id", "item_id")
+
+
 def _pieces(spark: SparkSession, folder: str) -> DataFrame:
     return cut_pieces(table(spark, folder, "documents"), "doc_id", "text", 1500, overlap=100)
 
@@ -162,7 +173,7 @@ FROM r GROUP BY video_name, chain, run
 
 def queries() -> dict:
     return {"p1_found": p1_found, "p1_pairs": p1_pairs, "p2_found": p2_found, "p2_splits": p2_splits, "p3_found": p3_found, "p3_runs": p3_runs, "p6_found": p6_found, "p6_turns": p6_turns,
-        "p8_containers": p8_containers, "p10_found": p10_found, "p10_pieces": p10_pieces}
+        "p8_containers": p8_containers, "p9_found": p9_found, "p9_leaks": p9_leaks, "p10_found": p10_found, "p10_pieces": p10_pieces}
 
 
 def oracle_sql() -> dict[str, str]:
