@@ -11,6 +11,7 @@ from chalkline.llm.leaks import find_leaks
 from chalkline.llm.nearest import nearest_in_time
 from chalkline.llm.pieces import cut_pieces, with_text
 from chalkline.llm.runs import collapse_runs
+from chalkline.llm.scans import repair
 from chalkline.llm.splits import assign_groups, components, recording_key_col
 from chalkline.llm.turns import speaker_turns
 from chalkline.operators.versions import latest_version
@@ -91,6 +92,20 @@ def p2_splits(spark: SparkSession, folder: str) -> DataFrame:
     return sized.join(split, "component").select("video_name", F.col("component").alias("recording"), "n_points", "split_name")
 
 
+def _repaired(spark: SparkSession, folder: str) -> tuple[DataFrame, DataFrame]:
+    pages = latest_version(table(spark, folder, "ppt_content"), "content_id", ["video_name", "text"])
+    return repair(pages, "content_id", "video_name", "text")
+
+
+def p5_found(spark: SparkSession, folder: str) -> DataFrame:
+    return _repaired(spark, folder)[0]
+
+
+def p5_pages(spark: SparkSession, folder: str) -> DataFrame:
+    """Every page as readable paragraphs."""
+    return _repaired(spark, folder)[1]
+
+
 def p6_turns(spark: SparkSession, folder: str) -> DataFrame:
     columns = ["video_name", "start", "end", "text", "speaker"]
     segments = latest_version(table(spark, folder, "speech_segments"), "seg_id", columns)
@@ -172,7 +187,7 @@ FROM r GROUP BY video_name, chain, run
 
 
 def queries() -> dict:
-    return {"p1_found": p1_found, "p1_pairs": p1_pairs, "p2_found": p2_found, "p2_splits": p2_splits, "p3_found": p3_found, "p3_runs": p3_runs, "p6_found": p6_found, "p6_turns": p6_turns,
+    return {"p1_found": p1_found, "p1_pairs": p1_pairs, "p2_found": p2_found, "p2_splits": p2_splits, "p3_found": p3_found, "p3_runs": p3_runs, "p5_found": p5_found, "p5_pages": p5_pages, "p6_found": p6_found, "p6_turns": p6_turns,
         "p8_containers": p8_containers, "p9_found": p9_found, "p9_leaks": p9_leaks, "p10_found": p10_found, "p10_pieces": p10_pieces}
 
 
