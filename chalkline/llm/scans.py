@@ -16,13 +16,15 @@ CONFUSIONS = (
 )
 #: A variant must be this many times as frequent, and occur this often, to correct a word.
 RATIO, LEAST = 10, 5
+#: Han characters: so many corrections make a known confusion, which then needs so many times the count.
+LEARNED, SURE = 3, 3
 #: Share of a recording's pages that carry a running line.
 RUNNING_SHARE = 0.25
 
 _FULL = "".join(chr(0xFF01 + i) for i in range(94)) + "　"
 _HALF = "".join(chr(0x21 + i) for i in range(94)) + " "
 _PAGE = (
-    r"(?i)^[^\p{L}\p{N}]*(?:(?:page|p\.?|第)\s*[0-9lio]{1,4}|[0-9][0-9lio]{0,3}|[lio]{0,3}[0-9]{1,3}|[lio]{1,2})"
+    r"(?i)^[^\p{L}\p{N}]*(?:(?:page|p\.?|第)\s*[0-9lio]{1,4}|(?=[lio]*[0-9])[0-9lio]{1,4}|[lio]{1,2})"
     r"\s*页?\s*(?:(?:/|of)\s*[0-9lio]{1,4})?\s*[^\p{L}\p{N}]*$"
 )
 _HYPHEN = r"[-‐‑¬­–]\s*$"
@@ -58,15 +60,15 @@ def _edge_kinds(lines: DataFrame) -> DataFrame:
         .withColumn("up", F.lag("base").over(w))
         .withColumn("down", F.lead("base").over(w))
         .withColumn("k", F.row_number().over(w))
-        .withColumn("far", F.max("base").over(Window.partitionBy("id")))
+        .withColumn("far", F.max(F.when(F.col("up").isNotNull() & F.col("down").isNotNull(), F.col("base"))).over(Window.partitionBy("id")))
     )
     edges = body.where("(up is null or down is null) and length(base) >= 3 and rec is not null")
     # a page shown again is no second page: its other lines are the same but for a misread one
-    beside = F.coalesce("down", F.lit("")), F.coalesce("up", F.lit("")), F.col("far")
+    beside = F.coalesce("down", F.lit("")), F.coalesce("up", F.lit("")), F.coalesce("far", "down", "up", F.lit(""))
     counted = edges.groupBy("rec", "base").agg(
         F.greatest(F.count_distinct(beside[0]), F.count_distinct(beside[1])).alias("a"), F.count_distinct(beside[2]).alias("b")
     )
-    n_pages = body.groupBy("rec").agg(F.count_distinct("far").alias("pages"))
+    n_pages = body.groupBy("rec").agg(F.count_distinct(F.coalesce("far", F.lit(""))).alias("pages"))
     running = (
         counted.join(n_pages, "rec")
         .where((F.least("a", "b") >= 2) & (F.least("a", "b") >= RUNNING_SHARE * F.col("pages")))
@@ -118,7 +120,10 @@ def _han_misreads(body: DataFrame) -> DataFrame:
 
     Each trigram is compared, one place masked, with the others that share the rest: where
     another character is RATIO times as frequent the trigram votes for it. A character is
-    corrected when two of the trigrams that hold it vote for the same one.
+    corrected when two of the trigrams that hold it vote for the same one. The swaps seen
+    LEARNED times that way are confusions of this scanner; where one is possible, a single
+    trigram with SURE times the count is enough, if none speaks against it. Counts are over
+    distinct pages, so that a page shown again doesn't make its faults frequent.
     """
     pages = (
         body.where(F.col("raw").rlike(_HAN))
@@ -129,7 +134,12 @@ def _han_misreads(body: DataFrame) -> DataFrame:
     )
     at = F.explode(F.sequence(F.lit(1), F.length("s") - 2)).alias("p")
     grams = pages.select("id", "s", at).select("id", "p", F.substr("s", F.col("p"), F.lit(3)).alias("g")).where(F.col("g").rlike(_HAN + ".?" + _HAN))
-    counts = grams.groupBy("g").agg(F.count("*").alias("n"))
+    counts = materialise(
+        pages.groupBy("s").agg(F.count("*")).select("s", at)
+        .select(F.substr("s", F.col("p"), F.lit(3)).alias("g"))
+        .where(F.col("g").rlike(_HAN + ".?" + _HAN))
+        .groupBy("g").agg(F.count("*").alias("n"))
+    )
     masked = counts.select(
         "g", "n",
         F.explode(F.array(*(F.struct(
@@ -141,16 +151,38 @@ def _han_misreads(body: DataFrame) -> DataFrame:
     votes = (
         masked.join(best, "m")
         .where((F.col("b.c") != F.col("c")) & (F.col("b.n") >= LEAST) & (F.col("b.n") >= RATIO * F.col("n")))
-        .select("g", "k", F.col("b.c").alias("c"), F.col("b.n").alias("n"))
+        .select("g", "k", F.col("c").alias("was"), F.col("b.c").alias("c"), F.col("b.n").alias("n"))
     )
     cast = (
         grams.join(votes, "g")
-        .groupBy("id", (F.col("p") + F.col("k") - 1).alias("p"), "c")
+        .groupBy("id", (F.col("p") + F.col("k") - 1).alias("p"), "c", "was")
         .agg(F.count("*").alias("votes"), F.sum("n").alias("n"))
         .where("votes >= 2")
         .groupBy("id", "p")
-        .agg(F.max_by("c", F.struct("votes", "n", "c")).alias("c"))
+        .agg(F.max_by(F.struct("c", "was"), F.struct("votes", "n", "c")).alias("x"))
+        .select("id", "p", "x.*")
     )
+    cast = materialise(cast)
+    learned = cast.groupBy("was", "c").agg(F.count("*").alias("times")).where(F.col("times") >= LEARNED).select("was", F.col("c").alias("to"))
+    swapped = F.concat(F.substr("g", F.lit(1), F.col("k") - 1), F.col("to"), F.substr("g", F.col("k") + 1))
+    weighed = (
+        masked.join(learned, F.col("c") == F.col("was"))
+        .select("g", "k", "to", "n", swapped.alias("other"))
+        .join(counts.select(F.col("g").alias("other"), F.col("n").alias("m")), "other", "left")
+        .select(
+            "g", "k", "to", ((F.col("m") >= SURE * F.col("n")) & (F.col("m") >= SURE)).alias("pro"),
+            (F.col("n") > F.greatest(F.coalesce("m", F.lit(0)), F.lit(1))).alias("con"),
+        )
+    )
+    single = (
+        grams.join(weighed, "g")
+        .groupBy("id", (F.col("p") + F.col("k") - 1).alias("p"), F.col("to").alias("c"))
+        .agg(F.count_if("pro").alias("pro"), F.count_if("con").alias("con"))
+        .where("pro > 0 and con = 0")
+        .groupBy("id", "p")
+        .agg(F.max_by("c", F.struct("pro", "c")).alias("c"))
+    )
+    cast = cast.select("id", "p", "c").unionByName(single.join(cast, ["id", "p"], "left_anti"))
     ends = F.transform("l", lambda x, i: F.struct(
         x["line_no"].alias("line_no"), x["lead"].alias("lead"),
         F.aggregate(F.slice("l", 1, i), F.lit(0), lambda a, y: a + F.length(y["t"])).alias("before"), F.length(x["t"]).alias("n"),
@@ -184,28 +216,35 @@ def repair(pages: DataFrame, record: str, recording: str, text: str) -> tuple[Da
     w = Window.partitionBy("id").orderBy("line_no")
     broken = F.col("norm").rlike(r"\p{L}" + _HYPHEN)
     cut = (
-        body.withColumn("broken", broken & F.lead("norm").over(w).rlike(r"^\p{L}"))
-        .withColumn("after", F.coalesce(F.lag("broken").over(w), F.lit(False)))
-        .withColumn("next", F.element_at(F.split(F.lead("norm").over(w), r"\s+"), 1))
+        body.withColumn("broken", broken & F.lead("norm").over(w).isNotNull())
+        .withColumn("after", F.when(F.lag("broken").over(w), 1).when(F.lag("broken", 2).over(w), 2).otherwise(0))
+        # the rest of a broken word stands in the next line, or behind one line that came between
+        .withColumn("next", F.array(*(F.element_at(F.split(F.lead("norm", k).over(w), r"\s+"), 1) for k in (1, 2))))
     )
     cut = materialise(cut)
     tokens = cut.select(
         "id", "line_no", "broken", "after", F.posexplode(F.split("norm", r"\s+")).alias("i", "token"),
         F.size(F.split("norm", r"\s+")).alias("of"),
     ).where(~F.col("token").rlike(_HAN) & F.col("token").rlike(r"\p{L}"))
-    whole_tokens = tokens.where(~(F.col("broken") & (F.col("i") == F.col("of") - 1)) & ~(F.col("after") & (F.col("i") == 0)))
-    words = whole_tokens.withColumn("w", _word("token")).where("length(w) >= 2")
-    known = materialise(words.groupBy("w").agg(F.count("*").alias("n")))
+    words = (
+        tokens.where(~(F.col("broken") & (F.col("i") == F.col("of") - 1)) & ~((F.col("after") == 1) & (F.col("i") == 0)))
+        .withColumn("w", _word("token"))
+        .where("length(w) >= 2")
+    )
+    # what may be the rest of a broken word is checked, but isn't counted as a word
+    sure = F.when((F.col("after") == 0) | (F.col("i") > 0), 1).otherwise(0)
+    seen = materialise(words.groupBy("w").agg(F.sum(sure).alias("n")))
+    known = seen.where("n > 0")
 
     # broken words, whole and with their hyphen
     left = F.regexp_replace(F.element_at(F.split("norm", r"\s+"), -1), _HYPHEN, "")
     halves = cut.where("broken").select(
-        "id", "line_no", F.lower(F.regexp_replace(left, r"^[^\p{L}\p{N}!|$@]+", "")).alias("a"), _word(F.col("next")).alias("b")
-    )
+        "id", "line_no", F.lower(F.regexp_replace(left, r"^[^\p{L}\p{N}!|$@]+", "")).alias("a"), F.posexplode("next").alias("skip", "b")
+    ).withColumn("b", _word(F.col("b"))).where("b is not null")
     halves = halves.withColumn("joined", F.concat("a", "b")).withColumn("hyphened", F.concat_ws("-", "a", "b"))
     forms = halves.select(F.explode(F.array("joined", "hyphened")).alias("w")).distinct()
     frequency = forms.join(known, "w", "left").select("w", F.coalesce("n", F.lit(0)).alias("n"))
-    fixes = materialise(word_corrections(known.unionByName(frequency.where("n = 0")), known))
+    fixes = materialise(word_corrections(seen.unionByName(frequency.join(seen, "w", "left_anti")), known))
     judged = frequency.join(fixes, "w", "left").join(known.select(F.col("w").alias("v"), F.col("n").alias("vn")), "v", "left")
     strength = judged.select("w", "v", F.greatest("n", F.coalesce("vn", F.lit(0))).alias("f"))
     one = strength.select(F.col("w").alias("joined"), F.col("v").alias("v_joined"), F.col("f").alias("f_joined"))
@@ -220,16 +259,19 @@ def repair(pages: DataFrame, record: str, recording: str, text: str) -> tuple[Da
             .otherwise(F.col("n_a").isNull() | F.col("n_b").isNull()),
         )
         .withColumn("v", F.when(F.col("is_whole"), F.col("v_joined")).otherwise(F.col("v_hyphened")))
-        .select("id", "line_no", "is_whole", "a", "b", "v")
+        .withColumn("f", F.greatest("f_joined", "f_hyphened"))
+        .groupBy("id", "line_no")
+        .agg(F.max_by(F.struct("is_whole", "a", "b", "v", "skip"), F.struct("f", -F.col("skip"))).alias("x"))
+        .select("id", "line_no", "x.*")
     )
     decided = materialise(decided)
     # the corrected whole is divided where its ends equal the halves'
     prefix = F.coalesce(F.expr("array_max(filter(sequence(0, least(length(a), length(v))), k -> substring(a, 1, k) = substring(v, 1, k)))"), F.lit(0))
     in_left = F.col("v").isNotNull() & (prefix < F.length("a"))
     in_right = F.col("v").isNotNull() & ~in_left
-    following = cut.select("id", "line_no", F.lead("line_no").over(w).alias("next_no"))
+    following = cut.select("id", "line_no", F.array(F.lead("line_no").over(w), F.lead("line_no", 2).over(w)).alias("next_no"))
     split_misread = decided.join(following, ["id", "line_no"]).select(
-        "id", F.explode(F.array(F.when(in_left, F.col("line_no")), F.when(in_right, F.col("next_no")))).alias("line_no")
+        "id", F.explode(F.array(F.when(in_left, F.col("line_no")), F.when(in_right, F.get("next_no", F.col("skip"))))).alias("line_no")
     ).where("line_no is not null")
     fixed_words = words.join(fixes, "w").select("id", "line_no", "i", "w", "v")
     han = materialise(_han_misreads(body))
@@ -245,7 +287,7 @@ def repair(pages: DataFrame, record: str, recording: str, text: str) -> tuple[Da
     # the repaired text: each line's tokens with their corrections, then lines into paragraphs
     by_line = fixed_words.groupBy("id", "line_no").agg(F.map_from_entries(F.collect_set(F.struct("w", "v"))).alias("fix"))
     by_char = han.groupBy("id", "line_no").agg(F.map_from_entries(F.collect_list(F.struct("at", "c"))).alias("chars"))
-    ends = decided.select("id", "line_no", "is_whole", F.when(F.col("v").isNotNull(), F.col("v")).alias("whole"), F.length("a").alias("n_a"))
+    ends = decided.select("id", "line_no", "is_whole")
     none_c, none_w = F.create_map().cast("map<int,string>"), F.create_map().cast("map<string,string>")
     dressed = (
         cut.join(by_line, ["id", "line_no"], "left").join(by_char, ["id", "line_no"], "left").join(ends, ["id", "line_no"], "left")
