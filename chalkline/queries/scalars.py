@@ -72,7 +72,8 @@ def parse_time(s, d):
 
 def annotations(k):
     """Annotations with bounds that may be missing or reversed: id, video_name, start, end, title, is_interference."""
-    a, b = X.parse_seconds(F.col("start").cast("string")), X.parse_seconds(F.col("end").cast("string"))
+    text = dict(k.dtypes)
+    a, b = (X.parse_seconds(F.col(c)) if text[c] == "string" else F.col(c).cast("double") for c in ("start", "end"))
     lo, hi = F.floor(F.least(a, b)), F.ceil(F.greatest(a, b))
     return (
         k.where(a.isNotNull() & b.isNotNull())
