@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from chalkline.llm.tokens import DEFAULT_TOKENIZER, LARGE, Counter, counter
+from chalkline.plans.session import materialise
 
 RANGE_BYTES, HALO_BYTES = 65_536, 8_192
 #: A cut is sought within this many tokens before the place of a full piece.
@@ -147,6 +148,8 @@ def cut_pieces(
     if not whole:
         counted = counted.where((F.size("tok") > 0) | (F.col("n_tokens") > limit))
 
+    counted = materialise(counted)  # read more than once below; tokens are counted once
+
     w = Window.partitionBy("id").orderBy("pos")
     before = w.rowsBetween(Window.unboundedPreceding, -1)
     doc = Window.partitionBy("id")
