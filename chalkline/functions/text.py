@@ -52,7 +52,7 @@ def is_valid_token(t: Column, stop: Iterable[str] = C.KEYWORD_BLACKLIST) -> Colu
 
 
 def valid_tokens(c: Column) -> Column:
-    return F.filter(tokens(normalize_text(c)), is_valid_token)
+    return F.filter(tokens(normalize_text(c)), lambda t: is_valid_token(t))
 
 
 def is_cjk(t: Column) -> Column:

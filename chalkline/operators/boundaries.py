@@ -12,13 +12,16 @@ from pyspark.sql import functions as F
 
 from chalkline.operators.alignment import SHARD_S
 from chalkline.plans.scan import sharded_scan
+from chalkline.plans.session import materialise
 
 
 def chains(df: DataFrame, key: str, time: str, order: list[str], reach: Column) -> DataFrame:
     """``df`` with ``chain``: rows whose distance from the row before fulfils ``reach`` (of column gap) share one."""
-    rows = df.withColumn("_shard", F.floor(F.col(time) / SHARD_S))
+    # every scan reads its input twice: candidates are few, so they are written between the steps
+    rows = materialise(df.withColumn("_shard", F.floor(F.col(time) / SHARD_S)))
     seen = sharded_scan(rows, [key], "_shard", order, {"_prev": ("before", F.col(time))}).withColumn("gap", F.col(time) - F.col("_prev"))
     new = F.when(F.coalesce(reach, F.lit(False)), 0).otherwise(1)
+    seen = materialise(seen)
     return sharded_scan(seen.withColumn("_new", new), [key], "_shard", order, {"chain": ("sum", F.col("_new"))}).drop("_shard", "_prev", "gap", "_new")
 
 
@@ -48,11 +51,13 @@ def normalize_boundaries(bounds: DataFrame, ends: DataFrame, key: str, shortest:
     ``ends`` has (key, t_start, t_end). The first bound is t_start; bounds before it are
     skipped; t_end comes last unless it is there already. Times are rounded to hundredths after every step.
     """
+    ends = materialise(ends)
     inside = bounds.join(ends, key).where(F.col("time") > F.col("t_start") + eps).select(key, "time").distinct()
     all_bounds = inside.unionByName(ends.select(key, F.round("t_start", 2).alias("time"))).distinct()
     rows = chains(all_bounds, key, "time", ["time"], F.col("gap") < shortest)
     step = lambda kept, x: F.when(x - F.round(F.element_at(kept, -1), 2) >= shortest, F.concat(kept, F.array(x))).otherwise(kept)
     kept = _fold(rows, key, F.col("time"), step).select(key, F.explode("kept").alias("time")).withColumn("_shard", F.floor(F.col("time") / SHARD_S))
+    kept = materialise(kept)
     seen = sharded_scan(kept, [key], "_shard", ["time"], {"prev": ("before", F.round("time", 2))})
     dt = F.col("time") - F.col("prev")
     n = F.floor(dt / longest)
@@ -62,6 +67,7 @@ def normalize_boundaries(bounds: DataFrame, ends: DataFrame, key: str, shortest:
     )
     more = F.when(dt > longest, F.slice(even, 2, n.cast("int"))).otherwise(F.array().cast("array<double>"))
     points = seen.select(key, F.explode(F.concat(F.coalesce(more, F.array().cast("array<double>")), F.array(F.round("time", 2)))).alias("time"))
+    points = materialise(points)
     last = points.groupBy(key).agg(F.max("time").alias("_last"))
     closing = ends.join(last, key).where(F.abs(F.col("_last") - F.round("t_end", 2)) >= eps).select(key, F.round("t_end", 2).alias("time"), F.lit(1).alias("_end"))
     rows = points.withColumn("_end", F.lit(0)).unionByName(closing).withColumn("_shard", F.when(F.col("_end") == 1, 1e12).otherwise(F.floor(F.col("time") / SHARD_S)))
@@ -81,6 +87,7 @@ def post_process(times: DataFrame, points: DataFrame, key: str, min_gap: float =
         x["score"] > last(kept)["score"], _replace_last(kept, x)
     ).otherwise(kept)
     kept = _fold(rows, key, F.struct("time", "score"), step).select(key, F.explode("kept").alias("x")).select(key, "x.time")
+    kept = materialise(kept)
     placed = kept.withColumn("_shard", F.floor(F.col("time") / SHARD_S))
     seen = sharded_scan(placed, [key], "_shard", ["time"], {"prev": ("before", F.col("time"))})
     wide = seen.where(F.col("time") - F.col("prev") > max_gap).select(key, "prev", F.col("time").alias("until"))

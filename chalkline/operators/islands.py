@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from chalkline.operators.alignment import SHARD_S
 from chalkline.plans.scan import sharded_scan
+from chalkline.plans.session import materialise
 
 
 def flag_islands(df: DataFrame, key: str, flag: Column, time: str = "time", order: tuple[str, ...] = ("time", "id"), values: tuple[Column, ...] = ()) -> DataFrame:
@@ -20,6 +21,7 @@ def flag_islands(df: DataFrame, key: str, flag: Column, time: str = "time", orde
     rows = df.withColumn("_f", f).withColumn("_shard", F.floor(F.col(time) / SHARD_S))
     seen = sharded_scan(rows, [key], "_shard", list(order), {"_was": ("before", F.col("_f")), "_off": ("after", F.when(~F.col("_f"), F.col(time)))})
     inside = seen.where("_f").withColumn("_new", F.when(F.coalesce("_was", F.lit(False)), 0).otherwise(1))
+    inside = materialise(inside)  # the next scan reads it twice
     counted = sharded_scan(inside, [key], "_shard", list(order), {"island": ("sum", F.col("_new"))})
     return counted.groupBy(key, "island").agg(
         F.min(time).alias("start"), F.max(time).alias("last"), F.count("*").alias("n"), F.max("_off").alias("next_time"), *values
@@ -31,7 +33,7 @@ def gap_islands(df: DataFrame, key: str, time: str, max_gap: float, values: tupl
     rows = df.withColumn("_shard", F.floor(F.col(time) / SHARD_S))
     seen = sharded_scan(rows, [key], "_shard", [time], {"_prev": ("before", F.col(time))})
     new = F.when(F.round(F.col(time) - F.col("_prev"), 6) <= max_gap, 0).otherwise(1)
-    counted = sharded_scan(seen.withColumn("_new", new), [key], "_shard", [time], {"island": ("sum", F.col("_new"))})
+    counted = sharded_scan(materialise(seen.withColumn("_new", new)), [key], "_shard", [time], {"island": ("sum", F.col("_new"))})
     return counted.groupBy(key, "island").agg(F.min(time).alias("start"), F.max(time).alias("last"), F.count("*").alias("n"), *values)
 
 
@@ -40,5 +42,5 @@ def union_intervals(df: DataFrame, key: str, order: list[str], values: tuple[Col
     rows = df.withColumn("_shard", F.floor(F.col("start") / SHARD_S))
     seen = sharded_scan(rows, [key], "_shard", order, {"_reach": ("max_before", F.col("end"))})
     new = F.when(F.col("start") <= F.col("_reach") + eps, 0).otherwise(1)
-    counted = sharded_scan(seen.withColumn("_new", new), [key], "_shard", order, {"island": ("sum", F.col("_new"))})
+    counted = sharded_scan(materialise(seen.withColumn("_new", new)), [key], "_shard", order, {"island": ("sum", F.col("_new"))})
     return counted.groupBy(key, "island").agg(F.min("start").alias("start"), F.max("end").alias("end"), F.count("*").alias("n"), *values)

@@ -46,7 +46,7 @@ def smooth_labels(segments: DataFrame, key: str, size: int = 5000, cfg: C.Config
     chained over a recording's blocks, and each block is then smoothed from its true state.
     """
     width = cfg.smooth_window
-    rows = numbered(segments.select(key, "id", "start", "end", "speaker"), key, ["start", "id"], "start")
+    rows = materialise(numbered(materialise(segments.select(key, "id", "start", "end", "speaker")), key, ["start", "id"], "start"))
     n = rows.groupBy(key).agg(F.count("*").alias("n"))
     spread, _, _ = with_halo(rows.join(n, key), key, 0, 0, size)
     ahead = rows.select(key, "idx", "speaker", "id", "start", "end").join(n, key).where((F.col("idx") % size < width) & (F.col("idx") >= size))
@@ -96,7 +96,7 @@ def relabel(segments: DataFrame, key: str, cfg: C.Config = C.CONFIG) -> DataFram
     student's that of the unlikely ones; recordings with fewer than two teacher voices stay.
     """
     low, high = cfg.borderline
-    g = segments.withColumn("u", S.unit(F.col("vector"))).withColumn("prob", F.coalesce("prob", F.lit(0.0)))
+    g = materialise(segments).withColumn("u", S.unit(F.col("vector"))).withColumn("prob", F.coalesce("prob", F.lit(0.0)))
     teachers = g.where(F.col("speaker") == C.TEACHER)
     sure = teachers.groupBy(key).agg(F.least(F.lit(high), F.greatest(F.lit(low), F.percentile("prob", cfg.proto_quantile))).alias("bound"))
     marked = teachers.join(sure, key)

@@ -12,6 +12,8 @@ from chalkline.operators import keywords as K
 from chalkline.operators import speakers as P
 from chalkline.operators import stats as S
 from chalkline.operators.alignment import as_of, numbered
+from chalkline.plans.scan import sharded_scan
+from chalkline.plans.session import materialise
 from chalkline.queries._views import KEEP, with_views
 from chalkline.queries.scalars import VALID, _norm
 from chalkline.sources import lecture as L
@@ -58,6 +60,7 @@ def titles(s, d):
 def shifts(s, d):
     t = valid_segments(s, d)
     rows = numbered(t, "video_name", ["start", "record"], "start").select("video_name", "record", "idx", "start")
+    rows = materialise(rows)
     got = K.shift_scores(rows.select("video_name", "record", "idx"), K.tfidf(t, "video_name", "record", "text"), "video_name")
     return got.join(rows, ["video_name", "idx"]).select("video_name", "idx", F.col("start").alias("time"), F.round("score", 6).alias("score"))
 
@@ -87,9 +90,7 @@ def normalize_boundaries(s, d):
 
 def topics(s, d):
     """The topics between consecutive normalised boundaries, numbered from 0."""
-    b = normalize_boundaries(s, d).withColumn("_shard", F.floor(F.col("pos") / 1000))
-    from chalkline.plans.scan import sharded_scan
-
+    b = materialise(normalize_boundaries(s, d)).withColumn("_shard", F.floor(F.col("pos") / 1000))
     return sharded_scan(b, ["video_name"], "_shard", ["pos"], {"end": ("after", F.col("time"))}).where("end is not null").select(
         "video_name", (F.col("pos") - 1).alias("id"), F.col("time").alias("start"), "end", F.round(F.col("end") - F.col("time"), 2).alias("duration")
     )
@@ -128,12 +129,13 @@ def diarize(s, d, cfg=C.CONFIG):
     valid = S.zscore(g.where("dur >= 0.4"), "video_name", ["dur", "unsteady", "talk"])
     score = cfg.acoustic_weight * (0.5 * F.col("z_dur") - 0.5 * F.col("z_unsteady")) + cfg.text_weight * F.col("z_talk")
     prob = S.robust_logistic(valid.withColumn("score", F.round(score, 9)), "video_name", "score").select("id", F.round("prob", 4).alias("p"), F.lit(True).alias("sure"))
-    rows = numbered(g.join(prob, "id", "left"), "video_name", ["start", "id"], "start")
+    rows = materialise(numbered(materialise(g.join(prob, "id", "left")), "video_name", ["start", "id"], "start"))
     v = rows.where("sure").select("video_name", F.col("idx").cast("double").alias("at"), F.col("p").alias("v"))
     got = as_of(rows.select("video_name", F.col("idx").cast("double").alias("time"), "id", "start", "end", "vector"), {"v": (v, "at", ["at", "v"])}, both=True)
     b, a = F.col("v"), F.col("v_after")
     near = F.when(a.isNull() | (F.col("time") - b["at"] <= a["at"] - F.col("time")), F.coalesce(b, a)).otherwise(a)["v"]
     named = got.withColumn("prob", F.coalesce(near, F.lit(0.5))).withColumn("speaker", F.when(F.col("prob") >= cfg.teacher_prob, C.TEACHER).otherwise(C.STUDENT))
+    named = materialise(named)
     one = P.smooth_labels(named, "video_name").select("id", "speaker")
     two = P.relabel(named.drop("speaker").join(one, "id").select("video_name", "id", "start", "end", "speaker", "prob", "vector"), "video_name").select("id", "speaker")
     three = P.smooth_labels(named.drop("speaker").join(two, "id"), "video_name").select("id", F.col("speaker"))
@@ -196,12 +198,12 @@ m AS (SELECT video_name, o, time, score, 1 AS g FROM o WHERE o = 1 UNION ALL
   SELECT o.video_name, o.o, CASE WHEN o.time - m.time >= 30 OR o.score > m.score THEN o.time ELSE m.time END, CASE WHEN o.time - m.time >= 30 OR o.score > m.score THEN o.score ELSE m.score END, m.g + CASE WHEN o.time - m.time >= 30 THEN 1 ELSE 0 END
   FROM m JOIN o ON o.video_name = m.video_name AND o.o = m.o + 1),
 k AS (SELECT video_name, time FROM m QUALIFY row_number() OVER (PARTITION BY video_name, g ORDER BY o DESC) = 1),
-gp AS (SELECT video_name, lag(time) OVER (PARTITION BY video_name ORDER BY time) AS at, time AS until FROM k),
-sp AS (SELECT video_name, at, until, false AS stop FROM gp WHERE until - at > 600 UNION ALL
+gp AS (SELECT video_name, lag(time) OVER (PARTITION BY video_name ORDER BY time) AS fr, time AS until FROM k),
+sp AS (SELECT video_name, fr, until, false AS stop FROM gp WHERE until - fr > 600 UNION ALL
   SELECT video_name, cut, until, until - cut < 30 FROM (
-    SELECT video_name, until, CASE WHEN b - at < 30 THEN round(at + 30, 2) ELSE b END AS cut FROM (
-      SELECT s.video_name, s.at, s.until, (SELECT arg_max(a.time, struct_pack(x := a.score, y := -a.time)) FROM a WHERE a.video_name = s.video_name AND a.time BETWEEN s.at AND s.until) AS b FROM sp s WHERE NOT stop AND s.until - s.at > 600)))
-SELECT DISTINCT video_name, time FROM (SELECT video_name, round(time, 2) AS time FROM k UNION ALL SELECT video_name, round(at, 2) FROM sp WHERE NOT stop)"""
+    SELECT video_name, until, CASE WHEN b - fr < 30 THEN round(fr + 30, 2) ELSE b END AS cut FROM (
+      SELECT s.video_name, s.fr, s.until, (SELECT arg_max(a.time, struct_pack(x := a.score, y := -a.time)) FROM a WHERE a.video_name = s.video_name AND a.time BETWEEN s.fr AND s.until) AS b FROM sp s WHERE NOT stop AND s.until - s.fr > 600)))
+SELECT DISTINCT video_name, time FROM (SELECT video_name, round(time, 2) AS time FROM k UNION ALL SELECT video_name, round(fr, 2) FROM sp WHERE NOT stop)"""
 _R = lambda sql: sql.replace("WITH ", "WITH RECURSIVE ", 1)
 _TITLES = """coalesce(nullif(array_to_string(list_filter(list_transform(coalesce(kws, []), lambda x: regexp_replace(trim(x), '[<>:"/\\\\|?*]+', '', 'g')), lambda x: x <> '')[1:2], '_'), ''), '片段' || CAST(row_number() OVER (PARTITION BY video_name ORDER BY id) AS VARCHAR))"""
 

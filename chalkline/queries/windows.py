@@ -11,6 +11,7 @@ from chalkline.operators.alignment import SHARD_S, numbered
 from chalkline.operators.features import point_features
 from chalkline.operators.periods import merge_intervals
 from chalkline.plans.scan import sharded_scan
+from chalkline.plans.session import materialise
 from chalkline.queries._views import with_views
 from chalkline.queries.joins import with_topic_flag
 from chalkline.queries.scalars import ANN, annotations, raw_annotations
@@ -55,7 +56,7 @@ def turns(s, d, cfg=C.CONFIG):
     seen = sharded_scan(rows, ["video_name"], "_shard", order, {"was": ("before", F.struct("known", "speaker", "time"))}).where("known")
     same = F.col("was.known") & (F.col("was.speaker") == F.col("speaker")) & (F.col("time") <= F.col("was.time") + cfg.resolution + cfg.eps)
     marked = seen.withColumn("new", F.when(F.coalesce(same, F.lit(False)), 0).otherwise(1)).withColumn("t", F.nullif(X.strip(F.col("speech_text")), F.lit("")))
-    counted = sharded_scan(marked, ["video_name"], "_shard", order, {"turn": ("sum", F.col("new"))})
+    counted = sharded_scan(materialise(marked), ["video_name"], "_shard", order, {"turn": ("sum", F.col("new"))})
     said = F.sort_array(F.collect_list(F.when(F.col("t").isNotNull(), F.struct("time", "id", "t"))))
     texts = F.transform(F.filter(said, lambda x, i: (i == 0) | (x["t"] != said[F.greatest(i - 1, F.lit(0))]["t"])), lambda x: x["t"])
     return counted.groupBy("video_name", "turn").agg(
@@ -69,9 +70,10 @@ def speaker_turns(s, d):
 
 def qa(s, d, cfg=C.CONFIG):
     """A teacher's turn, a student's, and a third that follows at once: hits of the cues."""
-    t = turns(s, d, cfg).withColumn("_shard", F.floor(F.col("start") / SHARD_S))
+    t = materialise(turns(s, d, cfg).withColumn("_shard", F.floor(F.col("start") / SHARD_S)))
     me = F.struct("speaker", "start", "end", "texts")
     one = sharded_scan(t, ["video_name"], "_shard", ["start"], {"t2": ("after", me)})
+    one = materialise(one)
     two = sharded_scan(one, ["video_name"], "_shard", ["start"], {"_n": ("after", F.struct("t2", "turn"))})
     pair = two.where((F.col("speaker") == C.TEACHER) & (F.col("t2.speaker") == C.STUDENT)).withColumn("t3", F.col("_n.t2"))
     third = (F.col("t3.start") <= F.col("t2.end") + cfg.resolution + cfg.eps) & (F.col("t3.end") - F.col("start") <= cfg.qa_s)
