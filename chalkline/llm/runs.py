@@ -95,7 +95,7 @@ def collapse_runs(
         .agg(F.min("a").alias("a"), F.max("b").alias("b"), F.sum("n").alias("n"), F.first("_known").alias("s"))
         .select(key, "a", "b", "n", "s")
     )
-    inner = runs.where(~edge).select(key, "a", "b", "n", "s")
+    inner = runs.where(~edge).select(key, "a", "b", "n", F.when(~joker, F.col("s")).alias("s"))
     back = F.conv(F.hex(F.encode("s", "UTF-16BE")), 16, 10).cast("int") - FIRST_SYMBOL
     return stitched.unionByName(inner).select(
         key, F.col("a").alias("first_s"), F.col("b").alias("last_s"), F.col("n").alias("n_points"),
