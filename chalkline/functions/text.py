@@ -122,9 +122,10 @@ def word_set(text: Column) -> Column:
     return F.array_distinct(F.regexp_extract_all(F.lower(text), F.lit(r"([\x{4e00}-\x{9fff}]|[a-z0-9_]+)"), F.lit(1)))
 
 
-def jaccard(a: Column, b: Column) -> Column:
-    x, y = word_set(a), word_set(b)
-    return F.when(F.size(x) + F.size(y) == 0, 1.0).otherwise(F.size(F.array_intersect(x, y)) / F.greatest(F.size(F.array_union(x, y)), F.lit(1)))
+def jaccard(x: Column, y: Column) -> Column:
+    """Shared part of two word sets; two empty ones are alike."""
+    shared = F.size(F.array_intersect(x, y))
+    return F.when(F.size(x) + F.size(y) == 0, 1.0).otherwise(shared / F.greatest(F.size(x) + F.size(y) - shared, F.lit(1)))
 
 
 def boundary_score(silent: Column, slide: Column, confidence: Column) -> Column:

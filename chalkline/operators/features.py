@@ -22,22 +22,26 @@ def point_features(timeline: DataFrame, resolution: float = 1.0) -> DataFrame:
     has itself as its predecessor. Points are numbered by a sharded scan and windowed in blocks
     with a halo, so all fourteen share one sort and no recording is one task.
     """
-    rows, w, once = with_halo(numbered(timeline, "video_name", ["time", "id"]), "video_name", ROWS, ROWS)
+    # word sets and lengths before the windows, so that each text is read once and none is shuffled
+    text = F.concat("speech_text", F.lit(" "), "ppt_text")
+    slim = timeline.select(
+        "video_name", "id", "time", "present", "motion", "slide", "confidence", "silent", "slide_idx", "speaker",
+        X.word_set(text).alias("_words"), F.length("speech_text").alias("_length"),
+    )
+    rows, w, once = with_halo(numbered(slim, "video_name", ["time", "id"]), "video_name", ROWS, ROWS)
     back, ahead = w.rowsBetween(-ROWS, 0), w.rowsBetween(0, ROWS)
     num = lambda c: F.col(c).cast("int")
     prev = lambda c: F.coalesce(F.lag(c).over(w), F.col(c))
-    text = lambda a, b: X.strip(F.concat(a, F.lit(" "), b))
-    length = F.length("speech_text") / max(resolution, 1e-3)
     out = rows.withColumns({
         "prev_present": prev("present").cast("int"), "prev_confidence": prev("confidence"),
         "slide_delta": (F.col("slide_idx") != prev("slide_idx")).cast("int"),
         "roll_silence": F.avg(num("silent")).over(back), "roll_present": F.avg(num("present")).over(back),
         "roll_silence_ahead": F.avg(num("silent")).over(ahead),
-        "_speech": prev("speech_text"), "_page": prev("ppt_text"), "speaker_change": (F.col("speaker") != prev("speaker")).cast("int"),
+        "_prev_words": prev("_words"), "_prev_length": prev("_length"), "speaker_change": (F.col("speaker") != prev("speaker")).cast("int"),
     }).where(once)
     out = out.withColumns({
-        "text_similarity": X.jaccard(text(F.col("speech_text"), F.col("ppt_text")), text(F.col("_speech"), F.col("_page"))),
-        "rate_change": F.abs(length - F.length("_speech") / max(resolution, 1e-3)),
+        "text_similarity": X.jaccard(F.col("_words"), F.col("_prev_words")),
+        "rate_change": F.abs(F.col("_length") - F.col("_prev_length")) / max(resolution, 1e-3),
         "present": num("present"), "slide": num("slide"), "silent": num("silent"),
     })
     return out.select("video_name", "id", "time", *FEATURES)

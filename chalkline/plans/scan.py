@@ -36,15 +36,17 @@ def sharded_scan(
     by = [*keys, shard]
     at = F.struct(*order)
     local = Window.partitionBy(*by).orderBy(*order)
+    # what comes after is what comes before in reverse: a frame that only grows costs one pass
+    reverse = Window.partitionBy(*by).orderBy(*(F.col(c).desc() for c in order))
     over = {
         "before": local.rowsBetween(Window.unboundedPreceding, -1),
-        "after": local.rowsBetween(1, Window.unboundedFollowing),
+        "after": reverse.rowsBetween(Window.unboundedPreceding, -1),
         "max_before": local.rowsBetween(Window.unboundedPreceding, -1),
         "sum": local.rowsBetween(Window.unboundedPreceding, 0),
     }
     here = {
         "before": lambda v: F.last(v, ignorenulls=True),
-        "after": lambda v: F.first(v, ignorenulls=True),
+        "after": lambda v: F.last(v, ignorenulls=True),
         "max_before": F.max,
         "sum": F.sum,
     }
@@ -54,8 +56,8 @@ def sharded_scan(
         "max_before": F.max,
         "sum": F.sum,
     }
-    shards = Window.partitionBy(*keys).orderBy(shard)
-    earlier, later = shards.rowsBetween(Window.unboundedPreceding, -1), shards.rowsBetween(1, Window.unboundedFollowing)
+    earlier = Window.partitionBy(*keys).orderBy(shard).rowsBetween(Window.unboundedPreceding, -1)
+    later = Window.partitionBy(*keys).orderBy(F.col(shard).desc()).rowsBetween(Window.unboundedPreceding, -1)
 
     scanned = df.withColumns({f"_{n}": here[kind](v).over(over[kind]) for n, (kind, v) in wanted.items()})
     summary = df.groupBy(*by).agg(*(each[kind](v).alias(f"_s_{n}") for n, (kind, v) in wanted.items()))

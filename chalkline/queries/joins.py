@@ -136,24 +136,34 @@ def timeline_align(s, d, cfg=C.CONFIG):
     """The aligned table: one row a second and recording, with state, slide, speech and topic."""
     g, k, slides = L.segments(s, d), L.knowledge(s, d), L.slides(s, d)
     silent = ~X.keeps_speech(F.col("nsp"), F.col("text"), cfg)
+    speech = g.withColumn("silent", silent).groupBy("video_name", "start").agg(F.min(F.struct("id", "text", "speaker", "confidence", "silent")).alias("v"))
+    heads = k.groupBy("video_name", "start").agg(F.min(F.struct("id", "title")).alias("v"))
+    # everything that is looked up by time, in one pass over the grid
     base = A.as_of(
         _grid(s, d),
         {
-            "state": (L.samples(s, d), "time", ["time", "id", "in_podium", "static_person", "full_screen", "motion_ratio"]),
+            "state": (L.samples(s, d), "time", ["time", "id", "motion_ratio"]),
             "page": (slides, "time", ["time", "id", "slide_idx", "text"]),
+            "said": (speech.select("video_name", "start", "v.*"), "start", ["start", "id", "text", "speaker", "confidence", "silent"]),
+            "topic": (heads.select("video_name", "start", "v.*"), "start", ["start", "id", "title"]),
         },
+        both=True,
     )
-    said = A.stab(base.select("video_name", "time", "i"), g.withColumn("silent", silent), "video_name", ["id", "text", "speaker", "confidence", "silent"])
-    topic = A.covered_points(k, "video_name", "start", "end", 1.0, F.struct("start", "id", "title"))
-    near_k = A.as_of(base.select("video_name", "time", "i"), {"k": (k.groupBy("video_name", "start").agg(F.min(F.struct("id", "title")).alias("v")).select("video_name", "start", "v.*"), "start", ["start", "id", "title"])}, both=True)
-    b, a = F.col("k"), F.col("k_after")
-    nearest = F.when(a.isNull() | (F.round(F.col("time") - b["start"], 6) <= F.round(a["start"] - F.col("time"), 6)), F.coalesce(b, a)).otherwise(a)
-    topics = near_k.join(topic, ["video_name", "i"], "left").select("video_name", "i", F.coalesce(F.col("first"), nearest).alias("topic"))
+
+    def nearest(name):
+        b, a = F.col(name), F.col(f"{name}_after")
+        sooner = F.round(F.col("time") - b["start"], 6) <= F.round(a["start"] - F.col("time"), 6)
+        return F.when(a.isNull() | sooner, F.coalesce(b, a)).otherwise(a)
+
+    base = base.select("video_name", "i", F.coalesce("state", "state_after").alias("state"), F.coalesce("page", "page_after").alias("page"), nearest("said").alias("near_said"), nearest("topic").alias("near_topic"))
+    in_said = A.covered_points(g.withColumn("silent", silent), "video_name", "start", "end", 1.0, F.struct("start", "id", "text", "speaker", "confidence", "silent")).withColumnRenamed("first", "in_said")
+    in_topic = A.covered_points(k, "video_name", "start", "end", 1.0, F.struct("start", "id", "title")).withColumnRenamed("first", "in_topic")
     turned = A.near_points(slides, "video_name", "time", 1.0, 1.0).withColumn("turned", F.lit(True))
     bounds = A.near_points(k.select("video_name", F.explode(F.array("start", "end")).alias("time")), "video_name", "time", 1.0, 1.0).withColumn("bound", F.lit(True))
     on = ["video_name", "i"]
     return (
-        base.join(said.select(*on, "hit"), on).join(topics, on).join(turned, on, "left").join(bounds, on, "left")
+        base.join(in_said, on, "left").join(in_topic, on, "left").join(turned, on, "left").join(bounds, on, "left")
+        .withColumn("hit", F.coalesce("in_said", "near_said")).withColumn("topic", F.coalesce("in_topic", "near_topic"))
         .select(
             "video_name", "i", F.coalesce(F.col("state.motion_ratio") > cfg.presence_motion, F.lit(True)).alias("teacher_present"),
             F.coalesce("state.motion_ratio", F.lit(0.0)).alias("motion_ratio"), F.coalesce("page.slide_idx", F.lit(0)).alias("slide_idx"),
