@@ -108,13 +108,14 @@ def nearest_in_time(
 
     rec = F.when(F.col("side") == 0, F.struct("ms", "r"))
     w = Window.partitionBy("k").orderBy("pid")
+    reverse = Window.partitionBy("k").orderBy(F.desc("pid"))
     carry = (
         ranged.groupBy("k", "pid")
         .agg(F.max(rec).alias("last"), F.min(rec).alias("first"))
         .select(
             "k", "pid",
             F.last("last", True).over(w.rowsBetween(Window.unboundedPreceding, -1)).alias("before"),
-            F.first("first", True).over(w.rowsBetween(1, Window.unboundedFollowing)).alias("after"),
+            F.last("first", True).over(reverse.rowsBetween(Window.unboundedPreceding, -1)).alias("after"),
         )
         .where("before is not null or after is not null")
     )
