@@ -67,3 +67,28 @@ def boundary_hits(points: DataFrame, scores: DataFrame) -> DataFrame:
     ratios = points.groupBy("video_name").agg(F.avg(F.col("slide").cast("int")).alias("a"), F.avg(F.col("silent").cast("int")).alias("b"))
     joined = points.join(scores, ["video_name", "id"]).join(ratios, "video_name")
     return joined.where((F.col("score") >= boundary_threshold(F.col("a"), F.col("b"))) | F.col("boundary")).select("video_name", F.round("time", 2).alias("time")).distinct()
+
+
+def save_model(model: PipelineModel, folder: str, scope: str, kind: str) -> str:
+    """The model under ``folder/scope/kind``, replacing what is there."""
+    to = f"{folder}/{scope}/{kind}"
+    model.write().overwrite().save(to)
+    return to
+
+
+def load_models(paths: Sequence[str]) -> list[PipelineModel]:
+    """The models that can be read, in order of path; none at all is an error."""
+    found = []
+    for p in sorted(paths):
+        try:
+            found.append(PipelineModel.load(p))
+        except Exception as e:  # noqa: BLE001 - a broken model is left out, whatever broke it
+            print(f"left out {p}: {type(e).__name__}")
+    if not found:
+        raise FileNotFoundError("no readable model")
+    return found
+
+
+def bounds_inside(model_times: DataFrame, ends: DataFrame, eps: float = 1e-6) -> DataFrame:
+    """Model boundaries (video_name, time) strictly inside (t_start, t_end), to be added to the rule boundaries."""
+    return model_times.join(ends, "video_name").where((F.col("time") > F.col("t_start") + eps) & (F.col("time") < F.col("t_end") - eps)).select("video_name", "time")

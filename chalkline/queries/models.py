@@ -7,11 +7,11 @@ import uuid
 
 from pyspark.sql import functions as F
 
+from chalkline.functions import text as X
 from chalkline.operators import learning as M
 from chalkline.operators import stats as S
-from chalkline.operators.boundaries import post_process
+from chalkline.operators.boundaries import normalize_boundaries, post_process
 from chalkline.operators.features import balanced, draw, point_features
-from chalkline.functions import text as X
 from chalkline.plans.session import materialise
 from chalkline.queries._views import with_views
 from chalkline.queries.scalars import ANN, annotations, raw_annotations
@@ -73,6 +73,24 @@ def evaluate(s, d, trees=50):
     return S.classification_report(guess, "truth", "guess")
 
 
+def refine_boundaries(s, d, trees=50):
+    """Rule boundaries of each recording with those of the forests that lie inside, normalised again."""
+    from chalkline.queries.topics import _ends, normalize_boundaries as rules
+
+    ends = materialise(_ends(s, d))
+    inside = M.bounds_inside(ensemble_predict(s, d, trees), ends)
+    return normalize_boundaries(rules(s, d).select("video_name", "time").unionByName(inside), ends, "video_name")
+
+
+def model_store(s, d, trees=20):
+    """Forests written for two halves of the recordings and read again; points that both agree on."""
+    rows = _examples(s, d)
+    to = _scratch(s)
+    paths = [M.save_model(m, to, f"half{k}", "boundary") for k, m in enumerate(_models(rows, "boundary", trees))]
+    scores = M.ensemble_scores(rows, M.load_models(paths), ["video_name", "id"])
+    return scores.groupBy("video_name").agg(F.count_if(F.col("score") >= 0.5).alias("likely"), F.count("*").alias("points"))
+
+
 def json_roundtrip(s, d):
     """The timeline written as one JSON document a recording and read again."""
     to = _scratch(s)
@@ -125,7 +143,7 @@ SELECT user_id, CAST(floor(epoch(min(ts))) AS BIGINT) AS "start", CAST(floor(epo
 
 
 def queries() -> dict:
-    return {n: globals()[n] for n in (*_SQL, "binary_listing", "train_rf", "ensemble_predict", "evaluate")}
+    return {n: globals()[n] for n in (*_SQL, "binary_listing", "train_rf", "ensemble_predict", "evaluate", "refine_boundaries", "model_store")}
 
 
 def oracle_sql() -> dict[str, str]:
