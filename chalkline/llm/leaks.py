@@ -7,10 +7,11 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from chalkline.llm.pieces import safe_cut
 from chalkline.plans.session import materialise
 
 #: Units (words, or letters and digits) of a shingle, and the odd multiplier of all hashes.
@@ -124,36 +125,66 @@ def _sieve(hashes: np.ndarray) -> np.ndarray:
     return table
 
 
-def _hits(shared) -> object:
+def _hits(shared, size: int, halo: int) -> object:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """Rows (doc, words, place, h) for the shingles of documents that some item has."""
+        """Rows (doc, pos, words, place, h) for the shingles of a range that some item has.
+
+        A range of a long text also yields its number of units, as a row without h.
+        """
         wanted = [(words, n, np.sort(h), _sieve(h)) for words, n, h in shared.value if len(h)]
         for batch in batches:
-            ids, texts = batch.column("doc"), batch.column("text").to_pylist()
-            row, kind, place, value = [], [], [], []
-            for k, text in enumerate(texts):
-                f = fold(text)
+            ids, pos = batch.column("doc"), batch.column("pos")
+            row, kind, place, value, known = [], [], [], [], []
+            for k, (b, at, begin, total) in enumerate(zip(*(batch.column(n).to_pylist() for n in ("b", "pos", "begin", "total")))):
+                own, text = None, b
+                if total > size:
+                    first = safe_cut(b, at - begin, at - begin + halo) if at else 0
+                    end = len(b) if at + size >= total else safe_cut(b, at + size - begin, at + size - begin + halo)
+                    own, text = b[first:end], b[first : end + halo]
+                f = fold(text.decode("utf-8", "ignore"))
+                mine = fold(own.decode("utf-8", "ignore")) if own is not None else f
                 for words, n, hashes, sieve in wanted:
-                    h = _rolling(word_units(f) if words else char_units(f), n)
-                    at = np.flatnonzero(sieve[(h >> np.uint64(64 - _SIEVE_BITS)).astype(np.int64)])
-                    if len(at):
-                        found = h[at].view(np.int64)
-                        at = at[hashes[np.minimum(np.searchsorted(hashes, found), len(hashes) - 1)] == found]
-                    if len(at):
-                        row.append(np.full(len(at), k))
-                        kind.append(np.full(len(at), words))
-                        place.append(at)
-                        value.append(h[at].view(np.int64))
+                    units = word_units if words else char_units
+                    h = _rolling(units(f), n)
+                    if own is not None:
+                        count = len(units(mine))
+                        h = h[:count]
+                        row.append(np.full(1, k))
+                        kind.append(np.full(1, words))
+                        place.append(np.full(1, count))
+                        value.append(np.zeros(1, np.int64))
+                        known.append(np.zeros(1, bool))
+                    spot = np.flatnonzero(sieve[(h >> np.uint64(64 - _SIEVE_BITS)).astype(np.int64)])
+                    if len(spot):
+                        found = h[spot].view(np.int64)
+                        spot = spot[hashes[np.minimum(np.searchsorted(hashes, found), len(hashes) - 1)] == found]
+                    if len(spot):
+                        row.append(np.full(len(spot), k))
+                        kind.append(np.full(len(spot), words))
+                        place.append(spot)
+                        value.append(h[spot].view(np.int64))
+                        known.append(np.ones(len(spot), bool))
             if row:
                 r = pa.array(np.concatenate(row))
                 yield pa.RecordBatch.from_arrays(
-                    [ids.take(r), pa.array(np.concatenate(kind)), pa.array(np.concatenate(place), pa.int32()), pa.array(np.concatenate(value))],
-                    ["doc", "words", "place", "h"],
-                )
+                    [ids.take(r), pos.take(r), pa.array(np.concatenate(kind)), pa.array(np.concatenate(place), pa.int64()),
+                     pa.array(np.concatenate(value), mask=~np.concatenate(known))],
+                    ["doc", "pos", "words", "place", "h"],
+                )
 
     return run
 
 
+def byte_ranges(texts: DataFrame, record: str, text: str, size: int, halo: int) -> DataFrame:
+    """``(doc, pos, total, begin, b)``: each text as ranges of ``size`` bytes with ``halo`` bytes on both sides; one if it is shorter."""
+    total = F.octet_length("b")
+    docs = texts.select(F.col(record).alias("doc"), F.encode(F.col(text), "UTF-8").alias("b")).where("doc is not null and b is not null")
+    pos = F.explode(F.sequence(F.lit(0), F.greatest(total - 1, F.lit(0)), F.lit(size))).alias("pos")
+    begin = F.greatest(F.col("pos") - halo, F.lit(0))
+    part = F.when(F.col("total") <= size, F.col("b")).otherwise(F.substring(F.col("b"), begin + 1, F.col("pos") - begin + size + halo))
+    return docs.select("doc", "b", total.alias("total"), pos).select("doc", "pos", "total", begin.alias("begin"), part.alias("b"))
+
+
 #: Item shingles travel to the workers up to this many (8 bytes each); more are joined in parts.
 MOST_SHARED = 4_000_000
 
@@ -168,6 +199,8 @@ def find_leaks(
     words: str,
     least_words: int = 12,
     least_chars: int = 24,
+    range_bytes: int = 1 << 20,
+    halo_bytes: int = 8192,
 ) -> DataFrame:
     """``(doc, item, n_units)``: each pair where the document contains a passage of the item.
 
@@ -176,7 +209,8 @@ def find_leaks(
     n_units is how many windows of that length, with a start of their own, are contained.
     Case, width, invisible characters, punctuation, spacing and line breaks don't count. Null ids or
     texts are left out, a null ``words`` counts as false, items shorter than a passage
-    match nothing, repeated rows give one pair. Whole texts are read, of any length.
+    match nothing, repeated rows of items give one pair. Whole texts are read, of any length: one over
+    ``range_bytes`` as ranges with a halo, whose places are put together by a prefix sum. Document ids should be unique.
 
     A set join with a prefix filter: every window of an item is the set of its shingles;
     a document that contains it has them all, so in particular the rarest. Shingles that
@@ -195,10 +229,11 @@ def find_leaks(
         .add("h", T.LongType()).add("n_units", T.IntegerType())
     )
     shingles = materialise(texts.mapInArrow(_item_shingles, schema))
-    docs = documents.select(F.col(doc).alias("doc"), F.col(doc_text).alias("text")).where("doc is not null and text is not null")
+    docs = byte_ranges(documents, doc, doc_text, range_bytes, halo_bytes)
     hit_schema = (
-        T.StructType().add("doc", docs.schema["doc"].dataType).add("words", T.BooleanType()).add("place", T.IntegerType()).add("h", T.LongType())
-    )
+        T.StructType().add("doc", docs.schema["doc"].dataType).add("pos", T.IntegerType())
+        .add("words", T.BooleanType()).add("place", T.LongType()).add("h", T.LongType())
+    )
     # the items' shingles in parts of bounded size, one as a rule; each part sees all documents
     distinct = shingles.select("words", "h").distinct()
     parts = max(1, -(-distinct.count() // MOST_SHARED))
@@ -208,9 +243,15 @@ def find_leaks(
         shared = spark.sparkContext.broadcast([
             (w, n, mine.loc[mine["words"] == w, "h"].to_numpy(np.int64)) for w, n in ((True, WORDS_PER_SHINGLE), (False, CHARS_PER_SHINGLE))
         ])
-        found = docs.mapInArrow(_hits(shared), hit_schema)
+        found = docs.mapInArrow(_hits(shared, range_bytes, halo_bytes), hit_schema)
         hits = found if hits is None else hits.unionByName(found)
     hits = materialise(hits)
+    # where each range of a long text starts, in units
+    w = Window.partitionBy("doc", "words").orderBy("pos").rowsBetween(Window.unboundedPreceding, -1)
+    starts = hits.where("h is null").distinct().withColumn("before", F.sum("place").over(w)).select("doc", "words", "pos", "before")
+    hits = hits.where("h is not null").join(starts, ["doc", "words", "pos"], "left").select(
+        "doc", "words", (F.col("place") + F.coalesce("before", F.lit(0))).alias("place"), "h"
+    )
 
     # the rarest shingle of each window; its first place among equals
     often = hits.groupBy("words", "h").agg(F.count("*").alias("often"))

@@ -31,7 +31,7 @@ def _char_start(b: bytes, at: int) -> int:
     return at
 
 
-def _safe_cut(b: bytes, at: int, until: int) -> int:
+def safe_cut(b: bytes, at: int, until: int) -> int:
     """The first place from ``at`` on, before ``until``, where text may be cut without changing its tokens.
 
     Both neighbours of a range boundary look at the same bytes, so they agree. Where
@@ -56,10 +56,10 @@ def _range_row(
     if total <= size:
         own, halo = b, b""
     else:
-        first = _safe_cut(b, pos - begin, pos - begin + halo_size) if pos else 0
-        end = len(b) if last else _safe_cut(b, pos + size - begin, pos + size - begin + halo_size)
+        first = safe_cut(b, pos - begin, pos - begin + halo_size) if pos else 0
+        end = len(b) if last else safe_cut(b, pos + size - begin, pos + size - begin + halo_size)
         own = b[first:end]
-        halo = b[_safe_cut(b, 1, halo_size) if begin else 0 : first]
+        halo = b[safe_cut(b, 1, halo_size) if begin else 0 : first]
     text = own.decode("utf-8", "replace")
     none: list = []
     if total <= limit:  # no token is shorter than a byte

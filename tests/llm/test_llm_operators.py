@@ -215,7 +215,7 @@ def test_leaks_equal_brute_force(spark):
             a = rnd.randrange(len(text))
             piece = rnd.choice(["", " ", "，\n", "​"]).join(text[a : a + rnd.randrange(20, 40)])
         docs.append((i, f"before x{i} " + piece + f" after y{i}"))
-    docs += [(90, None), (91, ""), (None, items[0][2]), (92, "long " * 50_000), (0, docs[0][1])]
+    docs += [(90, None), (91, ""), (None, items[0][2]), (92, "long " * 5000), (93, " ; ".join(t for _, t in docs))]
     norm = lambda t: re.findall(r"[^\W_]+", t.replace("​", "").casefold())
     want = set()
     for d, t in docs:
@@ -231,6 +231,10 @@ def test_leaks_equal_brute_force(spark):
     Q = spark.createDataFrame(items + [(500, True, None), (501, None, "short"), (None, True, items[0][2])], "item long, words boolean, text string")
     got = leaks.find_leaks(D, "doc", "text", Q, "item", "text", "words")
     assert set(rows(got, "doc", "item")) == want and len(want) > 5
+    # the same documents as one long text in many ranges, and that text alone
+    for size in (400, 3000):
+        small = leaks.find_leaks(D, "doc", "text", Q, "item", "text", "words", range_bytes=size, halo_bytes=300)
+        assert set(rows(small, "doc", "item")) == want
     assert leaks.find_leaks(D.where("false"), "doc", "text", Q, "item", "text", "words").count() == 0
     assert leaks.find_leaks(D, "doc", "text", Q.where("false"), "item", "text", "words").count() == 0
 
