@@ -14,6 +14,7 @@ from chalkline.queries import windows as W
 from chalkline.queries._views import with_views
 from chalkline.queries.aggregates import thresholds
 from chalkline.queries.joins import _points_in_segment, duration_infer, overlap
+from chalkline.queries.scalars import ANN, annotations, raw_annotations
 from chalkline.sources import lecture as L
 
 SOURCES = ("knowledge_segment", "silence_scan", "teacher_non_knowledge_talk", "teacher_student_qa", "model")
@@ -111,6 +112,14 @@ def media_commands(s, d):
     return cut.unionByName(join)
 
 
+def annotated_clips(s, d):
+    """The annotated topics as clips without any model: those of one title are the parts of one clip, in order of start."""
+    a = annotations(raw_annotations(s, d)).where("not is_interference").withColumn("title", F.coalesce(F.nullif("title", F.lit("")), F.lit("未命名")))
+    g = a.groupBy("video_name", "title").agg(F.count("*").alias("parts"), F.min("start").alias("first"), F.sum(F.col("end") - F.col("start")).alias("duration"), F.sort_array(F.collect_list(F.struct("start", "end"))).alias("p"))
+    cut = F.array_join(F.transform("p", lambda x: F.concat_ws("-", x["start"].cast("string"), x["end"].cast("string"))), "|")
+    return g.select("video_name", "title", "parts", "first", "duration", cut.alias("cuts"), F.concat(X.file_name(F.col("title")), F.lit(".mp4")).alias("output_file"))
+
+
 _TH = """th AS (SELECT video_name, least(greatest(0.70 + CASE WHEN p < 0.55 THEN 0.08 WHEN p > 0.9 THEN -0.05 ELSE 0 END + CASE WHEN coalesce(n, 0) / greatest(duration, 1) > 0.02 THEN 0.03 ELSE 0 END, 0.5), 0.9) AS absent,
   least(greatest(0.80 + CASE WHEN q > 0.35 THEN 0.05 WHEN q < 0.12 THEN -0.05 ELSE 0 END, 0.6), 0.95) AS quiet, 15 + CASE WHEN q > 0.35 THEN 3 WHEN q < 0.12 THEN -2 ELSE 0 END AS seconds
 FROM (SELECT video_name, round(avg(CAST(present AS INT)), 3) AS p, round(avg(CAST(silent AS INT)), 3) AS q FROM tl GROUP BY 1) JOIN dur USING (video_name) LEFT JOIN (SELECT video_name, count(*) AS n FROM sli GROUP BY 1) USING (video_name))"""
@@ -147,6 +156,8 @@ _SQL = {
     "detect_interference": with_views(_DET, *_ALL),
     "interference_union": with_views(_DET, *_ALL),
     "edit_commands": with_views(f", {_EDIT} SELECT * FROM ec", *_ALL),
+    "annotated_clips": f"""WITH a AS (SELECT * REPLACE (coalesce(nullif(title, ''), '未命名') AS title) FROM ({ANN}) WHERE NOT is_interference)
+SELECT video_name, title, count(*) AS parts, min("start") AS first, CAST(sum("end" - "start") AS BIGINT) AS duration, string_agg(CAST("start" AS VARCHAR) || '-' || CAST("end" AS VARCHAR), '|' ORDER BY "start", "end") AS cuts, {_FILE} AS output_file FROM a GROUP BY video_name, title""",
     "removed_segments": with_views(f""", {_EDIT} SELECT video_name, round("start", 2) AS "start", round("end", 2) AS "end", round("end" - "start", 2) AS duration, source FROM (
   SELECT video_name, "start", "end", sources AS source FROM it UNION ALL SELECT video_name, "start", "end", action FROM ed WHERE action <> 'keep')""", *_ALL),
     "final_index": with_views(f""", {_EDIT}, g AS (SELECT video_name, title, min(clip) AS first_clip, count(*) AS parts, CAST(floor(min(cut_from)) AS BIGINT) AS a, CAST(ceil(max(cut_to)) AS BIGINT) AS b, sum(duration) AS s FROM ec GROUP BY 1, 2)
