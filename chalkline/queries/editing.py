@@ -11,6 +11,7 @@ from chalkline.operators.alignment import SHARD_S
 from chalkline.plans.scan import sharded_scan
 from chalkline.plans.session import materialise
 from chalkline.queries import windows as W
+from chalkline.queries import models as FM
 from chalkline.queries._views import with_views
 from chalkline.queries.aggregates import thresholds
 from chalkline.queries.joins import _points_in_segment, duration_infer, overlap
@@ -27,8 +28,8 @@ def _row(df, rank, reasons, absent=0.0, silent=0.0):
     )
 
 
-def interference_parts(s, d):
-    """The stretches each rule finds, not yet merged; reasons are codes."""
+def interference_parts(s, d, model=None):
+    """The stretches each rule and the model find, not yet merged; reasons are codes. ``model``: its stretches, by default those of a rule."""
     th = thresholds(s, d)
     k = L.knowledge(s, d)
     per = _points_in_segment(s, d).groupBy("ks_id").agg(F.avg((~F.col("present")).cast("int")).alias("a"), F.avg(F.col("silent").cast("int")).alias("q"))
@@ -36,16 +37,16 @@ def interference_parts(s, d):
     why = F.filter(F.array(F.when(F.round("a", 9) > F.col("absent"), "absent"), F.when(F.round("q", 9) > F.col("quiet"), "silent")), lambda x: x.isNotNull())
     know = _row(hit, 0, why, F.round("a", 3), F.round("q", 3))
     still = I.flag_islands(L.timeline(s, d), "video_name", F.col("silent")).withColumn("end", F.col("next_time")).join(th, "video_name").where(F.col("end") - F.col("start") >= F.col("seconds"))
-    talk, qa, model = W.rule_a(s, d), W.qa(s, d), W.model_ranges(s, d)
+    talk, qa, model = W.rule_a(s, d), W.qa(s, d), W.model_ranges(s, d) if model is None else model
     why = lambda x: F.array(F.lit(x))
     return (
         know.unionByName(_row(still, 1, why("pause"), 0.0, 1.0)).unionByName(_row(talk, 2, why("talk"))).unionByName(_row(qa, 3, why("questions"))).unionByName(_row(model, 4, why("model")))
     )
 
 
-def interference(s, d):
+def interference(s, d, model=None):
     """Merged interference: video_name, start, end, reasons in order, sources sorted, largest ratios."""
-    parts = materialise(interference_parts(s, d))
+    parts = materialise(interference_parts(s, d, model))
     order = F.struct("start", "end", "rank", "reasons")
     listed = F.sort_array(F.collect_list(order))
     reasons = F.array_distinct(F.flatten(F.transform(listed, lambda x: x["reasons"])))
@@ -57,17 +58,17 @@ def interference(s, d):
     )
 
 
-def detect_interference(s, d):
-    return interference(s, d).select("video_name", F.round("start", 2).alias("start"), F.round("end", 2).alias("end"), F.array_join("reasons", "+").alias("reasons"), F.array_join("sources", "+").alias("sources"), "absent", "silent")
+def detect_interference(s, d, model=None):
+    return interference(s, d, model).select("video_name", F.round("start", 2).alias("start"), F.round("end", 2).alias("end"), F.array_join("reasons", "+").alias("reasons"), F.array_join("sources", "+").alias("sources"), "absent", "silent")
 
 
 interference_union = detect_interference
 
 
-def edits(s, d, cfg=C.CONFIG):
+def edits(s, d, model=None, cfg=C.CONFIG):
     """Every topic with what becomes of it: kept with padding, or dropped and why."""
     k = L.knowledge(s, d)
-    bad = interference(s, d).select("video_name", "start", "end", F.col("end").alias("ord"))
+    bad = interference(s, d, model).select("video_name", "start", "end", F.col("end").alias("ord"))
     over = overlap(k, bad, 0.5).select("id", "ratio")
     length = F.col("end") - F.col("start")
     a = k.join(over, "id", "left").join(duration_infer(s, d), "video_name", "left")
@@ -79,32 +80,32 @@ def edits(s, d, cfg=C.CONFIG):
     )
 
 
-def edit_commands(s, d):
+def edit_commands(s, d, model=None):
     """Clips to cut, numbered from 0 in each recording by start."""
-    kept = edits(s, d).where("action = 'keep'").withColumn("_shard", F.floor(F.col("start") / SHARD_S))
+    kept = edits(s, d, model).where("action = 'keep'").withColumn("_shard", F.floor(F.col("start") / SHARD_S))
     n = sharded_scan(materialise(kept), ["video_name"], "_shard", ["start", "id"], {"n": ("sum", F.lit(1))})
     return n.select("video_name", (F.col("n") - 1).cast("bigint").alias("clip"), "title", "cut_from", "cut_to", F.round(F.col("cut_to") - F.col("cut_from"), 2).alias("duration"))
 
 
-def removed_segments(s, d):
+def removed_segments(s, d, model=None):
     """Merged interference and dropped topics in one list."""
-    a = interference(s, d).select("video_name", "start", "end", F.array_join("sources", "+").alias("source"))
-    b = edits(s, d).where("action <> 'keep'").select("video_name", "start", "end", F.col("action").alias("source"))
+    a = interference(s, d, model).select("video_name", "start", "end", F.array_join("sources", "+").alias("source"))
+    b = edits(s, d, model).where("action <> 'keep'").select("video_name", "start", "end", F.col("action").alias("source"))
     return a.unionByName(b).select("video_name", F.round("start", 2).alias("start"), F.round("end", 2).alias("end"), F.round(F.col("end") - F.col("start"), 2).alias("duration"), "source")
 
 
-def final_index(s, d):
+def final_index(s, d, model=None):
     """Clips by title: first clip, parts, duration and file name; and how each is made."""
-    e = edit_commands(s, d)
+    e = edit_commands(s, d, model)
     g = e.groupBy("video_name", "title").agg(F.min("clip").alias("first_clip"), F.count("*").alias("parts"), F.min("cut_from").alias("a"), F.max("cut_to").alias("b"), F.sum("duration").alias("sum"))
     a, b = X.hms_range(F.col("a"), F.col("b"))
     length = F.when(F.col("parts") == 1, F.ceil("b") - F.floor("a")).otherwise(F.floor(F.round("sum", 2)))
     return g.select("video_name", "title", "first_clip", "parts", a.alias("start"), b.alias("end"), length.cast("bigint").alias("duration"), F.concat(X.file_name(F.col("title")), F.lit(".mp4")).alias("output_file"))
 
 
-def media_commands(s, d):
+def media_commands(s, d, model=None):
     """The cut of each clip and, for titles of several, the joining of its parts, as command lines for a media tool."""
-    e = edit_commands(s, d)
+    e = edit_commands(s, d, model)
     out = F.concat("video_name", F.lit("_"), F.col("clip").cast("string"), F.lit(".mp4"))
     cut = e.select("video_name", out.alias("output"), F.lit("cut").alias("kind"), F.concat_ws(" ", F.lit("-ss"), F.format_string("%.2f", "cut_from"), F.lit("-to"), F.format_string("%.2f", "cut_to"), F.lit("-c copy")).alias("arguments"))
     j = e.withColumn("out", out).groupBy("video_name", "title").agg(F.count("*").alias("n"), F.sort_array(F.collect_list(F.struct("clip", "out"))).alias("p")).where("n > 1")
@@ -112,6 +113,14 @@ def media_commands(s, d):
     return cut.unionByName(join)
 
 
+def _by_forests(query):
+    """The query with the stretches of the forests as its model source; they are trained once."""
+    return lambda s, d: query(s, d, materialise(FM.forest_ranges(s, d)))
+
+
+FOREST = {"forest_" + f.__name__: _by_forests(f) for f in (detect_interference, edit_commands, removed_segments, final_index, media_commands)}
+
+
 def annotated_clips(s, d):
     """The annotated topics as clips without any model: those of one title are the parts of one clip, in order of start."""
     a = annotations(raw_annotations(s, d)).where("not is_interference").withColumn("title", F.coalesce(F.nullif("title", F.lit("")), F.lit("未命名")))
@@ -169,7 +178,7 @@ UNION ALL SELECT video_name, {_FILE}, 'concat', string_agg(out, '|' ORDER BY cli
 
 
 def queries() -> dict:
-    return {n: globals()[n] for n in _SQL}
+    return {n: globals()[n] for n in _SQL} | FOREST
 
 
 def oracle_sql() -> dict[str, str]:

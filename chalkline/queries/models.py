@@ -15,6 +15,7 @@ from chalkline.operators.features import balanced, draw, point_features
 from chalkline.plans.session import materialise
 from chalkline.queries._views import with_views
 from chalkline.queries.scalars import ANN, annotations, raw_annotations
+from chalkline.queries.windows import ranges_of
 from chalkline.sources import files
 from chalkline.sources import lecture as L
 from chalkline.streaming import sessions as ST
@@ -73,6 +74,21 @@ def evaluate(s, d, trees=50):
     return S.classification_report(guess, "truth", "guess")
 
 
+def predict_interference(s, d, trees=200, threshold=0.5):
+    """Times of all points, held out or not, that the averaged interference forests score at the threshold or above; without a forest none."""
+    rows = _examples(s, d)
+    models = _models(balanced(rows.where("not held_out"), "interference", ["id"]), "interference", trees)
+    if not models:
+        return rows.where("false").select("video_name", "time")
+    hit = M.ensemble_scores(rows, models, ["video_name", "id", "time"]).where(F.col("score") >= threshold)
+    return hit.select("video_name", F.round("time", 2).alias("time")).distinct()
+
+
+def forest_ranges(s, d, trees=200):
+    """Stretches of interference that the forests mark."""
+    return ranges_of(materialise(predict_interference(s, d, trees)))
+
+
 def refine_boundaries(s, d, trees=50):
     """Rule boundaries of each recording with those of the forests that lie inside, normalised again."""
     from chalkline.queries.topics import _ends, normalize_boundaries as rules
@@ -143,7 +159,7 @@ SELECT user_id, CAST(floor(epoch(min(ts))) AS BIGINT) AS "start", CAST(floor(epo
 
 
 def queries() -> dict:
-    return {n: globals()[n] for n in (*_SQL, "binary_listing", "train_rf", "ensemble_predict", "evaluate", "refine_boundaries", "model_store")}
+    return {n: globals()[n] for n in (*_SQL, "binary_listing", "train_rf", "ensemble_predict", "evaluate", "predict_interference", "forest_ranges", "refine_boundaries", "model_store")}
 
 
 def oracle_sql() -> dict[str, str]:

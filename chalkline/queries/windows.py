@@ -91,12 +91,16 @@ def qa(s, d, cfg=C.CONFIG):
 qa_pattern = qa
 
 
+def ranges_of(times, cfg=C.CONFIG):
+    """Stretches of the times (video_name, time; distinct) that a model marks, 5 s or longer."""
+    got = I.gap_islands(times, "video_name", "time", cfg.model_gap)
+    return got.where(F.col("last") - F.col("start") >= cfg.min_interference).select("video_name", "start", F.col("last").alias("end"))
+
+
 def model_ranges(s, d, cfg=C.CONFIG):
-    """Stretches of the points a model marks (here: dull points by their boundary score), 5 s or longer."""
+    """``ranges_of`` dull points by their boundary score: a rule in place of a model, so that SQL can say it. The forests' are in ``forest_ranges``."""
     score = X.boundary_score(F.col("silent"), F.col("slide"), F.col("confidence"))
-    t = L.timeline(s, d).where(score >= 0.1).select("video_name", F.round("time", 2).alias("time")).distinct()
-    got = I.gap_islands(t, "video_name", "time", cfg.model_gap)
-    return got.where(F.col("last") - F.col("start") >= cfg.min_interference).select("video_name", "start", F.col("last").alias("end"))
+    return ranges_of(L.timeline(s, d).where(score >= 0.1).select("video_name", F.round("time", 2).alias("time")).distinct(), cfg)
 
 
 def interval_union(s, d):
