@@ -51,7 +51,7 @@ def train_rf(s, d, trees=200):
     return S.classification_report(guess, "truth", "guess")
 
 
-def ensemble_predict(s, d, trees=50):
+def ensemble_predict(s, d, trees=200):
     """Boundaries that two averaged forests and the rules predict, post-processed."""
     rows = _examples(s, d)
     models = _models(rows.where("not held_out"), "boundary", trees)
@@ -62,7 +62,7 @@ def ensemble_predict(s, d, trees=50):
     return post_process(marks.join(points, ["video_name", "time"]).select("video_name", "time", "score"), points, "video_name")
 
 
-def evaluate(s, d, trees=50):
+def evaluate(s, d, trees=200):
     """Report of the averaged interference forests at the threshold 0.5, on the held-out points."""
     rows = _examples(s, d)
     models = _models(balanced(rows.where("not held_out"), "interference", ["id"]), "interference", trees)
@@ -89,7 +89,7 @@ def forest_ranges(s, d, trees=200):
     return ranges_of(materialise(predict_interference(s, d, trees)))
 
 
-def refine_boundaries(s, d, trees=50):
+def refine_boundaries(s, d, trees=200):
     """Rule boundaries of each recording with those of the forests that lie inside, normalised again."""
     from chalkline.queries.topics import _ends, normalize_boundaries as rules
 
@@ -98,7 +98,7 @@ def refine_boundaries(s, d, trees=50):
     return normalize_boundaries(rules(s, d).select("video_name", "time").unionByName(inside), ends, "video_name")
 
 
-def model_store(s, d, trees=20):
+def model_store(s, d, trees=200):
     """Forests written for two halves of the recordings and read again; points that both agree on."""
     rows = _examples(s, d)
     to = _scratch(s)

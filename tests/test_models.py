@@ -44,3 +44,23 @@ def test_forest_interference_has_the_points_the_forests_mark(spark, monkeypatch)
     yes = {x for x, y in labels.items() if y}
     assert len(hit & yes) > 0.5 * len(yes)
     assert len(hit & yes) / len(hit) > 1.2 * len(yes) / len(labels)
+
+
+@pytest.mark.parametrize("name", ["ensemble_predict", "evaluate", "refine_boundaries", "model_store", "train_rf", "predict_interference"])
+def test_forests_have_all_trees(spark, monkeypatch, name):
+    import __spark_entry__ as entry
+    from chalkline.queries import models as Q
+
+    class Stop(Exception):
+        pass
+
+    def stop(rows, label, trees):
+        raise Stop(trees)
+
+    rows = spark.range(9).selectExpr("'v' as video_name", "id", "false as held_out", "cast(id < 3 as int) as boundary", "cast(id < 3 as int) as interference")
+    monkeypatch.setattr(Q, "_examples", lambda s, d: rows)
+    monkeypatch.setattr(Q, "_models", stop)
+    monkeypatch.setattr(Q.M, "train_forest", stop)
+    with pytest.raises(Stop) as got:
+        entry.queries()[name](spark, FOLDER)
+    assert got.value.args == (200,)
