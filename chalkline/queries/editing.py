@@ -80,6 +80,12 @@ def edits(s, d, model=None, cfg=C.CONFIG):
     )
 
 
+def overlap_interference(s, d):
+    """Topics with the first stretch of interference that covers more than half of them."""
+    bad = interference(s, d).select("video_name", "start", "end", F.col("end").alias("ord"))
+    return overlap(L.knowledge(s, d), bad, 0.5).select("id", F.round("ord", 2).alias("until"), F.round("ratio", 6).alias("ratio"))
+
+
 def edit_commands(s, d, model=None):
     """Clips to cut, numbered from 0 in each recording by start."""
     kept = edits(s, d, model).where("action = 'keep'").withColumn("_shard", F.floor(F.col("start") / SHARD_S))
@@ -164,6 +170,9 @@ _DET = f""", {_PARTS} SELECT video_name, round("start", 2) AS "start", round("en
 _SQL = {
     "detect_interference": with_views(_DET, *_ALL),
     "interference_union": with_views(_DET, *_ALL),
+    "overlap_interference": with_views(f""", {_PARTS}, p AS (SELECT k.id, it."start" AS s, it."end" AS e, (least(k."end", it."end") - greatest(k."start", it."start")) / greatest(k."end" - k."start", 0.001) AS ratio
+  FROM kno k JOIN it ON it.video_name = k.video_name AND it."start" < k."end" AND k."start" < it."end")
+SELECT id, round(e, 2) AS until, round(ratio, 6) AS ratio FROM p WHERE ratio > 0.5 QUALIFY row_number() OVER (PARTITION BY id ORDER BY s, e) = 1""", *_ALL),
     "edit_commands": with_views(f", {_EDIT} SELECT * FROM ec", *_ALL),
     "annotated_clips": f"""WITH a AS (SELECT * REPLACE (coalesce(nullif(title, ''), '未命名') AS title) FROM ({ANN}) WHERE NOT is_interference)
 SELECT video_name, title, count(*) AS parts, min("start") AS first, CAST(sum("end" - "start") AS BIGINT) AS duration, string_agg(CAST("start" AS VARCHAR) || '-' || CAST("end" AS VARCHAR), '|' ORDER BY "start", "end") AS cuts, {_FILE} AS output_file FROM a GROUP BY video_name, title""",

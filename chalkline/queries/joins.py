@@ -77,7 +77,7 @@ def outside_segments(s, d):
 
 
 def overlap_first(s, d):
-    """Topics covered by more than half by one stretch of silence over 5 s, and which."""
+    """Topics with the first segment left out of the speech that covers more than 0.2 % of them; covered by more than half: ``overlap_interference``."""
     g = L.segments(s, d).where(~X.keeps_speech(F.col("nsp"), F.col("text"))).where("end > start")
     return overlap(L.knowledge(s, d), g.select("video_name", F.col("id").alias("ord"), "start", "end"), 0.002).select("id", "ord", F.round("ratio", 6).alias("ratio"))
 
@@ -99,9 +99,9 @@ def label_band(s, d):
     return A.near_points(ends, "video_name", "time", 1.0, 3.0, inclusive=True)
 
 
-def nearest_valid(s, d):
-    """Speaker and probability of each segment, taken from the nearest valid one by position where it isn't valid."""
-    g = A.numbered(L.segments(s, d), "video_name", ["start", "id"], "start").withColumn("valid", F.col("end") - F.col("start") >= 2.0)
+def nearest_valid(s, d, least=2.0):
+    """Speaker of each segment, taken from the nearest one of ``least`` seconds or more by position where it is shorter."""
+    g = A.numbered(L.segments(s, d), "video_name", ["start", "id"], "start").withColumn("valid", F.col("end") - F.col("start") >= least)
     v = g.where("valid").select("video_name", F.col("idx").cast("double").alias("at"), F.col("id").alias("from_id"), "speaker")
     got = A.as_of(g.select("video_name", F.col("idx").cast("double").alias("time"), "id"), {"v": (v, "at", ["at", "from_id", "speaker"])}, both=True)
     b, a = F.col("v"), F.col("v_after")
@@ -109,6 +109,11 @@ def nearest_valid(s, d):
     return got.select("id", best["from_id"].alias("from_id"), best["speaker"].alias("speaker"))
 
 
+def nearest_valid_chunk(s, d):
+    """``nearest_valid`` as diarization has it: chunks of 0.4 s or more are valid."""
+    return nearest_valid(s, d, 0.4)
+
+
 def artefact_left_join(s, d):
     audio = L.segments(s, d).groupBy("video_name").agg(F.count("*").alias("segments"))
     text = L.knowledge(s, d).groupBy("video_name").agg(F.count("*").alias("topics"))
@@ -205,6 +210,9 @@ SELECT id, ord, round(ratio, 6) AS ratio FROM p WHERE ratio > 0.002 QUALIFY row_
     "label_band": f"""WITH a AS ({ANN}), b AS (SELECT DISTINCT video_name, unnest(["start", "end"]) AS t FROM a WHERE NOT is_interference)
 SELECT DISTINCT video_name, i FROM (SELECT video_name, unnest(range(t - 3, t + 4)) AS i FROM b) WHERE i >= 0""",
     "nearest_valid": with_views(""", n AS (SELECT *, row_number() OVER (PARTITION BY video_name ORDER BY "start", id) AS i, "end" - "start" >= 2.0 AS valid FROM seg)
+SELECT a.id, (SELECT arg_min(b.id, struct_pack(d := abs(b.i - a.i), i := b.i)) FROM n b WHERE b.video_name = a.video_name AND b.valid) AS from_id,
+  (SELECT arg_min(b.speaker, struct_pack(d := abs(b.i - a.i), i := b.i)) FROM n b WHERE b.video_name = a.video_name AND b.valid) AS speaker FROM n a""", "seg"),
+    "nearest_valid_chunk": with_views(""", n AS (SELECT *, row_number() OVER (PARTITION BY video_name ORDER BY "start", id) AS i, "end" - "start" >= 0.4 AS valid FROM seg)
 SELECT a.id, (SELECT arg_min(b.id, struct_pack(d := abs(b.i - a.i), i := b.i)) FROM n b WHERE b.video_name = a.video_name AND b.valid) AS from_id,
   (SELECT arg_min(b.speaker, struct_pack(d := abs(b.i - a.i), i := b.i)) FROM n b WHERE b.video_name = a.video_name AND b.valid) AS speaker FROM n a""", "seg"),
     "artefact_left_join": with_views(""", a AS (SELECT video_name, count(*) AS segments FROM seg GROUP BY 1), t AS (SELECT video_name, count(*) AS topics FROM kno GROUP BY 1), v AS (SELECT video_name, count(*) AS samples FROM sam GROUP BY 1)
