@@ -66,14 +66,26 @@ def draw(*key: str, buckets: int = 1_000_003):
 def balanced(rows: DataFrame, label: str, key: list[str], ratio: int = 3) -> DataFrame:
     """All positive rows and about ``ratio`` times as many negatives, drawn by a fixed number of their key.
 
-    The draw's limit is exact to one bucket: negatives are counted by their number, and those
-    below the number where the wanted count is reached are kept, so nothing is ranked in
-    one task. With no row of one class everything is kept.
+    Negatives are counted by their number, and those below the number where the wanted count
+    is reached are kept, so nothing is ranked in one task. Where the negatives of one number are so
+    many that this falls short by more than a tenth, the rest is taken from them by a sharded rank.
+    With no row of one class everything is kept.
     """
-    numbered_rows = rows.withColumn("_d", draw(*key, buckets=997))
-    counts = numbered_rows.where(F.col(label) == 0).groupBy("_d").agg(F.count("*").alias("n"))  # at most 997 rows
-    upto = counts.withColumn("upto", F.sum("n").over(Window.orderBy("_d")))
-    positive = rows.agg(F.count_if(F.col(label) == 1).alias("p"))
-    limit = upto.join(F.broadcast(positive), how="cross").where((F.col("p") == 0) | (F.col("upto") <= F.col("p") * max(ratio, 1))).agg(F.max("_d").alias("_max"))
-    kept = numbered_rows.where(F.col(label) == 0).join(F.broadcast(limit), F.col("_d") <= F.col("_max"), "left_semi")  # one row
-    return rows.where(F.col(label) == 1).unionByName(kept.drop("_d"))
+    drawn = rows.withColumn("_d", draw(*key, buckets=997))
+    counts = drawn.groupBy("_d").agg(F.count_if(F.col(label) == 1).alias("p"), F.count_if(F.col(label) == 0).alias("n")).orderBy("_d").collect()  # at most 997 rows and one for null
+    positive = sum(r["p"] for r in counts)
+    wanted, have, below, cut = positive * max(ratio, 1), 0, -1, None
+    for r in counts:
+        if positive and have + r["n"] > wanted:
+            cut = r["_d"]
+            break
+        have, below = have + r["n"], below if r["_d"] is None else r["_d"]
+    negative = drawn.where(F.col(label) == 0)
+    out = rows.where(F.col(label) == 1).unionByName(negative.where(F.col("_d") <= below).drop("_d"))
+    if cut is None or (wanted - have) * 10 <= wanted:
+        return out
+    inside = negative.where(F.col("_d") == cut).withColumn("_h", F.xxhash64(*rows.columns)).withColumn("_shard", F.pmod("_h", F.lit(256)))
+    before = Window.orderBy("_shard").rowsBetween(Window.unboundedPreceding, -1)  # 256 rows
+    offset = inside.groupBy("_shard").agg(F.count("*").alias("n")).select("_shard", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("_before"))
+    ranked = inside.withColumn("_k", F.row_number().over(Window.partitionBy("_shard").orderBy("_h", *key))).join(F.broadcast(offset), "_shard")
+    return out.unionByName(ranked.where(F.col("_k") + F.col("_before") <= wanted - have).select(*rows.columns))
