@@ -58,8 +58,8 @@ def components(edges: DataFrame, record: str, entity: str, max_rounds: int = 50)
     raise RuntimeError(f"labels still moved after {max_rounds} rounds")
 
 
-#: Groups are told apart by size within 5 %, and by label in at most so many strata.
-SIZE_BASE, STRATA, RANK_SHARDS = 1.05, 256, 64
+#: Groups are told apart by size within 5 %; the LABELS largest labels have a stratum each, any others share STRATA by hash.
+SIZE_BASE, LABELS, STRATA, RANK_SHARDS = 1.05, 4096, 256, 64
 
 
 def assign_groups(groups: DataFrame, plan: DataFrame, group: str, size: str, label: str) -> DataFrame:
@@ -67,19 +67,23 @@ def assign_groups(groups: DataFrame, plan: DataFrame, group: str, size: str, lab
 
     ``groups`` has one row per group; a missing size counts as 0, a missing label as a
     label of its own; groups with a null id are left out. ``plan`` (split_name, share) is a small
-    table; shares that don't add up to 1 are scaled. Groups are counted by stratum (hash of the label)
-    and size class; that table is bounded by STRATA times about 700 classes whatever
-    the input, and one task walks it from the largest class down: each class gives its
+    table; shares that don't add up to 1 are scaled. Groups are counted by stratum (the label; beyond
+    LABELS labels the smaller ones by hash) and size class; that table is bounded by LABELS and STRATA times
+    about 700 classes whatever the input, and one task walks it from the largest class down: each class gives its
     groups to the splits that lack most, in the stratum and overall. Ranks inside a class
     come from a sharded count, so no class is sorted in one task.
     """
     s = F.coalesce(F.col(size).cast("double"), F.lit(0.0))
     base = groups.where(F.col(group).isNotNull()).select(
         F.col(group).alias("g"), F.greatest(s, F.lit(0.0)).alias("size"),
-        F.pmod(F.xxhash64(F.coalesce(F.col(label), F.lit(""))), F.lit(STRATA)).alias("stratum"),
+        F.struct(F.col(label).alias("label")).alias("named"),  # a struct, so that null is a label like others
     ).withColumn("cls", F.ceil(F.log1p("size") / F.log(F.lit(SIZE_BASE))).cast("int")).withColumn(
         "shard", F.pmod(F.xxhash64("g"), F.lit(RANK_SHARDS))
     )
+    largest = base.groupBy("named").agg(F.sum("size").alias("of")).orderBy(F.desc("of"), "named").limit(LABELS)
+    codes = materialise(largest.select("named", (F.row_number().over(Window.orderBy(F.desc("of"), "named")) - 1).cast("bigint").alias("code")))  # at most LABELS rows
+    others = F.pmod(F.xxhash64("named.label"), F.lit(STRATA)) + LABELS
+    base = base.join(F.broadcast(codes), "named", "left").withColumn("stratum", F.coalesce("code", others)).drop("named", "code")
     local = Window.partitionBy("stratum", "cls", "shard").orderBy("g")
     counted = base.groupBy("stratum", "cls", "shard").agg(F.count("*").alias("n"), F.sum("size").alias("total"))
     before = Window.partitionBy("stratum", "cls").orderBy("shard").rowsBetween(Window.unboundedPreceding, -1)
