@@ -209,8 +209,9 @@ def find_leaks(
     n_units is how many windows of that length, with a start of their own, are contained.
     Case, width, invisible characters, punctuation, spacing and line breaks don't count. Null ids or
     texts are left out, a null ``words`` counts as false, items shorter than a passage
-    match nothing, repeated rows of items give one pair. Whole texts are read, of any length: one over
-    ``range_bytes`` as ranges with a halo, whose places are put together by a prefix sum. Document ids should be unique.
+    match nothing. Repeated rows of documents or items count once; an id with several texts has the passages of
+    each of them, and none across two. Whole texts are read, of any length: one over
+    ``range_bytes`` as ranges with a halo, whose places are put together by a prefix sum.
 
     A set join with a prefix filter: every window of an item is the set of its shingles;
     a document that contains it has them all, so in particular the rarest. Shingles that
@@ -220,16 +221,19 @@ def find_leaks(
     counted in one grouping. Shingles are compared as 64-bit hashes.
     """
     spark = documents.sparkSession
+    # inside, a text is known by its id and its hash, so that texts of one id stay apart
     texts = items.select(
-        F.col(item).alias("item"), F.coalesce(F.col(words), F.lit(False)).alias("words"), F.col(item_text).alias("text")
-    ).where("item is not null and text is not null").distinct()
+        F.struct(F.col(item).alias("id"), F.xxhash64(F.col(item_text)).alias("of")).alias("item"), F.coalesce(F.col(words), F.lit(False)).alias("words"), F.col(item_text).alias("text")
+    ).where("item.id is not null and text is not null").distinct()
     item_type = texts.schema["item"].dataType
     schema = (
         T.StructType().add("item", item_type).add("words", T.BooleanType()).add("place", T.IntegerType())
         .add("h", T.LongType()).add("n_units", T.IntegerType())
     )
     shingles = materialise(texts.mapInArrow(_item_shingles, schema))
-    docs = byte_ranges(documents, doc, doc_text, range_bytes, halo_bytes)
+    whole = documents.where(F.col(doc).isNotNull() & F.col(doc_text).isNotNull())
+    named = whole.select(F.struct(F.col(doc).alias("id"), F.xxhash64(F.col(doc_text)).alias("of")).alias("doc"), F.col(doc_text).alias("text"))
+    docs = byte_ranges(named, "doc", "text", range_bytes, halo_bytes)
     hit_schema = (
         T.StructType().add("doc", docs.schema["doc"].dataType).add("pos", T.IntegerType())
         .add("words", T.BooleanType()).add("place", T.LongType()).add("h", T.LongType())
@@ -272,6 +276,7 @@ def find_leaks(
         hits.join(windows, ["words", "h"])
         .select("doc", "item", "words", "start", (F.col("place") - F.col("shift")).alias("at"))
         .where("at >= 0")
+        .distinct()  # a repeated document has each of its hits again
     )
     # exact containment: every shingle of the window at its place
     members = shingles.select("item", "words", F.col("place").alias("p"), "h")
@@ -284,6 +289,6 @@ def find_leaks(
         .agg(F.count("*").alias("n"))
         .where(F.col("n") == span)
     )
-    return verified.groupBy(F.col("doc").alias(doc), F.col("item").alias(item)).agg(
-        F.count_distinct("start").alias("n_units")
+    return verified.groupBy(F.col("doc.id").alias(doc), F.col("item.id").alias(item)).agg(
+        F.count_distinct("item.of", "words", "start").alias("n_units")
     )
