@@ -2,11 +2,20 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from chalkline.plans.scan import sharded_scan
 
+#: Means that fills are drawn between have this many parts of the last place.
+FINER = 1000
+
+
+def _rounded(a: Column, b: Column) -> Column:
+    """``a / b`` of whole numbers, ``b`` positive, rounded half up, in whole numbers."""
+    x, y = 2 * a + b, 2 * b
+    return F.call_function("div", x - F.pmod(x, y), y)
+
 
 def to_grid(
     readings: DataFrame,
@@ -18,6 +27,7 @@ def to_grid(
     lo: float = 0.0,
     hi: float = 1.0,
     shard_windows: int = 360,
+    decimals: int = 6,
 ) -> DataFrame:
     """One row per ``key`` and window ``floor(time / step_s)`` within a session.
 
@@ -29,6 +39,10 @@ def to_grid(
     ends where more than ``session_gap_s`` pass without a usable reading. Repeated
     readings count as often as they come. Empty in, empty out.
 
+    Values count to ``decimals`` places and are added up as whole numbers of the last
+    place; means and fills are divided once and rounded half up, so a result depends
+    neither on the order of the rows nor on how they are spread over tasks.
+
     Readings are averaged per window before anything else, partial on the map side.
     A source is cut into shards of ``shard_windows``; what the last filled window of
     the earlier shards holds comes over the shards' summaries, so each shard fills
@@ -39,28 +53,30 @@ def to_grid(
         F.col(key).isNotNull() & (F.abs(F.col("_t")) < 1e12) & F.col("_v").between(lo, hi) & ~F.isnan("_v")
     )
     ms = F.round(F.col("_t") * 1000).cast("bigint")
-    step = round(step_s * 1000)
+    step, unit = round(step_s * 1000), 10**decimals
     filled = (
-        usable.select(key, ms.alias("_ms"), "_v")
+        usable.select(key, ms.alias("_ms"), F.round(F.col("_v") * unit).cast("bigint").alias("_v"))
         .groupBy(key, F.floor(F.col("_ms") / step).cast("bigint").alias("window_no"))
         .agg(
-            F.count("*").alias("n_readings"), F.avg("_v").alias("value"),
+            F.count("*").alias("n_readings"), F.sum("_v").alias("_sum"),
             F.min("_ms").alias("_first"), F.max("_ms").alias("_last"),
         )
+        .withColumn("_fine", _rounded(F.col("_sum") * FINER, F.col("n_readings")))
         .withColumn("_shard", F.floor(F.col("window_no") / shard_windows))
     )
-    last = F.struct(F.col("window_no").alias("w"), F.col("value").alias("v"), F.col("_last").alias("t"))
+    last = F.struct(F.col("window_no").alias("w"), F.col("_fine").alias("v"), F.col("_last").alias("t"))
     seen = sharded_scan(filled, [key], "_shard", ["window_no"], {"_prev": ("before", last)})
-    here = F.struct("window_no", "n_readings", "value", F.lit(False).alias("is_missing"))
-    slope = (F.col("value") - F.col("_prev.v")) / (F.col("window_no") - F.col("_prev.w"))
+    here = F.struct("window_no", "n_readings", (_rounded(F.col("_sum"), F.col("n_readings")) / unit).alias("value"), F.lit(False).alias("is_missing"))
+    wide = F.col("window_no") - F.col("_prev.w")
+    between = lambda w: F.col("_prev.v") * (F.col("window_no") - w) + F.col("_fine") * (w - F.col("_prev.w"))
     missing = F.when(
-        (F.col("_first") - F.col("_prev.t") <= round(session_gap_s * 1000)) & (F.col("window_no") - F.col("_prev.w") > 1),
+        (F.col("_first") - F.col("_prev.t") <= round(session_gap_s * 1000)) & (wide > 1),
         F.transform(
             F.sequence(F.col("_prev.w") + 1, F.col("window_no") - 1),
             lambda w: F.struct(
                 w.alias("window_no"),
                 F.lit(0).cast("bigint").alias("n_readings"),
-                (F.col("_prev.v") + slope * (w - F.col("_prev.w"))).alias("value"),
+                (_rounded(between(w), wide * FINER) / unit).alias("value"),
                 F.lit(True).alias("is_missing"),
             ),
         ),

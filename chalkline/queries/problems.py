@@ -42,7 +42,7 @@ def p7_grid(spark: SparkSession, folder: str) -> DataFrame:
         _grid(spark, folder)
         .join(spoken, ["video_name", "window_no"], "left")
         .select(
-            "video_name", "window_no", "n_readings", F.round("value", 6).alias("value"), "is_missing",
+            "video_name", "window_no", "n_readings", "value", "is_missing",
             F.coalesce("spoken", F.lit(False)).alias("spoken"),
         )
     )
@@ -73,17 +73,17 @@ UNION ALL SELECT track, video_name, 'gap', before, f FROM q WHERE f - before <=
 
 _GRID = f"""
 u AS (
-  SELECT video_name, CAST(round(time * 1000) AS BIGINT) AS ms, motion_ratio AS v FROM {_READINGS}
+  SELECT video_name, CAST(round(time * 1000) AS BIGINT) AS ms, CAST(round(motion_ratio * 1000000) AS BIGINT) AS v FROM {_READINGS}
   WHERE time IS NOT NULL AND motion_ratio BETWEEN 0 AND 1 AND NOT isnan(motion_ratio) AND video_name IS NOT NULL),
 f AS (
-  SELECT video_name, CAST(floor(ms / 10000) AS BIGINT) AS w, count(*) AS n, avg(v) AS v, min(ms) AS a, max(ms) AS z FROM u GROUP BY ALL),
+  SELECT video_name, CAST(floor(ms / 10000) AS BIGINT) AS w, count(*) AS n, sum(v) AS s, (2000 * sum(v) + count(*)) // (2 * count(*)) AS v, min(ms) AS a, max(ms) AS z FROM u GROUP BY ALL),
 h AS (
   SELECT *, lag(w) OVER o AS pw, lag(v) OVER o AS pv, lag(z) OVER o AS pz FROM f WINDOW o AS (PARTITION BY video_name ORDER BY w)),
 miss AS (
   SELECT video_name, unnest(range(pw + 1, w)) AS m, pw, pv, w, v FROM h WHERE a - pz <= 1800000),
 grid AS (
-  SELECT video_name, w AS window_no, n AS n_readings, v AS value, false AS is_missing FROM h
-  UNION ALL SELECT video_name, m, 0, pv + (v - pv) / (w - pw) * (m - pw), true FROM miss)
+  SELECT video_name, w AS window_no, n AS n_readings, (2 * s + n) // (2 * n) / 1e6 AS value, false AS is_missing FROM h
+  UNION ALL SELECT video_name, m, 0, (2 * (pv * (w - m) + v * (m - pw)) + 1000 * (w - pw)) // (2000 * (w - pw)) / 1e6, true FROM miss)
 """
 
 _P7_GRID = f"""
@@ -93,7 +93,7 @@ said AS (
     CAST(floor(round(least("start", coalesce("end", "start")) * 1000) / 10000) AS BIGINT),
     CAST(floor(round(greatest("start", coalesce("end", "start")) * 1000) / 10000) AS BIGINT) + 1)) AS window_no
   FROM {_SPEECH} WHERE "start" IS NOT NULL)
-SELECT g.video_name, g.window_no, g.n_readings, round(g.value, 6) AS value, g.is_missing, s.window_no IS NOT NULL AS spoken
+SELECT g.video_name, g.window_no, g.n_readings, g.value, g.is_missing, s.window_no IS NOT NULL AS spoken
 FROM grid g LEFT JOIN said s ON s.video_name = g.video_name AND s.window_no = g.window_no
 """
 
