@@ -37,6 +37,8 @@ class Config:
     min_text: int = 5
     presence_motion: float = 0.02
     slide_change: float = 0.70
+    timeline_text: int = 60
+    preview_text: int = 120
     window: int = 3
     boundary: float = 0.35
     min_knowledge: float = 45.0

@@ -58,11 +58,83 @@ def covered_points(intervals: DataFrame, key: str, start: str, end: str, resolut
     reduced before they are joined, so the join is an equi-join with one row a point.
     """
     lo, hi = F.ceil(F.round(F.col(start) / resolution, 9)), F.floor(F.round(F.col(end) / resolution, 9))
-    per = 3600
-    rows = intervals.select(key, lo.alias("_lo"), hi.alias("_hi"), payload.alias("_x")).where("_lo <= _hi")
-    blocks = rows.withColumn("_b", F.explode(F.sequence(F.floor(F.col("_lo") / per), F.floor(F.col("_hi") / per))))
-    i = F.explode(F.sequence(F.greatest("_lo", F.col("_b") * per), F.least("_hi", F.col("_b") * per + per - 1))).alias("i")
-    return blocks.select(key, i, "_x").groupBy(key, "i").agg(F.min("_x").alias("first"))
+    return _points(intervals.select(key, lo.alias("lo"), hi.alias("hi"), payload.alias("x")), key).groupBy(key, "i").agg(F.min("x").alias("first"))
+
+
+def _points(spans: DataFrame, key: str, per: int = 3600) -> DataFrame:
+    """``(key, i, x)``: the grid points from ``lo`` to ``hi``, both included, of spans (key, lo, hi, x)."""
+    rows = spans.where("lo <= hi")
+    blocks = rows.withColumn("_b", F.explode(F.sequence(F.floor(F.col("lo") / per), F.floor(F.col("hi") / per))))
+    i = F.explode(F.sequence(F.greatest("lo", F.col("_b") * per), F.least("hi", F.col("_b") * per + per - 1))).alias("i")
+    return blocks.select(key, i, "x")
+
+
+def _neighbours(events: DataFrame, ends: DataFrame, key: str) -> DataFrame:
+    """``events`` (key, ms unique in it, x) with the ms before and after; ``ends`` (key, ms) follow as events without x."""
+    e = events.withColumn("_side", F.lit(0)).unionByName(ends.withColumn("_side", F.lit(1)), allowMissingColumns=True)
+    placed = e.withColumn("_shard", F.when(F.col("_side") == 1, F.lit(1 << 60)).otherwise(F.floor(F.col("ms") / (1000 * SHARD_S))))
+    seen = sharded_scan(placed, [key], "_shard", ["_side", "ms"], {"prev": ("before", F.struct("ms")), "next": ("after", F.struct("_side", "ms"))})
+    return seen.where("_side = 0 and next is not null")
+
+
+def _ends(lengths: DataFrame, key: str, length: str, resolution: float) -> DataFrame:
+    """The first point behind each recording's grid, in ms."""
+    n = F.floor(F.round(F.col(length) / resolution, 9)).cast("bigint")
+    return lengths.where(F.col(key).isNotNull() & (n >= 0)).select(key, ((n + 1) * round(resolution * 1000)).alias("ms"))
+
+
+def _ms(c: str) -> Column:
+    return F.round(F.col(c) * 1000).cast("bigint")
+
+
+def latest_on_grid(events: DataFrame, key: str, time: str, order: str, payload: Column, lengths: DataFrame, length: str, resolution: float = 1.0) -> DataFrame:
+    """``(key, i, x)``: at each grid point the latest event at or before it; before every event the first.
+
+    Of events at one time the greatest by ``order`` is the latest, the least the first. An event
+    holds from its time to the next one's, so only the events are put in order and each is then
+    laid on the points it holds: the grid itself is neither sorted nor scanned. Times count in
+    milliseconds; ``lengths`` (key, length) say where a recording's grid ends, one without has no points.
+    """
+    step = round(resolution * 1000)
+    rows = events.where(F.col(key).isNotNull() & F.col(time).isNotNull()).select(key, _ms(time).alias("ms"), F.struct(F.col(order).alias("o"), payload.alias("v")).alias("x"))
+    one = rows.groupBy(key, "ms").agg(F.struct(F.min("x").alias("first"), F.max("x").alias("last")).alias("x"))
+    seen = _neighbours(one, _ends(lengths, key, length, resolution), key)
+    lo, hi = F.greatest(F.ceil(F.col("ms") / step), F.lit(0)), F.ceil(F.col("next.ms") / step) - 1
+    early = F.when(F.col("prev").isNull(), F.struct(F.lit(0).cast("bigint").alias("lo"), F.least(lo - 1, F.when(F.col("next._side") == 1, hi)).alias("hi"), F.col("x.first.v").alias("x")))
+    held = F.struct(lo.alias("lo"), hi.alias("hi"), F.col("x.last.v").alias("x"))
+    spans = seen.select(key, F.explode(F.filter(F.array(early, held), lambda s: s.isNotNull())).alias("s"))
+    return _points(spans.select(key, "s.*"), key)
+
+
+def enclosing_on_grid(intervals: DataFrame, key: str, payload: Column, lengths: DataFrame, length: str, resolution: float = 1.0) -> DataFrame:
+    """``(key, i, x)``: for each grid point the payloads (in x.v) of the intervals (key, id, start, end) to choose from.
+
+    The least x counts: the first interval in order of start and id that holds the point,
+    else the one whose start is nearest, the earlier of two equally near. The nearest start is found
+    by its cell, the points between the middles to its neighbours, so again only starts are put in order.
+    """
+    step = round(resolution * 1000)
+    rows = intervals.where(F.col(key).isNotNull() & F.col("start").isNotNull())
+    x = lambda rank: F.struct(F.lit(rank).alias("r"), F.col("start").alias("s"), F.col("id").alias("o"), payload.alias("v"))
+    lo, hi = F.greatest(F.ceil(_ms("start") / step), F.lit(0)), F.floor(_ms("end") / step)
+    inside = _points(rows.select(key, lo.alias("lo"), hi.alias("hi"), x(0).alias("x")), key)
+    starts = rows.select(key, _ms("start").alias("ms"), x(1).alias("x")).groupBy(key, "ms").agg(F.min("x").alias("x"))
+    seen = _neighbours(starts, _ends(lengths, key, length, resolution), key)
+    after = F.when(F.col("next._side") == 1, F.col("next.ms") / step - 1).otherwise(F.floor((F.col("ms") + F.col("next.ms")) / (2 * step)))
+    cell = seen.select(key, F.coalesce(F.floor((F.col("prev.ms") + F.col("ms")) / (2 * step)) + 1, F.lit(0)).alias("lo"), after.cast("bigint").alias("hi"), "x")
+    return inside.unionByName(_points(cell.withColumn("lo", F.greatest("lo", F.lit(0))), key))
+
+
+def on_grid(lengths: DataFrame, key: str, length: str, columns: dict[str, DataFrame], resolution: float = 1.0) -> DataFrame:
+    """Grid points ``(key, i)`` with a column for each of ``columns``: name -> (key, i, x), the least x of the point or null.
+
+    One shuffle and one sort by point bring everything together; rows outside a recording's grid are dropped.
+    """
+    rows = grid(lengths, key, length, resolution).select(key, "i", F.lit(True).alias("_own"))
+    for n, t in columns.items():
+        rows = rows.unionByName(t.select(key, "i", F.col("x").alias(n)), allowMissingColumns=True)
+    # partitioned first: no sorting for a partial step that has nothing to reduce
+    return rows.repartition(key, "i").groupBy(key, "i").agg(F.max("_own").alias("_own"), *(F.min(n).alias(n) for n in columns)).where("_own").drop("_own")
 
 
 def near_points(events: DataFrame, key: str, time: str, resolution: float, within: float, inclusive: bool = False) -> DataFrame:
@@ -74,19 +146,15 @@ def near_points(events: DataFrame, key: str, time: str, resolution: float, withi
     return rows.where(d <= within if inclusive else d < within).select(key, "i").distinct()
 
 
-def stab(points: DataFrame, intervals: DataFrame, key: str, keep: list[str], resolution: float = 1.0) -> DataFrame:
-    """Grid ``points`` (key, i, time) with struct ``hit`` of the interval (key, id, start, end) that holds each.
+def contained(inner: DataFrame, outer: DataFrame, key: str, bucket: int = 300) -> DataFrame:
+    """``(key, id, outer_id)``: every pair where interval ``inner`` (key, id, start, end) lies wholly in ``outer``.
 
-    Of several the first in order of start and id counts; where none holds the point, the one
-    whose start is nearest, the earlier of two equally near. Null for recordings without any.
+    The outer interval goes to each time bucket it touches, the inner one to that of its start
+    alone, so a pair meets once and a long recording is spread over its buckets.
     """
-    order = F.struct(F.col("start").alias("_s"), F.col("id").alias("_o"), F.struct("start", "end", *keep).alias("_v"))
-    inside = covered_points(intervals, key, "start", "end", resolution, order)
-    starts = intervals.groupBy(key, "start").agg(F.min(F.struct("id", F.struct("start", "end", *keep).alias("_v"))).alias("_m")).select(key, "start", F.col("_m._v").alias("_v"))
-    around = as_of(points, {"_near": (starts, "start", ["_v"])}, key, "time", both=True)
-    b, a = F.col("_near._v"), F.col("_near_after._v")
-    nearest = F.when(a.isNull() | (F.round(F.col("time") - b["start"], 6) <= F.round(a["start"] - F.col("time"), 6)), F.coalesce(b, a)).otherwise(a)
-    return around.join(inside, [key, "i"], "left").withColumn("hit", F.coalesce("first._v", nearest)).drop("_near", "_near_after", "first")
+    b = lambda c: F.floor(F.col(c) / bucket)
+    o = outer.where("start <= end").select(key, F.col("id").alias("outer_id"), F.col("start").alias("_s"), F.col("end").alias("_e"), F.explode(F.sequence(b("start"), b("end"))).alias("_b"))
+    return inner.select(key, "id", "start", "end", b("start").alias("_b")).join(o, [key, "_b"]).where("start >= _s and end <= _e").select(key, "id", "outer_id")
 
 
 def numbered(df: DataFrame, key: str, order: list[str], time: str = "time") -> DataFrame:

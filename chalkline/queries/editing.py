@@ -62,7 +62,11 @@ def detect_interference(s, d, model=None):
     return interference(s, d, model).select("video_name", F.round("start", 2).alias("start"), F.round("end", 2).alias("end"), F.array_join("reasons", "+").alias("reasons"), F.array_join("sources", "+").alias("sources"), "absent", "silent")
 
 
-interference_union = detect_interference
+def interference_union(s, d):
+    """The stretches of all five sources in one list, not yet merged."""
+    names = F.array(*map(F.lit, SOURCES))
+    p = interference_parts(s, d).withColumn("source", names[F.col("rank")])
+    return p.select("video_name", F.round("start", 2).alias("start"), F.round("end", 2).alias("end"), "source", F.array_join("reasons", "+").alias("reasons"), "absent", "silent")
 
 
 def edits(s, d, model=None, cfg=C.CONFIG):
@@ -80,7 +84,7 @@ def edits(s, d, model=None, cfg=C.CONFIG):
     )
 
 
-def overlap_interference(s, d):
+def overlap_first(s, d):
     """Topics with the first stretch of interference that covers more than half of them."""
     bad = interference(s, d).select("video_name", "start", "end", F.col("end").alias("ord"))
     return overlap(L.knowledge(s, d), bad, 0.5).select("id", F.round("ord", 2).alias("until"), F.round("ratio", 6).alias("ratio"))
@@ -169,8 +173,10 @@ _DET = f""", {_PARTS} SELECT video_name, round("start", 2) AS "start", round("en
 
 _SQL = {
     "detect_interference": with_views(_DET, *_ALL),
-    "interference_union": with_views(_DET, *_ALL),
-    "overlap_interference": with_views(f""", {_PARTS}, p AS (SELECT k.id, it."start" AS s, it."end" AS e, (least(k."end", it."end") - greatest(k."start", it."start")) / greatest(k."end" - k."start", 0.001) AS ratio
+    "interference_union": with_views(f""", {_PARTS} SELECT video_name, round("start", 2) AS "start", round("end", 2) AS "end",
+  CASE rank WHEN 0 THEN 'knowledge_segment' WHEN 1 THEN 'silence_scan' WHEN 2 THEN 'teacher_non_knowledge_talk' WHEN 3 THEN 'teacher_student_qa' ELSE 'model' END AS source,
+  array_to_string(reasons, '+') AS reasons, absent, silent FROM pa""", *_ALL),
+    "overlap_first": with_views(f""", {_PARTS}, p AS (SELECT k.id, it."start" AS s, it."end" AS e, (least(k."end", it."end") - greatest(k."start", it."start")) / greatest(k."end" - k."start", 0.001) AS ratio
   FROM kno k JOIN it ON it.video_name = k.video_name AND it."start" < k."end" AND k."start" < it."end")
 SELECT id, round(e, 2) AS until, round(ratio, 6) AS ratio FROM p WHERE ratio > 0.5 QUALIFY row_number() OVER (PARTITION BY id ORDER BY s, e) = 1""", *_ALL),
     "edit_commands": with_views(f", {_EDIT} SELECT * FROM ec", *_ALL),

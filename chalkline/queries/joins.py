@@ -22,18 +22,18 @@ def duration_infer(s, d):
     return a.unionByName(b).groupBy("video_name").agg(F.max("x").alias("duration"))
 
 
-def _grid(s, d):
-    return A.grid(duration_infer(s, d), "video_name", "duration")
-
-
 def asof_latest(s, d):
-    got = A.as_of(_grid(s, d), {"state": (L.samples(s, d), "time", ["time", "id", "motion_ratio"]), "page": (L.slides(s, d), "time", ["time", "id", "slide_idx"])})
-    return got.select("video_name", "i", F.col("state.id").alias("sample_id"), F.col("page.id").alias("content_id"))
+    """For each second of each recording its sample and page."""
+    dur = duration_infer(s, d)
+    last = lambda t: A.latest_on_grid(t, "video_name", "time", "id", F.col("id"), dur, "duration")
+    got = A.on_grid(dur, "video_name", "duration", {"sample_id": last(L.samples(s, d)), "content_id": last(L.slides(s, d))})
+    return got.select("video_name", "i", "sample_id", "content_id")
 
 
 def stab_enclosing(s, d):
-    got = A.stab(_grid(s, d), L.segments(s, d), "video_name", ["id"])
-    return got.select("video_name", "i", F.col("hit.id").alias("seg_id"))
+    dur = duration_infer(s, d)
+    got = A.on_grid(dur, "video_name", "duration", {"hit": A.enclosing_on_grid(L.segments(s, d), "video_name", F.col("id"), dur, "duration")})
+    return got.select("video_name", "i", F.col("hit.v").alias("seg_id"))
 
 
 def band_flags(s, d):
@@ -41,10 +41,8 @@ def band_flags(s, d):
 
 
 def contain_join(s, d):
-    """Segments that lie wholly in the topic that begins last before them."""
-    k = L.knowledge(s, d).groupBy("video_name", "start").agg(F.min(F.struct("id", "end")).alias("k")).select("video_name", "start", F.col("k.id").alias("ks"), F.col("k.end").alias("until"))
-    got = A.as_of(L.segments(s, d).select("video_name", F.col("start").alias("time"), "id", F.col("end").alias("till")), {"k": (k, "start", ["start", "ks", "until"])})
-    return got.where("k.start <= time and till <= k.until").select("id", F.col("k.ks").alias("ks_id"))
+    """Every segment with every topic that it lies wholly in."""
+    return A.contained(L.segments(s, d), L.knowledge(s, d), "video_name").select("id", F.col("outer_id").alias("ks_id"))
 
 
 def _points_in_segment(s, d):
@@ -76,12 +74,6 @@ def outside_segments(s, d):
     return with_topic_flag(s, d).where("not inside").select("video_name", "id")
 
 
-def overlap_first(s, d):
-    """Topics with the first segment left out of the speech that covers more than 0.2 % of them; covered by more than half: ``overlap_interference``."""
-    g = L.segments(s, d).where(~X.keeps_speech(F.col("nsp"), F.col("text"))).where("end > start")
-    return overlap(L.knowledge(s, d), g.select("video_name", F.col("id").alias("ord"), "start", "end"), 0.002).select("id", "ord", F.round("ratio", 6).alias("ratio"))
-
-
 def overlap(topics, others, least, bucket=300):
     """``topics`` with the first of ``others`` (start, ord) that covers more than ``least`` of them: ord, ratio."""
     spread = lambda df: df.withColumn("_b", F.explode(F.sequence(F.floor(F.col("start") / bucket), F.floor(F.col("end") / bucket))))
@@ -99,19 +91,14 @@ def label_band(s, d):
     return A.near_points(ends, "video_name", "time", 1.0, 3.0, inclusive=True)
 
 
-def nearest_valid(s, d, least=2.0):
-    """Speaker of each segment, taken from the nearest one of ``least`` seconds or more by position where it is shorter."""
-    g = A.numbered(L.segments(s, d), "video_name", ["start", "id"], "start").withColumn("valid", F.col("end") - F.col("start") >= least)
-    v = g.where("valid").select("video_name", F.col("idx").cast("double").alias("at"), F.col("id").alias("from_id"), "speaker")
-    got = A.as_of(g.select("video_name", F.col("idx").cast("double").alias("time"), "id"), {"v": (v, "at", ["at", "from_id", "speaker"])}, both=True)
+def nearest_valid(s, d, least=0.4):
+    """Speaker and probability of each segment, taken from the nearest one of ``least`` seconds or more by position where it is shorter."""
+    g = A.numbered(L.segments(s, d), "video_name", ["start", "id"], "start").withColumn("valid", F.round(F.col("end") - F.col("start"), 6) >= least)
+    v = g.where("valid").select("video_name", F.col("idx").cast("double").alias("at"), F.col("id").alias("from_id"), "speaker", "teacher_prob")
+    got = A.as_of(g.select("video_name", F.col("idx").cast("double").alias("time"), "id"), {"v": (v, "at", ["at", "from_id", "speaker", "teacher_prob"])}, both=True)
     b, a = F.col("v"), F.col("v_after")
     best = F.when(a.isNull() | (F.col("time") - b["at"] <= a["at"] - F.col("time")), F.coalesce(b, a)).otherwise(a)
-    return got.select("id", best["from_id"].alias("from_id"), best["speaker"].alias("speaker"))
-
-
-def nearest_valid_chunk(s, d):
-    """``nearest_valid`` as diarization has it: chunks of 0.4 s or more are valid."""
-    return nearest_valid(s, d, 0.4)
+    return got.select("id", best["from_id"].alias("from_id"), best["speaker"].alias("speaker"), best["teacher_prob"].alias("teacher_prob"))
 
 
 def artefact_left_join(s, d):
@@ -139,45 +126,27 @@ def exact_time(s, d):
 
 def timeline_align(s, d, cfg=C.CONFIG):
     """The aligned table: one row a second and recording, with state, slide, speech and topic."""
-    g, k, slides = L.segments(s, d), L.knowledge(s, d), L.slides(s, d)
-    silent = ~X.keeps_speech(F.col("nsp"), F.col("text"), cfg)
-    speech = g.withColumn("silent", silent).groupBy("video_name", "start").agg(F.min(F.struct("id", "text", "speaker", "confidence", "silent")).alias("v"))
-    heads = k.groupBy("video_name", "start").agg(F.min(F.struct("id", "title")).alias("v"))
-    # everything that is looked up by time, in one pass over the grid
-    base = A.as_of(
-        _grid(s, d),
-        {
-            "state": (L.samples(s, d), "time", ["time", "id", "motion_ratio"]),
-            "page": (slides, "time", ["time", "id", "slide_idx", "text"]),
-            "said": (speech.select("video_name", "start", "v.*"), "start", ["start", "id", "text", "speaker", "confidence", "silent"]),
-            "topic": (heads.select("video_name", "start", "v.*"), "start", ["start", "id", "title"]),
-        },
-        both=True,
-    )
-
-    def nearest(name):
-        b, a = F.col(name), F.col(f"{name}_after")
-        sooner = F.round(F.col("time") - b["start"], 6) <= F.round(a["start"] - F.col("time"), 6)
-        return F.when(a.isNull() | sooner, F.coalesce(b, a)).otherwise(a)
-
-    base = base.select("video_name", "i", F.coalesce("state", "state_after").alias("state"), F.coalesce("page", "page_after").alias("page"), nearest("said").alias("near_said"), nearest("topic").alias("near_topic"))
-    in_said = A.covered_points(g.withColumn("silent", silent), "video_name", "start", "end", 1.0, F.struct("start", "id", "text", "speaker", "confidence", "silent")).withColumnRenamed("first", "in_said")
-    in_topic = A.covered_points(k, "video_name", "start", "end", 1.0, F.struct("start", "id", "title")).withColumnRenamed("first", "in_topic")
-    turned = A.near_points(slides, "video_name", "time", 1.0, 1.0).withColumn("turned", F.lit(True))
-    bounds = A.near_points(k.select("video_name", F.explode(F.array("start", "end")).alias("time")), "video_name", "time", 1.0, 1.0).withColumn("bound", F.lit(True))
-    on = ["video_name", "i"]
-    return (
-        base.join(in_said, on, "left").join(in_topic, on, "left").join(turned, on, "left").join(bounds, on, "left")
-        .withColumn("hit", F.coalesce("in_said", "near_said")).withColumn("topic", F.coalesce("in_topic", "near_topic"))
-        .select(
-            "video_name", "i", F.coalesce(F.col("state.motion_ratio") > cfg.presence_motion, F.lit(True)).alias("teacher_present"),
-            F.coalesce("state.motion_ratio", F.lit(0.0)).alias("motion_ratio"), F.coalesce("page.slide_idx", F.lit(0)).alias("slide_idx"),
-            F.substring(F.coalesce("page.text", F.lit("")), 1, 60).alias("ppt_text"), F.coalesce("turned", F.lit(False)).alias("is_slide_transition"),
-            F.substring(F.coalesce("hit.text", F.lit("")), 1, 60).alias("speech_text"), F.coalesce("hit.speaker", F.lit(C.UNKNOWN)).alias("speaker"),
-            F.coalesce("hit.confidence", F.lit(0.0)).alias("speech_confidence"), F.coalesce("hit.silent", F.lit(True)).alias("is_silence"),
-            F.coalesce(F.col("topic.id"), F.lit(-1)).alias("knowledge_id"), F.coalesce("topic.title", F.lit("")).alias("knowledge_title"),
-            F.coalesce("bound", F.lit(False)).alias("is_knowledge_boundary"),
-        )
+    g, k, slides, dur = L.segments(s, d), L.knowledge(s, d), L.slides(s, d), duration_infer(s, d)
+    short = lambda c: F.substring(c, 1, cfg.timeline_text).alias(c)
+    said = F.struct(short("text"), "speaker", F.round("confidence", 4).alias("confidence"), (~X.keeps_speech(F.col("nsp"), F.col("text"), cfg)).alias("silent"))
+    state = F.struct("in_podium", F.round("motion_ratio", 4).alias("motion_ratio"))
+    flag = lambda t: A.near_points(t, "video_name", "time", cfg.resolution, cfg.resolution).withColumn("x", F.lit(True))
+    on = ("video_name", "duration")
+    got = A.on_grid(dur, *on, {
+        "state": A.latest_on_grid(L.samples(s, d), "video_name", "time", "id", state, dur, "duration", cfg.resolution),
+        "page": A.latest_on_grid(slides, "video_name", "time", "id", F.struct("slide_idx", short("text")), dur, "duration", cfg.resolution),
+        "said": A.enclosing_on_grid(g, "video_name", said, dur, "duration", cfg.resolution),
+        "topic": A.enclosing_on_grid(k, "video_name", F.struct("id", "title"), dur, "duration", cfg.resolution),
+        "turned": flag(slides),
+        "bound": flag(k.select("video_name", F.explode(F.array("start", "end")).alias("time"))),
+    }, cfg.resolution)
+    default = lambda c, v: F.coalesce(c, F.lit(v))
+    return got.select(
+        "video_name", "i", default("state.in_podium", True).alias("teacher_present"), default("state.motion_ratio", 0.0).alias("motion_ratio"),
+        default("page.slide_idx", 0).alias("slide_idx"), default("page.text", "").alias("ppt_text"), default("turned", False).alias("is_slide_transition"),
+        default("said.v.text", "").alias("speech_text"), default("said.v.speaker", "").alias("speaker"), default("said.v.confidence", 0.0).alias("speech_confidence"),
+        default("said.v.silent", True).alias("is_silence"), default("topic.v.id", 0).alias("knowledge_id"), default("topic.v.title", C.UNKNOWN).alias("knowledge_title"),
+        default("bound", False).alias("is_knowledge_boundary"),
     )
 
 
@@ -198,23 +167,15 @@ _SQL = {
     "asof_latest": with_views(f", {_DUR}, a AS ({_ASOF('sam', 'time', 'id')}), b AS ({_ASOF('sli', 'time', 'id')}) SELECT a.video_name, a.i, a.id AS sample_id, b.id AS content_id FROM a JOIN b USING (video_name, i)", "seg", "sam", "sli"),
     "stab_enclosing": with_views(f", {_DUR} SELECT video_name, i, id AS seg_id FROM ({_STAB('seg')})", "seg", "sam"),
     "band_flags": with_views(", c AS (SELECT video_name, time, unnest([CAST(floor(time) AS BIGINT) - 1, CAST(floor(time) AS BIGINT), CAST(floor(time) AS BIGINT) + 1]) AS i FROM sli) SELECT DISTINCT video_name, i FROM c WHERE abs(i - time) < 1 AND i >= 0", "sli"),
-    "contain_join": with_views(""" SELECT seg.id, k.id AS ks_id FROM seg ASOF JOIN (SELECT * FROM kno QUALIFY row_number() OVER (PARTITION BY video_name, "start" ORDER BY id) = 1) k
-  ON k.video_name = seg.video_name AND seg."start" >= k."start" WHERE seg."end" <= k."end" """, "seg", "kno"),
+    "contain_join": with_views(""" SELECT seg.id, kno.id AS ks_id FROM seg JOIN kno ON kno.video_name = seg.video_name AND seg."start" >= kno."start" AND seg."end" <= kno."end" """, "seg", "kno"),
     "points_in_segment": with_views(""" SELECT kno.id AS ks_id, count(*) AS n, round(avg(CAST(NOT present AS INT)), 6) AS absent_ratio, round(avg(CAST(silent AS INT)), 6) AS silence_ratio
 FROM kno JOIN tl ON tl.video_name = kno.video_name AND tl.time BETWEEN "start" AND "end" GROUP BY kno.id""", "kno", "tl"),
     "outside_segments": with_views(""" SELECT video_name, id FROM tl WHERE NOT EXISTS (SELECT 1 FROM kno k WHERE k.video_name = tl.video_name AND tl.time BETWEEN k."start" AND k."end")""", "kno", "tl"),
-    "overlap_first": with_views(f""", o AS (SELECT * FROM seg WHERE NOT {KEEP} AND "end" > "start"),
-p AS (SELECT k.id, o.id AS ord, o."start" AS s, (least(k."end", o."end") - greatest(k."start", o."start")) / greatest(k."end" - k."start", 0.001) AS ratio
-  FROM kno k JOIN o ON o.video_name = k.video_name AND o."start" < k."end" AND k."start" < o."end")
-SELECT id, ord, round(ratio, 6) AS ratio FROM p WHERE ratio > 0.002 QUALIFY row_number() OVER (PARTITION BY id ORDER BY s, ord) = 1""", "seg", "kno"),
     "label_band": f"""WITH a AS ({ANN}), b AS (SELECT DISTINCT video_name, unnest(["start", "end"]) AS t FROM a WHERE NOT is_interference)
 SELECT DISTINCT video_name, i FROM (SELECT video_name, unnest(range(t - 3, t + 4)) AS i FROM b) WHERE i >= 0""",
-    "nearest_valid": with_views(""", n AS (SELECT *, row_number() OVER (PARTITION BY video_name ORDER BY "start", id) AS i, "end" - "start" >= 2.0 AS valid FROM seg)
-SELECT a.id, (SELECT arg_min(b.id, struct_pack(d := abs(b.i - a.i), i := b.i)) FROM n b WHERE b.video_name = a.video_name AND b.valid) AS from_id,
-  (SELECT arg_min(b.speaker, struct_pack(d := abs(b.i - a.i), i := b.i)) FROM n b WHERE b.video_name = a.video_name AND b.valid) AS speaker FROM n a""", "seg"),
-    "nearest_valid_chunk": with_views(""", n AS (SELECT *, row_number() OVER (PARTITION BY video_name ORDER BY "start", id) AS i, "end" - "start" >= 0.4 AS valid FROM seg)
-SELECT a.id, (SELECT arg_min(b.id, struct_pack(d := abs(b.i - a.i), i := b.i)) FROM n b WHERE b.video_name = a.video_name AND b.valid) AS from_id,
-  (SELECT arg_min(b.speaker, struct_pack(d := abs(b.i - a.i), i := b.i)) FROM n b WHERE b.video_name = a.video_name AND b.valid) AS speaker FROM n a""", "seg"),
+    "nearest_valid": with_views(""", n AS (SELECT *, row_number() OVER (PARTITION BY video_name ORDER BY "start", id) AS i, round("end" - "start", 6) >= 0.4 AS valid FROM seg),
+m AS (SELECT a.id, (SELECT arg_min(b.id, struct_pack(d := abs(b.i - a.i), i := b.i)) FROM n b WHERE b.video_name = a.video_name AND b.valid) AS from_id FROM n a)
+SELECT m.id, from_id, n.speaker, n.teacher_prob FROM m LEFT JOIN n ON n.id = from_id""", "seg"),
     "artefact_left_join": with_views(""", a AS (SELECT video_name, count(*) AS segments FROM seg GROUP BY 1), t AS (SELECT video_name, count(*) AS topics FROM kno GROUP BY 1), v AS (SELECT video_name, count(*) AS samples FROM sam GROUP BY 1)
 SELECT video_name, segments, topics, coalesce(samples, 0) AS samples FROM a JOIN t USING (video_name) LEFT JOIN v USING (video_name)""", "seg", "kno", "sam"),
     "pair_annotations": r"""WITH p AS (SELECT DISTINCT video_path, regexp_extract(video_path, '([^/]+?)(?:\.[^./]*)?$', 1) AS stem, lower(regexp_extract(video_path, '\.([^./]*)$', 1)) AS ext FROM multimodal_index WHERE video_path IS NOT NULL)
@@ -224,9 +185,9 @@ SELECT stem, video_path FROM p QUALIFY row_number() OVER (PARTITION BY stem ORDE
 q AS (SELECT *, NOT {KEEP} AS silent FROM seg),
 tr AS (SELECT DISTINCT video_name, unnest([CAST(floor(time) AS BIGINT), CAST(ceil(time) AS BIGINT)]) AS i FROM sli),
 bd AS (SELECT DISTINCT video_name, unnest([CAST(floor("start") AS BIGINT), CAST(ceil("start") AS BIGINT), CAST(floor("end") AS BIGINT), CAST(ceil("end") AS BIGINT)]) AS i FROM kno)
-SELECT g.video_name, g.i, coalesce(sam.motion_ratio > 0.02, true) AS teacher_present, coalesce(sam.motion_ratio, 0) AS motion_ratio, coalesce(sli.slide_idx, 0) AS slide_idx,
-  substring(coalesce(sli.text, ''), 1, 60) AS ppt_text, tr.i IS NOT NULL AS is_slide_transition, substring(coalesce(q.text, ''), 1, 60) AS speech_text, coalesce(q.speaker, '未知') AS speaker,
-  coalesce(q.confidence, 0) AS speech_confidence, coalesce(q.silent, true) AS is_silence, coalesce(kno.id, -1) AS knowledge_id, coalesce(kno.title, '') AS knowledge_title, bd.i IS NOT NULL AS is_knowledge_boundary
+SELECT g.video_name, g.i, coalesce(sam.in_podium, true) AS teacher_present, round(coalesce(sam.motion_ratio, 0), 4) AS motion_ratio, coalesce(sli.slide_idx, 0) AS slide_idx,
+  substring(coalesce(sli.text, ''), 1, 60) AS ppt_text, tr.i IS NOT NULL AS is_slide_transition, substring(coalesce(q.text, ''), 1, 60) AS speech_text, coalesce(q.speaker, '') AS speaker,
+  round(coalesce(q.confidence, 0), 4) AS speech_confidence, coalesce(q.silent, true) AS is_silence, coalesce(kno.id, 0) AS knowledge_id, coalesce(kno.title, '未知') AS knowledge_title, bd.i IS NOT NULL AS is_knowledge_boundary
 FROM g LEFT JOIN st USING (video_name, i) LEFT JOIN sam ON sam.id = st.id LEFT JOIN pg USING (video_name, i) LEFT JOIN sli ON sli.id = pg.id
 LEFT JOIN sg USING (video_name, i) LEFT JOIN q ON q.id = sg.id LEFT JOIN kn USING (video_name, i) LEFT JOIN kno ON kno.id = kn.id
 LEFT JOIN tr USING (video_name, i) LEFT JOIN bd USING (video_name, i)""", "seg", "sam", "sli", "kno"),

@@ -8,7 +8,7 @@ import pytest
 
 FOLDER = "/root/testdata/sf0.001"
 QUICK = (
-    "p4_found", "p7_found", "p7_grid", "keep_speech", "sanitize_title", "parse_time", "asof_latest", "stab_enclosing", "overlap_first",
+    "p4_found", "p7_found", "p7_grid", "keep_speech", "sanitize_title", "parse_time", "asof_latest", "stab_enclosing", "contain_join", "timeline_align",
     "rolling_features", "silence_islands", "speaker_turns", "audio_stats", "zscore", "keywords_topk", "merge_candidates", "labels", "json_roundtrip", "stream_sessions",
 )
 

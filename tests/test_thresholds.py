@@ -4,7 +4,7 @@ import pytest
 from test_queries import pytestmark, test_query_equals_sql as equals_sql  # noqa: F401
 
 
-@pytest.mark.parametrize("name", ["overlap_interference", "nearest_valid_chunk"])
+@pytest.mark.parametrize("name", ["overlap_first", "nearest_valid"])
 def test_reference_thresholds(spark, name):
     equals_sql(spark, name)
 
