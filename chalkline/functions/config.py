@@ -19,6 +19,13 @@ KEYWORD_BLACKLIST = (
     "这个", "那个", "就是", "然后", "所以", "我们", "你们", "他们", "可以", "应该", "需要", "东西", "问题", "内容", "方面", "方法",
     "這個", "那個", "我們", "你們", "他們", "應該", "東西", "問題", "內容", "一個",
 )
+STOP_WORDS = (
+    "的", "了", "是", "在", "我", "有", "和", "就", "不", "人", "都", "一", "一个", "上", "也", "很", "到", "说", "要", "去", "你", "会", "着",
+    "没有", "看", "好", "自己", "这", "那", "里", "而", "啊", "吧", "呢", "嗯", "啦", "对", "所以", "因为", "如果", "但是", "然后", "然而",
+    "因此", "这个", "那个", "我们", "他们", "它们", "什么", "怎么", "哪里", "哪个", "这里", "那里", "可以", "应该", "需要", "一些",
+    "很多", "非常", "比较", "可能", "已经", "通过", "进行", "使用", "方面", "方法", "问题", "情况", "内容", "过程", "就是", "其实",
+    "现在", "时候", "地方", "东西", "感觉", "知道", "觉得", "认为",
+)
 REPLACEMENTS = {"亚丽师多德": "亚里士多德", "人工质能": "人工智能", "运遇": "机遇", "低谱": "低谷", "图林": "图灵"}
 TERMS = ("人工智能", "机器学习", "深度学习", "神经网络", "图灵", "图灵测试", "亚里士多德", "算法", "数据集", "低谷", "模型", "训练", "推理")
 TEACHER, STUDENT, UNKNOWN = "教师", "学生", "未知"

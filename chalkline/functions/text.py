@@ -42,19 +42,10 @@ def occurrences(c: Column, cue: str) -> Column:
     return ((F.length(c) - F.length(F.replace(c, F.lit(cue), F.lit("")))) / len(cue)).cast("int")
 
 
-def tokens(c: Column) -> Column:
-    """Runs of letters, digits and underscores; a segmenter can replace this where one is installed."""
-    return F.regexp_extract_all(c, F.lit(r"([\p{L}\p{N}_]+)"), F.lit(1))
-
-
-def is_valid_token(t: Column, stop: Iterable[str] = C.KEYWORD_BLACKLIST) -> Column:
+def is_valid_token(t: Column, stop: Iterable[str] = (*C.STOP_WORDS, *C.KEYWORD_BLACKLIST)) -> Column:
     return (F.length(t) > 1) & ~t.rlike(r"^\p{Nd}+$") & ~t.isin(*stop) & t.rlike(r"[\p{L}\p{N}]")
 
 
-def valid_tokens(c: Column) -> Column:
-    return F.filter(tokens(normalize_text(c)), lambda t: is_valid_token(t))
-
-
 def is_cjk(t: Column) -> Column:
     return t.rlike(r"^[\x{4e00}-\x{9fff}]+$")
 

@@ -5,13 +5,18 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from chalkline.functions.text import valid_tokens
+from chalkline.functions.text import is_valid_token, normalize_text
+from chalkline.operators.segment import tokenised
+from chalkline.plans.session import materialise
 
 
 def term_counts(texts: DataFrame, keys: list[str], text: str) -> DataFrame:
-    """``(keys, token, c, total)``: how often each valid token occurs in each text, and how many it has."""
-    t = texts.select(*keys, valid_tokens(F.col(text)).alias("_t"))
-    return t.select(*keys, F.size("_t").alias("total"), F.explode("_t").alias("token")).groupBy(*keys, "token", "total").agg(F.count("*").alias("c"))
+    """``(keys, token, c, total)``: how often each valid token occurs in each text, and how many it has.
+
+    Written once: frequencies, weights and keywords all read it.
+    """
+    t = tokenised(texts.select(*keys, normalize_text(F.col(text)).alias("_t")), keys, "_t").where(is_valid_token(F.col("token")))
+    return materialise(t.withColumn("total", F.sum("c").over(Window.partitionBy(*keys))))
 
 
 def document_frequency(counts: DataFrame, texts: DataFrame, scope: str) -> DataFrame:

@@ -9,6 +9,7 @@ from chalkline.functions import config as C
 from chalkline.functions import text as X
 from chalkline.operators import alignment as A
 from chalkline.operators.islands import union_intervals
+from chalkline.plans.session import materialise
 from chalkline.queries._views import KEEP, with_views
 from chalkline.queries.scalars import ANN, annotations, raw_annotations
 from chalkline.sources import lecture as L
@@ -17,21 +18,25 @@ from chalkline.sources.tables import table
 
 def duration_infer(s, d):
     """Length of each recording: the end of its speech, or of its samples where that is later."""
-    a = L.segments(s, d).groupBy("video_name").agg(F.max("end").alias("x"))
-    b = L.samples(s, d).groupBy("video_name").agg(F.max("time").alias("x"))
+    return _durations(L.segments(s, d), L.samples(s, d))
+
+
+def _durations(segments, samples):
+    a = segments.groupBy("video_name").agg(F.max("end").alias("x"))
+    b = samples.groupBy("video_name").agg(F.max("time").alias("x"))
     return a.unionByName(b).groupBy("video_name").agg(F.max("x").alias("duration"))
 
 
 def asof_latest(s, d):
     """For each second of each recording its sample and page."""
-    dur = duration_infer(s, d)
+    dur = materialise(duration_infer(s, d))
     last = lambda t: A.latest_on_grid(t, "video_name", "time", "id", F.col("id"), dur, "duration")
     got = A.on_grid(dur, "video_name", "duration", {"sample_id": last(L.samples(s, d)), "content_id": last(L.slides(s, d))})
     return got.select("video_name", "i", "sample_id", "content_id")
 
 
 def stab_enclosing(s, d):
-    dur = duration_infer(s, d)
+    dur = materialise(duration_infer(s, d))
     got = A.on_grid(dur, "video_name", "duration", {"hit": A.enclosing_on_grid(L.segments(s, d), "video_name", F.col("id"), dur, "duration")})
     return got.select("video_name", "i", F.col("hit.v").alias("seg_id"))
 
@@ -126,7 +131,8 @@ def exact_time(s, d):
 
 def timeline_align(s, d, cfg=C.CONFIG):
     """The aligned table: one row a second and recording, with state, slide, speech and topic."""
-    g, k, slides, dur = L.segments(s, d), L.knowledge(s, d), L.slides(s, d), duration_infer(s, d)
+    g, k, slides = (materialise(t) for t in (L.segments(s, d), L.knowledge(s, d), L.slides(s, d)))  # each read several times
+    dur = materialise(_durations(g, L.samples(s, d)))
     short = lambda c: F.substring(c, 1, cfg.timeline_text).alias(c)
     said = F.struct(short("text"), "speaker", F.round("confidence", 4).alias("confidence"), (~X.keeps_speech(F.col("nsp"), F.col("text"), cfg)).alias("silent"))
     state = F.struct("in_podium", F.round("motion_ratio", 4).alias("motion_ratio"))

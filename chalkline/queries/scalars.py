@@ -8,6 +8,7 @@ from chalkline.functions import config as C
 from chalkline.functions import text as X
 from chalkline.operators import vision
 from chalkline.operators.fuzzy import best_terms
+from chalkline.operators.segment import LONGEST, fixed_words, tokenised
 from chalkline.queries._views import KEEP, SILENCE, STRIP, with_views
 from chalkline.sources import lecture as L
 from chalkline.sources.tables import table
@@ -132,7 +133,7 @@ def teacher_talk_score(s, d):
 
 def token_filter(s, d):
     """Distinct tokens of the transcripts, whether they are valid and whether they are Han."""
-    t = L.segments(s, d).select(F.explode(X.tokens(X.normalize_text(F.col("text")))).alias("token")).distinct()
+    t = tokenised(L.segments(s, d).select("id", X.normalize_text(F.col("text")).alias("text")), ["id"], "text").select("token").distinct()
     return t.select("token", X.is_valid_token(F.col("token")).alias("valid"), X.is_cjk(F.col("token")).alias("cjk"))
 
 
@@ -168,8 +169,27 @@ def _norm(c: str) -> str:
 
 
 _TITLE = r"""coalesce(nullif(trim(regexp_replace(trim(title), '^\s*知识点\s*[0-9]+\s*[-_—:：]?\s*', '')), ''), nullif(trim(title), ''), '片段' || CAST(id + 1 AS VARCHAR))"""
-_STOP = ", ".join(f"'{w}'" for w in C.KEYWORD_BLACKLIST)
+_STOP = ", ".join(f"'{w}'" for w in (*C.STOP_WORDS, *C.KEYWORD_BLACKLIST))
 VALID = f"(length(token) > 1 AND NOT regexp_full_match(token, '[0-9]+') AND token NOT IN ({_STOP}) AND regexp_matches(token, '[\\p{{L}}\\p{{N}}]'))"
+_EDGES = ", ".join(f"'{w}'" for w in C.STOP_WORDS if len(w) == 1)
+_WORDS = ", ".join(f"'{w}'" for w in fixed_words(C.TERMS, C.STOP_WORDS, C.KEYWORD_BLACKLIST))
+
+
+def SEGMENT(texts: str, keys: str) -> str:
+    """Views up to tk0 (keys, token): the tokens of view ``texts`` (keys, text), Han runs by words of the corpus, the longest first."""
+    return f"""sg0 AS (SELECT {keys}, unnest(regexp_extract_all(regexp_replace(text, '([\\x{{4e00}}-\\x{{9fff}}]+)', ' \\1 ', 'g'), '[\\p{{L}}\\p{{N}}_]+')) AS run FROM {texts}),
+sg1 AS (SELECT run, count(*) AS n FROM sg0 WHERE regexp_matches(run, '^[\\x{{4e00}}-\\x{{9fff}}]') GROUP BY 1),
+sg2 AS (SELECT run, n, unnest(range(1, length(run) + 1)) AS p FROM sg1), sg3 AS (SELECT run, n, p, unnest(range(1, least({LONGEST}, length(run) - p + 1) + 1)) AS k FROM sg2),
+sg4 AS MATERIALIZED (SELECT run, n, substring(run, p, k) AS g, CASE WHEN p > 1 THEN substring(run, p - 1, 1) ELSE '' END AS b, substring(run, p + k, 1) AS a FROM sg3),
+sg5 AS (SELECT g, sum(n) AS c, count(DISTINCT b) AS l, count(DISTINCT a) AS r FROM sg4 GROUP BY 1),
+sg6 AS (SELECT g, c, unnest(range(1, length(g))) AS k FROM sg5 WHERE length(g) > 1 AND c >= 5 AND l >= 3 AND r >= 3 AND left(g, 1) NOT IN ({_EDGES}) AND right(g, 1) NOT IN ({_EDGES})),
+sg7 AS (SELECT g AS w FROM (SELECT sg6.g, CAST(sg6.c * (SELECT sum(n * length(run)) FROM sg1) AS DOUBLE) / CAST(x.c * y.c AS DOUBLE) AS tie FROM sg6 JOIN sg5 x ON x.g = left(sg6.g, sg6.k) JOIN sg5 y ON y.g = substring(sg6.g, sg6.k + 1)) GROUP BY g HAVING min(tie) >= 20
+  UNION SELECT unnest([{_WORDS}])),
+sg8 AS (SELECT run, string_agg(w, '|' ORDER BY length(w) DESC, w) AS pattern FROM (SELECT DISTINCT run, w FROM sg4 JOIN sg7 ON w = g) GROUP BY 1),
+sg9 AS (SELECT run, regexp_extract_all(run, pattern) AS tokens FROM sg8),
+tk0 AS (SELECT {keys}, unnest(tokens) AS token FROM sg0 JOIN sg9 USING (run) UNION ALL SELECT {keys}, run FROM sg0 WHERE NOT regexp_matches(run, '^[\\x{{4e00}}-\\x{{9fff}}]'))"""
+
+
 RAW_ANN = """SELECT video_name, ks_id AS id, "start" AS a, "end" AS b, title, ks_id % 5 = 0 AS is_interference FROM (
   SELECT * FROM knowledge_segments QUALIFY row_number() OVER (PARTITION BY ks_id ORDER BY ingested_at DESC NULLS LAST) = 1) WHERE video_name IS NOT NULL"""
 ANN = f"""SELECT video_name, id, CAST(floor(least(a, b)) AS BIGINT) AS "start", CAST(ceil(greatest(a, b)) AS BIGINT) AS "end",
@@ -207,7 +227,7 @@ SELECT id, round(CASE WHEN t = '' THEN -0.2 ELSE {_HITS(C.TEACHER_CUES).format(c
   - 0.25 * (length(t) - length(replace(replace(t, '？', ''), '?', ''))) + least(length(p) / 35.0, 1.6)
   + 0.2 * least({' + '.join(_OCC.format(c='p', x=x, n=len(x)) for x in C.FILLER_CUES)}, 5)
   + 0.35 * least({_HITS([x * 2 for x in C.FILLER_CUES]).format(c='p')}, 3) END, 6) AS score FROM q""", "seg"),
-    "token_filter": with_views(f""", t AS (SELECT DISTINCT unnest(regexp_extract_all({_norm('text')}, '[\\p{{L}}\\p{{N}}_]+')) AS token FROM seg)
+    "token_filter": with_views(f""", t0 AS (SELECT id, {_norm('text')} AS text FROM seg), {SEGMENT('t0', 'id')}, t AS (SELECT DISTINCT token FROM tk0)
 SELECT token, {VALID} AS valid, regexp_full_match(token, '[\\x{{4e00}}-\\x{{9fff}}]+') AS cjk FROM t""", "seg"),
     "script_t2s": with_views(f""", o AS (SELECT video_name, translate(text, '这个们', '這個們') AS old FROM seg)
 SELECT video_name, 'ok' AS status, count(*) FILTER (old <> '') AS attempted, count(*) FILTER (translate(old, '{C.TRADITIONAL}', '{C.SIMPLIFIED}') <> old) AS changed FROM o GROUP BY video_name""", "seg"),

@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from chalkline.functions import config as C
@@ -11,11 +10,11 @@ from chalkline.operators import boundaries as B
 from chalkline.operators import keywords as K
 from chalkline.operators import speakers as P
 from chalkline.operators import stats as S
-from chalkline.operators.alignment import as_of, numbered
+from chalkline.operators.alignment import as_of, contained, numbered
 from chalkline.plans.scan import sharded_scan
 from chalkline.plans.session import materialise
 from chalkline.queries._views import KEEP, with_views
-from chalkline.queries.scalars import VALID, _norm
+from chalkline.queries.scalars import SEGMENT, VALID, _norm
 from chalkline.sources import lecture as L
 from chalkline.sources.tables import table
 
@@ -39,9 +38,7 @@ def _keywords(s, d):
     """Keywords of each topic from the segments that lie wholly in it."""
     t, k = valid_segments(s, d), L.knowledge(s, d)
     counts = K.term_counts(t, ["video_name", "record"], "text")
-    first = k.groupBy("video_name", "start").agg(F.min(F.struct("id", "end")).alias("k")).select("video_name", "start", F.col("k.id").alias("ks"), F.col("k.end").alias("until"))
-    inside = as_of(t.select("video_name", F.col("start").alias("time"), "record", F.col("end").alias("till")), {"k": (first, "start", ["start", "ks", "until"])})
-    inside = inside.where("k.start <= time and till <= k.until").select("video_name", "record", F.col("k.ks").alias("id"))
+    inside = contained(t.withColumnRenamed("record", "id"), k, "video_name").select("video_name", F.col("id").alias("record"), F.col("outer_id").alias("id"))
     per = counts.join(inside, ["video_name", "record"]).groupBy("video_name", "id", "token").agg(F.sum("c").alias("c"))
     return K.keywords(k, ["video_name", "id"], per, K.document_frequency(counts, t, "video_name"), "video_name")
 
@@ -53,8 +50,8 @@ def keywords_topk(s, d):
 def titles(s, d):
     clean = F.filter(F.transform("keywords", lambda x: F.regexp_replace(X.strip(x), r'[<>:"/\\|?*\x00-\x1f]+', "")), lambda x: x != "")
     t = F.array_join(F.slice(clean, 1, 2), "_")
-    w = Window.partitionBy("video_name").orderBy("id")
-    return _keywords(s, d).withColumn("n", F.row_number().over(w)).select("id", F.when(t != "", t).otherwise(F.concat(F.lit("片段"), F.col("n").cast("string"))).alias("title"))
+    k = numbered(L.knowledge(s, d).select("video_name", "start", "id"), "video_name", ["start", "id"], "start").select("id", (F.col("idx") + 1).alias("n"))
+    return _keywords(s, d).join(k, "id").select("id", F.when(t != "", t).otherwise(F.concat(F.lit("片段"), F.col("n").cast("string"))).alias("title"))
 
 
 def shifts(s, d):
@@ -143,12 +140,12 @@ def diarize(s, d, cfg=C.CONFIG):
 
 
 _VAL = f"v0 AS (SELECT video_name, id, \"start\", \"end\", nsp, {_norm('text')} AS text FROM seg), v AS (SELECT * FROM v0 WHERE length(text) >= 5 AND {KEEP})"
-_TOK = f"""{_VAL}, tk0 AS (SELECT video_name, id, unnest(regexp_extract_all(text, '[\\p{{L}}\\p{{N}}_]+')) AS token FROM v), tk AS (SELECT * FROM tk0 WHERE {VALID}),
+_TOK = f"""{_VAL}, {SEGMENT('v', 'video_name, id')}, tk AS (SELECT * FROM tk0 WHERE {VALID}),
 tf AS (SELECT video_name, id, token, count(*) AS c, sum(count(*)) OVER (PARTITION BY video_name, id) AS total FROM tk GROUP BY 1, 2, 3),
 dn AS (SELECT video_name, count(*) AS n FROM v GROUP BY 1),
 df AS (SELECT video_name, token, count(*) AS df, ln((any_value(n) + 1) / (count(*) + 1)) + 1 AS idf FROM tf JOIN dn USING (video_name) GROUP BY 1, 2)"""
 _W = """w0 AS (SELECT video_name, id, token, c / total * idf AS w FROM tf JOIN df USING (video_name, token)), w AS (SELECT video_name, id, token, w / sqrt(sum(w * w) OVER (PARTITION BY video_name, id)) AS w FROM w0)"""
-_KEY = """kk AS (SELECT kno.video_name, kno.id AS ks, v.id FROM v ASOF JOIN (SELECT * FROM kno QUALIFY row_number() OVER (PARTITION BY video_name, "start" ORDER BY id) = 1) kno ON kno.video_name = v.video_name AND v."start" >= kno."start" WHERE v."end" <= kno."end"),
+_KEY = """kk AS (SELECT kno.video_name, kno.id AS ks, v.id FROM v JOIN kno ON kno.video_name = v.video_name AND v."start" >= kno."start" AND v."end" <= kno."end"),
 kc AS (SELECT kk.video_name, ks, token, sum(c) AS c FROM kk JOIN tf ON tf.video_name = kk.video_name AND tf.id = kk.id GROUP BY 1, 2, 3),
 kt AS (SELECT kc.*, idf, coalesce(df, 0) >= 2 AS ok, sum(c) OVER p AS total, bool_or(coalesce(df, 0) >= 2) OVER p AS found FROM kc LEFT JOIN df USING (video_name, token) WINDOW p AS (PARTITION BY video_name, ks)),
 kr AS (SELECT *, row_number() OVER (PARTITION BY ks ORDER BY round(c / total * CASE WHEN ok THEN idf ELSE 1 END, 9) DESC, length(token) DESC, token) AS r FROM kt WHERE ok OR NOT found),
@@ -205,7 +202,7 @@ sp AS (SELECT video_name, fr, until, false AS stop FROM gp WHERE until - fr > 60
       SELECT s.video_name, s.fr, s.until, (SELECT arg_max(a.time, struct_pack(x := a.score, y := -a.time)) FROM a WHERE a.video_name = s.video_name AND a.time BETWEEN s.fr AND s.until) AS b FROM sp s WHERE NOT stop AND s.until - s.fr > 600)))
 SELECT DISTINCT video_name, time FROM (SELECT video_name, round(time, 2) AS time FROM k UNION ALL SELECT video_name, round(fr, 2) FROM sp WHERE NOT stop)"""
 _R = lambda sql: sql.replace("WITH ", "WITH RECURSIVE ", 1)
-_TITLES = """coalesce(nullif(array_to_string(list_filter(list_transform(coalesce(kws, []), lambda x: regexp_replace(trim(x), '[<>:"/\\\\|?*]+', '', 'g')), lambda x: x <> '')[1:2], '_'), ''), '片段' || CAST(row_number() OVER (PARTITION BY video_name ORDER BY id) AS VARCHAR))"""
+_TITLES = """coalesce(nullif(array_to_string(list_filter(list_transform(coalesce(kws, []), lambda x: regexp_replace(trim(x), '[<>:"/\\\\|?*]+', '', 'g')), lambda x: x <> '')[1:2], '_'), ''), '片段' || CAST(row_number() OVER (PARTITION BY video_name ORDER BY "start", id) AS VARCHAR))"""
 
 _SQL = {
     "doc_freq_idf": with_views(f", {_TOK} SELECT video_name, token, df, round(idf, 6) AS idf FROM df", "seg"),
