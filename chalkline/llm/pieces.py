@@ -48,18 +48,20 @@ def safe_cut(b: bytes, at: int, until: int) -> int:
     return before + len(s[: m.start()].encode()) if m else start
 
 
+def own_part(b: bytes, pos: int, begin: int, total: int, size: int, halo_size: int) -> tuple[bytes, bytes]:
+    """What a range owns of a text, from its first safe cut to that of the next range; and the halo before it."""
+    if total <= size:
+        return b, b""
+    first = safe_cut(b, pos - begin, pos - begin + halo_size) if pos else 0
+    end = len(b) if pos + size >= total else safe_cut(b, pos + size - begin, pos + size - begin + halo_size)
+    return b[first:end], b[safe_cut(b, 1, halo_size) if begin else 0 : first]
+
+
 def _range_row(
     c: Counter, b: bytes, pos: int, begin: int, total: int, limit: int, overlap: int, count_all: bool, size: int, halo_size: int
 ) -> tuple:
     """Characters, tokens and cut candidates of the part of a text that a range owns."""
-    last = pos + size >= total
-    if total <= size:
-        own, halo = b, b""
-    else:
-        first = safe_cut(b, pos - begin, pos - begin + halo_size) if pos else 0
-        end = len(b) if last else safe_cut(b, pos + size - begin, pos + size - begin + halo_size)
-        own = b[first:end]
-        halo = b[safe_cut(b, 1, halo_size) if begin else 0 : first]
+    own, halo = own_part(b, pos, begin, total, size, halo_size)
     text = own.decode("utf-8", "replace")
     none: list = []
     if total <= limit:  # no token is shorter than a byte
@@ -81,24 +83,44 @@ def _range_row(
     return n_chars, n_tokens, at_tok[cut].tolist(), at_chr[cut].tolist(), strength[keep].tolist(), at_tok[back].tolist(), at_chr[back].tolist()
 
 
-def _ranges(path: str, *settings):
+def _ranges(path: str, keep_text: bool, *settings):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         c = counter(path)
         for batch in batches:
-            rows = [
-                _range_row(c, *x, *settings)
-                for x in zip(*(batch.column(n).to_pylist() for n in ("b", "pos", "begin", "total")))
-            ]
+            parts = list(zip(*(batch.column(n).to_pylist() for n in ("b", "pos", "begin", "total"))))
+            rows = [_range_row(c, *x, *settings) for x in parts]
             names = ("n_chars", "n_tokens", "tok", "chr", "strength", "o_tok", "o_chr")
             kinds = (pa.int64(), pa.int64(), *[pa.list_(pa.int64())] * 5)
             cols = list(zip(*rows)) or [()] * 7
-            yield pa.RecordBatch.from_arrays(
-                [batch.column("id"), batch.column("pos"), *(pa.array(v, k) for v, k in zip(cols, kinds))], ["id", "pos", *names]
-            )
+            out = [batch.column("id"), batch.column("pos"), batch.column("total"), *(pa.array(v, k) for v, k in zip(cols, kinds))]
+            if keep_text:
+                size, halo = settings[-2:]
+                own = [own_part(*x, size, halo)[0].decode("utf-8", "replace") if r[2] or r[1] or x[3] > size else None for x, r in zip(parts, rows)]
+                out, names = [*out, pa.array(own, pa.string())], (*names, "own")
+            yield pa.RecordBatch.from_arrays(out, ["id", "pos", "total", *names])
 
     return run
 
 
+def byte_ranges(texts: DataFrame, size: int, halo: int) -> DataFrame:
+    """``(id, pos, total, begin, b)`` of texts (id, t): ranges of ``size`` bytes with ``halo`` bytes on both sides.
+
+    A text of one range stays in the task that read it. The ranges of a longer one are
+    spread over all tasks by a shuffle, so that a giant text is no single task; only those are shuffled.
+    """
+    total = F.octet_length("t")
+    zero = F.lit(0)
+    short = texts.where(total <= size).select("id", zero.alias("pos"), total.alias("total"), zero.alias("begin"), F.encode("t", "UTF-8").alias("b"))
+    pos = F.explode(F.sequence(zero, F.col("total") - 1, F.lit(size))).alias("pos")
+    begin = F.greatest(F.col("pos") - halo, zero)
+    part = F.substring(F.col("b"), begin + 1, F.col("pos") - begin + size + halo)
+    long = texts.where(total > size).select("id", total.alias("total"), F.encode("t", "UTF-8").alias("b")).select("id", "total", "b", pos)
+    # a stated number: counting tokens costs far more than the bytes by which small partitions would be put together
+    n = int(texts.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    spread = long.select("id", "pos", "total", begin.alias("begin"), part.alias("b")).repartition(n, "id", "pos")
+    return short.unionByName(spread)
+
+
 def cut_pieces(
     texts: DataFrame,
     record: str,
@@ -109,6 +131,7 @@ def cut_pieces(
     whole: bool = False,
     range_bytes: int = RANGE_BYTES,
     halo_bytes: int = HALO_BYTES,
+    with_text: bool = False,
 ) -> DataFrame:
     """``(record, piece_no, start_char, end_char, n_tokens)`` of each text over ``limit`` tokens.
 
@@ -118,35 +141,32 @@ def cut_pieces(
     line, sentence, clause, word) in the last SLACK tokens before its place is full, the
     latest of equals; in a word only where the word alone is longer. No piece exceeds
     ``limit``. Offsets count code points. With ``whole`` texts within the limit come too,
-    as one piece. Null texts and ids are left out, an empty text has 0 tokens and, with
-    ``whole``, one empty piece. Ids should be unique; rows that share one are undefined.
-
-    A text is read as ranges of ``range_bytes`` with a halo on both sides, so a worker never
-    holds a whole large text; range totals are added up by a prefix sum, which places every
-    candidate boundary in the whole text. The cut at the k-th place depends on the
-    boundaries near it alone, not on the cut before, so a giant text's cuts are found in parallel.
+    as one piece. With ``with_text`` each piece also has its text. Null texts and ids are left out, an
+    empty text has 0 tokens and, with ``whole``, one empty piece. Ids should be unique; rows that share one are undefined.
+
+    A text is read as ranges of ``range_bytes`` with a halo on both sides, which are spread over
+    the tasks, so no worker holds or counts a whole large text; range totals are added up by a prefix sum
+    over one slim row a range, which places every candidate boundary in the whole text. The cut at the k-th
+    place depends on the boundaries near it alone, not on the cut before, so a giant text's cuts are found in
+    parallel. A piece's text is put together from the ranges that it touches.
     """
     room = limit - SLACK - GUARD - (overlap + LARGE if overlap else 0)
     if room < SLACK:
         raise ValueError(f"a limit of {limit} with an overlap of {overlap} leaves no room")
-    total = F.octet_length("b")
-    docs = texts.select(F.col(record).alias("id"), F.encode(F.col(text), "UTF-8").alias("b")).where("id is not null and b is not null")
+    docs = texts.select(F.col(record).alias("id"), F.col(text).alias("t")).where("id is not null and t is not null")
     if not whole:
-        docs = docs.where(total > limit)  # no token is shorter than a byte
-    pos = F.explode(F.sequence(F.lit(0), F.greatest(total - 1, F.lit(0)), F.lit(range_bytes))).alias("pos")
-    begin = F.greatest(F.col("pos") - halo_bytes, F.lit(0))
-    ranges = docs.select("id", "b", total.alias("total"), pos).select(
-        "id", "pos", "total", begin.alias("begin"),
-        F.when(F.col("total") <= range_bytes, F.col("b"))
-        .otherwise(F.substring(F.col("b"), begin + 1, F.col("pos") - begin + range_bytes + halo_bytes)).alias("b"),
-    )
+        docs = docs.where(F.octet_length("t") > limit)  # no token is shorter than a byte
+    ranges = byte_ranges(docs, range_bytes, halo_bytes)
     longs = T.ArrayType(T.LongType())
-    schema = T.StructType().add("id", docs.schema["id"].dataType).add("pos", T.IntegerType())
+    schema = T.StructType().add("id", docs.schema["id"].dataType).add("pos", T.IntegerType()).add("total", T.IntegerType())
     for n, k in (("n_chars", T.LongType()), ("n_tokens", T.LongType()), *((n, longs) for n in ("tok", "chr", "strength", "o_tok", "o_chr"))):
         schema = schema.add(n, k)
-    counted = ranges.mapInArrow(_ranges(tokenizer, limit, overlap, whole, range_bytes, halo_bytes), schema)
+    if with_text:
+        schema = schema.add("own", T.StringType())
+    counted = ranges.mapInArrow(_ranges(tokenizer, with_text, limit, overlap, whole, range_bytes, halo_bytes), schema)
+    one = F.col("total") <= range_bytes
     if not whole:
-        counted = counted.where((F.size("tok") > 0) | (F.col("n_tokens") > limit))
+        counted = counted.where(~one | (F.size("tok") > 0) | (F.col("n_tokens") > limit))
 
     counted = materialise(counted)  # read more than once below; tokens are counted once
 
@@ -154,10 +174,12 @@ def cut_pieces(
     before = w.rowsBetween(Window.unboundedPreceding, -1)
     doc = Window.partitionBy("id")
     zero = F.lit(0).cast("bigint")
-    placed = counted.withColumns({
+    sums = counted.where(~one).select("id", "pos", "n_tokens", "n_chars").withColumns({
         "tok0": F.coalesce(F.sum("n_tokens").over(before), zero), "chr0": F.coalesce(F.sum("n_chars").over(before), zero),
         "all_tok": F.sum("n_tokens").over(doc), "all_chr": F.sum("n_chars").over(doc),
-    })
+    }).drop("n_tokens", "n_chars")
+    alone = counted.where(one).withColumns({"tok0": zero, "chr0": zero, "all_tok": F.col("n_tokens"), "all_chr": F.col("n_chars")})
+    placed = alone.unionByName(counted.where(~one).join(sums, ["id", "pos"]))
     large = placed.where(F.col("all_tok") > limit)
     cand = F.explode(F.arrays_zip("tok", "chr", "strength", "o_tok", "o_chr")).alias("c")
     candidates = large.select("id", "all_tok", "all_chr", "tok0", "chr0", cand).select(
@@ -193,10 +215,24 @@ def cut_pieces(
             "id", F.lit(0).alias("piece_no"), zero.alias("start_char"), F.col("all_chr").alias("end_char"), F.col("all_tok").alias("n_tokens")
         )
         numbered = numbered.unionByName(small)
+    if with_text:
+        numbered = _texts(numbered, placed.select("id", "pos", "chr0", "n_chars", "own"), range_bytes)
     return numbered.withColumnRenamed("id", record)
 
 
-def with_text(pieces: DataFrame, texts: DataFrame, record: str, text: str) -> DataFrame:
-    """The pieces with their text, cut by offset."""
-    part = F.substring(F.col("_t"), (F.col("start_char") + 1).cast("int"), (F.col("end_char") - F.col("start_char")).cast("int"))
-    return pieces.join(texts.select(record, F.col(text).alias("_t")), record).withColumn("text", part).drop("_t")
+def _texts(pieces: DataFrame, ranges: DataFrame, size: int) -> DataFrame:
+    """The pieces with column text, joined from the parts of the ranges (id, pos, chr0, n_chars, own) they touch.
+
+    Pieces and ranges meet in blocks of ``size`` characters, of which either touches a few, so neither
+    a whole text nor all pieces of one come to one task; each pair is kept in the block where it begins.
+    """
+    block = lambda c: F.floor(c / size)
+    a, b = F.col("start_char"), F.greatest(F.col("end_char") - 1, F.col("start_char"))
+    p = pieces.withColumn("_b", F.explode(F.sequence(block(a), block(b))))
+    c, d = F.col("chr0"), F.greatest(F.col("chr0") + F.col("n_chars") - 1, F.col("chr0"))
+    r = ranges.withColumn("_b", F.explode(F.sequence(block(c), block(d))))
+    lo, hi = F.greatest("start_char", "chr0"), F.least(F.col("end_char"), F.col("chr0") + F.col("n_chars"))
+    met = p.join(r, ["id", "_b"]).where(((lo < hi) | (F.col("n_tokens") == 0)) & (block(lo) == F.col("_b")))
+    part = F.substring("own", (lo - F.col("chr0") + 1).cast("int"), (hi - lo).cast("int"))
+    joined = F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("pos", part.alias("t")))), lambda x: x["t"]), "")
+    return met.groupBy("id", "piece_no", "start_char", "end_char", "n_tokens").agg(joined.alias("text"))

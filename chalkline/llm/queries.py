@@ -9,7 +9,7 @@ from chalkline.llm.containers import fill_containers
 from chalkline.llm.labels import label_roles, normal_label_col
 from chalkline.llm.leaks import find_leaks
 from chalkline.llm.nearest import nearest_in_time
-from chalkline.llm.pieces import cut_pieces, with_text
+from chalkline.llm.pieces import cut_pieces
 from chalkline.llm.runs import collapse_runs
 from chalkline.llm.scans import repair
 from chalkline.llm.splits import assign_groups, components, recording_key_col
@@ -135,16 +135,12 @@ def p9_found(spark: SparkSession, folder: str) -> DataFrame:
     return p9_leaks(spark, folder).select("doc_id", "item_id")
 
 
-def _pieces(spark: SparkSession, folder: str) -> DataFrame:
-    return cut_pieces(table(spark, folder, "documents"), "doc_id", "text", 1500, overlap=100)
-
-
 def p10_pieces(spark: SparkSession, folder: str) -> DataFrame:
-    return with_text(_pieces(spark, folder), table(spark, folder, "documents"), "doc_id", "text")
+    return cut_pieces(table(spark, folder, "documents"), "doc_id", "text", 1500, overlap=100, with_text=True)
 
 
 def p10_found(spark: SparkSession, folder: str) -> DataFrame:
-    return _pieces(spark, folder).select("doc_id").distinct()
+    return cut_pieces(table(spark, folder, "documents"), "doc_id", "text", 1500, overlap=100).select("doc_id").distinct()
 
 
 _LATEST = "(SELECT * FROM {t} QUALIFY row_number() OVER (PARTITION BY {k} ORDER BY ingested_at DESC NULLS LAST) = 1)"

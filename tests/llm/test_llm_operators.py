@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from chalkline.llm import labels, leaks, splits, turns
 from chalkline.llm.containers import fill_containers, plan_containers
 from chalkline.llm.nearest import nearest_in_time
-from chalkline.llm.pieces import cut_pieces, with_text
+from chalkline.llm.pieces import byte_ranges, cut_pieces
 from chalkline.llm.runs import collapse_runs
 from chalkline.llm.scans import repair
 from chalkline.llm.tokens import DEFAULT_TOKENIZER, counter
@@ -158,7 +158,7 @@ def test_pieces(spark):
     texts |= {90: "", 91: "y" * 30_000, 92: "字" * 20_000, 93: " " * 9000, 94: "word " * 20_000}
     df = spark.createDataFrame([(i, t, 1, 2) for i, t in texts.items()] + [(95, None, 1, 2), (None, "lost " * 3000, 1, 2)], "doc long, text string, id int, pos int")
     for limit, overlap, size, halo in ((600, 50, 3000, 900), (1500, 100, 65_536, 8192)):
-        got = with_text(cut_pieces(df, "doc", "text", limit, overlap, range_bytes=size, halo_bytes=halo), df, "doc", "text").orderBy("doc", "piece_no").collect()
+        got = cut_pieces(df, "doc", "text", limit, overlap, range_bytes=size, halo_bytes=halo, with_text=True).orderBy("doc", "piece_no").collect()
         by = {}
         for r in got:
             by.setdefault(r.doc, []).append(r)
@@ -263,3 +263,25 @@ def test_repair(spark):
     assert rows(found.where("id = 7"), "line_no", "kind") == [(1, "header"), (7, "page_number")]
     empty_found, empty_text = repair(df.where("false"), "id", "rec", "norm")
     assert empty_found.count() == 0 and empty_text.count() == 0
+
+
+def test_ranges_of_a_giant_text_are_spread(spark):
+    from pyspark.sql import functions as F
+
+    df = spark.range(1).select(F.col("id"), F.expr("repeat('One sentence, and another one. ', 650000)").alias("t")).unionByName(spark.createDataFrame([(5, "short")], "id long, t string"))
+    got = byte_ranges(df, 65_536, 64).select("id", F.length("b").alias("n"), F.spark_partition_id().alias("p")).groupBy("id", "p").agg(F.count("*").alias("n")).collect()
+    giant = [r["n"] for r in got if r["id"] == 0]
+    assert sum(giant) == -(-20_150_000 // 65_536) and len(giant) >= 4 and max(giant) <= sum(giant) / 2
+    assert sum(r["n"] for r in got if r["id"] == 5) == 1
+
+
+def test_pieces_of_a_giant_text_have_its_text(spark):
+    from pyspark.sql import functions as F
+
+    df = spark.range(1).select(F.lit(1).alias("doc"), F.expr("concat_ws(' ', transform(sequence(1, 200000), x -> concat('Satz ', x, '，好。')))").alias("text"))
+    whole = df.first()["text"]
+    rows = cut_pieces(df, "doc", "text", 1500, 100, with_text=True).orderBy("piece_no").collect()
+    assert rows[0]["start_char"] == 0 and rows[-1]["end_char"] == len(whole)
+    for a, b in zip(rows, rows[1:]):
+        assert a["start_char"] < b["start_char"] <= a["end_char"] < b["end_char"]
+    assert all(r["text"] == whole[r["start_char"] : r["end_char"]] and r["n_tokens"] <= 1500 for r in rows)
