@@ -7,16 +7,18 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from chalkline.llm.pieces import safe_cut
+from chalkline.llm.pieces import byte_ranges, own_bounds
 from chalkline.plans.session import materialise
 
 #: Units (words, or letters and digits) of a shingle, and the odd multiplier of all hashes.
 WORDS_PER_SHINGLE, CHARS_PER_SHINGLE = 5, 8
 _MULTIPLIER = np.uint64(0x9E3779B97F4A7C15)
+#: Windows of an item that travel together, and shingles of items looked up in one reading of the documents (8 bytes each).
+CHUNK, MOST_SHARED = 4096, 1_000_000
 #: Bits of the table that a hash must hit before it is looked up.
 _SIEVE_BITS = 22
 
@@ -100,23 +102,22 @@ def units_of(text: str, words: bool) -> np.ndarray:
     return word_units(f) if words else char_units(f)
 
 
-def _item_shingles(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """One row per item and place: the shingle that starts there."""
-    for batch in batches:
-        out: dict[str, list] = {n: [] for n in ("item", "words", "place", "h", "n_units")}
-        for item, words, text in zip(*(batch.column(n).to_pylist() for n in ("item", "words", "text"))):
-            units = units_of(text, words)
-            h = _rolling(units, WORDS_PER_SHINGLE if words else CHARS_PER_SHINGLE).view(np.int64)
-            out["item"] += [item] * len(h)
-            out["words"] += [words] * len(h)
-            out["place"] += range(len(h))
-            out["h"] += h.tolist()
-            out["n_units"] += [len(units)] * len(h)
-        yield pa.RecordBatch.from_arrays(
-            [pa.array(out["item"], batch.column("item").type), pa.array(out["words"], pa.bool_()), pa.array(out["place"], pa.int32()),
-             pa.array(out["h"], pa.int64()), pa.array(out["n_units"], pa.int32())],
-            ["item", "words", "place", "h", "n_units"],
-        )
+def _chunks(span: dict[bool, int]):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """The shingles of each item in rows of CHUNK windows: item number, words, place of the first, hashes."""
+        for batch in batches:
+            out: list[tuple] = []
+            for no, words, text in zip(*(batch.column(n).to_pylist() for n in ("no", "words", "text"))):
+                h = _rolling(units_of(text, words), WORDS_PER_SHINGLE if words else CHARS_PER_SHINGLE).view(np.int64)
+                for first in range(0, len(h) - span[words] + 1, CHUNK):
+                    out.append((no, words, first, h[first : first + CHUNK + span[words] - 1]))
+            no, words, first, h = zip(*out) if out else ((), (), (), ())
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(no, pa.int64()), pa.array(words, pa.bool_()), pa.array(first, pa.int64()), pa.array(h, pa.list_(pa.int64()))],
+                ["no", "words", "first", "h"],
+            )
+
+    return run
 
 
 def _sieve(hashes: np.ndarray) -> np.ndarray:
@@ -125,68 +126,115 @@ def _sieve(hashes: np.ndarray) -> np.ndarray:
     return table
 
 
-def _hits(shared, size: int, halo: int) -> object:
+def _hits(shared, size: int, halo: int, span: dict[bool, int]):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """Rows (doc, pos, words, place, h) for the shingles of a range that some item has.
-
-        A range of a long text also yields its number of units, as a row without h.
-        """
-        wanted = [(words, n, np.sort(h), _sieve(h)) for words, n, h in shared.value if len(h)]
+        """One row per range and kind with shingles of items: the units it owns, the shingles' places and their numbers."""
+        wanted = [(words, n, keys, _sieve(keys)) for words, n, keys in shared.value if len(keys)]
         for batch in batches:
-            ids, pos = batch.column("doc"), batch.column("pos")
-            row, kind, place, value, known = [], [], [], [], []
-            for k, (b, at, begin, total) in enumerate(zip(*(batch.column(n).to_pylist() for n in ("b", "pos", "begin", "total")))):
+            row, out = [], []
+            for k, (b, pos, begin, total) in enumerate(zip(*(batch.column(n).to_pylist() for n in ("b", "pos", "begin", "total")))):
                 own, text = None, b
                 if total > size:
-                    first = safe_cut(b, at - begin, at - begin + halo) if at else 0
-                    end = len(b) if at + size >= total else safe_cut(b, at + size - begin, at + size - begin + halo)
+                    first, end = own_bounds(b, pos, begin, total, size, halo)
                     own, text = b[first:end], b[first : end + halo]
                 f = fold(text.decode("utf-8", "ignore"))
-                mine = fold(own.decode("utf-8", "ignore")) if own is not None else f
-                for words, n, hashes, sieve in wanted:
+                mine = f if own is None else fold(own.decode("utf-8", "ignore"))
+                for words, n, keys, sieve in wanted:
                     units = word_units if words else char_units
                     h = _rolling(units(f), n)
-                    if own is not None:
-                        count = len(units(mine))
-                        h = h[:count]
-                        row.append(np.full(1, k))
-                        kind.append(np.full(1, words))
-                        place.append(np.full(1, count))
-                        value.append(np.zeros(1, np.int64))
-                        known.append(np.zeros(1, bool))
+                    count = len(h) if own is None else len(units(mine))
+                    h = h[: count + span[words] - 1]
                     spot = np.flatnonzero(sieve[(h >> np.uint64(64 - _SIEVE_BITS)).astype(np.int64)])
                     if len(spot):
                         found = h[spot].view(np.int64)
-                        spot = spot[hashes[np.minimum(np.searchsorted(hashes, found), len(hashes) - 1)] == found]
+                        of = np.minimum(np.searchsorted(keys, found), len(keys) - 1)
+                        same = keys[of] == found
+                        spot, of = spot[same], of[same]
                     if len(spot):
-                        row.append(np.full(len(spot), k))
-                        kind.append(np.full(len(spot), words))
-                        place.append(spot)
-                        value.append(h[spot].view(np.int64))
-                        known.append(np.ones(len(spot), bool))
-            if row:
-                r = pa.array(np.concatenate(row))
+                        row.append(k)
+                        out.append((words, count, spot.astype(np.int32).tobytes(), of.astype(np.int32).tobytes()))
+            if out:
+                words, count, at, of = zip(*out)
                 yield pa.RecordBatch.from_arrays(
-                    [ids.take(r), pos.take(r), pa.array(np.concatenate(kind)), pa.array(np.concatenate(place), pa.int64()),
-                     pa.array(np.concatenate(value), mask=~np.concatenate(known))],
-                    ["doc", "pos", "words", "place", "h"],
+                    [batch.column("id").take(pa.array(row)), pa.array(words, pa.bool_()), pa.array(count, pa.int64()), pa.array(at, pa.binary()), pa.array(of, pa.binary())],
+                    ["doc", "words", "own", "at", "of"],
                 )
 
     return run
 
 
-def byte_ranges(texts: DataFrame, record: str, text: str, size: int, halo: int) -> DataFrame:
-    """``(doc, pos, total, begin, b)``: each text as ranges of ``size`` bytes with ``halo`` bytes on both sides; one if it is shorter."""
-    total = F.octet_length("b")
-    docs = texts.select(F.col(record).alias("doc"), F.encode(F.col(text), "UTF-8").alias("b")).where("doc is not null and b is not null")
-    pos = F.explode(F.sequence(F.lit(0), F.greatest(total - 1, F.lit(0)), F.lit(size))).alias("pos")
-    begin = F.greatest(F.col("pos") - halo, F.lit(0))
-    part = F.when(F.col("total") <= size, F.col("b")).otherwise(F.substring(F.col("b"), begin + 1, F.col("pos") - begin + size + halo))
-    return docs.select("doc", "b", total.alias("total"), pos).select("doc", "pos", "total", begin.alias("begin"), part.alias("b"))
+def _counts(sizes: dict[bool, int]):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """How often a task has met each shingle: one row per shingle and task."""
+        often = {w: np.zeros(n, np.int64) for w, n in sizes.items()}
+        for batch in batches:
+            for words, of in zip(batch.column("words").to_pylist(), batch.column("of").to_pylist()):
+                often[words] += np.bincount(np.frombuffer(of, np.int32), minlength=sizes[words])
+        for words, n in often.items():
+            of = np.flatnonzero(n)
+            yield pa.RecordBatch.from_arrays([pa.array(np.full(len(of), words)), pa.array(of, pa.int64()), pa.array(n[of], pa.int64())], ["words", "of", "n"])
+
+    return run
+
+
+def _prefixes(chunks: list[tuple[int, int, np.ndarray]], often: np.ndarray, span: int) -> tuple[np.ndarray, ...]:
+    """Every window of the chunks (item, first place, shingle numbers) by its rarest shingle, the first of equals.
 
+    A shingle that no document has rules out the windows that hold it. Arrays in order of the rarest
+    shingle: its number, its place in the window, the item, the window's start, and where its
+    shingles begin in the chunks laid end to end; and these.
+    """
+    every, at = [np.zeros((0, 5), np.int64)], 0
+    for no, first, seq in chunks:
+        view = np.lib.stride_tricks.sliding_window_view(often[seq], span)
+        rarest = view.argmin(1)
+        start = np.arange(len(view))
+        rows = np.stack([seq[start + rarest], rarest, np.full(len(view), no), first + start, at + start], 1)
+        every.append(rows[view.min(1) > 0])
+        at += len(seq)
+    rows = np.concatenate(every)
+    rows = rows[np.argsort(rows[:, 0], kind="stable")]
+    laid = np.concatenate([seq for _, _, seq in chunks]) if chunks else np.zeros(0, np.int32)
+    return (*(np.ascontiguousarray(rows[:, k]) for k in range(5)), laid.astype(np.int32))
+
+
+def _verified(shared, span: dict[bool, int], block: int = 100_000):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Rows (doc, no, start): windows of items all of whose shingles stand in the document at their places."""
+        tables = shared.value
+        for batch in batches:
+            row, item, begins = [], [], []
+            for k, (words, own, at, of) in enumerate(zip(*(batch.column(n).to_pylist() for n in ("words", "own", "at", "of")))):
+                key, shift, no, start, offset, laid = tables[words]
+                at, of, n = np.frombuffer(at, np.int32), np.frombuffer(of, np.int32), span[words]
+                lo, hi = np.searchsorted(key, of, "left"), np.searchsorted(key, of, "right")
+                ends = np.cumsum(hi - lo)
+                seen = []
+                # the pairs of a hit and a window with that prefix, in blocks
+                for begin in range(0, int(ends[-1]), block):
+                    pair = np.arange(begin, min(begin + block, int(ends[-1])))
+                    i = np.searchsorted(ends, pair, "right")
+                    w = lo[i] + pair - (ends[i] - (hi - lo)[i])
+                    i = i - shift[w]  # where the window's first shingle must stand
+                    ok = (i >= 0) & (i + n <= len(at))
+                    i, w = i[ok], w[ok]
+                    ok = (at[i] < own) & (at[i + n - 1] - at[i] == n - 1)
+                    i, w = i[ok], w[ok]
+                    same = np.ones(len(i), bool)
+                    for j in range(n):
+                        same &= of[i + j] == laid[offset[w] + j]
+                    seen.append(w[same])
+                if seen:
+                    w = np.unique(np.concatenate(seen))
+                    row.append(np.full(len(w), k))
+                    item.append(no[w])
+                    begins.append(start[w])
+            if row:
+                yield pa.RecordBatch.from_arrays(
+                    [batch.column("doc").take(pa.array(np.concatenate(row))), pa.array(np.concatenate(item)), pa.array(np.concatenate(begins))], ["doc", "no", "start"]
+                )
 
-#: Item shingles travel to the workers up to this many (8 bytes each); more are joined in parts.
-MOST_SHARED = 4_000_000
+    return run
 
 
 def find_leaks(
@@ -201,6 +249,7 @@ def find_leaks(
     least_chars: int = 24,
     range_bytes: int = 1 << 20,
     halo_bytes: int = 8192,
+    most_shared: int = MOST_SHARED,
 ) -> DataFrame:
     """``(doc, item, n_units)``: each pair where the document contains a passage of the item.
 
@@ -211,84 +260,61 @@ def find_leaks(
     texts are left out, a null ``words`` counts as false, items shorter than a passage
     match nothing. Repeated rows of documents or items count once; an id with several texts has the passages of
     each of them, and none across two. Whole texts are read, of any length: one over
-    ``range_bytes`` as ranges with a halo, whose places are put together by a prefix sum.
-
-    A set join with a prefix filter: every window of an item is the set of its shingles;
-    a document that contains it has them all, so in particular the rarest. Shingles that
-    occur in any item are first found in all documents and counted; each window is then
-    joined by its rarest shingle alone (its prefix), the place of the hit bounds where the
-    window must start, and the window is verified exactly: all its shingles at their places,
-    counted in one grouping. Shingles are compared as 64-bit hashes.
+    ``range_bytes`` as ranges, spread over the tasks, each with a halo that must hold a passage; runs of white space
+    and punctuation are made one space there first, so that they take no room in it.
+
+    A set join with a prefix filter: every window of an item is the set of its shingles; a document that
+    contains it has them all, so in particular the rarest. The documents are read once, and the places of shingles
+    that some item has are kept, a row a document. They are counted, partial in the tasks, which orders the shingles by
+    rarity. Each window is then looked up by its rarest shingle alone (its prefix), whose place bounds where the window
+    must start, and all its shingles are verified at their places, in the task that holds the document: no pair of
+    document and shingle is shuffled, so a shingle that half the documents have is no hot key. Shingles are compared as 64-bit hashes.
+
+    Items travel to the tasks by broadcast, bounded by ``most_shared`` shingles; items with more are searched in parts
+    of that size, each with a reading of its own, whose broadcasts are released when its matches are written.
     """
     spark = documents.sparkSession
-    # inside, a text is known by its id and its hash, so that texts of one id stay apart
+    span = {True: least_words - WORDS_PER_SHINGLE + 1, False: least_chars - CHARS_PER_SHINGLE + 1}
+    length = {True: WORDS_PER_SHINGLE, False: CHARS_PER_SHINGLE}
+    if min(span.values()) < 1:
+        raise ValueError(f"a passage must have at least {WORDS_PER_SHINGLE} words or {CHARS_PER_SHINGLE} letters")
     texts = items.select(
-        F.struct(F.col(item).alias("id"), F.xxhash64(F.col(item_text)).alias("of")).alias("item"), F.coalesce(F.col(words), F.lit(False)).alias("words"), F.col(item_text).alias("text")
-    ).where("item.id is not null and text is not null").distinct()
-    item_type = texts.schema["item"].dataType
-    schema = (
-        T.StructType().add("item", item_type).add("words", T.BooleanType()).add("place", T.IntegerType())
-        .add("h", T.LongType()).add("n_units", T.IntegerType())
-    )
-    shingles = materialise(texts.mapInArrow(_item_shingles, schema))
+        F.col(item).alias("item"), F.coalesce(F.col(words), F.lit(False)).alias("words"), F.col(item_text).alias("text")
+    ).where("item is not null and text is not null").distinct()
+    numbered = materialise(texts.withColumn("no", F.monotonically_increasing_id()))
+    schema = T.StructType().add("no", T.LongType()).add("words", T.BooleanType()).add("first", T.LongType()).add("h", T.ArrayType(T.LongType()))
+    chunks = materialise(numbered.select("no", "words", "text").mapInArrow(_chunks(span), schema))
     whole = documents.where(F.col(doc).isNotNull() & F.col(doc_text).isNotNull())
-    named = whole.select(F.struct(F.col(doc).alias("id"), F.xxhash64(F.col(doc_text)).alias("of")).alias("doc"), F.col(doc_text).alias("text"))
-    docs = byte_ranges(named, "doc", "text", range_bytes, halo_bytes)
-    hit_schema = (
-        T.StructType().add("doc", docs.schema["doc"].dataType).add("pos", T.IntegerType())
-        .add("words", T.BooleanType()).add("place", T.LongType()).add("h", T.LongType())
-    )
-    # the items' shingles in parts of bounded size, one as a rule; each part sees all documents
-    distinct = shingles.select("words", "h").distinct()
-    parts = max(1, -(-distinct.count() // MOST_SHARED))
-    hits = None
-    for k in range(parts):
-        mine = distinct.where(F.pmod(F.xxhash64("h"), F.lit(parts)) == k).toPandas()
-        shared = spark.sparkContext.broadcast([
-            (w, n, mine.loc[mine["words"] == w, "h"].to_numpy(np.int64)) for w, n in ((True, WORDS_PER_SHINGLE), (False, CHARS_PER_SHINGLE))
-        ])
-        found = docs.mapInArrow(_hits(shared, range_bytes, halo_bytes), hit_schema)
-        hits = found if hits is None else hits.unionByName(found)
-    hits = materialise(hits)
-    # where each range of a long text starts, in units
-    w = Window.partitionBy("doc", "words").orderBy("pos").rowsBetween(Window.unboundedPreceding, -1)
-    starts = hits.where("h is null").distinct().withColumn("before", F.sum("place").over(w)).select("doc", "words", "pos", "before")
-    hits = hits.where("h is not null").join(starts, ["doc", "words", "pos"], "left").select(
-        "doc", "words", (F.col("place") + F.coalesce("before", F.lit(0))).alias("place"), "h"
-    )
-
-    # the rarest shingle of each window; its first place among equals
-    often = hits.groupBy("words", "h").agg(F.count("*").alias("often"))
-    ranked = shingles.join(often, ["words", "h"], "left").withColumn("often", F.coalesce("often", F.lit(0)))
-    span = F.when(F.col("words"), least_words - WORDS_PER_SHINGLE + 1).otherwise(least_chars - CHARS_PER_SHINGLE + 1)
-    size = F.when(F.col("words"), least_words).otherwise(least_chars)
-    starts = F.explode(F.sequence(F.greatest(F.col("place") - span + 1, F.lit(0)), F.col("place")))
-    windows = (
-        ranked.withColumn("start", starts)
-        .where(F.col("start") + size <= F.col("n_units"))
-        .groupBy("item", "words", "start")
-        .agg(F.min(F.struct("often", "place", "h")).alias("p"), F.count("*").alias("n"))
-        .where("p.often > 0")  # a shingle that no document has rules the window out
-        .select("item", "words", "start", (F.col("p.place") - F.col("start")).alias("shift"), F.col("p.h").alias("h"))
-    )
-    # candidates: where a window would start in a document, by its prefix
-    candidates = (
-        hits.join(windows, ["words", "h"])
-        .select("doc", "item", "words", "start", (F.col("place") - F.col("shift")).alias("at"))
-        .where("at >= 0")
-        .distinct()  # a repeated document has each of its hits again
-    )
-    # exact containment: every shingle of the window at its place
-    members = shingles.select("item", "words", F.col("place").alias("p"), "h")
-    wanted = F.explode(F.sequence(F.col("start"), F.col("start") + span - 1)).alias("p")
-    needed = candidates.select("doc", "item", "words", "start", "at", wanted).join(members, ["item", "words", "p"])
-    verified = (
-        needed.select("doc", "item", "words", "start", "at", (F.col("at") + F.col("p") - F.col("start")).alias("place"), "h")
-        .join(hits, ["doc", "words", "place", "h"], "left_semi")
-        .groupBy("doc", "item", "words", "start", "at")
-        .agg(F.count("*").alias("n"))
-        .where(F.col("n") == span)
-    )
-    return verified.groupBy(F.col("doc.id").alias(doc), F.col("item.id").alias(item)).agg(
-        F.count_distinct("item.of", "words", "start").alias("n_units")
-    )
+    plain = F.regexp_replace(F.regexp_replace(F.col(doc_text), r"\p{Cf}+", ""), r"[\s\p{Z}\p{P}\p{Cc}]{2,}", " ")
+    long = F.octet_length(F.col(doc_text)) > range_bytes
+    # inside, a text is known by its id and its hash, so that texts of one id stay apart
+    named = whole.select(F.struct(F.col(doc).alias("id"), F.xxhash64(F.col(doc_text)).alias("of")).alias("id"), F.when(long, plain).otherwise(F.col(doc_text)).alias("t"))
+    docs = byte_ranges(named, range_bytes, halo_bytes)
+    doc_type = docs.schema["id"].dataType
+    hit_schema = T.StructType().add("doc", doc_type).add("words", T.BooleanType()).add("own", T.LongType()).add("at", T.BinaryType()).add("of", T.BinaryType())
+    total = chunks.agg(F.sum(F.size("h"))).first()[0] or 0
+    parts = max(1, -(-total // most_shared))
+    found = None
+    for part in range(parts):
+        mine = chunks.where(F.pmod(F.xxhash64("no", "first"), F.lit(parts)) == part).toArrow()  # about most_shared shingles
+        rows = list(zip(*(mine[n].to_pylist() for n in ("no", "words", "first")), (np.asarray(h.values) for h in mine["h"])))
+        keys = {w: np.unique(np.concatenate([np.zeros(0, np.int64), *(h for _, x, _, h in rows if x == w)])) for w in span}
+        shared = spark.sparkContext.broadcast([(w, length[w], keys[w]) for w in span])
+        hits = materialise(docs.mapInArrow(_hits(shared, range_bytes, halo_bytes, span), hit_schema))
+        shared.unpersist()
+        met = hits.select("words", "of").mapInArrow(_counts({w: len(k) for w, k in keys.items()}), "words boolean, of long, n long")
+        often = {w: np.zeros(len(k), np.int64) for w, k in keys.items()}
+        for x in met.groupBy("words", "of").agg(F.sum("n").alias("n")).toArrow().to_batches():  # at most a row a shingle of the part
+            w, of, n = (x.column(c).to_numpy(zero_copy_only=False) for c in ("words", "of", "n"))
+            for kind in span:
+                often[kind][of[w == kind]] = n[w == kind]
+        tables = spark.sparkContext.broadcast(
+            {w: _prefixes([(no, first, np.searchsorted(keys[w], h)) for no, x, first, h in rows if x == w], often[w], span[w]) for w in span}
+        )
+        one = materialise(hits.mapInArrow(_verified(tables, span), T.StructType().add("doc", doc_type).add("no", T.LongType()).add("start", T.LongType())))
+        tables.unpersist()
+        found = one if found is None else found.unionByName(one)
+    distinct = found.select(F.col("doc.id").alias("_doc"), "no", "start").distinct()
+    return distinct.groupBy("_doc", "no").agg(F.count("*").alias("n")).join(numbered.select("no", "item"), "no").groupBy(
+        F.col("_doc").alias(doc), F.col("item").alias(item)
+    ).agg(F.sum("n").alias("n_units"))

@@ -48,20 +48,20 @@ def safe_cut(b: bytes, at: int, until: int) -> int:
     return before + len(s[: m.start()].encode()) if m else start
 
 
-def own_part(b: bytes, pos: int, begin: int, total: int, size: int, halo_size: int) -> tuple[bytes, bytes]:
-    """What a range owns of a text, from its first safe cut to that of the next range; and the halo before it."""
+def own_bounds(b: bytes, pos: int, begin: int, total: int, size: int, halo_size: int) -> tuple[int, int]:
+    """Where in its bytes the part lies that a range owns: from its first safe cut to that of the next range."""
     if total <= size:
-        return b, b""
+        return 0, len(b)
     first = safe_cut(b, pos - begin, pos - begin + halo_size) if pos else 0
-    end = len(b) if pos + size >= total else safe_cut(b, pos + size - begin, pos + size - begin + halo_size)
-    return b[first:end], b[safe_cut(b, 1, halo_size) if begin else 0 : first]
+    return first, len(b) if pos + size >= total else safe_cut(b, pos + size - begin, pos + size - begin + halo_size)
 
 
 def _range_row(
     c: Counter, b: bytes, pos: int, begin: int, total: int, limit: int, overlap: int, count_all: bool, size: int, halo_size: int
 ) -> tuple:
     """Characters, tokens and cut candidates of the part of a text that a range owns."""
-    own, halo = own_part(b, pos, begin, total, size, halo_size)
+    first, end = own_bounds(b, pos, begin, total, size, halo_size)
+    own, halo = b[first:end], b[safe_cut(b, 1, halo_size) if begin else 0 : first]
     text = own.decode("utf-8", "replace")
     none: list = []
     if total <= limit:  # no token is shorter than a byte
@@ -95,7 +95,7 @@ def _ranges(path: str, keep_text: bool, *settings):
             out = [batch.column("id"), batch.column("pos"), batch.column("total"), *(pa.array(v, k) for v, k in zip(cols, kinds))]
             if keep_text:
                 size, halo = settings[-2:]
-                own = [own_part(*x, size, halo)[0].decode("utf-8", "replace") if r[2] or r[1] or x[3] > size else None for x, r in zip(parts, rows)]
+                own = [x[0][slice(*own_bounds(*x, size, halo))].decode("utf-8", "replace") if r[1] or x[3] > size else None for x, r in zip(parts, rows)]
                 out, names = [*out, pa.array(own, pa.string())], (*names, "own")
             yield pa.RecordBatch.from_arrays(out, ["id", "pos", "total", *names])
 

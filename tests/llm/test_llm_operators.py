@@ -235,6 +235,8 @@ def test_leaks_equal_brute_force(spark):
     for size in (400, 3000):
         small = leaks.find_leaks(D, "doc", "text", Q, "item", "text", "words", range_bytes=size, halo_bytes=300)
         assert set(rows(small, "doc", "item")) == want
+    parts = leaks.find_leaks(D, "doc", "text", Q, "item", "text", "words", most_shared=40)
+    assert {tuple(r) for r in parts.collect()} == {tuple(r) for r in got.collect()}
     assert leaks.find_leaks(D.where("false"), "doc", "text", Q, "item", "text", "words").count() == 0
     assert leaks.find_leaks(D, "doc", "text", Q.where("false"), "item", "text", "words").count() == 0
 
