@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import re
 import unicodedata
+from functools import reduce
 
 import pandas as pd
 from pyspark.sql import DataFrame
@@ -15,6 +16,9 @@ TEACHER_WORDS = ("teacher", "lecturer", "professor", "instructor", "tutor", "教
 STUDENT_WORDS = ("student", "pupil", "learner", "学生", "学员", "同学")
 UNKNOWN_WORDS = ("unknown", "na", "none", "null", "nan", "speaker", "未知", "不明", "无")
 
+#: Characters of a label as written; longer ones are sentences.
+LONGEST_LABEL = 60
+
 
 def normal_label(text: str | None) -> str:
     """Letters and digits only, one case, one width."""
@@ -69,19 +73,20 @@ def cluster_roles(labels: list[str]) -> dict[str, str]:
 
 
 def label_roles(labels: DataFrame, transcript: str, label: str) -> DataFrame:
-    """``(transcript, label, role)`` for the normalised labels that have a role.
+    """``(transcript, label, role)`` for the labels, as they are written, that have a role.
 
-    ``labels`` may repeat; what reaches a task is one row per label of a transcript.
+    ``labels`` may repeat. Of a transcript's labels only those reach its union-find that can end in
+    a role: a role word, one letter, or no more than two edits from a role word (one variant may lie
+    between). Others, such as every bracketed remark of a long recording, are left out before anything is collected.
     """
-
-    distinct = (
-        labels.select(transcript, label)
-        .where(f"{transcript} is not null and {label} <> ''")
-        .groupBy(transcript)
-        .agg(F.sort_array(F.collect_set(label)).alias("_l"))
-    )
-    found = distinct.select(transcript, F.explode(_roles("_l")).alias("_r"))
-    return found.select(transcript, F.col("_r.label").alias(label), F.col("_r.role").alias("role"))
+    raw = labels.select(F.col(transcript).alias("_k"), F.col(label).alias("_raw")).where(f"_k is not null and _raw <> '' and length(_raw) <= {LONGEST_LABEL}").distinct()
+    named = raw.withColumn("_n", normal_label_col("_raw"))
+    words = [*TEACHER_WORDS, *STUDENT_WORDS, *UNKNOWN_WORDS]
+    near = reduce(lambda x, y: x | y, (F.levenshtein("_n", F.lit(w), 2) >= 0 for w in words if len(w) >= 4))
+    able = named.where((F.length("_n") == 1) | F.col("_n").isin(*words) | ((F.length("_n") >= 3) & near))
+    distinct = able.groupBy("_k").agg(F.sort_array(F.collect_set("_n")).alias("_l"))
+    found = distinct.select("_k", F.explode(_roles("_l")).alias("_r")).select("_k", F.col("_r.label").alias("_n"), F.col("_r.role").alias("role"))
+    return able.join(found, ["_k", "_n"]).select(F.col("_k").alias(transcript), F.col("_raw").alias(label), "role")
 
 
 @F.pandas_udf(T.ArrayType(T.StructType().add("label", T.StringType()).add("role", T.StringType())))

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from chalkline.llm.containers import fill_containers
-from chalkline.llm.labels import label_roles, normal_label_col
+from chalkline.llm.labels import label_roles
 from chalkline.llm.leaks import find_leaks
 from chalkline.llm.nearest import nearest_in_time
 from chalkline.llm.pieces import cut_pieces
@@ -44,11 +44,14 @@ def p3_runs(spark: SparkSession, folder: str) -> DataFrame:
         .select("video_name", "point_id", "time", "is_silence", "speaker")
         .dropDuplicates(["video_name", "point_id"])
     )
-    named = points.where("not is_silence").select("video_name", "speaker").distinct()
-    named = named.withColumn("label", normal_label_col("speaker"))
-    roles = named.join(label_roles(named, "video_name", "label"), ["video_name", "label"]).select("video_name", "speaker", "role")
-    code = F.when(F.col("is_silence"), 0).when(F.col("role") == "teacher", 1).when(F.col("role") == "student", 2)
-    coded = points.join(roles, ["video_name", "speaker"], "left").select("video_name", "time", code.alias("code"))
+    spoken = (~F.col("is_silence")) & F.col("speaker").isNotNull()
+    roles = label_roles(points.where(spoken).select("video_name", "speaker"), "video_name", "speaker")
+    code = F.when(F.col("role") == "teacher", 1).when(F.col("role") == "student", 2)
+    # only speaking points with a label are joined; the others know their code
+    silent = F.when(F.col("is_silence"), 0)
+    coded = points.where(spoken).join(roles, ["video_name", "speaker"], "left").select("video_name", "time", code.alias("code")).unionByName(
+        points.where(F.coalesce(~spoken, F.lit(True))).select("video_name", "time", silent.alias("code"))
+    )
     return collapse_runs(coded, "video_name", "time", "code")
 
 

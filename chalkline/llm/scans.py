@@ -2,8 +2,13 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from chalkline.plans.session import materialise
 
@@ -29,7 +34,10 @@ _PAGE = (
 )
 _HYPHEN = r"[-‐‑¬­–]\s*$"
 _HAN = r"[\x{3400}-\x{9FFF}]"
-_GAP = "\u0001"
+#: Bits of a character in a trigram's number.
+BITS = 21
+#: A recording's running lines are joined in so many copies, so that its pages spread over as many tasks.
+SALT = 16
 
 
 def _width(c: Column) -> Column:
@@ -37,50 +45,43 @@ def _width(c: Column) -> Column:
 
 
 def page_lines(pages: DataFrame, record: str, recording: str, text: str) -> DataFrame:
-    """Lines of each page: id, rec, line_no, raw, norm, blank, first, last (of the lines that aren't blank)."""
+    """One row a page: id, rec and ``l``, its lines that aren't blank as (no, raw, norm)."""
     lines = F.split(F.col(text), r"\r\n|\n|\r")
-    blank = lambda x: ~x.rlike(r"[^\s\p{Z}\p{C}]")
     rows = pages.select(F.col(record).alias("id"), F.col(recording).alias("rec"), lines.alias("l")).where("id is not null and l is not null")
-    numbers = F.filter(F.transform("l", lambda x, i: F.when(~blank(x), i + 1)), lambda x: x.isNotNull())
-    rows = rows.withColumn("_n", numbers)
-    return rows.select(
-        "id", "rec", F.array_min("_n").alias("first"), F.array_max("_n").alias("last"), F.posexplode("l").alias("line_no", "raw")
-    ).select("id", "rec", "first", "last", (F.col("line_no") + 1).alias("line_no"), "raw", _width("raw").alias("norm"), blank(F.col("raw")).alias("blank"))
+    each = F.transform("l", lambda x, i: F.struct((i + 1).alias("no"), x.alias("raw"), _width(x).alias("norm")))
+    return rows.select("id", "rec", F.filter(each, lambda x: x["raw"].rlike(r"[^\s\p{Z}\p{C}]")).alias("l"))
 
 
-def _edge_kinds(lines: DataFrame) -> DataFrame:
-    """``lines`` with column edge: 'page_number', 'header' or null."""
-    at_edge = (F.col("line_no") == F.col("first")) | (F.col("line_no") == F.col("last"))
-    full = lines.where("not blank").withColumn("number", at_edge & F.col("norm").rlike(_PAGE))
-    w = Window.partitionBy("id").orderBy("line_no")
-    base = F.regexp_replace(F.regexp_replace(F.lower("norm"), r"[^\p{L}\p{N}]+", ""), r"[0-9]+$", "")
-    body = (
-        full.where("not number")
-        .withColumn("base", base)
-        .withColumn("up", F.lag("base").over(w))
-        .withColumn("down", F.lead("base").over(w))
-        .withColumn("k", F.row_number().over(w))
-        .withColumn("far", F.max(F.when(F.col("up").isNotNull() & F.col("down").isNotNull(), F.col("base"))).over(Window.partitionBy("id")))
-    )
-    edges = body.where("(up is null or down is null) and length(base) >= 3 and rec is not null")
+def _edge_kinds(pages: DataFrame) -> DataFrame:
+    """Pages of :func:`page_lines` as (id, edge, body): the page numbers and running lines (no, kind), and the other lines."""
+    numbered = lambda x, i: ((i == 0) | (i == F.size("l") - 1)) & x["norm"].rlike(_PAGE)
+    base = lambda x: F.regexp_replace(F.regexp_replace(F.lower(x["norm"]), r"[^\p{L}\p{N}]+", ""), r"[0-9]+$", "")
+    rows = pages.withColumn("number", F.filter("l", numbered)).withColumn("b", F.filter("l", lambda x, i: ~numbered(x, i)))
+    rows = materialise(rows.select("id", "rec", F.transform("number", lambda x: x["no"]).alias("number"), "b", F.transform("b", base).alias("base")))
+    m = F.size("base")
+    far = F.array_max(F.slice("base", 2, F.greatest(m - 2, F.lit(0))))
+    edge = lambda k, up, down: F.struct(k.alias("k"), F.get("base", k).alias("base"), up.alias("up"), down.alias("down"))
+    none = F.lit(None).cast("string")
+    ends = F.array(edge(F.lit(0), none, F.get("base", F.lit(1))), F.when(m > 1, edge(m - 1, F.get("base", m - 2), none)))
+    edges = rows.where("size(base) > 0").select("rec", far.alias("far"), F.explode(F.filter(ends, lambda x: x.isNotNull())).alias("e")).select("rec", "far", "e.*")
+    edges = edges.where("length(base) >= 3 and rec is not null")
     # a page shown again is no second page: its other lines are the same but for a misread one
-    beside = F.coalesce("down", F.lit("")), F.coalesce("up", F.lit("")), F.coalesce("far", "down", "up", F.lit(""))
-    counted = edges.groupBy("rec", "base").agg(
-        F.greatest(F.count_distinct(beside[0]), F.count_distinct(beside[1])).alias("a"), F.count_distinct(beside[2]).alias("b")
-    )
-    n_pages = body.groupBy("rec").agg(F.count_distinct(F.coalesce("far", F.lit(""))).alias("pages"))
-    running = (
-        counted.join(n_pages, "rec")
-        .where((F.least("a", "b") >= 2) & (F.least("a", "b") >= RUNNING_SHARE * F.col("pages")))
-        .select("rec", F.col("base").alias("run"))
-    )
-    near = F.levenshtein("base", "run") <= F.greatest(F.lit(1), F.floor(F.length("run") * 0.2))
-    headers = edges.join(running, "rec").where(near).select("id", "line_no").distinct().withColumn("header", F.lit(True))
-    return (
-        full.join(headers, ["id", "line_no"], "left")
-        .withColumn("edge", F.when(F.col("number"), "page_number").when(F.col("header"), "header"))
-        .drop("number", "header")
-    )
+    beside = F.array(*(F.struct(F.lit(n).alias("side"), x.alias("text")) for n, x in enumerate(
+        (F.coalesce("down", F.lit("")), F.coalesce("up", F.lit("")), F.coalesce("far", "down", "up", F.lit("")))
+    )))
+    seen = edges.select("rec", "base", F.explode(beside).alias("x")).distinct().groupBy("rec", "base").agg(*(F.count_if(F.col("x.side") == n).alias(f"s{n}") for n in range(3)))
+    seen = seen.select("rec", "base", F.least(F.greatest("s0", "s1"), "s2").alias("times")).where("times >= 2")
+    n_pages = rows.where("size(base) > 0").select("rec", F.coalesce(far, F.lit(""))).distinct().groupBy("rec").agg(F.count("*").alias("pages"))
+    # no more than two lines a page have a share, so a recording has only a few running lines
+    running = seen.join(n_pages, "rec").where(F.col("times") >= RUNNING_SHARE * F.col("pages")).groupBy("rec").agg(F.collect_set("base").alias("runs"))
+    copies = running.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALT - 1))))
+    salted = rows.withColumn("salt", F.pmod(F.xxhash64("id"), F.lit(SALT)).cast("int")).join(copies, ["rec", "salt"], "left")
+    near = lambda c: F.exists(F.coalesce("runs", F.array().cast("array<string>")), lambda r: F.levenshtein(c, r) <= F.greatest(F.lit(1), F.floor(F.length(r) * 0.2)))
+    runs = lambda x, i: ((i == 0) | (i == m - 1)) & (F.length(F.get("base", i)) >= 3) & near(F.get("base", i))
+    kinds = lambda c, kind: F.transform(c, lambda n: F.struct(n.alias("no"), F.lit(kind).alias("kind")))
+    headers = F.transform(F.filter("b", runs), lambda x: x["no"])
+    marked = salted.withColumn("header", headers)
+    return marked.select("id", F.concat(kinds("number", "page_number"), kinds("header", "header")).alias("edge"), F.filter("b", lambda x: ~F.array_contains("header", x["no"])).alias("body"))
 
 
 def _anagram(c: Column) -> Column:
@@ -100,9 +101,13 @@ def word_corrections(words: DataFrame, known: DataFrame) -> DataFrame:
     frequent = known.where((F.col("n") >= LEAST) & F.col("w").rlike(r"^\p{L}[\p{L}'-]+$")).select(
         F.col("w").alias("v"), F.col("n").alias("vn"), _anagram(F.col("w")).alias("h")
     )
+    # the letters and pairs of letters of a word, to meet those of the fixed list
+    at = F.sequence(F.lit(1), F.length("w"))
+    held = F.explode(F.array_distinct(F.concat(F.transform(at, lambda k: F.substr("w", k, F.lit(1))), F.transform(at, lambda k: F.substr("w", k, F.lit(2)))))).alias("seen")
     looked = (
-        words.join(F.broadcast(pairs), F.expr("instr(w, seen) > 0"))  # the fixed list above
-        .withColumn("h", _anagram(F.col("w")) + F.col("delta"))
+        words.where("w <> ''").select("w", "n", _anagram(F.col("w")).alias("a"), held)
+        .join(F.broadcast(pairs), "seen")
+        .withColumn("h", F.col("a") + F.col("delta"))
         .join(frequent, "h")
         .where(F.col("vn") >= RATIO * F.greatest("n", F.lit(1)))
     )
@@ -115,82 +120,100 @@ def word_corrections(words: DataFrame, known: DataFrame) -> DataFrame:
     return looked.where(swapped).groupBy("w").agg(F.max_by("v", F.struct("vn", "v")).alias("v"))
 
 
-def _han_misreads(body: DataFrame) -> DataFrame:
-    """``(id, line_no, at, c)``: the character at code point ``at`` of a line should be ``c``.
+def _gram_codes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The trigrams of each text as numbers, three characters of BITS bits each; 0 where fewer than two are Han."""
+    for batch in batches:
+        texts = batch.column("s").to_pylist()
+        codes = np.frombuffer("".join(texts).encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.int64)
+        ends = np.cumsum([len(t) for t in texts])
+        han = ((codes >= 0x3400) & (codes <= 0x9FFF)).astype(np.int8)
+        g = np.zeros(len(codes), np.int64)
+        g[:-2] = (codes[:-2] << 2 * BITS) | (codes[1:-1] << BITS) | codes[2:]
+        g[:-2][han[:-2] + han[1:-1] + han[2:] < 2] = 0
+        starts = np.concatenate([[0], ends[:-1]])
+        # a text's last two places begin no trigram of its own
+        keep = np.ones(len(codes), bool)
+        for back in (1, 2):
+            keep[np.maximum(ends - back, starts)] = False
+        sizes = np.maximum(ends - starts - 2, 0)
+        keep[np.repeat(sizes == 0, ends - starts)] = False
+        offsets = np.concatenate([[0], np.cumsum(sizes)]).astype(np.int32)
+        yield pa.RecordBatch.from_arrays([batch.column("t"), pa.ListArray.from_arrays(pa.array(offsets), pa.array(g[keep]))], ["t", "g"])
+
+
+def _letter(g: Column, k: int) -> Column:
+    return F.shiftright(g, BITS * (3 - k)).bitwiseAND(F.lit((1 << BITS) - 1))
+
+
+def _gram_hash(g: Column) -> Column:
+    """The anagram hash of a trigram's number: the same for any order of its characters."""
+    return sum((_letter_hash(_letter(g, k)) for k in (2, 3)), _letter_hash(_letter(g, 1)))
+
 
-    Each trigram is compared, one place masked, with the others that share the rest: where
-    another character is RATIO times as frequent the trigram votes for it. A character is
-    corrected when two of the trigrams that hold it vote for the same one. The swaps seen
-    LEARNED times that way are confusions of this scanner; where one is possible, a single
-    trigram with SURE times the count is enough, if none speaks against it. Counts are over
-    distinct pages, so that a page shown again doesn't make its faults frequent.
+def _letter_hash(code: Column) -> Column:
+    return F.pmod(F.xxhash64(code), F.lit(2**31 - 1))
+
+
+def _han_misreads(pages: DataFrame) -> DataFrame:
+    """``(id, line_no, at, c)``: the character at code point ``at`` of a line should be ``c``; ``pages`` has (id, body).
+
+    Han text has no spaces, so its words are the trigrams. A rare trigram and one RATIO times as
+    frequent that differs in one character differ in their anagram hash by what sets the two characters apart,
+    whatever the rest. A character is corrected where two of the trigrams that cover it each have one that frequent with the
+    same other character; the differences met LEARNED times that way are the confusions of this scanner. Every
+    trigram that holds a confusion's character then looks up, by its hash and the difference, the trigram that it may have been,
+    and the character is also corrected where one of these has SURE times the count and none that covers it speaks against it.
+    Counts are over distinct pages, so that a page shown again doesn't make its faults frequent.
     """
-    pages = (
-        body.where(F.col("raw").rlike(_HAN))
-        .groupBy("id")
-        .agg(F.sort_array(F.collect_list(F.struct("line_no", F.regexp_replace("raw", r"[\s\p{Z}]+$|^[\s\p{Z}]+", "").alias("t"), (F.length("raw") - F.length(F.regexp_replace("raw", r"^[\s\p{Z}]+", ""))).alias("lead")))).alias("l"))
-        .withColumn("s", F.array_join(F.transform("l", lambda x: x["t"]), ""))
-        .where("length(s) >= 3")
-    )
-    at = F.explode(F.sequence(F.lit(1), F.length("s") - 2)).alias("p")
-    grams = pages.select("id", "s", at).select("id", "p", F.substr("s", F.col("p"), F.lit(3)).alias("g")).where(F.col("g").rlike(_HAN + ".?" + _HAN))
-    counts = materialise(
-        pages.groupBy("s").agg(F.count("*")).select("s", at)
-        .select(F.substr("s", F.col("p"), F.lit(3)).alias("g"))
-        .where(F.col("g").rlike(_HAN + ".?" + _HAN))
-        .groupBy("g").agg(F.count("*").alias("n"))
-    )
-    masked = counts.select(
-        "g", "n",
-        F.explode(F.array(*(F.struct(
-            F.lit(k).alias("k"), F.substring("g", k, 1).alias("c"),
-            F.concat(F.substring("g", 1, k - 1), F.lit(_GAP), F.substring("g", k + 1, 3 - k)).alias("m"),
-        ) for k in (1, 2, 3)))).alias("x"),
-    ).select("g", "n", "x.*").where(F.col("c").rlike(_HAN))
-    best = masked.groupBy("m").agg(F.max(F.struct("n", "c")).alias("b"))
-    votes = (
-        masked.join(best, "m")
+    strip = lambda x: F.regexp_replace(x["raw"], r"[\s\p{Z}]+$|^[\s\p{Z}]+", "")
+    lead = lambda x: F.length(x["raw"]) - F.length(F.regexp_replace(x["raw"], r"^[\s\p{Z}]+", ""))
+    lines = F.transform(F.filter("body", lambda x: x["raw"].rlike(_HAN)), lambda x: F.struct(x["no"].alias("no"), strip(x).alias("t"), lead(x).alias("lead")))
+    own = pages.select("id", lines.alias("l")).where("size(l) > 0").withColumn("s", F.array_join(F.transform("l", lambda x: x["t"]), ""))
+    own = own.where("length(s) >= 3").withColumn("t", F.struct(F.xxhash64("s").alias("x"), F.hash("s").alias("y")))
+    own = materialise(own)
+    # every distinct text once, known by two hashes
+    texts = own.groupBy("t").agg(F.first("s").alias("s"))
+    grams = materialise(texts.mapInArrow(_gram_codes, T.StructType().add("t", own.schema["t"].dataType).add("g", T.ArrayType(T.LongType()))))
+    counts = materialise(grams.select(F.explode("g").alias("g")).where("g <> 0").groupBy("g").agg(F.count("*").alias("n")))
+    hole = lambda k: F.col("g").bitwiseAND(F.lit(~(((1 << BITS) - 1) << BITS * (3 - k))))
+    forms = F.explode(F.array(*(F.struct(F.lit(k).alias("k"), _letter(F.col("g"), k).alias("c"), hole(k).alias("m")) for k in (1, 2, 3)))).alias("x")
+    masked = counts.select("g", "n", forms).select("g", "n", "x.*").where(F.col("c").between(0x3400, 0x9FFF))
+    best = masked.groupBy("k", "m").agg(F.max(F.struct("n", "c")).alias("b"))
+    votes = materialise(
+        masked.join(best, ["k", "m"])
         .where((F.col("b.c") != F.col("c")) & (F.col("b.n") >= LEAST) & (F.col("b.n") >= RATIO * F.col("n")))
-        .select("g", "k", F.col("c").alias("was"), F.col("b.c").alias("c"), F.col("b.n").alias("n"))
+        .select("g", "k", F.col("c").alias("was"), F.col("b.c").alias("to"), F.col("b.n").alias("n"))
     )
-    cast = (
-        grams.join(votes, "g")
-        .groupBy("id", (F.col("p") + F.col("k") - 1).alias("p"), "c", "was")
-        .agg(F.count("*").alias("votes"), F.sum("n").alias("n"))
-        .where("votes >= 2")
-        .groupBy("id", "p")
-        .agg(F.max_by(F.struct("c", "was"), F.struct("votes", "n", "c")).alias("x"))
-        .select("id", "p", "x.*")
+    met = lambda marks: grams.select("t", F.posexplode("g").alias("p", "g")).where("g <> 0").join(marks, "g").withColumn("p", F.col("p") + F.col("k"))
+    cast = materialise(
+        met(votes).groupBy("t", "p", "was", "to").agg(F.count("*").alias("votes"), F.sum("n").alias("n")).where("votes >= 2")
+        .groupBy("t", "p").agg(F.max_by(F.struct("was", "to"), F.struct("votes", "n", "to")).alias("x")).select("t", "p", "x.*")
+    )
+    delta = _letter_hash(F.col("to")) - _letter_hash(F.col("was"))
+    learned = cast.groupBy(delta.alias("delta"), "was", "to").agg(F.count("*").alias("times")).where(F.col("times") >= LEARNED)
+    hashed = counts.withColumn("h", _gram_hash(F.col("g")))
+    put = lambda k: F.when(F.col("k") == k, hole(k).bitwiseOR(F.shiftleft("to", BITS * (3 - k))))
+    tried = (
+        masked.join(learned.select(F.col("was").alias("c"), "to", "delta"), "c")
+        .select("g", "k", "to", "n", F.coalesce(*map(put, (1, 2, 3))).alias("other"), (_gram_hash(F.col("g")) + F.col("delta")).alias("h"))
     )
-    cast = materialise(cast)
-    learned = cast.groupBy("was", "c").agg(F.count("*").alias("times")).where(F.col("times") >= LEARNED).select("was", F.col("c").alias("to"))
-    swapped = F.concat(F.substr("g", F.lit(1), F.col("k") - 1), F.col("to"), F.substr("g", F.col("k") + 1))
-    weighed = (
-        masked.join(learned, F.col("c") == F.col("was"))
-        .select("g", "k", "to", "n", swapped.alias("other"))
-        .join(counts.select(F.col("g").alias("other"), F.col("n").alias("m")), "other", "left")
-        .select(
-            "g", "k", "to", ((F.col("m") >= SURE * F.col("n")) & (F.col("m") >= SURE)).alias("pro"),
-            (F.col("n") > F.greatest(F.coalesce("m", F.lit(0)), F.lit(1))).alias("con"),
-        )
+    weighed = tried.join(hashed.select(F.col("g").alias("other"), F.col("n").alias("m"), "h"), ["h", "other"], "left").select(
+        "g", "k", "to", ((F.col("m") >= SURE * F.col("n")) & (F.col("m") >= SURE)).cast("int").alias("pro"),
+        (F.col("n") > F.greatest(F.coalesce("m", F.lit(0)), F.lit(1))).cast("int").alias("con"),
     )
     single = (
-        grams.join(weighed, "g")
-        .groupBy("id", (F.col("p") + F.col("k") - 1).alias("p"), F.col("to").alias("c"))
-        .agg(F.count_if("pro").alias("pro"), F.count_if("con").alias("con"))
-        .where("pro > 0 and con = 0")
-        .groupBy("id", "p")
-        .agg(F.max_by("c", F.struct("pro", "c")).alias("c"))
+        met(materialise(weighed)).groupBy("t", "p", "to").agg(F.sum("pro").alias("pro"), F.sum("con").alias("con")).where("pro > 0 and con = 0")
+        .groupBy("t", "p").agg(F.max_by("to", F.struct("pro", "to")).alias("to"))
     )
-    cast = cast.select("id", "p", "c").unionByName(single.join(cast, ["id", "p"], "left_anti"))
+    cast = cast.select("t", "p", "to").unionByName(single.join(cast, ["t", "p"], "left_anti"))
     ends = F.transform("l", lambda x, i: F.struct(
-        x["line_no"].alias("line_no"), x["lead"].alias("lead"),
+        x["no"].alias("no"), x["lead"].alias("lead"),
         F.aggregate(F.slice("l", 1, i), F.lit(0), lambda a, y: a + F.length(y["t"])).alias("before"), F.length(x["t"]).alias("n"),
     ))
-    place = cast.join(pages.select("id", ends.alias("e")), "id").select(
-        "id", "p", "c", F.filter("e", lambda x: (F.col("p") > x["before"]) & (F.col("p") <= x["before"] + x["n"]))[0].alias("e")
-    )
-    return place.select("id", "e.line_no", (F.col("p") - F.col("e.before") + F.col("e.lead")).alias("at"), "c")
+    here = F.filter("e", lambda x: (F.col("p") > x["before"]) & (F.col("p") <= x["before"] + x["n"]))[0]
+    place = own.select("id", "t", "l").join(cast, "t").select("id", "p", "to", ends.alias("e")).select("id", "p", "to", here.alias("e"))
+    letter = F.decode(F.unhex(F.lpad(F.hex("to"), 4, "0")), "UTF-16BE")
+    return place.select("id", F.col("e.no").alias("line_no"), (F.col("p") - F.col("e.before") + F.col("e.lead")).alias("at"), letter.alias("c"))
 
 
 def _word(token: Column) -> Column:
@@ -211,16 +234,18 @@ def repair(pages: DataFrame, record: str, recording: str, text: str) -> tuple[Da
     Lines count from 1. Pages with a null id or text are left out, an empty page gives an
     empty text, a page without recording has no header. Repeated ids are undefined.
     """
-    lines = materialise(_edge_kinds(page_lines(pages, record, recording, text)))
-    body = lines.where("edge is null")
+    kept = materialise(_edge_kinds(page_lines(pages, record, recording, text)))
     w = Window.partitionBy("id").orderBy("line_no")
-    broken = F.col("norm").rlike(r"\p{L}" + _HYPHEN)
-    cut = (
-        body.withColumn("broken", broken & F.lead("norm").over(w).isNotNull())
-        .withColumn("after", F.when(F.lag("broken").over(w), 1).when(F.lag("broken", 2).over(w), 2).otherwise(0))
-        # the rest of a broken word stands in the next line, or behind one line that came between
-        .withColumn("next", F.array(*(F.element_at(F.split(F.lead("norm", k).over(w), r"\s+"), 1) for k in (1, 2))))
-    )
+    # the rest of a broken word stands in the next line, or behind one line that came between
+    begins = kept.withColumn("br", F.transform("body", lambda x, i: x["norm"].rlike(r"\p{L}" + _HYPHEN) & (i < F.size("body") - 1)))
+    at = lambda c, i: F.get(c, F.when(i >= 0, i))
+    line = lambda x, i: F.struct(
+        x["no"].alias("line_no"), x["raw"].alias("raw"), x["norm"].alias("norm"), F.get("br", i).alias("broken"),
+        F.when(at("br", i - 1), 1).when(at("br", i - 2), 2).otherwise(0).alias("after"),
+        F.array(*(F.element_at(F.split(F.get("body", i + k)["norm"], r"\s+"), 1) for k in (1, 2))).alias("next"),
+        F.array(*(F.get("body", i + k)["no"] for k in (1, 2))).alias("next_no"),
+    )
+    cut = begins.select("id", F.explode(F.transform("body", line)).alias("x")).select("id", "x.*")
     cut = materialise(cut)
     tokens = cut.select(
         "id", "line_no", "broken", "after", F.posexplode(F.split("norm", r"\s+")).alias("i", "token"),
@@ -239,7 +264,7 @@ def repair(pages: DataFrame, record: str, recording: str, text: str) -> tuple[Da
     # broken words, whole and with their hyphen
     left = F.regexp_replace(F.element_at(F.split("norm", r"\s+"), -1), _HYPHEN, "")
     halves = cut.where("broken").select(
-        "id", "line_no", F.lower(F.regexp_replace(left, r"^[^\p{L}\p{N}!|$@]+", "")).alias("a"), F.posexplode("next").alias("skip", "b")
+        "id", "line_no", F.lower(F.regexp_replace(left, r"^[^\p{L}\p{N}!|$@]+", "")).alias("a"), "next_no", F.posexplode("next").alias("skip", "b")
     ).withColumn("b", _word(F.col("b"))).where("b is not null")
     halves = halves.withColumn("joined", F.concat("a", "b")).withColumn("hyphened", F.concat_ws("-", "a", "b"))
     forms = halves.select(F.explode(F.array("joined", "hyphened")).alias("w")).distinct()
@@ -261,7 +286,7 @@ def repair(pages: DataFrame, record: str, recording: str, text: str) -> tuple[Da
         .withColumn("v", F.when(F.col("is_whole"), F.col("v_joined")).otherwise(F.col("v_hyphened")))
         .withColumn("f", F.greatest("f_joined", "f_hyphened"))
         .groupBy("id", "line_no")
-        .agg(F.max_by(F.struct("is_whole", "a", "b", "v", "skip"), F.struct("f", -F.col("skip"))).alias("x"))
+        .agg(F.max_by(F.struct("is_whole", "a", "b", "v", "skip", "next_no"), F.struct("f", -F.col("skip"))).alias("x"))
         .select("id", "line_no", "x.*")
     )
     decided = materialise(decided)
@@ -269,14 +294,13 @@ def repair(pages: DataFrame, record: str, recording: str, text: str) -> tuple[Da
     prefix = F.coalesce(F.expr("array_max(filter(sequence(0, least(length(a), length(v))), k -> substring(a, 1, k) = substring(v, 1, k)))"), F.lit(0))
     in_left = F.col("v").isNotNull() & (prefix < F.length("a"))
     in_right = F.col("v").isNotNull() & ~in_left
-    following = cut.select("id", "line_no", F.array(F.lead("line_no").over(w), F.lead("line_no", 2).over(w)).alias("next_no"))
-    split_misread = decided.join(following, ["id", "line_no"]).select(
+    split_misread = decided.select(
         "id", F.explode(F.array(F.when(in_left, F.col("line_no")), F.when(in_right, F.get("next_no", F.col("skip"))))).alias("line_no")
     ).where("line_no is not null")
     fixed_words = words.join(fixes, "w").select("id", "line_no", "i", "w", "v")
-    han = materialise(_han_misreads(body))
+    han = materialise(_han_misreads(kept))
     found = (
-        lines.where("edge is not null").select("id", "line_no", F.col("edge").alias("kind"))
+        kept.select("id", F.explode("edge").alias("e")).select("id", F.col("e.no").alias("line_no"), "e.kind")
         .unionByName(decided.where("is_whole").select("id", "line_no", F.lit("hyphen").alias("kind")))
         .unionByName(
             split_misread.unionByName(fixed_words.select("id", "line_no")).unionByName(han.select("id", "line_no"))

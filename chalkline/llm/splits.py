@@ -58,59 +58,57 @@ def components(edges: DataFrame, record: str, entity: str, max_rounds: int = 50)
     raise RuntimeError(f"labels still moved after {max_rounds} rounds")
 
 
-#: Groups are told apart by size within 5 %; the LABELS largest labels have a stratum each, any others share STRATA by hash.
-SIZE_BASE, LABELS, STRATA, RANK_SHARDS = 1.05, 4096, 256, 64
+#: Groups are told apart by size within 5 %; one task settles the quotas of about WALK pairs of label and size class.
+SIZE_BASE, WALK = 1.05, 100_000
 
 
-def assign_groups(groups: DataFrame, plan: DataFrame, group: str, size: str, label: str) -> DataFrame:
+def assign_groups(groups: DataFrame, plan: DataFrame, group: str, size: str, label: str, walk_rows: int = WALK) -> DataFrame:
     """``(group, split_name)`` with the sizes in the shares of ``plan`` and each label spread alike.
 
     ``groups`` has one row per group; a missing size counts as 0, a missing label as a
     label of its own; groups with a null id are left out. ``plan`` (split_name, share) is a small
-    table; shares that don't add up to 1 are scaled. Groups are counted by stratum (the label; beyond
-    LABELS labels the smaller ones by hash) and size class; that table is bounded by LABELS and STRATA times
-    about 700 classes whatever the input, and one task walks it from the largest class down: each class gives its
-    groups to the splits that lack most, in the stratum and overall. Ranks inside a class
+    table; shares that don't add up to 1 are scaled. Groups are counted by label and size class, about 700
+    classes at most, and these counts are walked from the largest class down: each class gives its groups to the splits in
+    whole shares, and what is left over one by one to the split that lacks most, in the label and over all labels walked. Labels are
+    never put together. Where there are more than ``walk_rows`` counts they are walked in parts of about that many,
+    all classes of a label in one; every part comes out in the wanted shares, and so does the whole. Ranks inside a class
     come from a sharded count, so no class is sorted in one task.
     """
+    spark = groups.sparkSession
+    shards = max(64, 4 * int(spark.conf.get("spark.sql.shuffle.partitions")))
     s = F.coalesce(F.col(size).cast("double"), F.lit(0.0))
     base = groups.where(F.col(group).isNotNull()).select(
         F.col(group).alias("g"), F.greatest(s, F.lit(0.0)).alias("size"),
-        F.struct(F.col(label).alias("label")).alias("named"),  # a struct, so that null is a label like others
+        F.coalesce(F.concat(F.lit("="), F.col(label).cast("string")), F.lit("")).alias("lab"),  # null is a label like others
     ).withColumn("cls", F.ceil(F.log1p("size") / F.log(F.lit(SIZE_BASE))).cast("int")).withColumn(
-        "shard", F.pmod(F.xxhash64("g"), F.lit(RANK_SHARDS))
+        "shard", F.pmod(F.xxhash64("g"), F.lit(shards))
     )
-    largest = base.groupBy("named").agg(F.sum("size").alias("of")).orderBy(F.desc("of"), "named").limit(LABELS)
-    codes = materialise(largest.select("named", (F.row_number().over(Window.orderBy(F.desc("of"), "named")) - 1).cast("bigint").alias("code")))  # at most LABELS rows
-    others = F.pmod(F.xxhash64("named.label"), F.lit(STRATA)) + LABELS
-    base = base.join(F.broadcast(codes), "named", "left").withColumn("stratum", F.coalesce("code", others)).drop("named", "code")
-    local = Window.partitionBy("stratum", "cls", "shard").orderBy("g")
-    counted = base.groupBy("stratum", "cls", "shard").agg(F.count("*").alias("n"), F.sum("size").alias("total"))
-    before = Window.partitionBy("stratum", "cls").orderBy("shard").rowsBetween(Window.unboundedPreceding, -1)
-    offset = counted.select("stratum", "cls", "shard", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("offset"))
-    ranked = base.withColumn("_k", F.row_number().over(local) - 1).join(offset, ["stratum", "cls", "shard"])
-    ranked = ranked.select("g", "stratum", "cls", (F.col("_k") + F.col("offset")).alias("rank"))
+    local = Window.partitionBy("lab", "cls", "shard").orderBy("g")
+    counted = base.groupBy("lab", "cls", "shard").agg(F.count("*").alias("n"), F.sum("size").alias("total"))
+    before = Window.partitionBy("lab", "cls").orderBy("shard").rowsBetween(Window.unboundedPreceding, -1)
+    offset = counted.select("lab", "cls", "shard", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("offset"))
+    ranked = base.withColumn("_k", F.row_number().over(local) - 1).join(offset, ["lab", "cls", "shard"])
+    ranked = ranked.select("g", "lab", "cls", (F.col("_k") + F.col("offset")).alias("rank"))
 
     shares = [(r[0], float(r[1] or 0)) for r in plan.select("split_name", "share").dropna(subset=["split_name"]).distinct().orderBy("split_name").collect()]
     whole = sum(x for _, x in shares) or 1.0
     names, want = [n for n, _ in shares], [x / whole for _, x in shares]
 
     def walk(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(["cls", "stratum"], ascending=[False, True])
+        pdf = pdf.sort_values(["cls", "lab"], ascending=[False, True])
         per, everywhere = {}, [0.0] * len(want)
-        sizes = pdf.groupby("stratum")["total"].sum().to_dict()
+        sizes = pdf.groupby("lab")["total"].sum().to_dict()
         all_size = float(pdf["total"].sum()) or 1.0
         rows = []
-        for stratum, cls, n, total in pdf[["stratum", "cls", "n", "total"]].itertuples(index=False):
-            mine = per.setdefault(stratum, [0.0] * len(want))
+        for lab, cls, n, total in pdf[["lab", "cls", "n", "total"]].itertuples(index=False):
+            mine = per.setdefault(lab, [0.0] * len(want))
             mean, n = total / n, int(n)
-            # whole shares at once, the rest one by one to the split that lacks most
-            give = [int(n * w) if n > 8 * len(want) else 0 for w in want]
+            give = [int(n * w) for w in want]
             for k, x in enumerate(give):
                 mine[k] += x * mean
                 everywhere[k] += x * mean
             for _ in range(n - sum(give)):
-                lack = lambda k: (want[k] * all_size - everywhere[k] - mean / 2) / all_size + (want[k] * sizes[stratum] - mine[k] - mean / 2) / all_size
+                lack = lambda k: (want[k] * all_size - everywhere[k] - mean / 2) / all_size + (want[k] * sizes[lab] - mine[k] - mean / 2) / all_size
                 k = max(range(len(want)), key=lack)
                 give[k] += 1
                 mine[k] += mean
@@ -118,14 +116,16 @@ def assign_groups(groups: DataFrame, plan: DataFrame, group: str, size: str, lab
             at = 0
             for k, x in enumerate(give):
                 if x:
-                    rows.append((stratum, cls, at, at + x, names[k]))
+                    rows.append((lab, cls, at, at + x, names[k]))
                 at += x
-        return pd.DataFrame(rows, columns=["stratum", "cls", "lo", "hi", "split_name"])
+        return pd.DataFrame(rows, columns=["lab", "cls", "lo", "hi", "split_name"])
 
-    table = counted.groupBy("stratum", "cls").agg(F.sum("n").alias("n"), F.sum("total").alias("total"))
-    quota = table.withColumn("_all", F.lit(0)).groupBy("_all").applyInPandas(walk, "stratum long, cls int, lo long, hi long, split_name string")
+    table = materialise(counted.groupBy("lab", "cls").agg(F.sum("n").alias("n"), F.sum("total").alias("total")))
+    parts = max(1, -(-table.count() // walk_rows))
+    part = F.pmod(F.xxhash64("lab"), F.lit(parts)).alias("_part")
+    quota = table.groupBy(part).applyInPandas(walk, "lab string, cls int, lo long, hi long, split_name string")
     return (
-        ranked.join(quota, ["stratum", "cls"])
+        ranked.join(quota, ["lab", "cls"])
         .where("rank >= lo and rank < hi")
         .select(F.col("g").alias(group), "split_name")
     )

@@ -2,94 +2,72 @@
 
 from __future__ import annotations
 
-import re
-
-import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
-from chalkline.llm.labels import label_roles, normal_label, normal_label_col
+from chalkline.llm.labels import label_roles
 from chalkline.plans.scan import sharded_scan
 from chalkline.plans.session import materialise
 
-_TIME = re.compile(
-    r"[\[【（(<]\s*\d{1,2}:\d{2}(?::\d{2})?(?:[.,]\d{1,3})?\s*[\]】）)>]\s*|\d{1,2}:\d{2}:\d{2}[.,]\d{1,3}\s*-->\s*(?:\d{1,2}:\d{2}:\d{2}[.,]\d{1,3}\s*)?"
-)
-_BRACKET = re.compile(r"\[([^\[\]]{1,40})\]|【([^【】]{1,40})】|（([^（）]{1,40})）|\(([^()]{1,40})\)|〔([^〔〕]{1,40})〕|<([^<>]{1,40})>|\*([^*]{1,40})\*|♪+[^♪]{0,80}♪+|♪")
+# How time marks, brackets, labels and fillers are written.
+TIME = r"[\[【（(<]\s*\d{1,2}:\d{2}(?::\d{2})?(?:[.,]\d{1,3})?\s*[\]】）)>]\s*|\d{1,2}:\d{2}:\d{2}[.,]\d{1,3}\s*-->\s*(?:\d{1,2}:\d{2}:\d{2}[.,]\d{1,3}\s*)?"
+_BRACKETS = r"\[([^\[\]]{1,40})\]|【([^【】]{1,40})】|（([^（）]{1,40})）|\(([^()]{1,40})\)|〔([^〔〕]{1,40})〕|<([^<>]{1,40})>|\*([^*]{1,40})\*|♪+[^♪]{0,80}♪+|♪"
 #: A label before a colon, an angle or a spaced dash, at the start or after a space.
-_LABEL = re.compile(r"(?:(?<=\s)|^)([^\W\d_]+)(?:\s*[:：]\s*|>\s+|\s+-\s+)")
-_ASCII_FILLER = re.compile(r"(?<![\w'-])(?:u+h+m*|u+m+|e+r+m?|h+m+|m+h+m+|a+h+|o+h+)(?![\w'-])(?:\.{3}|…+|,)?\s*", re.IGNORECASE)
-_HAN_FILLER = re.compile(r"(?:(?<=[\s，。、；：？！,.!?…])|^)(?:[嗯呃]+(?:……|…|[，,、])?|[啊额唔哦]+(?:(?:……|…|[，,、])|(?=[\s。？！!?.]|$)))\s*")
-_EDGE = re.compile(r"^[\s，。、；,;…]+")
+_LABEL = r"(?:(?<=\s)|^)(\p{L}+)(?:\s*[:：]\s*|>\s+|\s+-\s+)"
+_ASCII_FILLER = r"(?iU)(?<![\w'-])(?:u+h+m*|u+m+|e+r+m?|h+m+|m+h+m+|a+h+|o+h+)(?![\w'-])(?:\.{3}|…+|,)?\s*"
+#: Fillers that follow one another go at once.
+_HAN_FILLER = r"(?U)(?:(?<=[\s，。、；：？！,.!?…])|^)(?:(?:[嗯呃]+(?:……|…|[，,、])?|[啊额唔哦]+(?:(?:……|…|[，,、])|(?=[\s。？！!?.]|$)))\s*)+"
+_EDGE = r"(?U)^[\s，。、；,;…]+|\s+$"
+#: Marks that no text holds: the begin of a part, the end of a bracket's and of a label's words.
+_PART, _BRACKET_END, _LABEL_END = "\u0001", "\u0003", "\u0002"
+#: A transcript's roles are joined in so many copies, so that its rows spread over as many tasks.
+SALT = 16
+
+
+def strip_noise(text: Column) -> Column:
+    """Words alone: no filler, doubled space or leading punctuation."""
+    s = F.regexp_replace(F.regexp_replace(text, _ASCII_FILLER, " "), _HAN_FILLER, " ")
+    return F.regexp_replace(F.regexp_replace(s, r"(?U)\s+", " "), _EDGE, "")
 
 
-def _role_shaped(label: str) -> str:
-    """The normalised label if it may be one: a letter or a few words, no sentence."""
-    n = normal_label(label)
-    return n if 0 < len(n) <= 24 else ""
+def split_labels(text: Column) -> Column:
+    """Parts ``(bracket, label, text)`` in order: time marks go, brackets and labels begin a part.
 
+    The first part has neither; of the others one is '' and the other a candidate for a label.
+    Only candidates that resolve to a role start a part of their own in the end.
+    """
+    own = F.regexp_replace(F.coalesce(text, F.lit("")), f"[{_PART}{_BRACKET_END}{_LABEL_END}]", " ")
+    words = "".join(f"${k}" for k in range(1, 8))
+    marked = F.regexp_replace(F.regexp_replace(own, f"(?U){TIME}", " "), f"(?U){_BRACKETS}|{_LABEL}", f"{_PART}{words}{_BRACKET_END}$8{_LABEL_END}")
+
+    def part(p: Column, i: Column) -> Column:
+        bare = i == 0
+        return F.struct(
+            F.when(bare, "").otherwise(F.substring_index(p, _BRACKET_END, 1)).alias("bracket"),
+            F.when(bare, "").otherwise(F.substring_index(F.substring_index(p, _LABEL_END, 1), _BRACKET_END, -1)).alias("label"),
+            F.when(bare, p).otherwise(F.substring_index(p, _LABEL_END, -1)).alias("text"),
+        )
 
-def strip_noise(text: str) -> str:
-    """Words alone: no filler, doubled space or leading punctuation."""
-    s = _HAN_FILLER.sub(" ", _ASCII_FILLER.sub(" ", text))
-    while (t := _HAN_FILLER.sub(" ", s)) != s:
-        s = t
-    return _EDGE.sub("", re.sub(r"\s+", " ", s)).strip()
+    return F.transform(F.split(marked, _PART), part)
 
 
-def split_labels(text: str | None) -> list[tuple[str | None, str]]:
-    """``(label or None, text)`` in order: time marks go, brackets become labels or nothing.
+def clean_parts(parts: Column, roles: Column) -> Column:
+    """Parts ``(role, words)`` of :func:`split_labels`, ``roles`` a map of label to role, each cleaned; wordless ones go.
 
-    A bracketed word is passed on as a label candidate and dropped from the text; only
-    candidates that resolve to a role start a part of their own (see :func:`clean_parts`).
+    A bracket without a role goes, a label without one is put back into the text; what they
+    began belongs to the part before.
     """
-    s = _TIME.sub(" ", text or "")
-    parts: list[tuple[str | None, str]] = [(None, "")]
-    at = 0
-    marks = [(m.start(), m.end(), next((g for g in m.groups() if g), ""), True) for m in _BRACKET.finditer(s)]
-    marks += [(m.start(), m.end(), m.group(1), False) for m in _LABEL.finditer(s)]
-    for a, b, label, bracketed in sorted(marks):
-        if a < at:
-            continue
-        parts[-1] = (parts[-1][0], parts[-1][1] + s[at:a])
-        parts.append(((("[" if bracketed else ":") + label), ""))
-        at = b
-    parts[-1] = (parts[-1][0], parts[-1][1] + s[at:])
-    return parts
-
-
-_PART = T.StructType().add("label", T.StringType()).add("raw", T.StringType()).add("text", T.StringType())
-
-
-@F.pandas_udf(T.ArrayType(_PART))
-def _parts(texts: pd.Series) -> pd.Series:
-    out = []
-    for x in texts:
-        out.append([{"label": _role_shaped(a[1:]) if a else None, "raw": a, "text": t} for a, t in split_labels(x)])
-    return pd.Series(out)
-
-
-_CLEAN = T.StructType().add("role", T.StringType()).add("words", T.StringType())
-
-
-@F.pandas_udf(T.ArrayType(_CLEAN))
-def _cleaned(parts: pd.Series) -> pd.Series:
-    """Parts (role, raw label, text) with unresolved labels folded back, each cleaned; wordless ones go."""
-    out = []
-    for row in parts:
-        merged: list[list] = []
-        for p in row:
-            raw, role, text = p["raw"], p["role"], p["text"] or ""
-            if raw is not None and role is None:
-                text = text if raw[0] == "[" else f"{raw[1:]}: {text}" if raw[1:] else text
-            if merged and role is None:
-                merged[-1][1] += " " + text
-            else:
-                merged.append([role, text])
-        clean = [(r, strip_noise(t)) for r, t in merged]
-        out.append([{"role": r, "words": w} for r, w in clean if any(c.isalnum() for c in w)])
-    return pd.Series(out)
+    def text(p: Column, i: Column) -> Column:
+        role = F.coalesce(F.try_element_at(roles, p["label"]), F.try_element_at(roles, p["bracket"]))
+        begun = F.concat(F.lit(_PART), role, F.lit(_LABEL_END), p["text"])
+        put_back = F.when(p["label"] != "", F.concat(F.lit(" "), p["label"], F.lit(": "), p["text"])).otherwise(F.concat(F.lit(" "), p["text"]))
+        return F.when(i == 0, p["text"]).otherwise(F.coalesce(begun, put_back))
+
+    joined = F.split(F.array_join(F.transform(parts, text), ""), _PART)
+    cleaned = F.transform(joined, lambda x, i: F.struct(
+        F.when(i > 0, F.substring_index(x, _LABEL_END, 1)).alias("role"), strip_noise(F.when(i > 0, F.substring_index(x, _LABEL_END, -1)).otherwise(x)).alias("words")
+    ))
+    return F.filter(cleaned, lambda c: c["words"].rlike(r"[\p{L}\p{N}]"))
 
 
 def speaker_turns(
@@ -108,7 +86,7 @@ def speaker_turns(
     Segments go by start, then id. Time marks, sound annotations and fillers are
     removed; a part without any word left is skipped, whatever its label. A label in
     the text goes before the speaker column, and a later label in one text starts a new
-    part. Labels are resolved per transcript (:func:`labels.cluster_roles`); a part
+    part. Labels are resolved per transcript (:func:`labels.label_roles`); a part
     without a known role belongs to the turn in progress, and is left out where no role
     has been heard yet. A turn ends at a change of role or when more than ``pause_s``
     pass between the latest end so far and the next start. A missing end counts as the
@@ -123,21 +101,16 @@ def speaker_turns(
     rows = segments.select(
         F.col(transcript).alias("k"), F.col(segment).alias("id"), finite(a).alias("a"),
         F.greatest(finite(a), F.coalesce(finite(b), finite(a))).alias("b"),
-        normal_label_col(F.col(speaker)).alias("col_label"), _parts(F.col(text)).alias("parts"),
+        F.coalesce(F.col(speaker), F.lit("")).alias("by"), split_labels(F.col(text)).alias("parts"),
     ).where("k is not null and id is not null and a is not null")
-    said = rows.select("k", F.explode(F.concat(F.array("col_label"), F.col("parts.label"))).alias("label"))
-    roles = label_roles(said, "k", "label").groupBy("k").agg(
-        F.map_from_entries(F.collect_list(F.struct("label", "role"))).alias("roles")
-    )
-    known = rows.join(roles, "k", "left")
-    role = lambda label: F.try_element_at(F.coalesce("roles", F.create_map().cast("map<string,string>")), label)
-    with_roles = known.select(
-        "k", "id", "a", "b", role(F.col("col_label")).alias("col_role"),
-        F.transform("parts", lambda p: F.struct(role(F.coalesce(p["label"], F.lit(""))).alias("role"), p["raw"].alias("raw"), p["text"].alias("text"))).alias("parts"),
-    )
+    named = F.concat(F.array("by"), F.transform("parts", lambda p: F.when(p["label"] != "", p["label"]).otherwise(p["bracket"])))
+    said = rows.select("k", F.explode(F.array_distinct(named)).alias("label")).where("label <> ''").distinct()
+    roles = label_roles(said, "k", "label").groupBy("k").agg(F.map_from_entries(F.collect_list(F.struct("label", "role"))).alias("roles"))
+    copies = roles.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALT - 1))))
+    salted = rows.withColumn("salt", F.pmod(F.xxhash64("id"), F.lit(SALT)).cast("int"))
+    known = salted.join(copies, ["k", "salt"], "left").withColumn("roles", F.coalesce("roles", F.create_map().cast("map<string,string>")))
     parts = (
-        with_roles.select("k", "id", "a", "b", "col_role", _cleaned("parts").alias("c"))
-        .select("k", "id", "a", "b", "col_role", F.posexplode("c").alias("no", "c"))
+        known.select("k", "id", "a", "b", F.try_element_at("roles", F.col("by")).alias("col_role"), F.posexplode(clean_parts(F.col("parts"), F.col("roles"))).alias("no", "c"))
         .select(
             "k", "id", "a", "b", "no", F.col("c.words").alias("words"),
             F.coalesce("c.role", F.when(F.col("no") == 0, F.col("col_role"))).alias("role"),
