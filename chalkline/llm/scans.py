@@ -34,6 +34,9 @@ _PAGE = (
 )
 _HYPHEN = r"[-‐‑¬­–]\s*$"
 _HAN = r"[\x{3400}-\x{9FFF}]"
+_SENTENCE_END = r"[.。!！?？,，;；:：]$"
+#: A line shorter than this share of its page's widest is no wrapped one.
+SHORT = 0.6
 #: Bits of a character in a trigram's number.
 BITS = 21
 #: A recording's running lines are joined in so many copies, so that its pages spread over as many tasks.
@@ -121,24 +124,22 @@ def word_corrections(words: DataFrame, known: DataFrame) -> DataFrame:
 
 
 def _gram_codes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """The trigrams of each text as numbers, three characters of BITS bits each; 0 where fewer than two are Han."""
+    """The trigrams of each text as numbers, three characters of BITS bits each; 0 where fewer than two are Han or a break lies between."""
     for batch in batches:
-        texts = batch.column("s").to_pylist()
-        codes = np.frombuffer("".join(texts).encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.int64)
-        ends = np.cumsum([len(t) for t in texts])
+        parts = [t.split("\n") for t in batch.column("s").to_pylist()]
+        codes = np.frombuffer("".join(x for t in parts for x in t).encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.int64)
+        part = np.repeat(np.arange(sum(map(len, parts))), [len(x) for t in parts for x in t])
+        ends = np.cumsum([sum(map(len, t)) for t in parts])
+        starts = np.concatenate([[0], ends[:-1]]).astype(np.int64)
         han = ((codes >= 0x3400) & (codes <= 0x9FFF)).astype(np.int8)
         g = np.zeros(len(codes), np.int64)
         g[:-2] = (codes[:-2] << 2 * BITS) | (codes[1:-1] << BITS) | codes[2:]
-        g[:-2][han[:-2] + han[1:-1] + han[2:] < 2] = 0
-        starts = np.concatenate([[0], ends[:-1]])
-        # a text's last two places begin no trigram of its own
-        keep = np.ones(len(codes), bool)
-        for back in (1, 2):
-            keep[np.maximum(ends - back, starts)] = False
+        g[:-2][(han[:-2] + han[1:-1] + han[2:] < 2) | (part[:-2] != part[2:])] = 0
+        # a text's last two places begin no trigram
         sizes = np.maximum(ends - starts - 2, 0)
-        keep[np.repeat(sizes == 0, ends - starts)] = False
-        offsets = np.concatenate([[0], np.cumsum(sizes)]).astype(np.int32)
-        yield pa.RecordBatch.from_arrays([batch.column("t"), pa.ListArray.from_arrays(pa.array(offsets), pa.array(g[keep]))], ["t", "g"])
+        keep = np.arange(len(codes)) < np.repeat(starts + sizes, ends - starts)
+        offsets = pa.array(np.concatenate([[0], np.cumsum(sizes)]).astype(np.int32))
+        yield pa.RecordBatch.from_arrays([batch.column("t"), pa.ListArray.from_arrays(offsets, pa.array(g[keep]))], ["t", "g"])
 
 
 def _letter(g: Column, k: int) -> Column:
@@ -163,13 +164,20 @@ def _han_misreads(pages: DataFrame) -> DataFrame:
     same other character; the differences met LEARNED times that way are the confusions of this scanner. Every
     trigram that holds a confusion's character then looks up, by its hash and the difference, the trigram that it may have been,
     and the character is also corrected where one of these has SURE times the count and none that covers it speaks against it.
+    Trigrams go over line ends, but not from a title or caption to what follows.
     Counts are over distinct pages, so that a page shown again doesn't make its faults frequent.
     """
     strip = lambda x: F.regexp_replace(x["raw"], r"[\s\p{Z}]+$|^[\s\p{Z}]+", "")
     lead = lambda x: F.length(x["raw"]) - F.length(F.regexp_replace(x["raw"], r"^[\s\p{Z}]+", ""))
     lines = F.transform(F.filter("body", lambda x: x["raw"].rlike(_HAN)), lambda x: F.struct(x["no"].alias("no"), strip(x).alias("t"), lead(x).alias("lead")))
-    own = pages.select("id", lines.alias("l")).where("size(l) > 0").withColumn("s", F.array_join(F.transform("l", lambda x: x["t"]), ""))
-    own = own.where("length(s) >= 3").withColumn("t", F.struct(F.xxhash64("s").alias("x"), F.hash("s").alias("y")))
+    own = pages.select("id", lines.alias("l")).where("size(l) > 0").withColumn("widest", F.array_max(F.transform("l", lambda x: F.length(x["t"]))))
+    # a title, and a short line without an end in the midst of others, stand alone; what is around them goes on over them
+    alone = lambda x, i: ~x["t"].rlike(_SENTENCE_END) & ((i == 0) | ((F.length(x["t"]) < SHORT * F.col("widest")) & (i < F.size("l") - 1)))
+    running, apart = F.filter("l", lambda x, i: ~alone(x, i)), F.filter("l", alone)
+    own = own.select("id", running.alias("l"), apart.alias("apart"))
+    texts_of = lambda c: F.transform(c, lambda x: x["t"])
+    s = F.array_join(F.concat(F.array(F.array_join(texts_of("l"), "")), texts_of("apart")), "\n")
+    own = own.select("id", F.concat("l", "apart").alias("l"), s.alias("s")).withColumn("t", F.struct(F.xxhash64("s").alias("x"), F.hash("s").alias("y")))
     own = materialise(own)
     # every distinct text once, known by two hashes
     texts = own.groupBy("t").agg(F.first("s").alias("s"))
@@ -184,7 +192,8 @@ def _han_misreads(pages: DataFrame) -> DataFrame:
         .where((F.col("b.c") != F.col("c")) & (F.col("b.n") >= LEAST) & (F.col("b.n") >= RATIO * F.col("n")))
         .select("g", "k", F.col("c").alias("was"), F.col("b.c").alias("to"), F.col("b.n").alias("n"))
     )
-    met = lambda marks: grams.select("t", F.posexplode("g").alias("p", "g")).where("g <> 0").join(marks, "g").withColumn("p", F.col("p") + F.col("k"))
+    placed = grams.select("t", F.posexplode("g").alias("p", "g")).where("g <> 0")
+    met = lambda marks: placed.join(marks, "g").withColumn("p", F.col("p") + F.col("k"))
     cast = materialise(
         met(votes).groupBy("t", "p", "was", "to").agg(F.count("*").alias("votes"), F.sum("n").alias("n")).where("votes >= 2")
         .groupBy("t", "p").agg(F.max_by(F.struct("was", "to"), F.struct("votes", "n", "to")).alias("x")).select("t", "p", "x.*")
