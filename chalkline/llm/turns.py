@@ -10,14 +10,20 @@ from chalkline.plans.scan import sharded_scan
 from chalkline.plans.session import materialise
 
 # How time marks, brackets, labels and fillers are written.
-TIME = r"[\[【（(<]\s*\d{1,2}:\d{2}(?::\d{2})?(?:[.,]\d{1,3})?\s*[\]】）)>]\s*|\d{1,2}:\d{2}:\d{2}[.,]\d{1,3}\s*-->\s*(?:\d{1,2}:\d{2}:\d{2}[.,]\d{1,3}\s*)?"
-_BRACKETS = r"\[([^\[\]]{1,40})\]|【([^【】]{1,40})】|（([^（）]{1,40})）|\(([^()]{1,40})\)|〔([^〔〕]{1,40})〕|<([^<>]{1,40})>|\*([^*]{1,40})\*|♪+[^♪]{0,80}♪+|♪"
+# Each begins with the characters that it may begin with, so that other places are passed over at once.
+_SPACE, _WORD = r"[\s\p{Z}]", r"[\p{L}\p{N}_'-]"
+_CLOCK = r"\p{Nd}{1,2}:\p{Nd}{2}:\p{Nd}{2}[.,]\p{Nd}{1,3}"
+_TIME = (
+    rf"(?=[\[【（(<\p{{Nd}}])(?:[\[【（(<]{_SPACE}*\p{{Nd}}{{1,2}}:\p{{Nd}}{{2}}(?::\p{{Nd}}{{2}})?(?:[.,]\p{{Nd}}{{1,3}})?{_SPACE}*[\]】）)>]{_SPACE}*"
+    rf"|{_CLOCK}{_SPACE}*-->{_SPACE}*(?:{_CLOCK}{_SPACE}*)?)"
+)
+_BRACKETS = r"(?=[\[【（(〔<*♪])(?:\[([^\[\]]{1,40})\]|【([^【】]{1,40})】|（([^（）]{1,40})）|\(([^()]{1,40})\)|〔([^〔〕]{1,40})〕|<([^<>]{1,40})>|\*([^*]{1,40})\*|♪+[^♪]{0,80}♪+|♪)"
 #: A label before a colon, an angle or a spaced dash, at the start or after a space.
-_LABEL = r"(?:(?<=\s)|^)(\p{L}+)(?:\s*[:：]\s*|>\s+|\s+-\s+)"
-_ASCII_FILLER = r"(?iU)(?<![\w'-])(?:u+h+m*|u+m+|e+r+m?|h+m+|m+h+m+|a+h+|o+h+)(?![\w'-])(?:\.{3}|…+|,)?\s*"
+_LABEL = rf"(?:(?<={_SPACE})|^)(\p{{L}}+)(?:{_SPACE}*[:：]{_SPACE}*|>{_SPACE}+|{_SPACE}+-{_SPACE}+)"
+_ASCII_FILLER = rf"(?=[uehmaoUEHMAO])(?<!{_WORD})(?i:u+h+m*|u+m+|e+r+m?|h+m+|m+h+m+|a+h+|o+h+)(?!{_WORD})(?:\.{{3}}|…+|,)?{_SPACE}*"
 #: Fillers that follow one another go at once.
-_HAN_FILLER = r"(?U)(?:(?<=[\s，。、；：？！,.!?…])|^)(?:(?:[嗯呃]+(?:……|…|[，,、])?|[啊额唔哦]+(?:(?:……|…|[，,、])|(?=[\s。？！!?.]|$)))\s*)+"
-_EDGE = r"(?U)^[\s，。、；,;…]+|\s+$"
+_HAN_FILLER = rf"(?=[嗯呃啊额唔哦])(?:(?<=[\s\p{{Z}}，。、；：？！,.!?…])|^)(?:(?:[嗯呃]+(?:……|…|[，,、])?|[啊额唔哦]+(?:(?:……|…|[，,、])|(?=[\s\p{{Z}}。？！!?.]|$))){_SPACE}*)+"
+_EDGE = r"^[\s\p{Z}，。、；,;…]+|[\s\p{Z}]+$"
 #: Marks that no text holds: the begin of a part, the end of a bracket's and of a label's words.
 _PART, _BRACKET_END, _LABEL_END = "\u0001", "\u0003", "\u0002"
 #: A transcript's roles are joined in so many copies, so that its rows spread over as many tasks.
@@ -27,7 +33,7 @@ SALT = 16
 def strip_noise(text: Column) -> Column:
     """Words alone: no filler, doubled space or leading punctuation."""
     s = F.regexp_replace(F.regexp_replace(text, _ASCII_FILLER, " "), _HAN_FILLER, " ")
-    return F.regexp_replace(F.regexp_replace(s, r"(?U)\s+", " "), _EDGE, "")
+    return F.regexp_replace(F.regexp_replace(s, _SPACE + "+", " "), _EDGE, "")
 
 
 def split_labels(text: Column) -> Column:
@@ -38,7 +44,7 @@ def split_labels(text: Column) -> Column:
     """
     own = F.regexp_replace(F.coalesce(text, F.lit("")), f"[{_PART}{_BRACKET_END}{_LABEL_END}]", " ")
     words = "".join(f"${k}" for k in range(1, 8))
-    marked = F.regexp_replace(F.regexp_replace(own, f"(?U){TIME}", " "), f"(?U){_BRACKETS}|{_LABEL}", f"{_PART}{words}{_BRACKET_END}$8{_LABEL_END}")
+    marked = F.regexp_replace(F.regexp_replace(own, _TIME, " "), f"{_BRACKETS}|{_LABEL}", f"{_PART}{words}{_BRACKET_END}$8{_LABEL_END}")
 
     def part(p: Column, i: Column) -> Column:
         bare = i == 0
@@ -103,6 +109,7 @@ def speaker_turns(
         F.greatest(finite(a), F.coalesce(finite(b), finite(a))).alias("b"),
         F.coalesce(F.col(speaker), F.lit("")).alias("by"), split_labels(F.col(text)).alias("parts"),
     ).where("k is not null and id is not null and a is not null")
+    rows = materialise(rows)  # the texts are taken apart once
     named = F.concat(F.array("by"), F.transform("parts", lambda p: F.when(p["label"] != "", p["label"]).otherwise(p["bracket"])))
     said = rows.select("k", F.explode(F.array_distinct(named)).alias("label")).where("label <> ''").distinct()
     roles = label_roles(said, "k", "label").groupBy("k").agg(F.map_from_entries(F.collect_list(F.struct("label", "role"))).alias("roles"))
