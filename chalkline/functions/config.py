@@ -26,14 +26,11 @@ STOP_WORDS = (
     "很多", "非常", "比较", "可能", "已经", "通过", "进行", "使用", "方面", "方法", "问题", "情况", "内容", "过程", "就是", "其实",
     "现在", "时候", "地方", "东西", "感觉", "知道", "觉得", "认为",
 )
-REPLACEMENTS = {"亚丽师多德": "亚里士多德", "人工质能": "人工智能", "运遇": "机遇", "低谱": "低谷", "图林": "图灵"}
+REPLACEMENTS = {"亚丽师多德": "亚里士多德", "人工质能": "人工智能", "图林": "图灵", "低谱": "低谷", "运遇": "机遇"}
 TERMS = ("人工智能", "机器学习", "深度学习", "神经网络", "图灵", "图灵测试", "亚里士多德", "算法", "数据集", "低谷", "模型", "训练", "推理")
 TEACHER, STUDENT, UNKNOWN = "教师", "学生", "未知"
 TEACHER_NAMES = ("teacher", "lecturer", "t", "教师", "老师", "讲师")
 STUDENT_NAMES = ("student", "s", "学生", "学员", "同学")
-#: Traditional characters and their simplified forms, as far as the built-in conversion goes.
-TRADITIONAL = "這個們應該東問題內學習機網絡經數據"
-SIMPLIFIED = "这个们应该东问题内学习机网络经数据"
 
 
 @dataclass(frozen=True)

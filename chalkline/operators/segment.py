@@ -65,18 +65,24 @@ def fixed_words(*lists: Iterable[str]) -> list[str]:
     return sorted({w for x in lists for w in x if len(w) >= 2 and all("一" <= c <= "鿿" for c in w)})
 
 
+def patterns(runs: DataFrame, words: DataFrame) -> DataFrame:
+    """``(run, _pattern)``: the words (w) that occur in each run (run), the longest first, as alternatives.
+
+    Words are joined to a run by its n-grams, so the dictionary is never sent to every task. Runs without a word are left out.
+    """
+    own = _grams(runs.select("run", F.col("run").alias("_r")), 2, LONGEST, "_r").select(F.col("_r").alias("run"), F.col("g").alias("w"))
+    ranked = F.sort_array(F.collect_set(F.struct((-F.length("w")).alias("n"), "w")))
+    return own.join(words.distinct(), "w").groupBy("run").agg(F.array_join(F.transform(ranked, lambda x: x["w"]), "|").alias("_pattern"))
+
+
 def segmented(runs: DataFrame, words: DataFrame) -> DataFrame:
     """``(run, tokens)``: each run of ``runs`` (run) by forward maximum matching over ``words`` (w).
 
     From left to right the longest word that starts at a place is taken; a character at
-    which none starts is a token of its own and left out. The words that occur in a run are joined
-    to it by its n-grams, so the dictionary is never sent to every task; the match itself is a pattern
-    of the run's words, the longest first. Words over LONGEST characters are not found.
+    which none starts is a token of its own and left out. The match is a pattern of the run's words, the
+    longest first. Words over LONGEST characters are not found.
     """
-    own = _grams(runs.select("run", F.col("run").alias("_r")), 2, LONGEST, "_r").select(F.col("_r").alias("run"), F.col("g").alias("w"))
-    ranked = F.sort_array(F.collect_set(F.struct((-F.length("w")).alias("n"), "w")))
-    found = own.join(words.distinct(), "w").groupBy("run").agg(F.array_join(F.transform(ranked, lambda x: x["w"]), "|").alias("_pattern"))
-    return found.select("run", F.regexp_extract_all("run", F.col("_pattern"), F.lit(0)).alias("tokens"))
+    return patterns(runs, words).select("run", F.regexp_extract_all("run", F.col("_pattern"), F.lit(0)).alias("tokens"))
 
 
 def dictionary(runs: DataFrame) -> DataFrame:

@@ -7,7 +7,8 @@ from pyspark.sql import functions as F
 from chalkline.functions import config as C
 from chalkline.functions import text as X
 from chalkline.operators import vision
-from chalkline.operators.fuzzy import best_terms
+from chalkline.functions.scripts import convert_script, script_table
+from chalkline.operators.fuzzy import best_terms, corrected_texts
 from chalkline.operators.segment import LONGEST, fixed_words, tokenised
 from chalkline.queries._views import KEEP, SILENCE, STRIP, with_views
 from chalkline.sources import lecture as L
@@ -120,7 +121,21 @@ def levenshtein_fuzzy(s, d):
         k.sparkSession.createDataFrame([(t,) for t in C.TERMS], "term string")
     )
     noisy = tokens.select(F.explode(F.array("token", F.concat(F.lit("x"), F.substring("token", 2, 100)))).alias("token"))
-    return best_terms(noisy, terms, "token", "term")
+    return best_terms(noisy, terms, "token", "term").drop("norm")
+
+
+def transcript_correction(s, d):
+    """Segments with misheard domain terms put right by sound: the text, what it was and the replacements, null where nothing changed."""
+    return corrected_texts(L.segments(s, d), "id", "text", list(C.TERMS))
+
+
+def correction_counts(s, d):
+    """Counters of the correction and of the script conversion."""
+    g = transcript_correction(s, d)
+    return g.agg(
+        F.lit(True).alias("enabled"), F.count_if(X.strip(F.coalesce("text_raw", "text")) != "").alias("attempted"), F.count("text_raw").alias("changed"),
+        F.coalesce(F.sum(F.size("text_correction")), F.lit(0)).alias("replacements"),
+    )
 
 
 def edit_distance(s, d):
@@ -137,13 +152,20 @@ def token_filter(s, d):
     return t.select("token", X.is_valid_token(F.col("token")).alias("valid"), X.is_cjk(F.col("token")).alias("cjk"))
 
 
-def script_t2s(s, d):
-    """Per recording: segments that the script conversion looked at and changed."""
+def script_t2s(s, d, mode="t2s"):
+    """Per recording: the conversion's status, segments that it looked at and changed."""
+    table = script_table(s, mode)
     g = L.segments(s, d).withColumn("old", F.translate("text", "这个们", "這個們"))
-    new = F.translate("old", C.TRADITIONAL, C.SIMPLIFIED)
-    return g.groupBy("video_name").agg(
-        F.lit("ok").alias("status"), F.count_if(F.col("old") != "").alias("attempted"), F.count_if(new != F.col("old")).alias("changed")
-    )
+    new = convert_script(F.col("old"), table)
+    looked = F.count_if(F.col("old") != "") if table[0] == "ok" else F.count("*")
+    return g.groupBy("video_name").agg(F.lit(table[0]).alias("status"), looked.alias("attempted"), F.count_if(new != F.col("old")).alias("changed"))
+
+
+def script_round_trip(s, d):
+    """Segments whose text is another in traditional characters, that text, and whether converting it back gives the first."""
+    there, back = script_table(s, "s2t"), script_table(s, "t2s")
+    g = L.segments(s, d).select("id", "text", convert_script(F.col("text"), there).alias("traditional")).where("text <> traditional")
+    return g.select("id", "traditional", (convert_script(F.col("traditional"), back) == F.col("text")).alias("same"))
 
 
 def cue_hit(s, d):
@@ -230,7 +252,7 @@ SELECT id, round(CASE WHEN t = '' THEN -0.2 ELSE {_HITS(C.TEACHER_CUES).format(c
     "token_filter": with_views(f""", t0 AS (SELECT id, {_norm('text')} AS text FROM seg), {SEGMENT('t0', 'id')}, t AS (SELECT DISTINCT token FROM tk0)
 SELECT token, {VALID} AS valid, regexp_full_match(token, '[\\x{{4e00}}-\\x{{9fff}}]+') AS cjk FROM t""", "seg"),
     "script_t2s": with_views(f""", o AS (SELECT video_name, translate(text, '这个们', '這個們') AS old FROM seg)
-SELECT video_name, 'ok' AS status, count(*) FILTER (old <> '') AS attempted, count(*) FILTER (translate(old, '{C.TRADITIONAL}', '{C.SIMPLIFIED}') <> old) AS changed FROM o GROUP BY video_name""", "seg"),
+SELECT video_name, 'ok' AS status, count(*) FILTER (old <> '') AS attempted, count(*) FILTER (regexp_matches(old, '[這個們]')) AS changed FROM o GROUP BY video_name""", "seg"),
     "cue_hit": with_views(f""", q AS (SELECT id, {STRIP.format(c='text')} AS t FROM seg)
 SELECT id, length(t) >= 3 AND {_ANY(C.QUESTION_CUES)} AS question, length(t) >= 3 AND {_ANY(C.ANSWER_CUES)} AS answer FROM q""", "seg"),
     "point_text": with_views(f"""SELECT video_name, id, substring({STRIP.format(c="(speech_text || ' ' || ppt_text)")}, 1, 60) AS text FROM tl""", "tl"),
@@ -239,7 +261,7 @@ SELECT id, length(t) >= 3 AND {_ANY(C.QUESTION_CUES)} AS question, length(t) >=
 
 def queries() -> dict:
     # edit distances have no SQL: the SQL engine counts bytes, not characters
-    return {n: globals()[n] for n in (*_SQL, "levenshtein_fuzzy", "edit_distance")}
+    return {n: globals()[n] for n in (*_SQL, "levenshtein_fuzzy", "edit_distance", "transcript_correction", "correction_counts", "script_round_trip")}
 
 
 def oracle_sql() -> dict[str, str]:
