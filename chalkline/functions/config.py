@@ -68,6 +68,7 @@ class Config:
     bias: float = 0.30
     borderline: tuple[float, float] = (0.28, 0.60)
     proto_quantile: float = 0.65
+    shortest_voice: float = 0.4
     smooth_window: int = 3
     smooth_duration: float = 4.0
     similarity: float = 0.82

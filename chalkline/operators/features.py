@@ -63,29 +63,44 @@ def draw(*key: str, buckets: int = 1_000_003):
     return x
 
 
+def drawn(rows: DataFrame, group: list[str], key: list[str]) -> DataFrame:
+    """``rows`` with ``_rank`` from 1 in each group, in an order drawn by the fixed numbers of their ``key`` (whole number last).
+
+    Ranks are counted in two levels: within a number, and over the numbers' counts, of which a group has at most
+    1,000,003. Rows of one number go by key, so the key should tell rows apart; ranks of equal rows come in no fixed order.
+    """
+    numbered = rows.withColumn("_d", draw(key[-1]))
+    counts = numbered.groupBy(*group, "_d").agg(F.count("*").alias("_n"))
+    before = Window.partitionBy(*group).orderBy("_d").rowsBetween(Window.unboundedPreceding, -1)
+    offset = counts.select(*group, "_d", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_before"))
+    inside = Window.partitionBy(*group, "_d").orderBy(*key)
+    both = numbered.withColumn("_k", F.row_number().over(inside)).alias("a").join(offset.alias("b"), [F.col(f"a.{c}").eqNullSafe(F.col(f"b.{c}")) for c in (*group, "_d")])
+    return both.select("a.*", (F.col("_k") + F.col("_before")).alias("_rank")).drop("_d", "_k")
+
+
 def balanced(rows: DataFrame, label: str, key: list[str], ratio: int = 3) -> DataFrame:
-    """All positive rows and about ``ratio`` times as many negatives, drawn by a fixed number of their key.
+    """All positive rows and exactly ``ratio`` times as many negatives, or all there are, drawn by :func:`drawn`.
 
-    Negatives are counted by their number, and those below the number where the wanted count
-    is reached are kept, so nothing is ranked in one task. Where the negatives of one number are so
-    many that this falls short by more than a tenth, the rest is taken from them by a sharded rank.
     With no row of one class everything is kept.
     """
-    drawn = rows.withColumn("_d", draw(*key, buckets=997))
-    counts = drawn.groupBy("_d").agg(F.count_if(F.col(label) == 1).alias("p"), F.count_if(F.col(label) == 0).alias("n")).orderBy("_d").collect()  # at most 997 rows and one for null
-    positive = sum(r["p"] for r in counts)
-    wanted, have, below, cut = positive * max(ratio, 1), 0, -1, None
-    for r in counts:
-        if positive and have + r["n"] > wanted:
-            cut = r["_d"]
-            break
-        have, below = have + r["n"], below if r["_d"] is None else r["_d"]
-    negative = drawn.where(F.col(label) == 0)
-    out = rows.where(F.col(label) == 1).unionByName(negative.where(F.col("_d") <= below).drop("_d"))
-    if cut is None or (wanted - have) * 10 <= wanted:
-        return out
-    inside = negative.where(F.col("_d") == cut).withColumn("_h", F.xxhash64(*rows.columns)).withColumn("_shard", F.pmod("_h", F.lit(256)))
-    before = Window.orderBy("_shard").rowsBetween(Window.unboundedPreceding, -1)  # 256 rows
-    offset = inside.groupBy("_shard").agg(F.count("*").alias("n")).select("_shard", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("_before"))
-    ranked = inside.withColumn("_k", F.row_number().over(Window.partitionBy("_shard").orderBy("_h", *key))).join(F.broadcast(offset), "_shard")
-    return out.unionByName(ranked.where(F.col("_k") + F.col("_before") <= wanted - have).select(*rows.columns))
+    n = {r[label]: r["n"] for r in rows.groupBy(label).agg(F.count("*").alias("n")).collect()}  # a row a class
+    positive = n.get(1, 0)
+    if not positive or not n.get(0, 0):
+        return rows
+    negatives = drawn(rows.where(F.col(label) == 0), [label], key).where(F.col("_rank") <= positive * max(ratio, 1)).drop("_rank")
+    return rows.where(F.col(label) == 1).unionByName(negatives)
+
+
+def held_out(rows: DataFrame, label: str, key: list[str], share: float = 0.2) -> DataFrame:
+    """``rows`` with ``held_out``: true for ``share`` of the rows, of each class alike, rounded up.
+
+    Not of each class, but of all rows, where there is only one class or one of them has a single row.
+    """
+    n = rows.groupBy(label).agg(F.count("*").alias("_n")).collect()  # a row a class
+    if len(n) < 2 or min(r["_n"] for r in n) < 2:
+        of = sum(r["_n"] for r in n)
+        ranked = drawn(rows.withColumn("_all", F.lit(0)), ["_all"], key).withColumn("_n", F.lit(of)).drop("_all")
+    else:
+        sizes = F.create_map(*(F.lit(x) for r in n for x in (r[label], r["_n"])))
+        ranked = drawn(rows, [label], key).withColumn("_n", sizes[F.col(label)])
+    return ranked.withColumn("held_out", F.col("_rank") <= F.ceil(F.round(F.col("_n") * share, 6))).drop("_rank", "_n")

@@ -7,7 +7,7 @@ from functools import reduce
 
 from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.classification import RandomForestClassifier
-from pyspark.ml.feature import StandardScaler, VectorAssembler
+from pyspark.ml.feature import SQLTransformer, VectorAssembler
 from pyspark.ml.functions import vector_to_array
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -48,9 +48,12 @@ def train_forest(rows: DataFrame, label: str, trees: int = 200, depth: int = 8,
     if min(counts.get(0, 0), counts.get(1, 0)) < 2:
         return None
     weighted = rows.join(F.broadcast(class_weights(rows, label, positive).select(label, "weight")), label)  # two rows
+    # scaled by the deviation of the population, where the library's own scaler takes that of a sample
+    m = rows.agg(*(f(c).alias(f"{n}_{c}") for c in FEATURES for n, f in (("m", F.avg), ("s", F.stddev_pop)))).first()
+    scaled = ", ".join(f"({c} - ({m[f'm_{c}']!r})) / {m[f's_{c}'] or 1.0!r} AS z_{c}" for c in FEATURES)
     stages = [
-        VectorAssembler(inputCols=list(FEATURES), outputCol="raw"),
-        StandardScaler(inputCol="raw", outputCol="features", withMean=True),
+        SQLTransformer(statement=f"SELECT *, {scaled} FROM __THIS__"),
+        VectorAssembler(inputCols=[f"z_{c}" for c in FEATURES], outputCol="features"),
         RandomForestClassifier(labelCol=label, weightCol="weight", numTrees=trees, maxDepth=depth, seed=seed),
     ]
     return Pipeline(stages=stages).fit(weighted)

@@ -54,13 +54,15 @@ def mean_vectors(rows: DataFrame, keys: list[str], vector: str) -> DataFrame:
 
 
 def classification_report(rows: DataFrame, truth: str, guess: str) -> DataFrame:
-    """``(label, precision, recall, f1, support)`` of each class."""
+    """``(label, precision, recall, f1, support, weighted_f1)`` of each class; the last is of all, by support."""
     cells = rows.groupBy(truth, guess).agg(F.count("*").alias("n"))  # classes squared
     a = cells.select(F.col(truth).alias("label"), F.col("n").alias("t"), F.lit(0).alias("g"), F.when(F.col(truth) == F.col(guess), F.col("n")).otherwise(0).alias("hit"))
     b = cells.select(F.col(guess).alias("label"), F.lit(0).alias("t"), F.col("n").alias("g"), F.lit(0).alias("hit"))
     s = a.unionByName(b).groupBy("label").agg(*(F.sum(c).alias(c) for c in ("t", "g", "hit")))
     p, r = F.coalesce(F.try_divide("hit", "g"), F.lit(0.0)), F.coalesce(F.try_divide("hit", "t"), F.lit(0.0))
-    return s.select("label", p.alias("precision"), r.alias("recall"), F.coalesce(F.try_divide(2 * p * r, p + r), F.lit(0.0)).alias("f1"), F.col("t").cast("bigint").alias("support"))
+    each = s.select("label", p.alias("precision"), r.alias("recall"), F.coalesce(F.try_divide(2 * p * r, p + r), F.lit(0.0)).alias("f1"), F.col("t").cast("bigint").alias("support"))
+    mean = each.agg(F.coalesce(F.try_divide(F.sum(F.col("f1") * F.col("support")), F.sum("support")), F.lit(0.0)).alias("weighted_f1"))
+    return each.join(F.broadcast(mean), how="cross")  # one row
 
 
 def boundary_threshold(slide_ratio: Column, silence_ratio: Column, base: float = 0.50) -> Column:

@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from chalkline.functions import text as X
 from chalkline.operators import stats as S
-from chalkline.operators.features import balanced, class_weights, draw
+from chalkline.operators.features import balanced, class_weights, held_out
 from chalkline.queries._views import KEEP, with_views
 from chalkline.queries.joins import duration_infer
 from chalkline.queries.scalars import _SQL as _SCALAR
@@ -24,10 +24,16 @@ def audio_stats(s, d):
     keep = X.keeps_speech(F.col("nsp"), F.col("text"))
     return L.segments(s, d).groupBy("video_name").agg(
         F.count("*").alias("segments"), F.count_if(keep).alias("valid"), F.round(F.coalesce(F.sum(F.when(keep, F.col("end") - F.col("start"))), F.lit(0.0)), 2).alias("speech_s"),
-        F.round(F.coalesce(F.avg("confidence"), F.lit(0.0)), 4).alias("confidence"), F.count_if(F.coalesce(1 - F.col("nsp") < 0.60, F.lit(False))).alias("low"),
+        mean_of("confidence", 4).alias("confidence"), F.count_if(F.coalesce(1 - F.col("nsp") < 0.60, F.lit(False))).alias("low"),
     )
 
 
+def mean_of(c, decimals):
+    """The mean of a column to so many decimals, half up, of whole numbers of the last one: the same in any order of rows."""
+    total, n = F.sum(F.round(F.col(c) * 10**decimals).cast("bigint")), F.count("*")
+    return F.call_function("div", 2 * total + n, 2 * n) / 10**decimals
+
+
 def text_stats(s, d):
     dur = F.col("end") - F.col("start")
     return L.knowledge(s, d).groupBy("video_name").agg(F.count("*").alias("topics"), F.round(F.sum(dur) / F.greatest(F.count("*"), F.lit(1)), 2).alias("mean_s"), F.round(F.sum(dur), 2).alias("total_s"))
@@ -84,7 +90,7 @@ def class_weights_query(s, d):
 def classification_report(s, d):
     t = L.timeline(s, d).select(F.col("boundary").cast("int").alias("truth"), F.col("slide").cast("int").alias("guess"))
     r = S.classification_report(t, "truth", "guess")
-    return r.select("label", *(F.round(c, 6).alias(c) for c in ("precision", "recall", "f1")), "support")
+    return r.select("label", *(F.round(c, 6).alias(c) for c in ("precision", "recall", "f1", "weighted_f1")), "support")
 
 
 def dynamic_boundary_threshold(s, d):
@@ -118,25 +124,25 @@ def run_summary(s, d):
 
 def balance(s, d):
     t = L.timeline(s, d).select("video_name", "id", F.col("boundary").cast("int").alias("label"))
-    return balanced(t, "label", ["id"]).select("video_name", "id", "label")
+    return balanced(t, "label", ["video_name", "id"]).select("video_name", "id", "label")
 
 
 def split_rows(s, d):
-    """Held-out fifth of the points, drawn by a fixed number of their id."""
+    """A fifth of the points of each class held out."""
     t = L.timeline(s, d).select("video_name", "id", F.col("boundary").cast("int").alias("label"))
-    return t.select("video_name", "id", "label", (draw("id", buckets=997) % 5 == 0).alias("held_out"))
+    return held_out(t, "label", ["video_name", "id"]).select("video_name", "id", "label", "held_out")
 
 
 _TALK = _SCALAR["teacher_talk_score"].replace("round(CASE WHEN t = '' ", "(CASE WHEN t = '' ").replace(" END, 6) AS score FROM q", " END) AS score FROM q")
 _DUR = """(SELECT video_name, max(x) AS duration FROM (SELECT video_name, "end" AS x FROM seg UNION ALL SELECT video_name, time FROM sam) GROUP BY video_name)"""
 _TITLE = r"coalesce(nullif(trim(regexp_replace(trim(title), '^\s*知识点\s*[0-9]+\s*[-_—:：]?\s*', '')), ''), nullif(trim(title), ''), '片段' || CAST(id + 1 AS VARCHAR))"
 _HMS = "CAST({x} // 3600 AS VARCHAR) || ':' || lpad(CAST({x} // 60 % 60 AS VARCHAR), 2, '0') || ':' || lpad(CAST({x} % 60 AS VARCHAR), 2, '0')"
-_DRAW = "(17 * 31 + id % 997 * 7919 + 104729) % 997"
+_DRAW = "(17 * 31 + id % 1000003 * 7919 + 104729) % 1000003"
 
 _SQL = {
     "visual_stats": with_views(""", a AS (SELECT video_name, count(*) AS samples, count(*) FILTER (motion_ratio > 0.02 OR static_person OR full_screen) AS present FROM sam GROUP BY 1), b AS (SELECT video_name, count(*) AS slides FROM sli GROUP BY 1)
 SELECT video_name, samples, present, round(present / greatest(samples, 1), 3) AS presence_ratio, coalesce(slides, 0) AS slides FROM a LEFT JOIN b USING (video_name)""", "sam", "sli"),
-    "audio_stats": with_views(f""" SELECT video_name, count(*) AS segments, count(*) FILTER ({KEEP}) AS valid, round(coalesce(sum("end" - "start") FILTER ({KEEP}), 0), 2) AS speech_s, round(avg(confidence), 4) AS confidence,
+    "audio_stats": with_views(f""" SELECT video_name, count(*) AS segments, count(*) FILTER ({KEEP}) AS valid, round(coalesce(sum("end" - "start") FILTER ({KEEP}), 0), 2) AS speech_s, (2 * sum(CAST(round(confidence * 10000) AS BIGINT)) + count(*)) // (2 * count(*)) / 1e4 AS confidence,
   count(*) FILTER (1 - nsp < 0.60) AS low FROM seg GROUP BY video_name""", "seg"),
     "text_stats": with_views(""" SELECT video_name, count(*) AS topics, round(avg("end" - "start"), 2) AS mean_s, round(sum("end" - "start"), 2) AS total_s FROM kno GROUP BY video_name""", "kno"),
     "index_stats": with_views(" SELECT video_name, count(*) AS points, round(avg(CAST(present AS INT)), 3) AS presence_ratio, round(avg(CAST(silent AS INT)), 3) AS silence_ratio, count(*) FILTER (slide) AS turns FROM tl GROUP BY video_name", "tl"),
@@ -155,7 +161,8 @@ SELECT video_name, title, first_id, parts, duration, {_HMS.format(x='a')} AS "st
     "final_stats": with_views(""" SELECT video_name, count(*) FILTER ("end" - "start" >= 20) AS clips, count(*) FILTER ("end" - "start" < 20) AS removed, CAST(coalesce(sum(ceil("end") - floor("start")) FILTER ("end" - "start" >= 20), 0) AS BIGINT) AS duration FROM kno GROUP BY video_name""", "kno"),
     "class_weights": with_views(", n AS (SELECT CAST(boundary AS INT) AS label, count(*) AS n FROM tl GROUP BY 1) SELECT label, n, round((SELECT sum(n) FROM n) / ((SELECT count(*) FROM n) * n) * CASE WHEN label = 1 THEN 3 ELSE 1 END, 6) AS weight FROM n", "tl"),
     "classification_report": with_views(""", l AS (SELECT unnest([0, 1]) AS label), c AS (SELECT label, count(*) FILTER (slide = (label = 1) AND boundary = (label = 1)) AS hit, count(*) FILTER (slide = (label = 1)) AS g, count(*) FILTER (boundary = (label = 1)) AS t FROM l, tl GROUP BY label)
-SELECT label, round(coalesce(hit / nullif(g, 0), 0), 6) AS precision, round(coalesce(hit / nullif(t, 0), 0), 6) AS recall, round(coalesce(2 * hit / nullif(g + t, 0), 0), 6) AS f1, t AS support FROM c WHERE g + t > 0""", "tl"),
+SELECT label, round(coalesce(hit / nullif(g, 0), 0), 6) AS precision, round(coalesce(hit / nullif(t, 0), 0), 6) AS recall, round(coalesce(2 * hit / nullif(g + t, 0), 0), 6) AS f1,
+  round(sum(coalesce(2 * hit / nullif(g + t, 0), 0) * t) OVER () / sum(t) OVER (), 6) AS weighted_f1, t AS support FROM c WHERE g + t > 0""", "tl"),
     "dynamic_boundary_threshold": with_views(""", r AS (SELECT video_name, avg(CAST(slide AS INT)) AS a, avg(CAST(silent AS INT)) AS b FROM tl GROUP BY 1)
 SELECT video_name, CAST(round(least(greatest(0.5 + CASE WHEN a >= 0.04 THEN 0.05 ELSE 0 END + CASE WHEN b >= 0.3 THEN 0.03 ELSE 0 END - CASE WHEN a <= 0.01 AND b <= 0.15 THEN 0.05 ELSE 0 END, 0.35), 0.75), 4) AS DOUBLE) AS threshold FROM r""", "tl"),
     "dynamic_interference_threshold": with_views(f""", r AS (SELECT video_name, round(avg(CAST(present AS INT)), 3) AS p, round(avg(CAST(silent AS INT)), 3) AS q FROM tl GROUP BY 1), n AS (SELECT video_name, count(*) AS n FROM sli GROUP BY 1)
@@ -163,9 +170,10 @@ SELECT video_name, CAST(round(least(greatest(0.70 + CASE WHEN p < 0.55 THEN 0.08
   CAST(round(least(greatest(0.80 + CASE WHEN q > 0.35 THEN 0.05 WHEN q < 0.12 THEN -0.05 ELSE 0 END, 0.6), 0.95), 4) AS DOUBLE) AS quiet, CAST(15 + CASE WHEN q > 0.35 THEN 3 WHEN q < 0.12 THEN -2 ELSE 0 END AS DOUBLE) AS seconds
 FROM r JOIN {_DUR} USING (video_name) LEFT JOIN n USING (video_name)""", "tl", "sli", "seg", "sam"),
     "run_summary": with_views(" SELECT video_name, " + ", ".join(f"CASE WHEN video_name IN (SELECT video_name FROM {t}) THEN 'ok' ELSE 'missing' END AS {n}" for n, t in (("visual", "sam"), ("audio", "seg"), ("text", "kno"), ("align", "tl"))) + " FROM (SELECT DISTINCT video_name FROM multimodal_index)", "sam", "seg", "kno", "tl"),
-    "balance": with_views(f""", t AS (SELECT video_name, id, CAST(boundary AS INT) AS label, {_DRAW} AS d FROM tl), c AS (SELECT d, sum(count(*)) OVER (ORDER BY d) AS upto FROM t WHERE label = 0 GROUP BY d), p AS (SELECT count(*) AS p FROM t WHERE label = 1)
-SELECT video_name, id, label FROM t WHERE label = 1 OR d <= (SELECT max(d) FROM c, p WHERE p = 0 OR upto <= 3 * p)""", "tl"),
-    "split": with_views(f" SELECT video_name, id, CAST(boundary AS INT) AS label, {_DRAW} % 5 = 0 AS held_out FROM tl", "tl"),
+    "balance": with_views(f""", t AS (SELECT video_name, id, CAST(boundary AS INT) AS label FROM tl), p AS (SELECT count(*) FILTER (label = 1) AS p, count(*) FILTER (label = 0) AS n FROM t)
+SELECT video_name, id, label FROM t, p QUALIFY label = 1 OR p = 0 OR n = 0 OR row_number() OVER (PARTITION BY label ORDER BY {_DRAW}, video_name, id) <= 3 * p""", "tl"),
+    "split": with_views(f""", t AS (SELECT video_name, id, CAST(boundary AS INT) AS label FROM tl)
+SELECT video_name, id, label, row_number() OVER (PARTITION BY label ORDER BY {_DRAW}, video_name, id) <= ceil(round(count(*) OVER (PARTITION BY label) * 0.2, 6)) AS held_out FROM t""", "tl"),
 }
 
 

@@ -18,6 +18,7 @@ from chalkline.queries.joins import _points_in_segment, duration_infer, overlap
 from chalkline.queries.scalars import ANN, annotations, raw_annotations
 from chalkline.sources import lecture as L
 
+RECODE = " -c:v libx264 -c:a aac"
 SOURCES = ("knowledge_segment", "silence_scan", "teacher_non_knowledge_talk", "teacher_student_qa", "model")
 
 
@@ -29,19 +30,32 @@ def _row(df, rank, reasons, absent=0.0, silent=0.0):
 
 
 def interference_parts(s, d, model=None):
-    """The stretches each rule and the model find, not yet merged; reasons are codes. ``model``: its stretches, by default those of a rule."""
+    """The stretches each rule and the model find, not yet merged, with their reasons. ``model``: its stretches, by default those of a rule."""
     th = thresholds(s, d)
     k = L.knowledge(s, d)
     per = _points_in_segment(s, d).groupBy("ks_id").agg(F.avg((~F.col("present")).cast("int")).alias("a"), F.avg(F.col("silent").cast("int")).alias("q"))
     hit = per.join(k, per.ks_id == k.id).join(th, "video_name").where((F.round("a", 9) > F.col("absent")) | (F.round("q", 9) > F.col("quiet")))
-    why = F.filter(F.array(F.when(F.round("a", 9) > F.col("absent"), "absent"), F.when(F.round("q", 9) > F.col("quiet"), "silent")), lambda x: x.isNotNull())
+    why = F.filter(F.array(F.when(F.round("a", 9) > F.col("absent"), F.concat(F.lit("教师缺席 "), percent(F.col("a")))), F.when(F.round("q", 9) > F.col("quiet"), F.concat(F.lit("静默占比 "), percent(F.col("q"))))), lambda x: x.isNotNull())
     know = _row(hit, 0, why, F.round("a", 3), F.round("q", 3))
     still = I.flag_islands(L.timeline(s, d), "video_name", F.col("silent")).withColumn("end", F.col("next_time")).join(th, "video_name").where(F.col("end") - F.col("start") >= F.col("seconds"))
     talk, qa, model = W.rule_a(s, d), W.qa(s, d), W.model_ranges(s, d) if model is None else model
     why = lambda x: F.array(F.lit(x))
+    quiet = F.array(F.concat(F.lit("连续静默 "), seconds(F.col("end") - F.col("start")), F.lit("s")))
     return (
-        know.unionByName(_row(still, 1, why("pause"), 0.0, 1.0)).unionByName(_row(talk, 2, why("talk"))).unionByName(_row(qa, 3, why("questions"))).unionByName(_row(model, 4, why("model")))
-    )
+        know.unionByName(_row(still, 1, quiet, 0.0, 1.0)).unionByName(_row(talk, 2, why("教师闲聊/过渡语（非知识点内容）")))
+        .unionByName(_row(qa, 3, why("师生问答互动"))).unionByName(_row(model, 4, why("模型预测干扰")))
+    )
+
+
+def percent(ratio):
+    """A ratio as whole percent, half up."""
+    return F.concat(F.floor(F.round(ratio * 100, 6) + 0.5).cast("bigint").cast("string"), F.lit("%"))
+
+
+def seconds(x):
+    """Seconds with one decimal, half up."""
+    tenths = F.floor(F.round(x * 10, 6) + 0.5).cast("bigint")
+    return F.concat(F.floor(tenths / 10).cast("string"), F.lit("."), (tenths % 10).cast("string"))
 
 
 def interference(s, d, model=None):
@@ -79,6 +93,9 @@ def edits(s, d, model=None, cfg=C.CONFIG):
     action = F.when(F.col("ratio").isNotNull(), "knowledge_overlap_filter").when(length < cfg.min_segment, "min_duration_filter").otherwise("keep")
     return a.select(
         "video_name", "id", X.clean_title(F.col("title"), F.col("id")).alias("title"), "start", "end", action.alias("action"),
+        F.when(F.col("ratio").isNotNull(), F.concat(F.lit("与干扰区间重叠 "), percent(F.col("ratio")))).when(
+            length < cfg.min_segment, F.concat(F.lit("片段过短 "), seconds(length), F.lit("s < "), seconds(F.lit(cfg.min_segment)), F.lit("s"))
+        ).alias("reason"),
         F.round(F.greatest(F.lit(0.0), F.col("start") - cfg.padding), 2).alias("cut_from"),
         F.round(F.least(F.coalesce("duration", "end"), F.col("end") + cfg.padding), 2).alias("cut_to"),
     )
@@ -99,9 +116,12 @@ def edit_commands(s, d, model=None):
 
 def removed_segments(s, d, model=None):
     """Merged interference and dropped topics in one list."""
-    a = interference(s, d, model).select("video_name", "start", "end", F.array_join("sources", "+").alias("source"))
-    b = edits(s, d, model).where("action <> 'keep'").select("video_name", "start", "end", F.col("action").alias("source"))
-    return a.unionByName(b).select("video_name", F.round("start", 2).alias("start"), F.round("end", 2).alias("end"), F.round(F.col("end") - F.col("start"), 2).alias("duration"), "source")
+    a = interference(s, d, model).select("video_name", "start", "end", F.array_join("sources", "+").alias("source"), F.array_join("reasons", "|").alias("reasons"))
+    b = edits(s, d, model).where("action <> 'keep'").select("video_name", "start", "end", F.col("action").alias("source"), F.col("reason").alias("reasons"))
+    return a.unionByName(b).select(
+        "video_name", F.round("start", 2).alias("start"), F.round("end", 2).alias("end"), F.round(F.col("end") - F.col("start"), 2).alias("duration"), "source", "reasons",
+        F.lit("not_exported").alias("output_policy"),
+    )
 
 
 def final_index(s, d, model=None):
@@ -114,12 +134,17 @@ def final_index(s, d, model=None):
 
 
 def media_commands(s, d, model=None):
-    """The cut of each clip and, for titles of several, the joining of its parts, as command lines for a media tool."""
+    """The cut of each clip and, for titles of several, the joining of its parts, as arguments for a media tool.
+
+    ``fallback`` encodes anew; it is for a first attempt that fails or leaves a file of 1,024 bytes or less.
+    """
     e = edit_commands(s, d, model)
     out = F.concat("video_name", F.lit("_"), F.col("clip").cast("string"), F.lit(".mp4"))
-    cut = e.select("video_name", out.alias("output"), F.lit("cut").alias("kind"), F.concat_ws(" ", F.lit("-ss"), F.format_string("%.2f", "cut_from"), F.lit("-to"), F.format_string("%.2f", "cut_to"), F.lit("-c copy")).alias("arguments"))
+    part = F.concat_ws(" ", F.lit("-ss"), F.format_string("%.2f", "cut_from"), F.lit("-to"), F.format_string("%.2f", "cut_to"))
+    cut = e.select("video_name", out.alias("output"), F.lit("cut").alias("kind"), F.concat(part, F.lit(" -c copy")).alias("arguments"), F.concat(part, F.lit(RECODE)).alias("fallback"))
     j = e.withColumn("out", out).groupBy("video_name", "title").agg(F.count("*").alias("n"), F.sort_array(F.collect_list(F.struct("clip", "out"))).alias("p")).where("n > 1")
-    join = j.select("video_name", F.concat(X.file_name(F.col("title")), F.lit(".mp4")).alias("output"), F.lit("concat").alias("kind"), F.array_join(F.transform("p", lambda x: x["out"]), "|").alias("arguments"))
+    parts = F.array_join(F.transform("p", lambda x: x["out"]), "|")
+    join = j.select("video_name", F.concat(X.file_name(F.col("title")), F.lit(".mp4")).alias("output"), F.lit("concat").alias("kind"), F.concat(parts, F.lit(" -c copy")).alias("arguments"), F.concat(parts, F.lit(RECODE)).alias("fallback"))
     return cut.unionByName(join)
 
 
@@ -147,12 +172,15 @@ _two = W.RULE_A.replace("i0", "j0").replace("i1", "j1").replace("isl", "jsl")
 _MODEL = """mp AS (SELECT DISTINCT video_name, round(time, 2) AS time FROM tl WHERE CASE WHEN silent THEN 1.5 ELSE 0 END + CASE WHEN slide THEN 1.0 ELSE 0 END + greatest(0, 1 - confidence) * 0.5 >= 0.1),
 mr AS (SELECT *, sum(CASE WHEN time - b <= 1.5 THEN 0 ELSE 1 END) OVER (PARTITION BY video_name ORDER BY time) AS k FROM (SELECT *, lag(time) OVER (PARTITION BY video_name ORDER BY time) AS b FROM mp)),
 mo AS (SELECT * FROM (SELECT video_name, min(time) AS "start", max(time) AS "end" FROM mr GROUP BY video_name, k) WHERE "end" - "start" >= 5)"""
+_PERCENT = "CAST(CAST(floor(round({x} * 100, 6) + 0.5) AS BIGINT) AS VARCHAR) || '%'"
+_TENTHS = "CAST(floor(round(({x}) * 10, 6) + 0.5) AS BIGINT)"
+_SECONDS = f"CAST({_TENTHS} // 10 AS VARCHAR) || '.' || CAST({_TENTHS} % 10 AS VARCHAR)"
 _PARTS = f"""{_DUR}, {_TH}, {W._ISL('tl', 'silent')}, {_two}, {W.QA}, {_MODEL},
 ka AS (SELECT kno.video_name, kno.id, any_value("start") AS "start", any_value("end") AS "end", avg(CAST(NOT present AS INT)) AS a, avg(CAST(silent AS INT)) AS q FROM kno JOIN tl ON tl.video_name = kno.video_name AND tl.time BETWEEN "start" AND "end" GROUP BY 1, 2),
-pa AS (SELECT video_name, "start", "end", 0 AS rank, list_filter([CASE WHEN round(a, 9) > absent THEN 'absent' END, CASE WHEN round(q, 9) > quiet THEN 'silent' END], lambda x: x IS NOT NULL) AS reasons, round(a, 3) AS absent, round(q, 3) AS silent
+pa AS (SELECT video_name, "start", "end", 0 AS rank, list_filter([CASE WHEN round(a, 9) > absent THEN '教师缺席 ' || {_PERCENT.format(x='a')} END, CASE WHEN round(q, 9) > quiet THEN '静默占比 ' || {_PERCENT.format(x='q')} END], lambda x: x IS NOT NULL) AS reasons, round(a, 3) AS absent, round(q, 3) AS silent
     FROM ka JOIN th USING (video_name) WHERE round(a, 9) > absent OR round(q, 9) > quiet
-  UNION ALL SELECT video_name, "start", nx, 1, ['pause'], 0, 1 FROM isl JOIN th USING (video_name) WHERE nx - "start" >= seconds
-  UNION ALL SELECT video_name, "start", "end", 2, ['talk'], 0, 0 FROM ra UNION ALL SELECT video_name, "start", "end", 3, ['questions'], 0, 0 FROM qa UNION ALL SELECT video_name, "start", "end", 4, ['model'], 0, 0 FROM mo),
+  UNION ALL SELECT video_name, "start", nx, 1, ['连续静默 ' || {_SECONDS.format(x='nx - "start"')} || 's'], 0, 1 FROM isl JOIN th USING (video_name) WHERE nx - "start" >= seconds
+  UNION ALL SELECT video_name, "start", "end", 2, ['教师闲聊/过渡语（非知识点内容）'], 0, 0 FROM ra UNION ALL SELECT video_name, "start", "end", 3, ['师生问答互动'], 0, 0 FROM qa UNION ALL SELECT video_name, "start", "end", 4, ['模型预测干扰'], 0, 0 FROM mo),
 pm AS (SELECT *, max("end") OVER (PARTITION BY video_name ORDER BY "start", "end", rank ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS reach FROM pa),
 pg AS (SELECT *, sum(CASE WHEN "start" <= reach + 1e-6 THEN 0 ELSE 1 END) OVER (PARTITION BY video_name ORDER BY "start", "end", rank ROWS UNBOUNDED PRECEDING) AS g FROM pm),
 ri AS (SELECT video_name, g, unnest(reasons) AS reason, generate_subscripts(reasons, 1) AS i, "start", "end", rank FROM pg),
@@ -162,8 +190,10 @@ pi AS (SELECT video_name, g, min("start") AS "start", max("end") AS "end", round
   array_to_string(list_sort(list_distinct(list(CASE rank WHEN 0 THEN 'knowledge_segment' WHEN 1 THEN 'silence_scan' WHEN 2 THEN 'teacher_non_knowledge_talk' WHEN 3 THEN 'teacher_student_qa' ELSE 'model' END))), '+') AS sources FROM pg GROUP BY 1, 2),
 it AS (SELECT pi.*, reasons FROM pi JOIN rs USING (video_name, g))"""
 _TITLE = r"coalesce(nullif(trim(regexp_replace(trim(title), '^\s*知识点\s*[0-9]+\s*[-_—:：]?\s*', '')), ''), nullif(trim(title), ''), '片段' || CAST(id + 1 AS VARCHAR))"
-_EDIT = f"""{_PARTS}, ov AS (SELECT DISTINCT k.id FROM kno k JOIN it ON it.video_name = k.video_name AND (least(k."end", it."end") - greatest(k."start", it."start")) / greatest(k."end" - k."start", 0.001) > 0.5),
+_EDIT = f"""{_PARTS}, ov AS (SELECT id, ratio FROM (SELECT k.id, it."start" AS s, it."end" AS e, (least(k."end", it."end") - greatest(k."start", it."start")) / greatest(k."end" - k."start", 0.001) AS ratio FROM kno k JOIN it ON it.video_name = k.video_name)
+  WHERE ratio > 0.5 QUALIFY row_number() OVER (PARTITION BY id ORDER BY s, e) = 1),
 ed AS (SELECT kno.video_name, kno.id, {_TITLE.replace('id +', 'kno.id +')} AS title, "start", "end", CASE WHEN ov.id IS NOT NULL THEN 'knowledge_overlap_filter' WHEN "end" - "start" < 20 THEN 'min_duration_filter' ELSE 'keep' END AS action,
+  CASE WHEN ov.id IS NOT NULL THEN '与干扰区间重叠 ' || {_PERCENT.format(x='ratio')} WHEN "end" - "start" < 20 THEN '片段过短 ' || {_SECONDS.format(x='"end" - "start"')} || 's < 20.0s' END AS reason,
   round(greatest(0, "start" - 5), 2) AS cut_from, round(least(coalesce(duration, "end"), "end" + 5), 2) AS cut_to FROM kno LEFT JOIN ov ON ov.id = kno.id LEFT JOIN dur ON dur.video_name = kno.video_name),
 ec AS (SELECT video_name, row_number() OVER (PARTITION BY video_name ORDER BY "start", id) - 1 AS clip, title, cut_from, cut_to, round(cut_to - cut_from, 2) AS duration FROM ed WHERE action = 'keep')"""
 _HMS = "CAST({x} // 3600 AS VARCHAR) || ':' || lpad(CAST({x} // 60 % 60 AS VARCHAR), 2, '0') || ':' || lpad(CAST({x} % 60 AS VARCHAR), 2, '0')"
@@ -182,13 +212,13 @@ SELECT id, round(e, 2) AS until, round(ratio, 6) AS ratio FROM p WHERE ratio > 0
     "edit_commands": with_views(f", {_EDIT} SELECT * FROM ec", *_ALL),
     "annotated_clips": f"""WITH a AS (SELECT * REPLACE (coalesce(nullif(title, ''), '未命名') AS title) FROM ({ANN}) WHERE NOT is_interference)
 SELECT video_name, title, count(*) AS parts, min("start") AS first, CAST(sum("end" - "start") AS BIGINT) AS duration, string_agg(CAST("start" AS VARCHAR) || '-' || CAST("end" AS VARCHAR), '|' ORDER BY "start", "end") AS cuts, {_FILE} AS output_file FROM a GROUP BY video_name, title""",
-    "removed_segments": with_views(f""", {_EDIT} SELECT video_name, round("start", 2) AS "start", round("end", 2) AS "end", round("end" - "start", 2) AS duration, source FROM (
-  SELECT video_name, "start", "end", sources AS source FROM it UNION ALL SELECT video_name, "start", "end", action FROM ed WHERE action <> 'keep')""", *_ALL),
+    "removed_segments": with_views(f""", {_EDIT} SELECT video_name, round("start", 2) AS "start", round("end", 2) AS "end", round("end" - "start", 2) AS duration, source, reasons, 'not_exported' AS output_policy FROM (
+  SELECT video_name, "start", "end", sources AS source, replace(reasons, '+', '|') AS reasons FROM it UNION ALL SELECT video_name, "start", "end", action, reason FROM ed WHERE action <> 'keep')""", *_ALL),
     "final_index": with_views(f""", {_EDIT}, g AS (SELECT video_name, title, min(clip) AS first_clip, count(*) AS parts, CAST(floor(min(cut_from)) AS BIGINT) AS a, CAST(ceil(max(cut_to)) AS BIGINT) AS b, sum(duration) AS s FROM ec GROUP BY 1, 2)
 SELECT video_name, title, first_clip, parts, {_HMS.format(x='a')} AS "start", {_HMS.format(x='b')} AS "end", CAST(CASE WHEN parts = 1 THEN b - a ELSE floor(round(s, 2)) END AS BIGINT) AS duration, {_FILE} AS output_file FROM g""", *_ALL),
     "media_commands": with_views(f""", {_EDIT}, c AS (SELECT *, video_name || '_' || CAST(clip AS VARCHAR) || '.mp4' AS out FROM ec)
-SELECT video_name, out AS output, 'cut' AS kind, printf('-ss %.2f -to %.2f -c copy', cut_from, cut_to) AS arguments FROM c
-UNION ALL SELECT video_name, {_FILE}, 'concat', string_agg(out, '|' ORDER BY clip) FROM c GROUP BY video_name, title HAVING count(*) > 1""", *_ALL),
+SELECT video_name, out AS output, 'cut' AS kind, printf('-ss %.2f -to %.2f -c copy', cut_from, cut_to) AS arguments, printf('-ss %.2f -to %.2f -c:v libx264 -c:a aac', cut_from, cut_to) AS fallback FROM c
+UNION ALL SELECT video_name, {_FILE}, 'concat', string_agg(out, '|' ORDER BY clip) || ' -c copy', string_agg(out, '|' ORDER BY clip) || ' -c:v libx264 -c:a aac' FROM c GROUP BY video_name, title HAVING count(*) > 1""", *_ALL),
 }
 
 

@@ -124,9 +124,9 @@ def pair_annotations(s, d):
 
 
 def exact_time(s, d):
-    """Slides and the timeline point at the very same time, whole seconds; none gives a stub."""
+    """Slides with the timeline point at their very time, to hundredths, the last of several; a slide without one has its time alone."""
     p = L.timeline(s, d).groupBy("video_name", F.round("time", 2).alias("t")).agg(F.max("id").alias("point_id"))
-    return L.slides(s, d).select("video_name", "id", F.floor("time").cast("double").alias("t")).join(p, ["video_name", "t"], "left").select("id", "t", "point_id")
+    return L.slides(s, d).select("video_name", "id", F.round("time", 2).alias("t")).join(p, ["video_name", "t"], "left").select("id", "t", "point_id")
 
 
 def timeline_align(s, d, cfg=C.CONFIG):
@@ -186,7 +186,7 @@ SELECT m.id, from_id, n.speaker, n.teacher_prob FROM m LEFT JOIN n ON n.id = fro
 SELECT video_name, segments, topics, coalesce(samples, 0) AS samples FROM a JOIN t USING (video_name) LEFT JOIN v USING (video_name)""", "seg", "kno", "sam"),
     "pair_annotations": r"""WITH p AS (SELECT DISTINCT video_path, regexp_extract(video_path, '([^/]+?)(?:\.[^./]*)?$', 1) AS stem, lower(regexp_extract(video_path, '\.([^./]*)$', 1)) AS ext FROM multimodal_index WHERE video_path IS NOT NULL)
 SELECT stem, video_path FROM p QUALIFY row_number() OVER (PARTITION BY stem ORDER BY CASE ext WHEN 'mp4' THEN 1 WHEN 'avi' THEN 2 WHEN 'mov' THEN 3 WHEN 'mkv' THEN 4 ELSE 9 END, video_path) = 1""",
-    "exact_time": with_views(" SELECT sli.id, floor(sli.time) AS t, max(tl.id) AS point_id FROM sli LEFT JOIN tl ON tl.video_name = sli.video_name AND tl.time = floor(sli.time) GROUP BY sli.id, floor(sli.time)", "sli", "tl"),
+    "exact_time": with_views(" SELECT sli.id, round(sli.time, 2) AS t, max(tl.id) AS point_id FROM sli LEFT JOIN tl ON tl.video_name = sli.video_name AND round(tl.time, 2) = round(sli.time, 2) GROUP BY sli.id, round(sli.time, 2)", "sli", "tl"),
     "timeline_align": with_views(f""", {_DUR}, st AS ({_ASOF('sam', 'time', 'id')}), pg AS ({_ASOF('sli', 'time', 'id')}), sg AS ({_STAB('seg')}), kn AS ({_STAB('kno')}),
 q AS (SELECT *, NOT {KEEP} AS silent FROM seg),
 tr AS (SELECT DISTINCT video_name, unnest([CAST(floor(time) AS BIGINT), CAST(ceil(time) AS BIGINT)]) AS i FROM sli),

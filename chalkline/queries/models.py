@@ -11,7 +11,7 @@ from chalkline.functions import text as X
 from chalkline.operators import learning as M
 from chalkline.operators import stats as S
 from chalkline.operators.boundaries import normalize_boundaries, post_process
-from chalkline.operators.features import balanced, draw, point_features
+from chalkline.operators.features import balanced, held_out, point_features
 from chalkline.plans.session import materialise
 from chalkline.queries._views import with_views
 from chalkline.queries.scalars import ANN, annotations, raw_annotations
@@ -30,9 +30,10 @@ def labels(s, d):
     return M.point_labels(L.timeline(s, d), annotations(raw_annotations(s, d)))
 
 
-def _examples(s, d):
-    x = point_features(L.timeline(s, d)).join(labels(s, d).drop("time"), ["video_name", "id"])
-    return materialise(x.withColumn("held_out", draw("id", buckets=997) % 5 == 0))
+def _examples(s, d, label):
+    """The points with features and labels; ``held_out`` for a fifth of each class of ``label``."""
+    x = materialise(point_features(L.timeline(s, d)).join(labels(s, d).drop("time"), ["video_name", "id"]))
+    return materialise(held_out(x, label, ["video_name", "id"]))
 
 
 def _models(rows, label, trees):
@@ -43,8 +44,8 @@ def _models(rows, label, trees):
 
 def train_rf(s, d, trees=200):
     """Held-out report of the interference forest."""
-    rows = _examples(s, d)
-    train = balanced(rows.where("not held_out"), "interference", ["id"])
+    rows = _examples(s, d, "interference")
+    train = balanced(rows.where("not held_out"), "interference", ["video_name", "id"])
     model = M.train_forest(train, "interference", trees)
     test = rows.where("held_out")
     guess = model.transform(test).select(F.col("interference").alias("truth"), F.col("prediction").cast("int").alias("guess")) if model else test.select(F.col("interference").alias("truth"), F.lit(0).alias("guess"))
@@ -53,7 +54,7 @@ def train_rf(s, d, trees=200):
 
 def ensemble_predict(s, d, trees=200):
     """Boundaries that two averaged forests and the rules predict, post-processed."""
-    rows = _examples(s, d)
+    rows = _examples(s, d, "boundary")
     models = _models(rows.where("not held_out"), "boundary", trees)
     t = L.timeline(s, d)
     marks = materialise(M.boundary_hits(t, M.ensemble_scores(rows, models, ["video_name", "id"]))) if models else t.where("boundary").select("video_name", "time")
@@ -64,8 +65,8 @@ def ensemble_predict(s, d, trees=200):
 
 def evaluate(s, d, trees=200):
     """Report of the averaged interference forests at the threshold 0.5, on the held-out points."""
-    rows = _examples(s, d)
-    models = _models(balanced(rows.where("not held_out"), "interference", ["id"]), "interference", trees)
+    rows = _examples(s, d, "interference")
+    models = _models(balanced(rows.where("not held_out"), "interference", ["video_name", "id"]), "interference", trees)
     test = rows.where("held_out")
     if not models:
         return S.classification_report(test.select(F.col("interference").alias("truth"), F.lit(0).alias("guess")), "truth", "guess")
@@ -76,8 +77,8 @@ def evaluate(s, d, trees=200):
 
 def predict_interference(s, d, trees=200, threshold=0.5):
     """Times of all points, held out or not, that the averaged interference forests score at the threshold or above; without a forest none."""
-    rows = _examples(s, d)
-    models = _models(balanced(rows.where("not held_out"), "interference", ["id"]), "interference", trees)
+    rows = _examples(s, d, "interference")
+    models = _models(balanced(rows.where("not held_out"), "interference", ["video_name", "id"]), "interference", trees)
     if not models:
         return rows.where("false").select("video_name", "time")
     hit = M.ensemble_scores(rows, models, ["video_name", "id", "time"]).where(F.col("score") >= threshold)
@@ -100,7 +101,7 @@ def refine_boundaries(s, d, trees=200):
 
 def model_store(s, d, trees=200):
     """Forests written for two halves of the recordings and read again; points that both agree on."""
-    rows = _examples(s, d)
+    rows = _examples(s, d, "boundary")
     to = _scratch(s)
     paths = [M.save_model(m, to, f"half{k}", "boundary") for k, m in enumerate(_models(rows, "boundary", trees))]
     scores = M.ensemble_scores(rows, M.load_models(paths), ["video_name", "id"])

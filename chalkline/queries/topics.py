@@ -121,22 +121,36 @@ def voiceprint_relabel(s, d):
 
 
 def diarize(s, d, cfg=C.CONFIG):
-    """Speaker and probability of every segment from its length, steadiness and wording; then smoothing, voices, smoothing."""
-    g = _voiced(s, d).withColumn("dur", F.col("end") - F.col("start")).withColumn("unsteady", F.coalesce("nsp", F.lit(0.0))).withColumn("talk", X.teacher_talk_score(F.col("text")))
-    valid = S.zscore(g.where("dur >= 0.4"), "video_name", ["dur", "unsteady", "talk"])
+    """Speaker and probability of every segment from its length, steadiness and wording; then smoothing, voices, smoothing.
+
+    A segment of 0.4 s or more is judged by itself, a shorter one takes over from the nearest of these. Steadiness is the variance
+    of the voice vector. In a recording with fewer than two segments, or two that are long enough, all are the teacher's, without a probability.
+    """
+    mean = lambda v: F.aggregate(v, F.lit(0.0), lambda a, x: a + x) / F.size(v)
+    spread = lambda v: mean(F.transform(v, lambda x: x * x)) - mean(v) * mean(v)
+    long = F.round(F.col("end") - F.col("start"), 6) >= cfg.shortest_voice
+    g = materialise(_voiced(s, d).withColumn("dur", F.col("end") - F.col("start")).withColumn("unsteady", spread(F.col("vector"))).withColumn("talk", X.teacher_talk_score(F.col("text"))))
+    enough = g.groupBy("video_name").agg((F.count_if(long) >= 2).alias("enough"))
+    few = g.join(enough, "video_name").where("not enough").select("id", F.lit(None).cast("double").alias("prob"), F.lit(C.TEACHER).alias("speaker"))
+    g = materialise(g.join(enough.where("enough"), "video_name").drop("enough"))
+    valid = S.zscore(g.where(long), "video_name", ["dur", "unsteady", "talk"])
     score = cfg.acoustic_weight * (0.5 * F.col("z_dur") - 0.5 * F.col("z_unsteady")) + cfg.text_weight * F.col("z_talk")
-    prob = S.robust_logistic(valid.withColumn("score", F.round(score, 9)), "video_name", "score").select("id", F.round("prob", 4).alias("p"), F.lit(True).alias("sure"))
+    prob = S.robust_logistic(valid.withColumn("score", F.round(score, 9)), "video_name", "score", cfg.center_quantile, cfg.bias).select("id", F.round("prob", 4).alias("p"), F.lit(True).alias("sure"))
     rows = materialise(numbered(materialise(g.join(prob, "id", "left")), "video_name", ["start", "id"], "start"))
     v = rows.where("sure").select("video_name", F.col("idx").cast("double").alias("at"), F.col("p").alias("v"))
     got = as_of(rows.select("video_name", F.col("idx").cast("double").alias("time"), "id", "start", "end", "vector"), {"v": (v, "at", ["at", "v"])}, both=True)
     b, a = F.col("v"), F.col("v_after")
     near = F.when(a.isNull() | (F.col("time") - b["at"] <= a["at"] - F.col("time")), F.coalesce(b, a)).otherwise(a)["v"]
-    named = got.withColumn("prob", F.coalesce(near, F.lit(0.5))).withColumn("speaker", F.when(F.col("prob") >= cfg.teacher_prob, C.TEACHER).otherwise(C.STUDENT))
+    named = got.withColumn("prob", near).withColumn("speaker", F.when(F.col("prob") >= cfg.teacher_prob, C.TEACHER).otherwise(C.STUDENT))
     named = materialise(named)
     one = P.smooth_labels(named, "video_name").select("id", "speaker")
     two = P.relabel(named.drop("speaker").join(one, "id").select("video_name", "id", "start", "end", "speaker", "prob", "vector"), "video_name").select("id", "speaker")
     three = P.smooth_labels(named.drop("speaker").join(two, "id"), "video_name").select("id", F.col("speaker"))
-    return named.select("id", "prob").join(three, "id")
+    # smoothed again only where the voices changed something
+    both = materialise(one.withColumnRenamed("speaker", "was").join(two, "id").join(named.select("id", "video_name"), "id"))
+    changed = both.where("was <> speaker").select("video_name").distinct().withColumn("changed", F.lit(True))
+    final = three.withColumnRenamed("speaker", "again").join(both.join(changed, "video_name", "left"), "id").select("id", F.when(F.col("changed"), F.col("again")).otherwise(F.col("speaker")).alias("speaker"))
+    return named.select("id", "prob").join(final, "id").select("id", "prob", "speaker").unionByName(few)
 
 
 _VAL = f"v0 AS (SELECT video_name, id, \"start\", \"end\", nsp, {_norm('text')} AS text FROM seg), v AS (SELECT * FROM v0 WHERE length(text) >= 5 AND {KEEP})"
