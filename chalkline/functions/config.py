@@ -45,6 +45,7 @@ class Config:
     preview_text: int = 120
     window: int = 3
     boundary: float = 0.35
+    merge_within: float = 22.5
     min_knowledge: float = 45.0
     max_knowledge: float = 1200.0
     keywords: int = 5

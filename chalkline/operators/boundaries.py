@@ -1,51 +1,105 @@
 """Folds over candidate boundaries: each decision depends on the one before.
 
-A decision can only reach past a gap that is shorter than its threshold, so the
-candidates fall into chains that are folded on their own; no recording is one array.
+A decision can only reach as far as its threshold, so an hour of a recording depends on what came before only by
+the last boundary kept, one of the few near its start. Every hour is folded for each of these, the outcomes are chained
+over a recording's hours, and each hour is then folded from its true start: no recording is one array or task.
 """
 
 from __future__ import annotations
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from chalkline.functions import config as C
 from chalkline.operators.alignment import SHARD_S
 from chalkline.plans.scan import sharded_scan
 from chalkline.plans.session import materialise
 
 
-def chains(df: DataFrame, key: str, time: str, order: list[str], reach: Column) -> DataFrame:
-    """``df`` with ``chain``: rows whose distance from the row before fulfils ``reach`` (of column gap) share one."""
-    # every scan reads its input twice: candidates are few, so they are written between the steps
-    rows = materialise(df.withColumn("_shard", F.floor(F.col(time) / SHARD_S)))
-    seen = sharded_scan(rows, [key], "_shard", order, {"_prev": ("before", F.col(time))}).withColumn("gap", F.col(time) - F.col("_prev"))
-    new = F.when(F.coalesce(reach, F.lit(False)), 0).otherwise(1)
-    seen = materialise(seen)
-    return sharded_scan(seen.withColumn("_new", new), [key], "_shard", order, {"chain": ("sum", F.col("_new"))}).drop("_shard", "_prev", "gap", "_new")
-
-
-def _fold(rows: DataFrame, key: str, item: Column, step) -> DataFrame:
-    """Each chain's items in order through ``step(kept, item)``: (key, chain, kept)."""
-    g = rows.groupBy(key, "chain").agg(F.sort_array(F.collect_list(item)).alias("_i"))
-    return g.select(key, "chain", F.aggregate(F.slice("_i", 2, F.size("_i")), F.slice("_i", 1, 1), step).alias("kept"))
-
-
-def _replace_last(kept: Column, x: Column) -> Column:
-    return F.concat(F.slice(kept, F.lit(1), F.size(kept) - 1), F.array(x))
-
-
-def merge_candidates(candidates: DataFrame, key: str, within: float = 22.5) -> DataFrame:
+def _walk(rows: list[tuple], last: tuple | None, reach: float, strict: bool, replace: bool) -> tuple[list[tuple], tuple | None, bool]:
+    """Candidates (time, rank, score) kept after ``last``, what is kept last, and whether ``last`` itself was replaced."""
+    kept: list[tuple] = []
+    replaced = False
+    for x in rows:
+        d = None if last is None else x[0] - last[0]
+        if d is None or (d > reach if strict else d >= reach):
+            kept.append(x)
+        elif replace and x[2] > last[2]:
+            replaced = replaced or not kept
+            kept = [*kept[:-1], x] if kept else [x]
+        else:
+            continue
+        last = x
+    return kept, last, replaced
+
+
+def thinned(candidates: DataFrame, key: str, reach: float, strict: bool = False, replace: bool = True) -> DataFrame:
+    """``(key, time, rank, score)``: in order of time and rank, a candidate at least ``reach`` after the last kept is kept.
+
+    More than ``reach`` with ``strict``. A nearer one replaces the last kept if its score is higher, where ``replace``;
+    else it goes. A task gets the candidates of an hour and those within ``reach`` before it. Rows should be
+    unique in time and rank; those without key or time are left out.
+    """
+    if reach >= SHARD_S:
+        raise ValueError(f"a reach of {reach} s is longer than a shard")
+    rows = candidates.select(key, F.col("time").cast("double").alias("time"), F.col("rank").cast("int").alias("rank"), F.coalesce(F.col("score").cast("double"), F.lit(0.0)).alias("score"))
+    rows = rows.where(F.col(key).isNotNull() & F.col("time").isNotNull()).withColumn("shard", F.floor(F.col("time") / SHARD_S))
+    near = F.col("time") >= (F.col("shard") + 1) * SHARD_S - reach - 1
+    where = F.explode(F.when(near, F.array(F.struct("shard", F.lit(True).alias("own")), F.struct((F.col("shard") + 1).alias("shard"), F.lit(False).alias("own")))).otherwise(F.array(F.struct("shard", F.lit(True).alias("own")))))
+    spread = materialise(rows.select(key, "time", "rank", "score", where.alias("w")).select(key, "time", "rank", "score", "w.*"))
+    kind = dict(candidates.dtypes)[key]
+
+    def parts(pdf: pd.DataFrame) -> tuple[list[tuple], list[tuple]]:
+        pdf = pdf.sort_values(["time", "rank"])
+        triples = lambda x: list(zip(x["time"].tolist(), x["rank"].tolist(), x["score"].tolist()))
+        return triples(pdf[pdf["own"]]), triples(pdf[~pdf["own"]])
+
+    def outcomes(pdf: pd.DataFrame) -> pd.DataFrame:
+        own, before = parts(pdf)
+        out = []
+        for start in (None, *before):
+            _, last, replaced = _walk(own, start, reach, strict, replace)
+            # what is kept last, if it is of this hour; else nothing that matters to the next
+            end = last if own and last is not None and last != start else None
+            out.append((*(start or (None, None))[:2], *(end or (None, None))[:2], replaced))
+        got = pd.DataFrame(out, columns=["time", "rank", "to_time", "to_rank", "replaced"])
+        return got.assign(**{key: pdf[key].iloc[0], "shard": pdf["shard"].iloc[0]})
+
+    def chain(pdf: pd.DataFrame) -> pd.DataFrame:
+        """For each hour what was kept last before it, and whether the hour after replaces what is kept last in it."""
+        table: dict = {}
+        for k, t, r, tt, tr, x in pdf[["shard", "time", "rank", "to_time", "to_rank", "replaced"]].itertuples(index=False):
+            table.setdefault(k, {})[None if pd.isna(t) else (t, int(r))] = (None if pd.isna(tt) else (tt, int(tr)), bool(x))
+        at, out, last = None, [], None
+        for k in sorted(table):
+            at = at if last == k - 1 and at in table[k] else None
+            if at is not None and table[k][at][1]:
+                out[-1]["loses"] = True
+            out.append({key: pdf[key].iloc[0], "shard": k, "time": at and at[0], "rank": at and at[1], "loses": False})
+            at, last = table[k][at][0], k
+        return pd.DataFrame(out, columns=[key, "shard", "time", "rank", "loses"])
+
+    def kept(pdf: pd.DataFrame) -> pd.DataFrame:
+        own, before = parts(pdf)
+        t, r, loses = pdf[["from_time", "from_rank", "loses"]].iloc[0]
+        start = None if pd.isna(t) else next(x for x in before if x[:2] == (t, int(r)))
+        found = _walk(own, start, reach, strict, replace)[0]
+        out = pd.DataFrame(found[:-1] if loses else found, columns=["time", "rank", "score"])
+        return out.assign(**{key: pdf[key].iloc[0]})[[key, "time", "rank", "score"]]
+
+    states = spread.groupBy(key, "shard").applyInPandas(outcomes, f"time double, rank double, to_time double, to_rank double, replaced boolean, {key} {kind}, shard long")
+    starts = states.groupBy(key).applyInPandas(chain, f"{key} {kind}, shard long, time double, rank double, loses boolean")
+    given = spread.join(starts.select(key, "shard", F.col("time").alias("from_time"), F.col("rank").alias("from_rank"), "loses"), [key, "shard"])
+    return given.groupBy(key, "shard").applyInPandas(kept, f"{key} {kind}, time double, rank int, score double")
+
+
+def merge_candidates(candidates: DataFrame, key: str, within: float = C.CONFIG.merge_within) -> DataFrame:
     """Candidates (key, time, rank, score): one more than ``within`` from the last kept is kept, a nearer one replaces it if its score is higher."""
-    rows = chains(candidates, key, "time", ["time", "rank"], F.col("gap") <= within)
-    last = lambda kept: F.element_at(kept, -1)
-    step = lambda kept, x: F.when(x["time"] - last(kept)["time"] > within, F.concat(kept, F.array(x))).when(
-        x["score"] > last(kept)["score"], _replace_last(kept, x)
-    ).otherwise(kept)
-    return _fold(rows, key, F.struct("time", "rank", "score"), step).select(key, F.explode("kept").alias("x")).select(key, "x.*")
+    return thinned(candidates, key, within, strict=True)
 
 
-def normalize_boundaries(bounds: DataFrame, ends: DataFrame, key: str, shortest: float = 45.0, longest: float = 1200.0, eps: float = 1e-6) -> DataFrame:
+def normalize_boundaries(bounds: DataFrame, ends: DataFrame, key: str, shortest: float = C.CONFIG.min_knowledge, longest: float = C.CONFIG.max_knowledge, eps: float = C.CONFIG.eps) -> DataFrame:
     """``(key, pos, time)``: bounds (key, time) at least ``shortest`` apart, wider gaps divided evenly.
 
     ``ends`` has (key, t_start, t_end). The first bound is t_start; bounds before it are
@@ -54,9 +108,8 @@ def normalize_boundaries(bounds: DataFrame, ends: DataFrame, key: str, shortest:
     ends = materialise(ends)
     inside = bounds.join(ends, key).where(F.col("time") > F.col("t_start") + eps).select(key, "time").distinct()
     all_bounds = inside.unionByName(ends.select(key, F.round("t_start", 2).alias("time"))).distinct()
-    rows = chains(all_bounds, key, "time", ["time"], F.col("gap") < shortest)
-    step = lambda kept, x: F.when(x - F.round(F.element_at(kept, -1), 2) >= shortest, F.concat(kept, F.array(x))).otherwise(kept)
-    kept = _fold(rows, key, F.col("time"), step).select(key, F.explode("kept").alias("time")).withColumn("_shard", F.floor(F.col("time") / SHARD_S))
+    bounds = all_bounds.withColumns({"rank": F.lit(0), "score": F.lit(0.0)})
+    kept = thinned(bounds, key, shortest, replace=False).select(key, "time").withColumn("_shard", F.floor(F.col("time") / SHARD_S))
     kept = materialise(kept)
     seen = sharded_scan(kept, [key], "_shard", ["time"], {"prev": ("before", F.round("time", 2))})
     dt = F.col("time") - F.col("prev")
@@ -74,19 +127,14 @@ def normalize_boundaries(bounds: DataFrame, ends: DataFrame, key: str, shortest:
     return sharded_scan(rows, [key], "_shard", ["_end", "time"], {"pos": ("sum", F.lit(1))}).select(key, F.col("pos").cast("bigint").alias("pos"), "time")
 
 
-def post_process(times: DataFrame, points: DataFrame, key: str, min_gap: float = 30.0, max_gap: float = 600.0) -> DataFrame:
+def post_process(times: DataFrame, points: DataFrame, key: str, min_gap: float = C.CONFIG.post_min_gap, max_gap: float = C.CONFIG.post_max_gap) -> DataFrame:
     """``(key, time)``: predicted times thinned to ``min_gap``, and gaps over ``max_gap`` split at their best point.
 
     ``times`` has (key, time, score), ``points`` (key, time, score). Nearer than ``min_gap`` the higher
     score stays. A wide gap is split at its highest-scoring point, the first of equals, or ``min_gap``
     after its start where that point is nearer, until the rest is short. A task gets the points of one wide gap.
     """
-    rows = chains(times, key, "time", ["time"], F.col("gap") < min_gap)
-    last = lambda kept: F.element_at(kept, -1)
-    step = lambda kept, x: F.when(x["time"] - last(kept)["time"] >= min_gap, F.concat(kept, F.array(x))).when(
-        x["score"] > last(kept)["score"], _replace_last(kept, x)
-    ).otherwise(kept)
-    kept = _fold(rows, key, F.struct("time", "score"), step).select(key, F.explode("kept").alias("x")).select(key, "x.time")
+    kept = thinned(times.withColumn("rank", F.lit(0)), key, min_gap).select(key, "time")
     kept = materialise(kept)
     placed = kept.withColumn("_shard", F.floor(F.col("time") / SHARD_S))
     seen = sharded_scan(placed, [key], "_shard", ["time"], {"prev": ("before", F.col("time"))})
