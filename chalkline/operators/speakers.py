@@ -101,7 +101,10 @@ def relabel(segments: DataFrame, key: str, cfg: C.Config = C.CONFIG) -> DataFram
     sure = teachers.groupBy(key).agg(F.least(F.lit(high), F.greatest(F.lit(low), F.percentile("prob", cfg.proto_quantile))).alias("bound"))
     marked = teachers.join(sure, key)
     enough = marked.groupBy(key).agg(F.count_if(F.col("prob") >= F.col("bound")).alias("sure"), F.count("*").alias("all"))
-    top = marked.join(enough, key).where("sure < 2").withColumn("k", F.row_number().over(Window.partitionBy(key).orderBy(F.desc("prob"), "start", "id"))).where("k <= 3 and all >= 2")
+    # the three likeliest of each part of a recording, then of these the three likeliest
+    best = lambda df, *by: df.withColumn("k", F.row_number().over(Window.partitionBy(*by).orderBy(F.desc("prob"), "start", "id"))).where("k <= 3")
+    few = marked.join(enough, key).where("sure < 2 and all >= 2").withColumn("_part", F.pmod(F.xxhash64("id"), F.lit(64)))
+    top = best(best(few, key, "_part"), key)
     voices = marked.join(enough, key).where("sure >= 2 and prob >= bound").select(key, "u").unionByName(top.select(key, "u"))
     t = S.mean_vectors(voices, [key], "u").select(key, S.unit(F.col("mean")).alias("tp"))
     st = S.mean_vectors(g.where((F.col("speaker") == C.STUDENT) & (F.col("prob") <= low)), [key], "u").select(key, S.unit(F.col("mean")).alias("sp"))

@@ -12,6 +12,7 @@ from chalkline.operators import learning as M
 from chalkline.operators import stats as S
 from chalkline.operators.boundaries import normalize_boundaries, post_process
 from chalkline.operators.features import balanced, held_out, point_features
+from chalkline.plans.pipeline import run_stages
 from chalkline.plans.session import materialise
 from chalkline.queries._views import with_views
 from chalkline.queries.scalars import ANN, annotations, raw_annotations
@@ -109,7 +110,7 @@ def model_store(s, d, trees=200):
 
 
 def json_roundtrip(s, d):
-    """The timeline written as one JSON document a recording and read again."""
+    """The timeline written as JSON documents and read again."""
     to = _scratch(s)
     files.write_timeline_documents(L.timeline(s, d), to)
     return files.read_timeline_documents(s, to)
@@ -117,7 +118,18 @@ def json_roundtrip(s, d):
 
 def binary_listing(s, d):
     """Files below the data folder, by name and size."""
-    return files.find_files(s, d, "*.parquet").select("stem", "bytes")
+    return files.find_files(s, d, "*.parquet").select("stem", "output_dir", "bytes", "size_mb")
+
+
+def pipeline_run(s, d):
+    """The five stages over all recordings, each one's table written, with their status."""
+    from chalkline.queries import editing, joins, scalars, topics
+
+    stages = (
+        ("visual", lambda: scalars.presence_cached(s, d)), ("audio", lambda: topics.smooth_labels(s, d)), ("text", lambda: topics.detect_topics(s, d)),
+        ("align", lambda: joins.timeline_align(s, d)), ("fuse", lambda: editing.final_index(s, d)),
+    )
+    return run_stages(s, stages, _scratch(s)).select("step", "name", "status", "rows")
 
 
 def _event_stream(s, d):
@@ -160,7 +172,7 @@ SELECT user_id, CAST(floor(epoch(min(ts))) AS BIGINT) AS "start", CAST(floor(epo
 
 
 def queries() -> dict:
-    return {n: globals()[n] for n in (*_SQL, "binary_listing", "train_rf", "ensemble_predict", "evaluate", "predict_interference", "forest_ranges", "refine_boundaries", "model_store")}
+    return {n: globals()[n] for n in (*_SQL, "binary_listing", "pipeline_run", "train_rf", "ensemble_predict", "evaluate", "predict_interference", "forest_ranges", "refine_boundaries", "model_store")}
 
 
 def oracle_sql() -> dict[str, str]:

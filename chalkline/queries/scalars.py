@@ -39,6 +39,26 @@ def fullscreen_presence(s, d):
     return g.select("id", vision.is_present(F.col("motion_ratio"), F.col("static_person"), F.col("full_screen")).alias("present"))
 
 
+def presence_cached(s, d):
+    """Samples with the person detector asked at every second one that shows neither motion nor a full screen."""
+    need = ~((F.col("motion_ratio") > 0.02) | F.col("full_screen"))
+    g = vision.cached_detection(L.samples(s, d), "video_name", ["time", "id"], need, F.col("static_person"))
+    return g.select("id", F.col("detected").alias("static_person"), vision.is_present(F.col("motion_ratio"), F.col("detected"), F.col("full_screen")).alias("present"))
+
+
+def region_crop(s, d):
+    """The middle of each vector taken as an image of eight rows."""
+    image = F.transform(F.sequence(F.lit(0), F.lit(7)), lambda k: F.slice("embedding", k * 8 + 1, F.lit(8)))
+    c = vision.crop(image, 0.2, 0.3, 0.8, 0.9)
+    return table(s, d, "embeddings").select("vec_id", F.size(c).alias("height"), F.size(F.get(c, F.lit(0))).alias("width"), F.round(F.get(F.get(c, F.lit(0)), F.lit(0)).cast("double"), 5).alias("first"))
+
+
+def frame_statistics(s, d):
+    """Mean, deviation and their ratio over the frames of each vector, shifted to be positive as loudness is."""
+    x = vision.frame_statistics(F.transform("embedding", lambda v: v.cast("double") + 10))
+    return table(s, d, "embeddings").select("vec_id", x.alias("x")).select("vec_id", *(F.round(f"x.{c}", 6).alias(c) for c in ("mean", "deviation", "variation")))
+
+
 def fullscreen_ratios(s, d):
     p = table(s, d, "part")
     b, l, e = F.col("p_size") / 50.0, (F.col("p_partkey") % 100) / 100.0, (F.col("p_partkey") % 200) / 10000.0
@@ -224,6 +244,13 @@ _SQL = {
     "silence_flag": with_views(f""", f AS (SELECT video_name, NOT {KEEP} AS silent FROM (SELECT * FROM seg QUALIFY row_number() OVER (PARTITION BY video_name ORDER BY "start", id) = 1))
 SELECT n.video_name, coalesce(silent, true) AS silent FROM (SELECT DISTINCT video_name FROM multimodal_index) n LEFT JOIN f ON f.video_name = n.video_name""", "seg"),
     "fullscreen_presence": with_views("SELECT id, motion_ratio > 0.02 OR static_person OR full_screen AS present FROM sam", "sam"),
+    "presence_cached": with_views(""", n AS (SELECT *, row_number() OVER w - 1 AS idx, NOT (motion_ratio > 0.02 OR full_screen) AS need FROM sam WINDOW w AS (PARTITION BY video_name ORDER BY time, id)),
+b AS (SELECT *, lag(need) OVER w AS was, sum(CASE WHEN need THEN 0 ELSE 1 END) OVER w AS run FROM n WINDOW w AS (PARTITION BY video_name ORDER BY time, id)),
+k AS (SELECT *, CASE WHEN need AND (NOT coalesce(was, false) OR idx % 2 = 0) THEN static_person END AS asked FROM b),
+l AS (SELECT *, need AND coalesce(last_value(asked IGNORE NULLS) OVER (PARTITION BY video_name, run ORDER BY time, id), false) AS detected FROM k)
+SELECT id, detected AS static_person, motion_ratio > 0.02 OR detected OR full_screen AS present FROM l""", "sam"),
+    "region_crop": "SELECT vec_id, 5 AS height, 5 AS width, round(CAST(embedding[2 * 8 + 1 + 1] AS DOUBLE), 5) AS first FROM embeddings",
+    "frame_statistics": """WITH e AS (SELECT vec_id, unnest(embedding)::DOUBLE + 10 AS x FROM embeddings) SELECT vec_id, round(avg(x), 6) AS mean, round(stddev_pop(x), 6) AS deviation, round(stddev_pop(x) / (avg(x) + 1e-6), 6) AS variation FROM e GROUP BY 1""",
     "fullscreen_ratios": "SELECT p_partkey, p_size / 50.0 > 0.35 AND p_partkey % 100 > 45 AND p_partkey % 200 > 50 AS full_screen FROM part",
     "person_gate": "SELECT p_partkey, p_size % 2 = 1 AND (" + " OR ".join(f"(p_partkey * {k} % 50 >= 20 AND p_size * {k} % 40 >= 15)" for k in (1, 3, 7)) + ") AS person FROM part",
     "frame_ssim": """

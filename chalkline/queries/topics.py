@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from chalkline.functions import config as C
@@ -54,6 +55,18 @@ def titles(s, d):
     return _keywords(s, d).join(k, "id").select("id", F.when(t != "", t).otherwise(F.concat(F.lit("片段"), F.col("n").cast("string"))).alias("title"))
 
 
+def text_preview(s, d, cfg=C.CONFIG):
+    """The beginning of what is said in each topic, by the segments that lie wholly in it, in order of start."""
+    t, k = valid_segments(s, d).withColumnRenamed("record", "id"), L.knowledge(s, d)
+    inside = contained(t, k, "video_name").join(t.select("id", "start", "text"), "id")
+    # a segment has at least one letter and a space, so no more of them can show
+    w = Window.partitionBy("video_name", "outer_id").orderBy("start", "id")
+    first = inside.withColumn("_k", F.row_number().over(w)).where(F.col("_k") <= cfg.preview_text)
+    told = F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("_k", "text"))), lambda x: x["text"]), " ")
+    both = k.select("id").join(first.groupBy(F.col("outer_id").alias("id")).agg(told.alias("t")), "id", "left")
+    return both.select("id", F.substring(F.coalesce("t", F.lit("")), 1, cfg.preview_text).alias("text_preview"))
+
+
 def shifts(s, d):
     t = valid_segments(s, d)
     rows = numbered(t, "video_name", ["start", "record"], "start").select("video_name", "record", "idx", "start")
@@ -223,6 +236,8 @@ _SQL = {
     "tfidf_norm": with_views(f", {_TOK}, {_W} SELECT id AS record, token, round(w, 6) AS w FROM w", "seg"),
     "keywords_topk": with_views(f", {_TOK}, {_KEY} SELECT kno.id, array_to_string(coalesce(kws, []), '|') AS keywords FROM kno LEFT JOIN kw ON kw.ks = kno.id", "seg", "kno"),
     "titles": with_views(f", {_TOK}, {_KEY} SELECT id, {_TITLES} AS title FROM kno LEFT JOIN kw ON kw.ks = kno.id", "seg", "kno"),
+    "text_preview": with_views(f""", {_VAL}, c AS (SELECT kno.id, string_agg(text, ' ' ORDER BY v."start", v.id) AS t FROM v JOIN kno ON kno.video_name = v.video_name AND v."start" >= kno."start" AND v."end" <= kno."end" GROUP BY kno.id)
+SELECT kno.id, substring(coalesce(t, ''), 1, 120) AS text_preview FROM kno LEFT JOIN c ON c.id = kno.id""", "seg", "kno"),
     "semantic_boundary_score": with_views(f", {_SHIFT} SELECT * FROM sh", "seg"),
     "merge_candidates": _R(with_views(f", {_CAND} SELECT * FROM mc", "seg", "sli")),
     "normalize_boundaries": _R(with_views(f", {_NORM} SELECT * FROM fb", "seg", "sli")),

@@ -7,12 +7,12 @@ from pyspark.sql import functions as F
 from chalkline.functions import config as C
 from chalkline.functions import text as X
 from chalkline.operators import islands as I
-from chalkline.operators.alignment import SHARD_S, numbered
+from chalkline.operators.alignment import SHARD_S, as_of, numbered
 from chalkline.operators.features import point_features
 from chalkline.operators.periods import merge_intervals
 from chalkline.plans.scan import sharded_scan
 from chalkline.plans.session import materialise
-from chalkline.queries._views import with_views
+from chalkline.queries._views import STRIP, with_views
 from chalkline.queries.joins import with_topic_flag
 from chalkline.queries.scalars import ANN, annotations, raw_annotations
 from chalkline.sources import lecture as L
@@ -111,13 +111,19 @@ def interval_union(s, d):
 
 
 def slide_runs(s, d):
-    """Full-screen runs of the samples: last time of a strong change in the run (else its start), page number, samples."""
-    rows = numbered(L.samples(s, d), "video_name", ["time", "id"]).withColumn("similar", (F.col("id") * 37 + F.col("idx")) % 100 / 100.0)
-    change = F.max(F.when(F.col("similar") < 0.70, F.struct("time", "similar")))
-    got = I.flag_islands(rows, "video_name", F.col("full_screen"), values=(change.alias("c"),))
+    """Full-screen runs of the samples: last time of a strong change in the run (else its start), page number, samples, and the last text recognised in it.
+
+    Images are outside, so their similarity is a number made from id and place; the text at a sample is that of the latest page.
+    """
+    seen = as_of(L.samples(s, d), {"page": (L.slides(s, d), "time", ["time", "id", "text"])})
+    text = F.when(F.col("page.time") <= F.col("time"), F.nullif(X.strip("page.text"), F.lit("")))
+    rows = numbered(seen.withColumn("text", text).drop("page"), "video_name", ["time", "id"]).withColumn("similar", (F.col("id") * 37 + F.col("idx")) % 100 / 100.0)
+    change = F.max(F.when(F.col("similar") < C.CONFIG.slide_change, F.struct("time", "similar")))
+    last = F.max_by("text", F.when(F.col("text").isNotNull(), F.struct("time", "id")))
+    got = I.flag_islands(rows, "video_name", F.col("full_screen"), values=(change.alias("c"), last.alias("text")))
     placed = got.withColumn("_shard", F.floor(F.col("start") / SHARD_S))
     counted = sharded_scan(placed, ["video_name"], "_shard", ["start"], {"slide_idx": ("sum", F.lit(1))})
-    return counted.select("video_name", "slide_idx", F.coalesce("c.time", "start").alias("time"), F.coalesce("c.similar", F.lit(0.0)).alias("ssim"), "n")
+    return counted.select("video_name", "slide_idx", F.coalesce("c.time", "start").alias("time"), F.coalesce("c.similar", F.lit(0.0)).alias("ssim"), "n", F.coalesce("text", F.lit("")).alias("text"))
 
 
 _W = "OVER (PARTITION BY video_name ORDER BY time, id{frame})"
@@ -167,8 +173,8 @@ SELECT * FROM (SELECT video_name, min(time) AS "start", max(time) AS "end" FROM
     "interval_union": f"""WITH a AS ({ANN}), m AS (SELECT *, max("end") OVER (PARTITION BY video_name ORDER BY "start", "end", id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS reach FROM a WHERE NOT is_interference),
 g AS (SELECT *, sum(CASE WHEN reach IS NULL OR "start" > reach THEN 1 ELSE 0 END) OVER (PARTITION BY video_name ORDER BY "start", "end", id) AS n FROM m)
 SELECT video_name, CAST(min("start") AS DOUBLE) AS "start", CAST(max("end") AS DOUBLE) AS "end" FROM g GROUP BY video_name, n""",
-    "slide_runs": with_views(", n0 AS (SELECT *, row_number() OVER (PARTITION BY video_name ORDER BY time, id) - 1 AS idx FROM sam), " + _ISL("n0", "full_screen").replace("count(*) AS n", "count(*) AS n, max(CASE WHEN (id * 37 + idx) % 100 < 70 THEN struct_pack(t := time, v := (id * 37 + idx) % 100 / 100.0) END) AS c") + """
-SELECT video_name, row_number() OVER (PARTITION BY video_name ORDER BY "start") AS slide_idx, coalesce(c.t, "start") AS time, coalesce(c.v, 0) AS ssim, n FROM isl""", "sam"),
+    "slide_runs": with_views(f", pg AS (SELECT video_name, time, id, {STRIP.format(c='text')} AS text FROM sli QUALIFY row_number() OVER (PARTITION BY video_name, time ORDER BY id DESC) = 1), n0 AS (SELECT sam.*, nullif(pg.text, '') AS text, row_number() OVER (PARTITION BY sam.video_name ORDER BY sam.time, sam.id) - 1 AS idx FROM sam ASOF LEFT JOIN pg ON pg.video_name = sam.video_name AND sam.time >= pg.time), " + _ISL("n0", "full_screen").replace("count(*) AS n", "count(*) AS n, arg_max(text, CASE WHEN text IS NOT NULL THEN struct_pack(t := time, i := id) END) AS text, max(CASE WHEN (id * 37 + idx) % 100 < 70 THEN struct_pack(t := time, v := (id * 37 + idx) % 100 / 100.0) END) AS c") + """
+SELECT video_name, row_number() OVER (PARTITION BY video_name ORDER BY "start") AS slide_idx, coalesce(c.t, "start") AS time, coalesce(c.v, 0) AS ssim, n, coalesce(text, '') AS text FROM isl""", "sam", "sli"),
 }
 
 
