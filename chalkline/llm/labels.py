@@ -11,6 +11,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from chalkline.plans.session import materialise
+
 # Words that name a role, and words that say it is not known.
 TEACHER_WORDS = ("teacher", "lecturer", "professor", "instructor", "tutor", "教师", "老师", "讲师", "教授", "主讲")
 STUDENT_WORDS = ("student", "pupil", "learner", "学生", "学员", "同学")
@@ -84,6 +86,7 @@ def label_roles(labels: DataFrame, transcript: str, label: str) -> DataFrame:
     words = [*TEACHER_WORDS, *STUDENT_WORDS, *UNKNOWN_WORDS]
     near = reduce(lambda x, y: x | y, (F.levenshtein("_n", F.lit(w), 2) >= 0 for w in words if len(w) >= 4))
     able = named.where((F.length("_n") == 1) | F.col("_n").isin(*words) | ((F.length("_n") >= 3) & near))
+    able = materialise(able)  # few rows; the texts they come from are not read again
     distinct = able.groupBy("_k").agg(F.sort_array(F.collect_set("_n")).alias("_l"))
     found = distinct.select("_k", F.explode(_roles("_l")).alias("_r")).select("_k", F.col("_r.label").alias("_n"), F.col("_r.role").alias("role"))
     return able.join(found, ["_k", "_n"]).select(F.col("_k").alias(transcript), F.col("_raw").alias(label), "role")

@@ -13,15 +13,13 @@ from pyspark.sql import types as T
 from chalkline.plans.session import materialise
 
 
-def _scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """The right records before and after each left row of one sorted partition."""
-    parts = list(batches)
-    if not parts:
-        return
-    t = pa.Table.from_batches(parts).combine_chunks()
+def _settled(t: pa.Table, tolerance: int, final: bool) -> tuple[pa.Table, pa.Table]:
+    """Left rows of sorted rows with the right records around them, where these are known; and the rows still needed.
+
+    A left row waits for a later right record of its entity as long as one may come within the tolerance; what is
+    kept is those that wait and the right record before them.
+    """
     n = t.num_rows
-    if n == 0:
-        return
     code = t["k"].combine_chunks().dictionary_encode().indices.to_numpy(zero_copy_only=False)
     ms = t["ms"].to_numpy()
     right = t["side"].to_numpy() == 0
@@ -29,9 +27,14 @@ def _scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     back = np.maximum.accumulate(np.where(right, at, -1))
     ahead = np.minimum.accumulate(np.where(right, at, n)[::-1])[::-1]
     rows = np.flatnonzero(~right)
+    a_ok = (ahead[rows] < n) & (code[np.minimum(ahead[rows], n - 1)] == code[rows])
+    waits = ~a_ok & (code[rows] == code[-1]) & (ms[-1] - ms[rows] <= tolerance) & (not final)
+    keep = rows[waits]
+    if not final and back[-1] >= 0 and code[back[-1]] == code[-1]:
+        keep = np.concatenate([[back[-1]], keep])
+    rows, a_ok = rows[~waits], a_ok[~waits]
     b, a = back[rows], ahead[rows]
     b_ok = (b >= 0) & (code[np.maximum(b, 0)] == code[rows])
-    a_ok = (a < n) & (code[np.minimum(a, n - 1)] == code[rows])
     r = t["r"].combine_chunks()
 
     def near(found: np.ndarray, ok: np.ndarray) -> tuple[pa.Array, pa.Array]:
@@ -47,7 +50,23 @@ def _scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             "b_ms": b_ms, "b_r": b_r, "a_ms": a_ms, "a_r": a_r,
         }
     )
-    yield from out.to_batches(max_chunksize=20_000)
+    return out, t.take(pa.array(keep))
+
+
+def _scan(tolerance: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """The right records before and after each left row of one sorted partition, batch by batch: its size doesn't matter."""
+        held = None
+        for batch in batches:
+            t = pa.Table.from_batches([batch])
+            t = (t if held is None else pa.concat_tables([held, t])).combine_chunks()
+            if t.num_rows:
+                done, held = _settled(t, tolerance, False)
+                yield from done.to_batches()
+        if held is not None and held.num_rows:
+            yield from _settled(held.combine_chunks(), tolerance, True)[0].to_batches()
+
+    return run
 
 
 def nearest_in_time(
@@ -93,6 +112,7 @@ def nearest_in_time(
         )
     )
     n = partitions or int(spark.conf.get("spark.sql.shuffle.partitions"))
+    tol = round(tolerance_s * 1000)
     ranged = materialise(
         both.repartitionByRange(n, "k", "ms", "side", "l")
         .sortWithinPartitions("k", "ms", "side", "l")
@@ -104,7 +124,7 @@ def nearest_in_time(
         .add("pid", T.IntegerType()).add("k", k_type).add("ms", T.LongType()).add("l", l_type)
         .add("b_ms", T.LongType()).add("b_r", r_type).add("a_ms", T.LongType()).add("a_r", r_type)
     )
-    scanned = ranged.mapInArrow(_scan, schema)
+    scanned = materialise(ranged.mapInArrow(_scan(tol), schema))
 
     rec = F.when(F.col("side") == 0, F.struct("ms", "r"))
     w = Window.partitionBy("k").orderBy("pid")
@@ -119,14 +139,18 @@ def nearest_in_time(
         )
         .where("before is not null or after is not null")
     )
-    tol = round(tolerance_s * 1000)
     b = F.when(F.col("b_ms").isNotNull(), F.struct((F.col("ms") - F.col("b_ms")).alias("d"), F.lit(0).alias("s"), F.col("b_r").alias("r")))
     a = F.when(F.col("a_ms").isNotNull(), F.struct((F.col("a_ms") - F.col("ms")).alias("d"), F.lit(1).alias("s"), F.col("a_r").alias("r")))
     c = F.when(F.col("before").isNotNull(), F.struct((F.col("ms") - F.col("before.ms")).alias("d"), F.lit(0).alias("s"), F.col("before.r").alias("r")))
     d = F.when(F.col("after").isNotNull(), F.struct((F.col("after.ms") - F.col("ms")).alias("d"), F.lit(1).alias("s"), F.col("after.r").alias("r")))
     best = F.least(F.coalesce(b, c), F.coalesce(a, d))
     hit = F.col("_best.d") <= tol
-    found = scanned.join(carry, ["k", "pid"], "left").withColumn("_best", best).select(
+    # only the rows before the first or after the last right record of their partition need a carry
+    alone = F.col("b_ms").isNull() | F.col("a_ms").isNull()
+    none = F.lit(None).cast(carry.schema["before"].dataType)
+    both_sides = scanned.where(~alone).withColumns({"before": none, "after": none})
+    edge = scanned.where(alone).join(carry, ["k", "pid"], "left")
+    found = both_sides.unionByName(edge).withColumn("_best", best).select(
         F.col("k").alias(key), "l", F.when(hit, F.col("_best.r")).alias("r"), F.when(hit, F.col("_best.d")).alias("distance_ms")
     )
     lost = rows.where("k is null or ms is null").select(

@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from chalkline.llm.tokens import DEFAULT_TOKENIZER, LARGE, Counter, counter
+from chalkline.llm.tokens import DEFAULT_TOKENIZER, LARGE, Counter, counter, share
 from chalkline.plans.session import materialise
 
 RANGE_BYTES, HALO_BYTES = 65_536, 8_192
@@ -153,6 +153,7 @@ def cut_pieces(
     room = limit - SLACK - GUARD - (overlap + LARGE if overlap else 0)
     if room < SLACK:
         raise ValueError(f"a limit of {limit} with an overlap of {overlap} leaves no room")
+    share(texts.sparkSession, tokenizer)
     docs = texts.select(F.col(record).alias("id"), F.col(text).alias("t")).where("id is not null and t is not null")
     if not whole:
         docs = docs.where(F.octet_length("t") > limit)  # no token is shorter than a byte

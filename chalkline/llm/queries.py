@@ -45,7 +45,8 @@ def p3_runs(spark: SparkSession, folder: str) -> DataFrame:
         .dropDuplicates(["video_name", "point_id"])
     )
     spoken = (~F.col("is_silence")) & F.col("speaker").isNotNull()
-    roles = label_roles(points.where(spoken).select("video_name", "speaker"), "video_name", "speaker")
+    # repeated points have the same label, so labels are taken from the table as it is
+    roles = label_roles(table(spark, folder, "time_series").where(spoken).select("video_name", "speaker"), "video_name", "speaker")
     code = F.when(F.col("role") == "teacher", 1).when(F.col("role") == "student", 2)
     # only speaking points with a label are joined; the others know their code
     silent = F.when(F.col("is_silence"), 0)

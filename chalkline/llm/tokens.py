@@ -10,6 +10,7 @@ words that repeat: their counts are remembered, in a table of bounded size per w
 from __future__ import annotations
 
 import base64
+import os
 import re
 
 import numpy as np
@@ -131,7 +132,23 @@ _counters: dict[str, Counter] = {}
 
 
 def counter(path: str) -> Counter:
-    """The worker's counter for this vocabulary file."""
+    """The worker's counter for this vocabulary file, at its path or as :func:`share` has sent it."""
     if path not in _counters:
-        _counters[path] = Counter(path)
+        at = path
+        if not os.path.isfile(path):
+            from pyspark import SparkFiles
+
+            at = SparkFiles.get(os.path.basename(path))
+        _counters[path] = Counter(at)
     return _counters[path]
+
+
+_shared: set[tuple[str, str]] = set()
+
+
+def share(spark, path: str) -> None:
+    """Send a vocabulary file that only the driver may have to the workers, once an application."""
+    sc = spark.sparkContext
+    if os.path.isfile(path) and (sc.applicationId, path) not in _shared:
+        sc.addFile(path)
+        _shared.add((sc.applicationId, path))
