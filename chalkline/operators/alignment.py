@@ -128,9 +128,9 @@ def enclosing_on_grid(intervals: DataFrame, key: str, payload: Column, lengths:
 def on_grid(lengths: DataFrame, key: str, length: str, columns: dict[str, DataFrame], resolution: float = 1.0) -> DataFrame:
     """Grid points ``(key, i)`` with a column for each of ``columns``: name -> (key, i, x), the least x of the point or null.
 
-    One shuffle and one sort by point bring everything together; rows outside a recording's grid are dropped.
+    Recordings without a key or length have no points. One shuffle and one sort by point bring everything together; rows outside a recording's grid are dropped.
     """
-    rows = grid(lengths, key, length, resolution).select(key, "i", F.lit(True).alias("_own"))
+    rows = grid(lengths.where(F.col(key).isNotNull()), key, length, resolution).select(key, "i", F.lit(True).alias("_own"))
     for n, t in columns.items():
         rows = rows.unionByName(t.select(key, "i", F.col("x").alias(n)), allowMissingColumns=True)
     # partitioned first: no sorting for a partial step that has nothing to reduce

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from chalkline.functions import text as X
+from chalkline.functions.config import CONFIG
 from chalkline.operators.alignment import numbered, with_halo
 
 ROWS = 10
@@ -47,7 +48,7 @@ def point_features(timeline: DataFrame, resolution: float = 1.0) -> DataFrame:
     return out.select("video_name", "id", "time", *FEATURES)
 
 
-def class_weights(rows: DataFrame, label: str, positive: float = 3.0) -> DataFrame:
+def class_weights(rows: DataFrame, label: str, positive: float = CONFIG.positive_weight) -> DataFrame:
     """``(label, n, weight)``: balanced weights, the positive class's multiplied."""
     n = rows.groupBy(label).agg(F.count("*").alias("n"))
     total = n.agg(F.sum("n").alias("total"), F.count("*").alias("k"))
@@ -78,7 +79,7 @@ def drawn(rows: DataFrame, group: list[str], key: list[str]) -> DataFrame:
     return both.select("a.*", (F.col("_k") + F.col("_before")).alias("_rank")).drop("_d", "_k")
 
 
-def balanced(rows: DataFrame, label: str, key: list[str], ratio: int = 3) -> DataFrame:
+def balanced(rows: DataFrame, label: str, key: list[str], ratio: int = CONFIG.negative_ratio) -> DataFrame:
     """All positive rows and exactly ``ratio`` times as many negatives, or all there are, drawn by :func:`drawn`.
 
     With no row of one class everything is kept.

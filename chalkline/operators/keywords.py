@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from chalkline.functions.config import CONFIG
 from chalkline.functions.text import is_valid_token, normalize_text
 from chalkline.operators.segment import tokenised
 from chalkline.plans.session import materialise
@@ -35,7 +36,7 @@ def tfidf(texts: DataFrame, scope: str, record: str, text: str) -> DataFrame:
     return raw.join(norm, [scope, record]).select(scope, record, "token", (F.col("w") / F.col("_n")).alias("w"))
 
 
-def keywords(groups: DataFrame, keys: list[str], counts: DataFrame, frequency: DataFrame, scope: str, top: int = 5, least: int = 2) -> DataFrame:
+def keywords(groups: DataFrame, keys: list[str], counts: DataFrame, frequency: DataFrame, scope: str, top: int = CONFIG.keywords, least: int = CONFIG.min_doc_freq) -> DataFrame:
     """``(keys, keywords)``: the ``top`` tokens of each group by weight, then length, then letters.
 
     ``counts`` has (keys, token, c). Tokens in fewer than ``least`` documents don't count unless
@@ -56,7 +57,7 @@ def keywords(groups: DataFrame, keys: list[str], counts: DataFrame, frequency: D
     return groups.select(*keys).join(found, keys, "left").withColumn("keywords", F.coalesce("keywords", F.array().cast("array<string>")))
 
 
-def shift_scores(rows: DataFrame, weights: DataFrame, scope: str, window: int = 3) -> DataFrame:
+def shift_scores(rows: DataFrame, weights: DataFrame, scope: str, window: int = CONFIG.window) -> DataFrame:
     """``(scope, idx, score)``: how unlike the ``window`` texts before and from each place are.
 
     ``rows`` has (scope, record, idx) with idx from 0; ``weights`` is :func:`tfidf`. A text's weights go

@@ -12,6 +12,7 @@ from pyspark.ml.functions import vector_to_array
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from chalkline.functions.config import CONFIG
 from chalkline.operators.alignment import as_of
 from chalkline.operators.features import FEATURES, class_weights
 from chalkline.operators.periods import merge_intervals
@@ -42,7 +43,7 @@ def point_labels(points: DataFrame, annotations: DataFrame, tolerance: float = 3
     )
 
 
-def train_forest(rows: DataFrame, label: str, trees: int = 200, depth: int = 8, seed: int = 42, positive: float = 3.0) -> PipelineModel | None:
+def train_forest(rows: DataFrame, label: str, trees: int = 200, depth: int = 8, seed: int = 42, positive: float = CONFIG.positive_weight) -> PipelineModel | None:
     """Scaled random forest with balanced weights; None where one class has fewer than two rows."""
     counts = {r[label]: r["n"] for r in rows.groupBy(label).agg(F.count("*").alias("n")).collect()}
     if min(counts.get(0, 0), counts.get(1, 0)) < 2:

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from chalkline.functions.config import CONFIG
+
 
 def zscore(rows: DataFrame, key: str, columns: list[str], least: float = 1e-6) -> DataFrame:
     """``rows`` with ``z_<column>``: population z-scores within ``key``; 0 where all values are alike.
@@ -18,7 +20,7 @@ def zscore(rows: DataFrame, key: str, columns: list[str], least: float = 1e-6) -
     return out.drop(*(f"_{n}_{c}" for c in columns for n in "ms"))
 
 
-def robust_logistic(rows: DataFrame, key: str, score: str, quantile: float = 0.35, bias: float = 0.30) -> DataFrame:
+def robust_logistic(rows: DataFrame, key: str, score: str, quantile: float = CONFIG.center_quantile, bias: float = CONFIG.bias) -> DataFrame:
     """``rows`` with ``prob``: the score from its quantile in units of the median distance to it, through a sigmoid.
 
     Where half the scores are alike the standard deviation is the unit, where all are, the result is 0.5.
@@ -73,8 +75,8 @@ def boundary_threshold(slide_ratio: Column, silence_ratio: Column, base: float =
 
 def interference_thresholds(presence: Column, silence: Column, density: Column) -> tuple[Column, Column, Column]:
     """Bounds for absence, silence and seconds of silence, moved by how the recording is as a whole."""
-    absent = 0.70 + F.when(presence < 0.55, 0.08).when(presence > 0.90, -0.05).otherwise(0.0) + F.when(density > 0.02, 0.03).otherwise(0.0)
-    quiet = 0.80 + F.when(silence > 0.35, 0.05).when(silence < 0.12, -0.05).otherwise(0.0)
-    seconds = 15.0 + F.when(silence > 0.35, 3.0).when(silence < 0.12, -2.0).otherwise(0.0)
+    absent = CONFIG.absent_ratio + F.when(presence < 0.55, 0.08).when(presence > 0.90, -0.05).otherwise(0.0) + F.when(density > 0.02, 0.03).otherwise(0.0)
+    quiet = CONFIG.silent_ratio + F.when(silence > 0.35, 0.05).when(silence < 0.12, -0.05).otherwise(0.0)
+    seconds = CONFIG.silence_s + F.when(silence > 0.35, 3.0).when(silence < 0.12, -2.0).otherwise(0.0)
     clamp = lambda x, lo, hi: F.least(F.greatest(x, F.lit(lo)), F.lit(hi))
     return clamp(absent, 0.5, 0.9), clamp(quiet, 0.6, 0.95), clamp(seconds, 8.0, 30.0)

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from chalkline.functions.config import CONFIG
 from chalkline.operators.alignment import SHARD_S, numbered
 from chalkline.plans.scan import sharded_scan
 from chalkline.plans.session import materialise
@@ -15,7 +16,7 @@ def is_full_screen(bright: Column, pale: Column, edges: Column) -> Column:
     return (bright > 0.35) & (pale > 0.45) & (edges > 0.005)
 
 
-def is_present(motion: Column, static_person: Column, full_screen: Column, least: float = 0.02) -> Column:
+def is_present(motion: Column, static_person: Column, full_screen: Column, least: float = CONFIG.presence_motion) -> Column:
     return (motion > least) | static_person | full_screen
 
 

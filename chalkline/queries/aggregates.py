@@ -5,8 +5,10 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from chalkline.functions import text as X
+from chalkline.functions.config import CONFIG
 from chalkline.operators import stats as S
 from chalkline.operators.features import balanced, class_weights, held_out
+from chalkline.operators.vision import is_present
 from chalkline.queries._views import KEEP, with_views
 from chalkline.queries.joins import duration_infer
 from chalkline.queries.scalars import _SQL as _SCALAR
@@ -15,7 +17,7 @@ from chalkline.sources.tables import table
 
 
 def visual_stats(s, d):
-    a = L.samples(s, d).groupBy("video_name").agg(F.count("*").alias("samples"), F.count_if((F.col("motion_ratio") > 0.02) | F.col("static_person") | F.col("full_screen")).alias("present"))
+    a = L.samples(s, d).groupBy("video_name").agg(F.count("*").alias("samples"), F.count_if(is_present(F.col("motion_ratio"), F.col("static_person"), F.col("full_screen"))).alias("present"))
     b = L.slides(s, d).groupBy("video_name").agg(F.count("*").alias("slides"))
     return a.join(b, "video_name", "left").select("video_name", "samples", "present", F.round(F.col("present") / F.greatest("samples", F.lit(1)), 3).alias("presence_ratio"), F.coalesce("slides", F.lit(0)).alias("slides"))
 
@@ -24,7 +26,7 @@ def audio_stats(s, d):
     keep = X.keeps_speech(F.col("nsp"), F.col("text"))
     return L.segments(s, d).groupBy("video_name").agg(
         F.count("*").alias("segments"), F.count_if(keep).alias("valid"), F.round(F.coalesce(F.sum(F.when(keep, F.col("end") - F.col("start"))), F.lit(0.0)), 2).alias("speech_s"),
-        mean_of("confidence", 4).alias("confidence"), F.count_if(F.coalesce(1 - F.col("nsp") < 0.60, F.lit(False))).alias("low"),
+        mean_of("confidence", 4).alias("confidence"), F.count_if(F.coalesce(1 - F.col("nsp") < CONFIG.low_confidence, F.lit(False))).alias("low"),
     )
 
 

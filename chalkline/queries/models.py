@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 
 from pyspark.sql import functions as F
@@ -13,7 +12,7 @@ from chalkline.operators import stats as S
 from chalkline.operators.boundaries import normalize_boundaries, post_process
 from chalkline.operators.features import balanced, held_out, point_features
 from chalkline.plans.pipeline import run_stages
-from chalkline.plans.session import materialise
+from chalkline.plans.session import materialise, shared_folder
 from chalkline.queries._views import with_views
 from chalkline.queries.scalars import ANN, annotations, raw_annotations
 from chalkline.queries.windows import ranges_of
@@ -23,8 +22,7 @@ from chalkline.streaming import sessions as ST
 
 
 def _scratch(spark) -> str:
-    folder = spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="chalkline-")
-    return f"{folder}/chalkline-{uuid.uuid4().hex}"
+    return f"{shared_folder(spark)}/chalkline-{uuid.uuid4().hex}"
 
 
 def labels(s, d):

@@ -18,12 +18,12 @@ from chalkline.sources.tables import table
 def keep_speech(s, d):
     g = L.segments(s, d)
     return g.select("id", X.silence_probability(F.col("nsp")).alias("nsp"), X.keeps_speech(F.col("nsp"), F.col("text")).alias("keep"),
-                    F.coalesce(1 - F.col("nsp") < 0.60, F.lit(False)).alias("low_confidence"))
+                    F.coalesce(1 - F.col("nsp") < C.CONFIG.low_confidence, F.lit(False)).alias("low_confidence"))
 
 
 def semantic_valid(s, d):
     g = L.segments(s, d).withColumn("text", X.normalize_text(F.col("text")))
-    return g.select("id", "text", ((F.length("text") >= 5) & X.keeps_speech(F.col("nsp"), F.col("text"))).alias("valid"))
+    return g.select("id", "text", ((F.length("text") >= C.CONFIG.min_text) & X.keeps_speech(F.col("nsp"), F.col("text"))).alias("valid"))
 
 
 def silence_flag(s, d):
@@ -41,7 +41,7 @@ def fullscreen_presence(s, d):
 
 def presence_cached(s, d):
     """Samples with the person detector asked at every second one that shows neither motion nor a full screen."""
-    need = ~((F.col("motion_ratio") > 0.02) | F.col("full_screen"))
+    need = ~((F.col("motion_ratio") > C.CONFIG.presence_motion) | F.col("full_screen"))
     g = vision.cached_detection(L.samples(s, d), "video_name", ["time", "id"], need, F.col("static_person"))
     return g.select("id", F.col("detected").alias("static_person"), vision.is_present(F.col("motion_ratio"), F.col("detected"), F.col("full_screen")).alias("present"))
 

@@ -22,7 +22,7 @@ from chalkline.sources.tables import table
 
 def valid_segments(s, d):
     g = L.segments(s, d).withColumn("text", X.normalize_text(F.col("text")))
-    return g.where((F.length("text") >= 5) & X.keeps_speech(F.col("nsp"), F.col("text"))).select("video_name", F.col("id").alias("record"), "start", "end", "text")
+    return g.where((F.length("text") >= C.CONFIG.min_text) & X.keeps_speech(F.col("nsp"), F.col("text"))).select("video_name", F.col("id").alias("record"), "start", "end", "text")
 
 
 def doc_freq_idf(s, d):
@@ -50,7 +50,7 @@ def keywords_topk(s, d):
 
 def titles(s, d):
     clean = F.filter(F.transform("keywords", lambda x: F.regexp_replace(X.strip(x), r'[<>:"/\\|?*\x00-\x1f]+', "")), lambda x: x != "")
-    t = F.array_join(F.slice(clean, 1, 2), "_")
+    t = F.array_join(F.slice(clean, 1, C.CONFIG.title_words), "_")
     k = numbered(L.knowledge(s, d).select("video_name", "start", "id"), "video_name", ["start", "id"], "start").select("id", (F.col("idx") + 1).alias("n"))
     return _keywords(s, d).join(k, "id").select("id", F.when(t != "", t).otherwise(F.concat(F.lit("片段"), F.col("n").cast("string"))).alias("title"))
 

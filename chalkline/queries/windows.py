@@ -32,7 +32,7 @@ def jaccard_lag(s, d):
     return point_features(L.timeline(s, d)).select("video_name", "id", F.round("text_similarity", 6).alias("text_similarity"))
 
 
-def silence_islands(s, d, least=15.0):
+def silence_islands(s, d, least=C.CONFIG.silence_s):
     got = I.flag_islands(L.timeline(s, d), "video_name", F.col("silent"))
     return got.where(F.col("next_time") - F.col("start") >= least).select("video_name", "start", F.col("next_time").alias("end"))
 

@@ -58,7 +58,7 @@ def test_forests_have_all_trees(spark, monkeypatch, name):
         raise Stop(trees)
 
     rows = spark.range(9).selectExpr("'v' as video_name", "id", "false as held_out", "cast(id < 3 as int) as boundary", "cast(id < 3 as int) as interference")
-    monkeypatch.setattr(Q, "_examples", lambda s, d: rows)
+    monkeypatch.setattr(Q, "_examples", lambda s, d, label: rows)
     monkeypatch.setattr(Q, "_models", stop)
     monkeypatch.setattr(Q.M, "train_forest", stop)
     with pytest.raises(Stop) as got:

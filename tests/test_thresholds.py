@@ -1,12 +1,4 @@
-"""Queries with the reference's thresholds against their SQL."""
-
-import pytest
-from test_queries import pytestmark, test_query_equals_sql as equals_sql  # noqa: F401
-
-
-@pytest.mark.parametrize("name", ["overlap_first", "nearest_valid"])
-def test_reference_thresholds(spark, name):
-    equals_sql(spark, name)
+"""Bounds of the overlap join."""
 
 
 def test_overlap_needs_more_than_half(spark):
