@@ -185,6 +185,21 @@ SELECT video_name, min(time) AS first_s, max(time) AS last_s, count(*) AS n_poin
 FROM r GROUP BY video_name, chain, run
 """
 
+_FULL, _HALF = "".join(chr(0xFF01 + i) for i in range(94)) + "　", "".join(chr(0x21 + i) for i in range(94)).replace("'", "''") + " "
+_MARK = r"""([\s._-]*(\(\s*(\d+|copy|副本)\s*\)|\[\s*(\d+|copy|副本)\s*\]|副本|\.(mp4|avi|mov|mkv|flv|wmv|webm|m4v))|[\s._-]+(copy|final|export|edit|v\d+|\d{3,4}p))+$"""
+_KEY = lambda c: (
+    f"""array_to_string(list_transform(regexp_extract_all(regexp_replace(trim(lower(translate({c}, '{_FULL}', '{_HALF}'))), '{_MARK}', ''), '\\d+|\\p{{L}}+'),
+  lambda t: CASE WHEN regexp_full_match(t, '\\d+') THEN coalesce(nullif(ltrim(t, '0'), ''), '0') ELSE t END), '_')"""
+)
+_P2 = f"""
+WITH RECURSIVE m AS (SELECT video_name, video_path, duration FROM multimodal_index WHERE video_name IS NOT NULL),
+k AS (SELECT DISTINCT video_name AS n, unnest([{_KEY('video_name')}, {_KEY("nullif(regexp_extract(video_path, '([^/' || chr(92) || chr(92) || ']+)$', 1), '')")}]) AS x FROM m),
+e AS (SELECT DISTINCT a.n AS a, b.n AS b FROM k a JOIN k b ON a.x = b.x),
+r AS (SELECT a, b FROM e UNION SELECT r.a, e.b FROM r JOIN e ON r.b = e.a),
+d AS (SELECT video_name AS n, max(duration) AS d FROM m GROUP BY 1)
+SELECT a AS video_a, b AS video_b FROM r JOIN d x ON x.n = a JOIN d y ON y.n = b WHERE a < b AND coalesce(round(abs(x.d - y.d), 2) <= 1.0, true)
+"""
+
 
 def queries() -> dict:
     return {"p1_found": p1_found, "p1_pairs": p1_pairs, "p2_found": p2_found, "p2_splits": p2_splits, "p3_found": p3_found, "p3_runs": p3_runs, "p5_found": p5_found, "p5_pages": p5_pages, "p6_found": p6_found, "p6_turns": p6_turns,
@@ -195,6 +210,7 @@ def oracle_sql() -> dict[str, str]:
     return {
         "p1_found": f"SELECT rec_kind, rec_id, sample_id FROM ({_P1}) WHERE sample_id IS NOT NULL",
         "p1_pairs": _P1,
+        "p2_found": _P2,
         "p3_found": f"SELECT video_name, CAST(first_s AS BIGINT) AS first_s, CAST(last_s AS BIGINT) AS last_s FROM ({_P3}) WHERE n_points >= 2",
         "p3_runs": _P3,
     }
