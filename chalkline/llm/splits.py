@@ -58,8 +58,9 @@ def components(edges: DataFrame, record: str, entity: str, max_rounds: int = 50)
     raise RuntimeError(f"labels still moved after {max_rounds} rounds")
 
 
-#: Groups are told apart by size within 5 %; one task settles the quotas of about WALK pairs of label and size class.
-SIZE_BASE, WALK = 1.05, 100_000
+#: Groups are told apart by size within 5 %; one task settles the quotas of about WALK pairs of label and size class, and
+#: EACH groups a split and class one by one.
+SIZE_BASE, WALK, EACH = 1.05, 100_000, 8
 
 
 def assign_groups(groups: DataFrame, plan: DataFrame, group: str, size: str, label: str, walk_rows: int = WALK) -> DataFrame:
@@ -68,8 +69,8 @@ def assign_groups(groups: DataFrame, plan: DataFrame, group: str, size: str, lab
     ``groups`` has one row per group; a missing size counts as 0, a missing label as a
     label of its own; groups with a null id are left out. ``plan`` (split_name, share) is a small
     table; shares that don't add up to 1 are scaled. Groups are counted by label and size class, about 700
-    classes at most, and these counts are walked from the largest class down: each class gives its groups to the splits in
-    whole shares, and what is left over one by one to the split that lacks most, in the label and over all labels walked. Labels are
+    classes at most, and these counts are walked from the largest class down: the last few groups of a class go one by one
+    to the split that lacks most, of the label's whole and of all given out so far, those before them in the shares of the plan. Labels are
     never put together. Where there are more than ``walk_rows`` counts they are walked in parts of about that many,
     all classes of a label in one; every part comes out in the wanted shares, and so does the whole. Ranks inside a class
     come from a sharded count, so no class is sorted in one task.
@@ -98,17 +99,19 @@ def assign_groups(groups: DataFrame, plan: DataFrame, group: str, size: str, lab
         pdf = pdf.sort_values(["cls", "lab"], ascending=[False, True])
         per, everywhere = {}, [0.0] * len(want)
         sizes = pdf.groupby("lab")["total"].sum().to_dict()
-        all_size = float(pdf["total"].sum()) or 1.0
-        rows = []
+        handed, rows = 0.0, []
         for lab, cls, n, total in pdf[["lab", "cls", "n", "total"]].itertuples(index=False):
             mine = per.setdefault(lab, [0.0] * len(want))
             mean, n = total / n, int(n)
-            give = [int(n * w) for w in want]
+            give = [int(max(n - EACH * len(want), 0) * w) for w in want]
             for k, x in enumerate(give):
                 mine[k] += x * mean
                 everywhere[k] += x * mean
+            handed += sum(give) * mean
             for _ in range(n - sum(give)):
-                lack = lambda k: (want[k] * all_size - everywhere[k] - mean / 2) / all_size + (want[k] * sizes[lab] - mine[k] - mean / 2) / all_size
+                handed += mean
+                # what the split lacks of the label's whole, and of all that has been given out so far
+                lack = lambda k: want[k] * (sizes[lab] + handed) - mine[k] - everywhere[k]
                 k = max(range(len(want)), key=lack)
                 give[k] += 1
                 mine[k] += mean
