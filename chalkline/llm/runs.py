@@ -51,12 +51,11 @@ def collapse_runs(
     pattern = f"([^{BREAK}{JOKER}])\\1*+(?:{JOKER}++\\1*+)*+|{JOKER}++"
     runs = (
         shards.withColumn("_m", F.regexp_extract_all(text, F.lit(pattern), F.lit(0)))
-        .withColumn(
-            "_n",
-            F.aggregate(
-                "_m", F.array(F.lit(0)), lambda acc, m: F.concat(acc, F.array(F.element_at(acc, -1) + F.length(m)))
-            ),
-        )
+        # the run of each event, and from that the place where each run begins
+        .withColumn("_r", F.flatten(F.transform("_m", lambda m, i: F.array_repeat(i, F.length(m)))))
+        .withColumn("_n", F.concat(
+            F.filter(F.sequence(F.lit(0), F.size("_r") - 1), lambda k: (k == 0) | (F.get("_r", k) != F.get("_r", F.greatest(k - 1, F.lit(0))))), F.array(F.size("_r"))
+        ))
         .select(
             key, "_shard",
             F.explode(
