@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from chalkline.functions import config as C
@@ -113,14 +112,15 @@ def artefact_left_join(s, d):
     return audio.join(text, "video_name").join(visual, "video_name", "left").select("video_name", "segments", "topics", F.coalesce("samples", F.lit(0)).alias("samples"))
 
 
-def pair_annotations(s, d):
-    """For each file stem of the index, the path that goes first: by extension, then folder, then path."""
+def pair_annotations(s, d, folders=("/archive/a/", "/archive/b/")):
+    """For each file stem of the index, the path that goes first: by extension, then by folder in the order given, then by path."""
     p = table(s, d, "multimodal_index").where("video_path is not null").select(
         "video_path", F.regexp_extract("video_path", r"([^/]+?)(?:\.[^./]*)?$", 1).alias("stem"), F.regexp_extract("video_path", r"\.([^./]*)$", 1).alias("ext")
     ).distinct()
     rank = F.coalesce(F.array_position(F.array(*map(F.lit, ("mp4", "avi", "mov", "mkv"))), F.lower("ext")), F.lit(0))
-    w = Window.partitionBy("stem").orderBy(F.when(rank == 0, 9).otherwise(rank), "video_path")
-    return p.withColumn("k", F.row_number().over(w)).where("k = 1").select("stem", "video_path")
+    folder = F.coalesce(*(F.when(F.col("video_path").startswith(x), i) for i, x in enumerate(folders)), F.lit(len(folders)))
+    order = F.struct(F.when(rank == 0, 9).otherwise(rank).alias("e"), folder.alias("f"), "video_path")
+    return p.groupBy("stem").agg(F.min(order)["video_path"].alias("video_path"))
 
 
 def exact_time(s, d):
@@ -185,7 +185,7 @@ SELECT m.id, from_id, n.speaker, n.teacher_prob FROM m LEFT JOIN n ON n.id = fro
     "artefact_left_join": with_views(""", a AS (SELECT video_name, count(*) AS segments FROM seg GROUP BY 1), t AS (SELECT video_name, count(*) AS topics FROM kno GROUP BY 1), v AS (SELECT video_name, count(*) AS samples FROM sam GROUP BY 1)
 SELECT video_name, segments, topics, coalesce(samples, 0) AS samples FROM a JOIN t USING (video_name) LEFT JOIN v USING (video_name)""", "seg", "kno", "sam"),
     "pair_annotations": r"""WITH p AS (SELECT DISTINCT video_path, regexp_extract(video_path, '([^/]+?)(?:\.[^./]*)?$', 1) AS stem, lower(regexp_extract(video_path, '\.([^./]*)$', 1)) AS ext FROM multimodal_index WHERE video_path IS NOT NULL)
-SELECT stem, video_path FROM p QUALIFY row_number() OVER (PARTITION BY stem ORDER BY CASE ext WHEN 'mp4' THEN 1 WHEN 'avi' THEN 2 WHEN 'mov' THEN 3 WHEN 'mkv' THEN 4 ELSE 9 END, video_path) = 1""",
+SELECT stem, video_path FROM p QUALIFY row_number() OVER (PARTITION BY stem ORDER BY CASE ext WHEN 'mp4' THEN 1 WHEN 'avi' THEN 2 WHEN 'mov' THEN 3 WHEN 'mkv' THEN 4 ELSE 9 END, CASE WHEN starts_with(video_path, '/archive/a/') THEN 0 WHEN starts_with(video_path, '/archive/b/') THEN 1 ELSE 2 END, video_path) = 1""",
     "exact_time": with_views(" SELECT sli.id, round(sli.time, 2) AS t, max(tl.id) AS point_id FROM sli LEFT JOIN tl ON tl.video_name = sli.video_name AND round(tl.time, 2) = round(sli.time, 2) GROUP BY sli.id, round(sli.time, 2)", "sli", "tl"),
     "timeline_align": with_views(f""", {_DUR}, st AS ({_ASOF('sam', 'time', 'id')}), pg AS ({_ASOF('sli', 'time', 'id')}), sg AS ({_STAB('seg')}), kn AS ({_STAB('kno')}),
 q AS (SELECT *, NOT {KEEP} AS silent FROM seg),
