@@ -200,6 +200,37 @@ d AS (SELECT video_name AS n, max(duration) AS d FROM m GROUP BY 1)
 SELECT a AS video_a, b AS video_b FROM r JOIN d x ON x.n = a JOIN d y ON y.n = b WHERE a < b AND coalesce(round(abs(x.d - y.d), 2) <= 1.0, true)
 """
 
+# The turns without their texts: SQL has no look-behind, so a part counts by whether a word is left that is no filler.
+_SP, _IN, _OUT, _END = r"[\s\p{Z}]", "chr(1)", "chr(3)", "chr(2)"
+_CLOCK = r"\d{1,2}:\d{2}:\d{2}[.,]\d{1,3}"
+_TIME_MARK = rf"[\[【（(<]{_SP}*\d{{1,2}}:\d{{2}}(?::\d{{2}})?(?:[.,]\d{{1,3}})?{_SP}*[\]】）)>]{_SP}*|{_CLOCK}{_SP}*-->{_SP}*(?:{_CLOCK}{_SP}*)?"
+_AFTER = rf"(?:{_SP}*[:：]{_SP}*|>{_SP}+|{_SP}+-{_SP}+)"
+_MARKS = (
+    r"\[([^\[\]]{1,40})\]|【([^【】]{1,40})】|（([^（）]{1,40})）|\(([^()]{1,40})\)|〔([^〔〕]{1,40})〕|<([^<>]{1,40})>|\*([^*]{1,40})\*"
+    rf"|♪+[^♪]{{0,80}}♪+|♪|(^|{_SP})(\p{{L}}+){_AFTER}"
+)
+_NAME = lambda c: f"""lower(regexp_replace(translate({c}, '{_FULL}', '{_HALF}'), '[^\\p{{L}}\\p{{N}}]+', '', 'g'))"""
+_AS_ROLE = lambda c: f"""CASE WHEN {_NAME(c)} IN ('teacher', 'lecturer', 't', '教师', '老师', '讲师') THEN 'teacher' WHEN {_NAME(c)} IN ('student', 's', '学生', '学员', '同学') THEN 'student' END"""
+_P6 = f"""
+WITH g AS (SELECT video_name AS k, seg_id AS id, "start" AS a, greatest("start", coalesce(CASE WHEN NOT isnan("end") THEN "end" END, "start")) AS b, {_AS_ROLE('speaker')} AS col_role,
+  regexp_replace(regexp_replace(coalesce(text, ''), '{_TIME_MARK}', ' ', 'g'), '{_MARKS}', '\\8' || {_IN} || '\\1\\2\\3\\4\\5\\6\\7' || {_OUT} || '\\9' || {_END}, 'g') AS t
+  FROM {_SPEECH} WHERE "start" IS NOT NULL AND NOT isnan("start") AND video_name IS NOT NULL AND seg_id IS NOT NULL),
+m AS (SELECT * REPLACE (regexp_replace(t, '(' || {_END} || ')(\\p{{L}}+){_AFTER}', '\\1' || {_IN} || {_OUT} || '\\2' || {_END}, 'g') AS t) FROM g),
+p AS (SELECT k, id, a, b, col_role, unnest(string_split(t, {_IN})) AS x, generate_subscripts(string_split(t, {_IN}), 1) AS i FROM m),
+q AS (SELECT *, CASE WHEN i > 1 THEN split_part(x, {_OUT}, 1) END AS bracket, CASE WHEN i > 1 THEN split_part(split_part(x, {_OUT}, 2), {_END}, 1) END AS label, CASE WHEN i > 1 THEN split_part(x, {_END}, 2) ELSE x END AS said FROM p),
+r AS (SELECT *, coalesce({_AS_ROLE('label')}, {_AS_ROLE('bracket')}) AS role FROM q),
+u AS (SELECT k, id, a, b, col_role, i, role, CASE WHEN role IS NULL AND coalesce(label, '') <> '' THEN ' ' || label || ': ' || said ELSE ' ' || said END AS said, sum(CASE WHEN role IS NULL THEN 0 ELSE 1 END) OVER (PARTITION BY k, id ORDER BY i) AS part FROM r),
+v AS (SELECT k, id, any_value(a) AS a, any_value(b) AS b, any_value(col_role) AS col_role, part, max(role) AS role, string_agg(said, '' ORDER BY i) AS said FROM u GROUP BY k, id, part),
+w AS (SELECT * FROM v WHERE len(list_filter(regexp_extract_all(said, '[\\p{{L}}\\p{{N}}_''-]+'), lambda x: regexp_matches(x, '[\\p{{L}}\\p{{N}}]')
+  AND NOT regexp_full_match(x, '(?i:u+h+m*|u+m+|e+r+m?|h+m+|m+h+m+|a+h+|o+h+)') AND NOT regexp_full_match(x, '[嗯呃啊额唔哦]+'))) > 0),
+c AS (SELECT k, id, a, b, part, coalesce(role, CASE WHEN row_number() OVER (PARTITION BY k, id ORDER BY part) = 1 THEN col_role END) AS role FROM w),
+h AS (SELECT *, last_value(role IGNORE NULLS) OVER (PARTITION BY k ORDER BY a, id, part ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS was,
+  max(b) OVER (PARTITION BY k ORDER BY a, id, part ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS reach FROM c),
+n AS (SELECT *, coalesce(role, was) AS now FROM h WHERE coalesce(role, was) IS NOT NULL),
+o AS (SELECT *, sum(CASE WHEN was IS NULL OR now <> was OR round((a - reach) * 1000) > 60000 THEN 1 ELSE 0 END) OVER (PARTITION BY k ORDER BY a, id, part) AS turn FROM n)
+SELECT k AS video_name, arg_min(id, struct_pack(a := a, i := id)) AS first_seg_id, arg_max(id, struct_pack(a := a, i := id)) AS last_seg_id, any_value(now) AS role FROM o GROUP BY k, turn
+"""
+
 
 def queries() -> dict:
     return {"p1_found": p1_found, "p1_pairs": p1_pairs, "p2_found": p2_found, "p2_splits": p2_splits, "p3_found": p3_found, "p3_runs": p3_runs, "p5_found": p5_found, "p5_pages": p5_pages, "p6_found": p6_found, "p6_turns": p6_turns,
@@ -213,4 +244,5 @@ def oracle_sql() -> dict[str, str]:
         "p2_found": _P2,
         "p3_found": f"SELECT video_name, CAST(first_s AS BIGINT) AS first_s, CAST(last_s AS BIGINT) AS last_s FROM ({_P3}) WHERE n_points >= 2",
         "p3_runs": _P3,
+        "p6_found": _P6,
     }
