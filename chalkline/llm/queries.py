@@ -231,6 +231,18 @@ o AS (SELECT *, sum(CASE WHEN was IS NULL OR now <> was OR round((a - reach) * 1
 SELECT k AS video_name, arg_min(id, struct_pack(a := a, i := id)) AS first_seg_id, arg_max(id, struct_pack(a := a, i := id)) AS last_seg_id, any_value(now) AS role FROM o GROUP BY k, turn
 """
 
+_FLAT = lambda c: f"lower(nfc_normalize(regexp_replace(translate({c}, '{_FULL}', '{_HALF}'), '\\\\p{{Cf}}+', '', 'g')))"
+_P9 = f"""
+WITH t AS (SELECT 'd' AS side, doc_id AS id, true AS en, {_FLAT('text')} AS t FROM documents WHERE doc_id IS NOT NULL AND text IS NOT NULL
+  UNION ALL SELECT 'd', doc_id, false, {_FLAT('text')} FROM documents WHERE doc_id IS NOT NULL AND text IS NOT NULL
+  UNION ALL SELECT 'i', item_id, coalesce(lower(substring(lang, 1, 2)) = 'en', false), {_FLAT('text')} FROM eval_items WHERE item_id IS NOT NULL AND text IS NOT NULL),
+w AS (SELECT side, id, regexp_extract_all(t, '[\\p{{L}}\\p{{N}}]+') AS u FROM t WHERE en),
+c AS (SELECT side, id, regexp_replace(t, '[^\\p{{L}}\\p{{N}}]+', '', 'g') AS u FROM t WHERE NOT en),
+x AS (SELECT side, id, 'w' || array_to_string(u[p : p + 11], ' ') AS g FROM (SELECT side, id, u, unnest(range(1, len(u) - 10)) AS p FROM w WHERE len(u) >= 12)
+  UNION ALL SELECT side, id, 'c' || substring(u, p, 24) FROM (SELECT side, id, u, unnest(range(1, length(u) - 22)) AS p FROM c WHERE length(u) >= 24))
+SELECT DISTINCT a.id AS doc_id, b.id AS item_id FROM x a JOIN x b ON a.g = b.g WHERE a.side = 'd' AND b.side = 'i'
+"""
+
 
 def queries() -> dict:
     return {"p1_found": p1_found, "p1_pairs": p1_pairs, "p2_found": p2_found, "p2_splits": p2_splits, "p3_found": p3_found, "p3_runs": p3_runs, "p5_found": p5_found, "p5_pages": p5_pages, "p6_found": p6_found, "p6_turns": p6_turns,
@@ -245,4 +257,5 @@ def oracle_sql() -> dict[str, str]:
         "p3_found": f"SELECT video_name, CAST(first_s AS BIGINT) AS first_s, CAST(last_s AS BIGINT) AS last_s FROM ({_P3}) WHERE n_points >= 2",
         "p3_runs": _P3,
         "p6_found": _P6,
+        "p9_found": _P9,
     }
