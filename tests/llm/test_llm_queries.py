@@ -44,3 +44,20 @@ def test_labels_in_parts_are_spread_alike(spark):
     plan = spark.createDataFrame([("a", 0.8), ("b", 0.2)], "split_name string, share double")
     got = assign_groups(groups, plan, "g", "size", "label", walk_rows=100).join(groups, "g").groupBy("label").agg(F.count_if(F.col("split_name") == "a").alias("a"), F.count("*").alias("n")).collect()
     assert len(got) == 600 and all((r.a, r.n) == (8, 10) for r in got)
+
+
+def test_trigrams_stay_within_their_part_of_a_text():
+    import pyarrow as pa
+
+    from chalkline.llm.scans import BITS, _gram_codes
+
+    texts = ["卷积核与A页表", "一二", "", "标题\n正文里的字", "ab中"]
+    batch = pa.RecordBatch.from_arrays([pa.array(range(len(texts))), pa.array(texts)], ["t", "s"])
+    (out,) = _gram_codes([batch])
+    code = lambda x: sum(ord(c) << BITS * (2 - k) for k, c in enumerate(x))
+    han = lambda x: sum("㐀" <= c <= "鿿" for c in x) >= 2
+    for t, got in zip(texts, out["g"].to_pylist()):
+        whole = t.replace("\n", "")
+        cut = t.index("\n") if "\n" in t else -9
+        want = [code(whole[p : p + 3]) if han(whole[p : p + 3]) and not p < cut < p + 3 else 0 for p in range(len(whole) - 2)]
+        assert got == want, t
