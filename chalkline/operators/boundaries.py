@@ -7,9 +7,15 @@ over a recording's hours, and each hour is then folded from its true start: no r
 
 from __future__ import annotations
 
+import itertools
+from collections.abc import Callable, Iterator
+
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_schema
+from pyspark.sql.types import StructType
 
 from chalkline.functions import config as C
 from chalkline.operators.alignment import SHARD_S
@@ -50,48 +56,74 @@ def thinned(candidates: DataFrame, key: str, reach: float, strict: bool = False,
     spread = materialise(rows.select(key, "time", "rank", "score", where.alias("w")).select(key, "time", "rank", "score", "w.*"))
     kind = dict(candidates.dtypes)[key]
 
-    def parts(pdf: pd.DataFrame) -> tuple[list[tuple], list[tuple]]:
-        pdf = pdf.sort_values(["time", "rank"])
-        triples = lambda x: list(zip(x["time"].tolist(), x["rank"].tolist(), x["score"].tolist()))
-        return triples(pdf[pdf["own"]]), triples(pdf[~pdf["own"]])
+    def parts(rows: list[tuple]) -> tuple[list[tuple], list[tuple]]:
+        return [x[2:5] for x in rows if x[5]], [x[2:5] for x in rows if not x[5]]
 
-    def outcomes(pdf: pd.DataFrame) -> pd.DataFrame:
-        own, before = parts(pdf)
+    def outcomes(group: tuple, rows: list[tuple]) -> list[tuple]:
+        own, before = parts(rows)
         out = []
         for start in (None, *before):
             _, last, replaced = _walk(own, start, reach, strict, replace)
             # what is kept last, if it is of this hour; else nothing that matters to the next
             end = last if own and last is not None and last != start else None
-            out.append((*(start or (None, None))[:2], *(end or (None, None))[:2], replaced))
-        got = pd.DataFrame(out, columns=["time", "rank", "to_time", "to_rank", "replaced"])
-        return got.assign(**{key: pdf[key].iloc[0], "shard": pdf["shard"].iloc[0]})
+            out.append((*group, *(start or (None, None))[:2], *(end or (None, None))[:2], replaced))
+        return out
 
-    def chain(pdf: pd.DataFrame) -> pd.DataFrame:
+    def chain(group: tuple, rows: list[tuple]) -> list[tuple]:
         """For each hour what was kept last before it, and whether the hour after replaces what is kept last in it."""
         table: dict = {}
-        for k, t, r, tt, tr, x in pdf[["shard", "time", "rank", "to_time", "to_rank", "replaced"]].itertuples(index=False):
-            table.setdefault(k, {})[None if pd.isna(t) else (t, int(r))] = (None if pd.isna(tt) else (tt, int(tr)), bool(x))
+        for _, k, t, r, tt, tr, x in rows:
+            table.setdefault(k, {})[None if t is None else (t, r)] = (None if tt is None else (tt, tr), x)
         at, out, last = None, [], None
         for k in sorted(table):
             at = at if last == k - 1 and at in table[k] else None
             if at is not None and table[k][at][1]:
-                out[-1]["loses"] = True
-            out.append({key: pdf[key].iloc[0], "shard": k, "time": at and at[0], "rank": at and at[1], "loses": False})
+                out[-1][-1] = True
+            out.append([*group, k, *(at or (None, None)), False])
             at, last = table[k][at][0], k
-        return pd.DataFrame(out, columns=[key, "shard", "time", "rank", "loses"])
+        return [tuple(x) for x in out]
 
-    def kept(pdf: pd.DataFrame) -> pd.DataFrame:
-        own, before = parts(pdf)
-        t, r, loses = pdf[["from_time", "from_rank", "loses"]].iloc[0]
-        start = None if pd.isna(t) else next(x for x in before if x[:2] == (t, int(r)))
+    def kept(group: tuple, rows: list[tuple]) -> list[tuple]:
+        own, before = parts(rows)
+        t, r, loses = rows[0][6:]
+        start = None if t is None else next(x for x in before if x[:2] == (t, r))
         found = _walk(own, start, reach, strict, replace)[0]
-        out = pd.DataFrame(found[:-1] if loses else found, columns=["time", "rank", "score"])
-        return out.assign(**{key: pdf[key].iloc[0]})[[key, "time", "rank", "score"]]
+        return [(group[0], *x) for x in (found[:-1] if loses else found)]
+
+    columns = [key, "shard", "time", "rank", "score", "own"]
+    states = _each_group(spread.select(*columns), [key, "shard"], ["time", "rank"], outcomes, f"{key} {kind}, shard long, time double, rank int, to_time double, to_rank int, replaced boolean")
+    starts = _each_group(states, [key], ["shard"], chain, f"{key} {kind}, shard long, from_time double, from_rank int, loses boolean")
+    given = spread.join(starts, [key, "shard"]).select(*columns, "from_time", "from_rank", "loses")
+    return _each_group(given, [key, "shard"], ["time", "rank"], kept, f"{key} {kind}, time double, rank int, score double")
+
+
+def _each_group(df: DataFrame, keys: list[str], order: list[str], work: Callable[[tuple, list[tuple]], list[tuple]], schema: str) -> DataFrame:
+    """What ``work`` makes of each group's key and rows in order, as rows of ``schema``; ``keys`` are the first columns.
+
+    One pass over sorted partitions: many small groups cost no more than their rows.
+    """
+    fields = arrow_schema(schema)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        rows = (r for b in batches for r in zip(*(c.to_pylist() for c in b.columns)))
+        out: list[tuple] = []
+        for group, mine in itertools.groupby(rows, lambda r: r[: len(keys)]):
+            out += work(group, list(mine))
+            if len(out) >= 10_000:
+                yield _batch(out, fields)
+                out = []
+        yield _batch(out, fields)
+
+    return df.repartition(*keys).sortWithinPartitions(*keys, *order).mapInArrow(run, schema)
+
+
+def arrow_schema(schema: str) -> pa.Schema:
+    return to_arrow_schema(StructType.fromDDL(schema))
+
 
-    states = spread.groupBy(key, "shard").applyInPandas(outcomes, f"time double, rank double, to_time double, to_rank double, replaced boolean, {key} {kind}, shard long")
-    starts = states.groupBy(key).applyInPandas(chain, f"{key} {kind}, shard long, time double, rank double, loses boolean")
-    given = spread.join(starts.select(key, "shard", F.col("time").alias("from_time"), F.col("rank").alias("from_rank"), "loses"), [key, "shard"])
-    return given.groupBy(key, "shard").applyInPandas(kept, f"{key} {kind}, time double, rank int, score double")
+def _batch(rows: list[tuple], fields: pa.Schema) -> pa.RecordBatch:
+    columns = list(zip(*rows)) or [()] * len(fields)
+    return pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(columns, fields)], schema=fields)
 
 
 def merge_candidates(candidates: DataFrame, key: str, within: float = C.CONFIG.merge_within) -> DataFrame:
