@@ -100,7 +100,8 @@ def thinned(candidates: DataFrame, key: str, reach: float, strict: bool = False,
 def _each_group(df: DataFrame, keys: list[str], order: list[str], work: Callable[[tuple, list[tuple]], list[tuple]], schema: str) -> DataFrame:
     """What ``work`` makes of each group's key and rows in order, as rows of ``schema``; ``keys`` are the first columns.
 
-    One pass over sorted partitions: many small groups cost no more than their rows.
+    One pass over sorted partitions: many small groups cost no more than their rows. Partitions are by a hash of the keys, since
+    a repartition by the keys themselves is taken for needless after a join by them, whose shuffle may then be read in parts of a group.
     """
     fields = arrow_schema(schema)
 
@@ -114,7 +115,7 @@ def _each_group(df: DataFrame, keys: list[str], order: list[str], work: Callable
                 out = []
         yield _batch(out, fields)
 
-    return df.repartition(*keys).sortWithinPartitions(*keys, *order).mapInArrow(run, schema)
+    return df.repartition(F.xxhash64(*keys)).sortWithinPartitions(*keys, *order).mapInArrow(run, schema)
 
 
 def arrow_schema(schema: str) -> pa.Schema:

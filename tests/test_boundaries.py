@@ -3,6 +3,7 @@
 import random
 
 import pytest
+from pyspark.sql import functions as F
 
 from chalkline.operators.boundaries import normalize_boundaries, thinned
 
@@ -39,3 +40,21 @@ def test_normalised_bounds(spark):
     ends = spark.createDataFrame([("v", 10.0, 2700.0)], "k string, t_start double, t_end double")
     got = [r.time for r in normalize_boundaries(bounds, ends, "k").orderBy("pos").collect()]
     assert got == [10.0, 55.0, 100.0, 1300.0, 1950.0, 2600.0, 2700.0]
+
+
+def test_groups_stay_whole_after_a_join_by_their_keys(spark):
+    from chalkline.operators.boundaries import _each_group
+
+    changed = {"spark.sql.autoBroadcastJoinThreshold": "-1", "spark.sql.adaptive.autoBroadcastJoinThreshold": "10m", "spark.sql.adaptive.coalescePartitions.enabled": "false"}
+    before = {c: spark.conf.get(c, None) for c in changed}
+    for c, v in changed.items():
+        spark.conf.set(c, v)
+    try:
+        # the join becomes a broadcast while it runs, and its shuffle is then read where it was written
+        rows = spark.range(0, 400, 1, 4).selectExpr("concat('v', id % 5) as k", "id div 200 as shard", "id")
+        starts = rows.groupBy("k", "shard").agg(F.min("id").alias("first"))
+        got = _each_group(rows.join(starts, ["k", "shard"]), ["k", "shard"], ["id"], lambda g, x: [(*g, len(x))], "k string, shard long, n long").collect()
+    finally:
+        for c, v in before.items():
+            spark.conf.unset(c) if v is None else spark.conf.set(c, v)
+    assert sorted(tuple(r) for r in got) == [(f"v{i}", s, 40) for i in range(5) for s in (0, 1)]
