@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from chalkline.functions.config import CONFIG
 from chalkline.functions.text import is_valid_token, normalize_text
 from chalkline.operators.segment import tokenised
-from chalkline.plans.session import materialise
+from chalkline.plans.session import materialise, shuffled
 
 
 def term_counts(texts: DataFrame, keys: list[str], text: str) -> DataFrame:
@@ -31,9 +31,9 @@ def document_frequency(counts: DataFrame, texts: DataFrame, scope: str) -> DataF
 def tfidf(texts: DataFrame, scope: str, record: str, text: str) -> DataFrame:
     """``(scope, record, token, w)``: sparse rows of unit length."""
     counts = term_counts(texts, [scope, record], text)
-    raw = counts.join(document_frequency(counts, texts, scope), [scope, "token"]).withColumn("w", F.col("c") / F.col("total") * F.col("idf"))
+    raw = counts.join(shuffled(document_frequency(counts, texts, scope)), [scope, "token"]).withColumn("w", F.col("c") / F.col("total") * F.col("idf"))
     norm = raw.groupBy(scope, record).agg(F.sqrt(F.sum(F.col("w") * F.col("w"))).alias("_n"))
-    return raw.join(norm, [scope, record]).select(scope, record, "token", (F.col("w") / F.col("_n")).alias("w"))
+    return raw.join(shuffled(norm), [scope, record]).select(scope, record, "token", (F.col("w") / F.col("_n")).alias("w"))
 
 
 def keywords(groups: DataFrame, keys: list[str], counts: DataFrame, frequency: DataFrame, scope: str, top: int = CONFIG.keywords, least: int = CONFIG.min_doc_freq) -> DataFrame:
