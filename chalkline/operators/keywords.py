@@ -44,7 +44,7 @@ def keywords(groups: DataFrame, keys: list[str], counts: DataFrame, frequency: D
     """
     total = Window.partitionBy(*keys)
     x = (
-        counts.join(frequency, [scope, "token"], "left")
+        counts.join(shuffled(frequency), [scope, "token"], "left")
         .withColumn("total", F.sum("c").over(total))
         .withColumn("ok", F.coalesce("df", F.lit(0)) >= least)
         .withColumn("any", F.max(F.col("ok").cast("int")).over(total))
@@ -54,7 +54,7 @@ def keywords(groups: DataFrame, keys: list[str], counts: DataFrame, frequency: D
     w = Window.partitionBy(*keys).orderBy(F.desc("score"), F.desc(F.length("token")), "token")
     best = x.withColumn("_k", F.row_number().over(w)).where(F.col("_k") <= top)
     found = best.groupBy(*keys).agg(F.transform(F.sort_array(F.collect_list(F.struct("_k", "token"))), lambda v: v["token"]).alias("keywords"))
-    return groups.select(*keys).join(found, keys, "left").withColumn("keywords", F.coalesce("keywords", F.array().cast("array<string>")))
+    return groups.select(*keys).join(shuffled(found), keys, "left").withColumn("keywords", F.coalesce("keywords", F.array().cast("array<string>")))
 
 
 def shift_scores(rows: DataFrame, weights: DataFrame, scope: str, window: int = CONFIG.window) -> DataFrame:

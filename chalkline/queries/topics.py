@@ -13,7 +13,7 @@ from chalkline.operators import speakers as P
 from chalkline.operators import stats as S
 from chalkline.operators.alignment import as_of, contained, numbered
 from chalkline.plans.scan import sharded_scan
-from chalkline.plans.session import materialise
+from chalkline.plans.session import materialise, shuffled
 from chalkline.queries._views import KEEP, with_views
 from chalkline.queries.scalars import SEGMENT, VALID, _norm
 from chalkline.sources import lecture as L
@@ -40,7 +40,7 @@ def _keywords(s, d):
     t, k = valid_segments(s, d), L.knowledge(s, d)
     counts = K.term_counts(t, ["video_name", "record"], "text")
     inside = contained(t.withColumnRenamed("record", "id"), k, "video_name").select("video_name", F.col("id").alias("record"), F.col("outer_id").alias("id"))
-    per = counts.join(inside, ["video_name", "record"]).groupBy("video_name", "id", "token").agg(F.sum("c").alias("c"))
+    per = counts.join(shuffled(inside), ["video_name", "record"]).groupBy("video_name", "id", "token").agg(F.sum("c").alias("c"))
     return K.keywords(k, ["video_name", "id"], per, K.document_frequency(counts, t, "video_name"), "video_name")
 
 

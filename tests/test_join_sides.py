@@ -31,3 +31,10 @@ def test_words_of_runs(spark):
     assert _by_shuffle(segment.segmented(_runs(spark), words))
     # the one row of the total aside
     assert sum("SortMergeJoin" in x for x in _joins(segment.corpus_words(_runs(spark)))) == 2
+
+
+def test_keywords_of_groups(spark):
+    groups = _rows(spark, "video_name, id", ("v", 1))
+    counts = _rows(spark, "video_name, id, token, c", ("v", 1, "abc", 2))
+    frequency = _rows(spark, "video_name, token, df, idf", ("v", "abc", 2, 1.0))
+    assert _by_shuffle(keywords.keywords(groups, ["video_name", "id"], counts, frequency, "video_name"))
