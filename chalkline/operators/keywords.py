@@ -65,11 +65,11 @@ def shift_scores(rows: DataFrame, weights: DataFrame, scope: str, window: int =
     """
     n = rows.groupBy(scope).agg(F.count("*").alias("n"))
     at = F.explode(F.sequence(F.col("idx") - window + 1, F.col("idx") + window)).alias("i")
-    spread = weights.join(rows, [scope, "record"]).select(scope, "idx", "token", "w", at)
+    spread = weights.join(shuffled(rows), [scope, "record"]).select(scope, "idx", "token", "w", at)
     left, right = F.col("idx") < F.col("i"), F.col("idx") >= F.col("i")
     sums = spread.groupBy(scope, "i", "token").agg(F.sum(F.when(left, F.col("w"))).alias("l"), F.sum(F.when(right, F.col("w"))).alias("r"))
     z = lambda c: F.coalesce(c, F.lit(0.0))
     got = sums.groupBy(scope, "i").agg(F.sum(z("l") * z("r")).alias("d"), F.sum(z("l") * z("l")).alias("a"), F.sum(z("r") * z("r")).alias("b"))
     places = rows.join(n, scope).where((F.col("idx") >= window) & (F.col("idx") < F.col("n") - window)).select(scope, F.col("idx").alias("i"))
     score = 1.0 - F.coalesce(F.try_divide("d", F.sqrt(F.col("a") * F.col("b"))), F.lit(0.0))
-    return places.join(got, [scope, "i"], "left").select(scope, F.col("i").alias("idx"), score.alias("score"))
+    return places.join(shuffled(got), [scope, "i"], "left").select(scope, F.col("i").alias("idx"), score.alias("score"))

@@ -72,7 +72,7 @@ def shifts(s, d):
     rows = numbered(t, "video_name", ["start", "record"], "start").select("video_name", "record", "idx", "start")
     rows = materialise(rows)
     got = K.shift_scores(rows.select("video_name", "record", "idx"), K.tfidf(t, "video_name", "record", "text"), "video_name")
-    return got.join(rows, ["video_name", "idx"]).select("video_name", "idx", F.col("start").alias("time"), F.round("score", 6).alias("score"))
+    return got.join(shuffled(rows), ["video_name", "idx"]).select("video_name", "idx", F.col("start").alias("time"), F.round("score", 6).alias("score"))
 
 
 def semantic_boundary_score(s, d):

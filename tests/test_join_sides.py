@@ -38,3 +38,9 @@ def test_keywords_of_groups(spark):
     counts = _rows(spark, "video_name, id, token, c", ("v", 1, "abc", 2))
     frequency = _rows(spark, "video_name, token, df, idf", ("v", "abc", 2, 1.0))
     assert _by_shuffle(keywords.keywords(groups, ["video_name", "id"], counts, frequency, "video_name"))
+
+
+def test_shifts_of_topics(spark):
+    rows = _rows(spark, "video_name, record, idx", *(("v", i, i) for i in range(9)))
+    weights = _rows(spark, "video_name, record, token, w", *(("v", i, "abc", 1.0) for i in range(9)))
+    assert sum("SortMergeJoin" in x for x in _joins(keywords.shift_scores(rows, weights, "video_name"))) == 2
