@@ -2,19 +2,18 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
-from functools import reduce
-
-from pyspark.ml import Pipeline, PipelineModel
-from pyspark.ml.classification import RandomForestClassifier
-from pyspark.ml.feature import SQLTransformer, VectorAssembler
-from pyspark.ml.functions import vector_to_array
-from pyspark.sql import DataFrame
+from collections.abc import Iterator, Sequence
+
+import numpy as np
+import pyarrow as pa
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType, StructField, StructType
 
 from chalkline.functions.config import CONFIG
 from chalkline.operators.alignment import as_of
-from chalkline.operators.features import FEATURES, class_weights
+from chalkline.operators.features import FEATURES
+from chalkline.operators.forests import Forest, grow
 from chalkline.operators.periods import merge_intervals
 from chalkline.operators.stats import boundary_threshold
 
@@ -43,27 +42,36 @@ def point_labels(points: DataFrame, annotations: DataFrame, tolerance: float = 3
     )
 
 
-def train_forest(rows: DataFrame, label: str, trees: int = 200, depth: int = 8, seed: int = 42, positive: float = CONFIG.positive_weight) -> PipelineModel | None:
-    """Scaled random forest with balanced weights; None where one class has fewer than two rows."""
-    counts = {r[label]: r["n"] for r in rows.groupBy(label).agg(F.count("*").alias("n")).collect()}
-    if min(counts.get(0, 0), counts.get(1, 0)) < 2:
-        return None
-    weighted = rows.join(F.broadcast(class_weights(rows, label, positive).select(label, "weight")), label)  # two rows
-    # scaled by the deviation of the population, where the library's own scaler takes that of a sample
-    m = rows.agg(*(f(c).alias(f"{n}_{c}") for c in FEATURES for n, f in (("m", F.avg), ("s", F.stddev_pop)))).first()
-    scaled = ", ".join(f"({c} - ({m[f'm_{c}']!r})) / {m[f's_{c}'] or 1.0!r} AS z_{c}" for c in FEATURES)
-    stages = [
-        SQLTransformer(statement=f"SELECT *, {scaled} FROM __THIS__"),
-        VectorAssembler(inputCols=[f"z_{c}" for c in FEATURES], outputCol="features"),
-        RandomForestClassifier(labelCol=label, weightCol="weight", numTrees=trees, maxDepth=depth, seed=seed),
-    ]
-    return Pipeline(stages=stages).fit(weighted)
+def train_forests(rows: DataFrame, label: str, group: str, trees: int = 200, depth: int = 8, seed: int = 42, positive: float = CONFIG.positive_weight) -> dict[int, Forest]:
+    """A random forest with balanced weights for each whole number of ``group``; none where one class has fewer than two rows.
+
+    Features are not scaled: that keeps their order, which is all a tree goes by.
+    """
+    counts = {(r[group], r[label]): r["n"] for r in rows.groupBy(group, label).agg(F.count("*").alias("n")).collect()}  # two rows a group
+    weights = {}
+    for g in sorted({k for k, _ in counts}):
+        zero, one = counts.get((g, 0), 0), counts.get((g, 1), 0)
+        if min(zero, one) >= 2:
+            weights[g] = ((zero + one) / (2 * zero), (zero + one) / (2 * one) * positive)
+    return grow(rows, group, label, weights, ["video_name", "id"], list(FEATURES), trees, depth, seed) if weights else {}
+
+
+def train_forest(rows: DataFrame, label: str, trees: int = 200, depth: int = 8, seed: int = 42, positive: float = CONFIG.positive_weight) -> Forest | None:
+    """One forest of all rows, or None."""
+    return train_forests(rows.withColumn("_all", F.lit(0)), label, "_all", trees, depth, seed, positive).get(0)
 
 
-def ensemble_scores(rows: DataFrame, models: Sequence[PipelineModel], keys: list[str]) -> DataFrame:
-    """``(keys, score)``: the mean of the models' probabilities of the positive class."""
-    scored = [m.transform(rows).select(*keys, vector_to_array("probability")[1].alias("score")) for m in models]
-    return reduce(DataFrame.unionByName, scored).groupBy(*keys).agg(F.avg("score").alias("score"))
+def ensemble_scores(rows: DataFrame, models: Sequence[Forest], keys: list[str]) -> DataFrame:
+    """``(keys, score)`` for each row: the mean of the models' probabilities of the positive class."""
+    given = rows.select(*keys, *(F.col(c).cast("double").alias(f"_{c}") for c in FEATURES))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            columns = [c.to_numpy(zero_copy_only=False) for c in b.columns[len(keys) :]]
+            score = np.mean([m.scores(columns) for m in models], axis=0)
+            yield pa.RecordBatch.from_arrays([*b.columns[: len(keys)], pa.array(score)], names=[*keys, "score"])
+
+    return given.mapInArrow(run, StructType([*given.schema.fields[: len(keys)], StructField("score", DoubleType())]))
 
 
 def boundary_hits(points: DataFrame, scores: DataFrame) -> DataFrame:
@@ -73,19 +81,27 @@ def boundary_hits(points: DataFrame, scores: DataFrame) -> DataFrame:
     return joined.where((F.col("score") >= boundary_threshold(F.col("a"), F.col("b"))) | F.col("boundary")).select("video_name", F.round("time", 2).alias("time")).distinct()
 
 
-def save_model(model: PipelineModel, folder: str, scope: str, kind: str) -> str:
-    """The model under ``folder/scope/kind``, replacing what is there."""
+def save_model(spark: SparkSession, model: Forest, folder: str, scope: str, kind: str) -> str:
+    """The model under ``folder/scope/kind``, replacing what is there: a row of limits for each feature, then one for each tree."""
     to = f"{folder}/{scope}/{kind}"
-    model.write().overwrite().save(to)
+    rows = [(False, k, [float(x) for x in e], [], []) for k, e in enumerate(model.edges)]
+    rows += [(True, k, v.tolist(), f.tolist(), [int(x) for x in b]) for k, (f, b, v) in enumerate(zip(model.feature, model.bin, model.value))]
+    spark.createDataFrame(rows, "tree boolean, place int, value array<double>, feature array<int>, bin array<int>").coalesce(1).write.mode("overwrite").parquet(to)
     return to
 
 
-def load_models(paths: Sequence[str]) -> list[PipelineModel]:
+def load_model(spark: SparkSession, path: str) -> Forest:
+    rows = spark.read.parquet(path).orderBy("tree", "place").collect()
+    t = [r for r in rows if r["tree"]]
+    return Forest([r["value"] for r in rows if not r["tree"]], np.array([r["feature"] for r in t], np.int32), np.array([r["bin"] for r in t], np.uint8), np.array([r["value"] for r in t]))
+
+
+def load_models(spark: SparkSession, paths: Sequence[str]) -> list[Forest]:
     """The models that can be read, in order of path; none at all is an error."""
     found = []
     for p in sorted(paths):
         try:
-            found.append(PipelineModel.load(p))
+            found.append(load_model(spark, p))
         except Exception as e:  # noqa: BLE001 - a broken model is left out, whatever broke it
             print(f"left out {p}: {type(e).__name__}")
     if not found:

@@ -38,7 +38,7 @@ def _examples(s, d, label):
 def _models(rows, label, trees):
     """One forest for each half of the recordings."""
     half = F.pmod(F.xxhash64("video_name"), F.lit(2))
-    return [m for k in (0, 1) if (m := M.train_forest(rows.where(half == k), label, trees)) is not None]
+    return list(M.train_forests(rows.withColumn("_half", half.cast("int")), label, "_half", trees).values())
 
 
 def train_rf(s, d, trees=200):
@@ -47,7 +47,7 @@ def train_rf(s, d, trees=200):
     train = balanced(rows.where("not held_out"), "interference", ["video_name", "id"])
     model = M.train_forest(train, "interference", trees)
     test = rows.where("held_out")
-    guess = model.transform(test).select(F.col("interference").alias("truth"), F.col("prediction").cast("int").alias("guess")) if model else test.select(F.col("interference").alias("truth"), F.lit(0).alias("guess"))
+    guess = M.ensemble_scores(test, [model], ["interference"]).select(F.col("interference").alias("truth"), (F.col("score") > 0.5).cast("int").alias("guess")) if model else test.select(F.col("interference").alias("truth"), F.lit(0).alias("guess"))
     return S.classification_report(guess, "truth", "guess")
 
 
@@ -69,8 +69,7 @@ def evaluate(s, d, trees=200):
     test = rows.where("held_out")
     if not models:
         return S.classification_report(test.select(F.col("interference").alias("truth"), F.lit(0).alias("guess")), "truth", "guess")
-    scores = M.ensemble_scores(test, models, ["video_name", "id"])
-    guess = test.join(scores, ["video_name", "id"]).select(F.col("interference").alias("truth"), (F.col("score") >= 0.5).cast("int").alias("guess"))
+    guess = M.ensemble_scores(test, models, ["interference"]).select(F.col("interference").alias("truth"), (F.col("score") >= 0.5).cast("int").alias("guess"))
     return S.classification_report(guess, "truth", "guess")
 
 
@@ -102,8 +101,8 @@ def model_store(s, d, trees=200):
     """Forests written for two halves of the recordings and read again; points that both agree on."""
     rows = _examples(s, d, "boundary")
     to = _scratch(s)
-    paths = [M.save_model(m, to, f"half{k}", "boundary") for k, m in enumerate(_models(rows, "boundary", trees))]
-    scores = M.ensemble_scores(rows, M.load_models(paths), ["video_name", "id"])
+    paths = [M.save_model(s, m, to, f"half{k}", "boundary") for k, m in enumerate(_models(rows, "boundary", trees))]
+    scores = M.ensemble_scores(rows, M.load_models(s, paths), ["video_name", "id"])
     return scores.groupBy("video_name").agg(F.count_if(F.col("score") >= 0.5).alias("likely"), F.count("*").alias("points"))
 
 
