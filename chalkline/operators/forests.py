@@ -3,7 +3,7 @@
 Spark's own forest keeps a count for each row and tree, at 200 trees about a kilobyte a row. Here a feature is the number
 of its bin in one byte, and how often a tree draws a row (Poisson, mean 1) is a function of the row's hash and the tree. For each level
 the tasks count draws by tree, node, feature, bin and class; the counts of a tree are added up in one place, which splits its nodes.
-All counts are whole numbers, so a forest doesn't depend on how rows are spread.
+All counts are whole numbers, so a forest doesn't depend on how rows are spread, but for the limits of the bins of features with many values.
 """
 
 from __future__ import annotations

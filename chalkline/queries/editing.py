@@ -83,10 +83,10 @@ def interference_union(s, d):
     return p.select("video_name", F.round("start", 2).alias("start"), F.round("end", 2).alias("end"), "source", F.array_join("reasons", "+").alias("reasons"), "absent", "silent")
 
 
-def edits(s, d, model=None, cfg=C.CONFIG):
-    """Every topic with what becomes of it: kept with padding, or dropped and why."""
+def edits(s, d, model=None, cfg=C.CONFIG, found=None):
+    """Every topic with what becomes of it: kept with padding, or dropped and why. ``found``: the merged interference, if it is there already."""
     k = L.knowledge(s, d)
-    bad = interference(s, d, model).select("video_name", "start", "end", F.col("end").alias("ord"))
+    bad = (interference(s, d, model) if found is None else found).select("video_name", "start", "end", F.col("end").alias("ord"))
     over = overlap(k, bad, 0.5).select("id", "ratio")
     length = F.col("end") - F.col("start")
     a = k.join(over, "id", "left").join(duration_infer(s, d), "video_name", "left")
@@ -116,8 +116,9 @@ def edit_commands(s, d, model=None):
 
 def removed_segments(s, d, model=None):
     """Merged interference and dropped topics in one list."""
-    a = interference(s, d, model).select("video_name", "start", "end", F.array_join("sources", "+").alias("source"), F.array_join("reasons", "|").alias("reasons"))
-    b = edits(s, d, model).where("action <> 'keep'").select("video_name", "start", "end", F.col("action").alias("source"), F.col("reason").alias("reasons"))
+    found = materialise(interference(s, d, model))
+    a = found.select("video_name", "start", "end", F.array_join("sources", "+").alias("source"), F.array_join("reasons", "|").alias("reasons"))
+    b = edits(s, d, model, found=found).where("action <> 'keep'").select("video_name", "start", "end", F.col("action").alias("source"), F.col("reason").alias("reasons"))
     return a.unionByName(b).select(
         "video_name", F.round("start", 2).alias("start"), F.round("end", 2).alias("end"), F.round(F.col("end") - F.col("start"), 2).alias("duration"), "source", "reasons",
         F.lit("not_exported").alias("output_policy"),

@@ -65,7 +65,7 @@ def ensemble_predict(s, d, trees=200):
 def evaluate(s, d, trees=200):
     """Report of the averaged interference forests at the threshold 0.5, on the held-out points."""
     rows = _examples(s, d, "interference")
-    models = _models(balanced(rows.where("not held_out"), "interference", ["video_name", "id"]), "interference", trees)
+    models = _models(materialise(balanced(rows.where("not held_out"), "interference", ["video_name", "id"])), "interference", trees)
     test = rows.where("held_out")
     if not models:
         return S.classification_report(test.select(F.col("interference").alias("truth"), F.lit(0).alias("guess")), "truth", "guess")
@@ -76,7 +76,7 @@ def evaluate(s, d, trees=200):
 def predict_interference(s, d, trees=200, threshold=0.5):
     """Times of all points, held out or not, that the averaged interference forests score at the threshold or above; without a forest none."""
     rows = _examples(s, d, "interference")
-    models = _models(balanced(rows.where("not held_out"), "interference", ["video_name", "id"]), "interference", trees)
+    models = _models(materialise(balanced(rows.where("not held_out"), "interference", ["video_name", "id"])), "interference", trees)
     if not models:
         return rows.where("false").select("video_name", "time")
     hit = M.ensemble_scores(rows, models, ["video_name", "id", "time"]).where(F.col("score") >= threshold)
