@@ -54,6 +54,7 @@ def smooth_labels(segments: DataFrame, key: str, size: int = 5000, cfg: C.Config
     blocks = materialise(spread.select(key, "_block", "idx", "id", "start", "end", "speaker", "n").unionByName(ahead.select(key, "_block", "idx", "id", "start", "end", "speaker", "n")))
     states = np.array(list(itertools.product(range(4), repeat=width)), np.int8)
     index = {tuple(x): i for i, x in enumerate(states.tolist())}
+    first = index[(_NONE,) * width]
     key_type = dict(segments.dtypes)[key]
 
     def parts(pdf: pd.DataFrame) -> tuple[pd.DataFrame, np.ndarray, np.ndarray]:
@@ -70,12 +71,13 @@ def smooth_labels(segments: DataFrame, key: str, size: int = 5000, cfg: C.Config
         return pd.DataFrame({key: [pdf[key].iloc[0]], "_block": [pdf["_block"].iloc[0]], "to": [[index[tuple(x)] for x in final.tolist()]]})
 
     def chain(pdf: pd.DataFrame) -> pd.DataFrame:
+        """The state that each block after the first starts in."""
         pdf = pdf.sort_values("_block")
-        at, came = index[(_NONE,) * width], []
+        at, came = first, []
         for to in pdf["to"]:
-            came.append(at)
             at = to[at]
-        return pd.DataFrame({key: pdf[key], "_block": pdf["_block"], "from": came})
+            came.append(at)
+        return pd.DataFrame({key: pdf[key], "_block": pdf["_block"] + 1, "from": came})
 
     def labels(pdf: pd.DataFrame) -> pd.DataFrame:
         mine, code, fixed = parts(pdf)
@@ -83,9 +85,11 @@ def smooth_labels(segments: DataFrame, key: str, size: int = 5000, cfg: C.Config
         names = np.where(out[:, 0] == _TEACHER, C.TEACHER, np.where(out[:, 0] == _STUDENT, C.STUDENT, mine["speaker"]))
         return pd.DataFrame({key: mine[key], "id": mine["id"], "speaker": names})
 
-    ends = blocks.groupBy(key, "_block").applyInPandas(outcomes, f"{key} {key_type}, _block long, to array<int>")
+    # nothing comes after a recording's last block, and most have only one
+    ends = blocks.where(F.col("n") > (F.col("_block") + 1) * size).groupBy(key, "_block").applyInPandas(outcomes, f"{key} {key_type}, _block long, to array<int>")
     starts = ends.groupBy(key).applyInPandas(chain, f"{key} {key_type}, _block long, from int")
-    return blocks.join(starts, [key, "_block"]).groupBy(key, "_block").applyInPandas(labels, f"{key} {key_type}, id long, speaker string")
+    given = blocks.join(starts, [key, "_block"], "left").withColumn("from", F.coalesce("from", F.lit(first)))
+    return given.groupBy(key, "_block").applyInPandas(labels, f"{key} {key_type}, id long, speaker string")
 
 
 def relabel(segments: DataFrame, key: str, cfg: C.Config = C.CONFIG) -> DataFrame:
@@ -96,7 +100,7 @@ def relabel(segments: DataFrame, key: str, cfg: C.Config = C.CONFIG) -> DataFram
     student's that of the unlikely ones; recordings with fewer than two teacher voices stay.
     """
     low, high = cfg.borderline
-    g = materialise(segments).withColumn("u", S.unit(F.col("vector"))).withColumn("prob", F.coalesce("prob", F.lit(0.0)))
+    g = materialise(segments.withColumn("u", S.unit(F.col("vector"))).drop("vector")).withColumn("prob", F.coalesce("prob", F.lit(0.0)))
     teachers = g.where(F.col("speaker") == C.TEACHER)
     sure = teachers.groupBy(key).agg(F.least(F.lit(high), F.greatest(F.lit(low), F.percentile("prob", cfg.proto_quantile))).alias("bound"))
     marked = teachers.join(sure, key)
@@ -108,12 +112,12 @@ def relabel(segments: DataFrame, key: str, cfg: C.Config = C.CONFIG) -> DataFram
     voices = marked.join(enough, key).where("sure >= 2 and prob >= bound").select(key, "u").unionByName(top.select(key, "u"))
     t = S.mean_vectors(voices, [key], "u").select(key, S.unit(F.col("mean")).alias("tp"))
     st = S.mean_vectors(g.where((F.col("speaker") == C.STUDENT) & (F.col("prob") <= low)), [key], "u").select(key, S.unit(F.col("mean")).alias("sp"))
-    both = g.join(t, key, "left").join(st, key, "left")
+    length = F.round(F.col("end") - F.col("start"), 6)
+    # only these can change, so only their voices are brought together with the prototypes
+    doubtful = F.coalesce((F.col("speaker") == C.STUDENT) & F.col("prob").between(low, high) & length.between(0.8, 40.0), F.lit(False))
+    both = g.where(doubtful).select(key, "id", "speaker", "u").join(t, key, "left").join(st, key, "left")
     like_t = F.round(S.cosine(F.col("u"), F.col("tp")), 9)
     like_s = F.round(S.cosine(F.col("u"), F.col("sp")), 9)
-    length = F.round(F.col("end") - F.col("start"), 6)
-    turn = (
-        (F.col("speaker") == C.STUDENT) & F.col("prob").between(low, high) & length.between(0.8, 40.0) & F.col("tp").isNotNull()
-        & (like_t >= cfg.similarity) & (F.col("sp").isNull() | (like_t - like_s >= cfg.margin))
-    )
-    return both.select(key, "id", F.when(F.coalesce(turn, F.lit(False)), C.TEACHER).otherwise(F.col("speaker")).alias("speaker"))
+    turn = F.col("tp").isNotNull() & (like_t >= cfg.similarity) & (F.col("sp").isNull() | (like_t - like_s >= cfg.margin))
+    told = both.select(key, "id", F.when(F.coalesce(turn, F.lit(False)), C.TEACHER).otherwise(F.col("speaker")).alias("speaker"))
+    return g.where(~doubtful).select(key, "id", "speaker").unionByName(told)

@@ -39,8 +39,9 @@ def dot(a: Column, b: Column) -> Column:
 
 
 def unit(v: Column) -> Column:
-    n = F.sqrt(dot(v, v))
-    return F.when(n < 1e-8, v).otherwise(F.transform(v, lambda x: x / n))
+    # the norm as a variable: in the lambda its expression would be worked out anew for each place
+    of = lambda n: F.when(n < 1e-8, v).otherwise(F.transform(v, lambda x: x / n))
+    return F.transform(F.array(F.sqrt(dot(v, v))), of)[0]
 
 
 def cosine(a: Column, b: Column) -> Column:

@@ -121,15 +121,19 @@ def smooth_labels(s, d):
     return P.smooth_labels(L.segments(s, d), "video_name").select("id", "speaker")
 
 
-def _voiced(s, d):
-    e = table(s, d, "embeddings").select("vec_id", F.transform("embedding", lambda x: x.cast("double")).alias("vector"))
-    n = e.agg((F.max("vec_id") + 1).alias("m"))
+def _vectors(s, d):
+    return table(s, d, "embeddings").select("vec_id", F.transform("embedding", lambda x: x.cast("double")).alias("vector"))
+
+
+def _voiced(s, d, e):
+    """The segments with the columns of ``e`` (vec_id, ...), whose voices go round."""
+    n = table(s, d, "embeddings").agg((F.max("vec_id") + 1).alias("m"))
     g = L.segments(s, d).join(F.broadcast(n), how="cross").withColumn("vec_id", F.col("id") % F.col("m"))  # one row
     return g.join(e, "vec_id")
 
 
 def voiceprint_relabel(s, d):
-    g = _voiced(s, d).select("video_name", "id", "start", "end", "speaker", F.col("teacher_prob").alias("prob"), "vector")
+    g = _voiced(s, d, _vectors(s, d)).select("video_name", "id", "start", "end", "speaker", F.col("teacher_prob").alias("prob"), "vector")
     return P.relabel(g, "video_name").select("id", "speaker")
 
 
@@ -138,11 +142,13 @@ def diarize(s, d, cfg=C.CONFIG):
 
     A segment of 0.4 s or more is judged by itself, a shorter one takes over from the nearest of these. Steadiness is the variance
     of the voice vector. In a recording with fewer than two segments, or two that are long enough, all are the teacher's, without a probability.
+    Steadiness is worked out once a vector; the vector itself, half a kilobyte, joins its segments only where voices are compared.
     """
     mean = lambda v: F.aggregate(v, F.lit(0.0), lambda a, x: a + x) / F.size(v)
     spread = lambda v: mean(F.transform(v, lambda x: x * x)) - mean(v) * mean(v)
     long = F.round(F.col("end") - F.col("start"), 6) >= cfg.shortest_voice
-    g = materialise(_voiced(s, d).withColumn("dur", F.col("end") - F.col("start")).withColumn("unsteady", spread(F.col("vector"))).withColumn("talk", X.teacher_talk_score(F.col("text"))))
+    steady = _vectors(s, d).select("vec_id", spread(F.col("vector")).alias("unsteady"))
+    g = materialise(_voiced(s, d, steady).withColumn("dur", F.col("end") - F.col("start")).withColumn("talk", X.teacher_talk_score(F.col("text"))).select("video_name", "id", "vec_id", "start", "end", "dur", "unsteady", "talk"))
     enough = g.groupBy("video_name").agg((F.count_if(long) >= 2).alias("enough"))
     few = g.join(enough, "video_name").where("not enough").select("id", F.lit(None).cast("double").alias("prob"), F.lit(C.TEACHER).alias("speaker"))
     g = materialise(g.join(enough.where("enough"), "video_name").drop("enough"))
@@ -151,13 +157,13 @@ def diarize(s, d, cfg=C.CONFIG):
     prob = S.robust_logistic(valid.withColumn("score", F.round(score, 9)), "video_name", "score", cfg.center_quantile, cfg.bias).select("id", F.round("prob", 4).alias("p"), F.lit(True).alias("sure"))
     rows = materialise(numbered(materialise(g.join(prob, "id", "left")), "video_name", ["start", "id"], "start"))
     v = rows.where("sure").select("video_name", F.col("idx").cast("double").alias("at"), F.col("p").alias("v"))
-    got = as_of(rows.select("video_name", F.col("idx").cast("double").alias("time"), "id", "start", "end", "vector"), {"v": (v, "at", ["at", "v"])}, both=True)
+    got = as_of(rows.select("video_name", F.col("idx").cast("double").alias("time"), "id", "start", "end", "vec_id"), {"v": (v, "at", ["at", "v"])}, both=True)
     b, a = F.col("v"), F.col("v_after")
     near = F.when(a.isNull() | (F.col("time") - b["at"] <= a["at"] - F.col("time")), F.coalesce(b, a)).otherwise(a)["v"]
     named = got.withColumn("prob", near).withColumn("speaker", F.when(F.col("prob") >= cfg.teacher_prob, C.TEACHER).otherwise(C.STUDENT))
     named = materialise(named)
-    one = P.smooth_labels(named, "video_name").select("id", "speaker")
-    two = P.relabel(named.drop("speaker").join(one, "id").select("video_name", "id", "start", "end", "speaker", "prob", "vector"), "video_name").select("id", "speaker")
+    one = materialise(P.smooth_labels(named, "video_name").select("id", "speaker"))  # this and the next are read twice
+    two = materialise(P.relabel(named.drop("speaker").join(one, "id").join(_vectors(s, d), "vec_id").select("video_name", "id", "start", "end", "speaker", "prob", "vector"), "video_name").select("id", "speaker"))
     three = P.smooth_labels(named.drop("speaker").join(two, "id"), "video_name").select("id", F.col("speaker"))
     # smoothed again only where the voices changed something
     both = materialise(one.withColumnRenamed("speaker", "was").join(two, "id").join(named.select("id", "video_name"), "id"))
