@@ -100,8 +100,8 @@ def dynamic_boundary_threshold(s, d):
     return r.select("video_name", F.round(S.boundary_threshold(F.col("a"), F.col("b")), 4).alias("threshold"))
 
 
-def thresholds(s, d):
-    r = L.timeline(s, d).groupBy("video_name").agg(F.avg(F.col("present").cast("int")).alias("p"), F.avg(F.col("silent").cast("int")).alias("q"))
+def thresholds(s, d, timeline=None):
+    r = (L.timeline(s, d) if timeline is None else timeline).groupBy("video_name").agg(F.avg(F.col("present").cast("int")).alias("p"), F.avg(F.col("silent").cast("int")).alias("q"))
     n = L.slides(s, d).groupBy("video_name").agg(F.count("*").alias("n"))
     x = r.join(duration_infer(s, d), "video_name").join(n, "video_name", "left")
     a, b, c = S.interference_thresholds(F.round("p", 3), F.round("q", 3), F.coalesce("n", F.lit(0)) / F.greatest("duration", F.lit(1.0)))

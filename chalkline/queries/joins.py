@@ -49,11 +49,11 @@ def contain_join(s, d):
     return A.contained(L.segments(s, d), L.knowledge(s, d), "video_name").select("id", F.col("outer_id").alias("ks_id"))
 
 
-def _points_in_segment(s, d):
+def _points_in_segment(s, d, timeline=None):
     k = L.knowledge(s, d)
     lo, hi = F.ceil("start"), F.floor("end")
     pts = k.where(hi >= lo).select("video_name", F.col("id").alias("ks_id"), "start", "end", F.explode(F.sequence(F.floor(lo / 60), F.floor(hi / 60))).alias("b"))
-    t = L.timeline(s, d).select("video_name", "time", "present", "silent", F.floor(F.col("time") / 60).alias("b"))
+    t = (L.timeline(s, d) if timeline is None else timeline).select("video_name", "time", "present", "silent", F.floor(F.col("time") / 60).alias("b"))
     return pts.join(t, ["video_name", "b"]).where("time >= start and time <= end")
 
 
@@ -67,10 +67,10 @@ def _topics(s, d):
     return union_intervals(L.knowledge(s, d), "video_name", ["start", "end", "id"], ())
 
 
-def with_topic_flag(s, d):
+def with_topic_flag(s, d, timeline=None):
     """Timeline points with ``inside``: whether a topic holds them. The topics are merged first, so one as-of join tells."""
     u = _topics(s, d)
-    got = A.as_of(L.timeline(s, d), {"k": (u, "start", ["start", "end"])})
+    got = A.as_of(L.timeline(s, d) if timeline is None else timeline, {"k": (u, "start", ["start", "end"])})
     return got.withColumn("inside", F.coalesce((F.col("time") >= F.col("k.start")) & (F.col("time") <= F.col("k.end")), F.lit(False))).drop("k")
 
 

@@ -37,8 +37,8 @@ def silence_islands(s, d, least=C.CONFIG.silence_s):
     return got.where(F.col("next_time") - F.col("start") >= least).select("video_name", "start", F.col("next_time").alias("end"))
 
 
-def rule_a(s, d, cfg=C.CONFIG):
-    t = with_topic_flag(s, d)
+def rule_a(s, d, cfg=C.CONFIG, timeline=None):
+    t = with_topic_flag(s, d, timeline)
     talk = F.col("present") & ~F.col("silent") & (F.col("speaker") == C.TEACHER) & ~F.col("inside")
     got = I.flag_islands(t, "video_name", talk)
     end = F.coalesce("next_time", F.col("last") + cfg.resolution)
@@ -48,10 +48,10 @@ def rule_a(s, d, cfg=C.CONFIG):
 rule_a_islands = rule_a
 
 
-def turns(s, d, cfg=C.CONFIG):
+def turns(s, d, cfg=C.CONFIG, timeline=None):
     """Turns of one known speaker: video_name, turn, speaker, start, end, texts."""
     known = ~F.col("silent") & F.col("speaker").isin(C.TEACHER, C.STUDENT)
-    rows = L.timeline(s, d).withColumn("known", known).withColumn("_shard", F.floor(F.col("time") / SHARD_S))
+    rows = (L.timeline(s, d) if timeline is None else timeline).withColumn("known", known).withColumn("_shard", F.floor(F.col("time") / SHARD_S))
     order = ["time", "id"]
     seen = sharded_scan(rows, ["video_name"], "_shard", order, {"was": ("before", F.struct("known", "speaker", "time"))}).where("known")
     same = F.col("was.known") & (F.col("was.speaker") == F.col("speaker")) & (F.col("time") <= F.col("was.time") + cfg.resolution + cfg.eps)
@@ -68,9 +68,9 @@ def speaker_turns(s, d):
     return turns(s, d).select("video_name", "speaker", "start", "end", F.array_join("texts", "|").alias("texts"))
 
 
-def qa(s, d, cfg=C.CONFIG):
+def qa(s, d, cfg=C.CONFIG, timeline=None):
     """A teacher's turn, a student's, and a third that follows at once: hits of the cues."""
-    t = materialise(turns(s, d, cfg).withColumn("_shard", F.floor(F.col("start") / SHARD_S)))
+    t = materialise(turns(s, d, cfg, timeline).withColumn("_shard", F.floor(F.col("start") / SHARD_S)))
     me = F.struct("speaker", "start", "end", "texts")
     one = sharded_scan(t, ["video_name"], "_shard", ["start"], {"t2": ("after", me)})
     one = materialise(one)
