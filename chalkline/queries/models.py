@@ -10,7 +10,7 @@ from chalkline.functions import text as X
 from chalkline.operators import learning as M
 from chalkline.operators import stats as S
 from chalkline.operators.boundaries import normalize_boundaries, post_process
-from chalkline.operators.features import balanced, held_out, point_features
+from chalkline.operators.features import FEATURES, balanced, held_out, point_features
 from chalkline.plans.pipeline import run_stages
 from chalkline.plans.session import materialise, shared_folder
 from chalkline.queries._views import with_views
@@ -31,7 +31,7 @@ def labels(s, d):
 
 def _examples(s, d, label):
     """The points with features and labels; ``held_out`` for a fifth of each class of ``label``."""
-    x = materialise(point_features(L.timeline(s, d)).join(labels(s, d).drop("time"), ["video_name", "id"]))
+    x = materialise(M.point_labels(point_features(L.timeline(s, d)), annotations(raw_annotations(s, d)), keep=FEATURES))
     return materialise(held_out(x, label, ["video_name", "id"]))
 
 

@@ -19,3 +19,20 @@ def test_interference_finds_the_points_once(spark, monkeypatch):
     model = spark.createDataFrame([("v", 1.0, 9.0)], "video_name string, start double, end double")
     assert E.edit_commands(spark, FOLDER, model).count()
     assert len(found) == 1
+
+
+def test_labels_of_points_that_are_read_once(spark):
+    from chalkline.operators.learning import point_labels
+
+    spans = [("v", 10, 20, False), ("v", 290, 610, False), ("v", 15, 30, True), ("v", 700, 701, True), ("w", 5, 9, True)]
+    notes = spark.createDataFrame(spans, "video_name string, start int, end int, is_interference boolean")
+    points = spark.range(0, 3000).selectExpr("elt(cast(id % 3 as int) + 1, 'v', 'w', 'x') as video_name", "id", "cast(id div 3 as double) as time")
+    got = point_labels(points, notes)
+    for r in got.collect():
+        own = [x for x in spans if x[0] == r.video_name]
+        topics, bad = ([x for x in own if x[3] == kind] for kind in (False, True))
+        inside = lambda xs: any(a <= r.time <= b for _, a, b, _ in xs)
+        assert r.boundary == any(abs(r.time - e) <= 3 for x in topics for e in x[1:3])
+        assert r.interference == (inside(bad) or (bool(topics) and not inside(topics)))
+    assert got.count() == 3000
+    assert got._jdf.queryExecution().optimizedPlan().toString().count("Range (0, 3000") == 1
