@@ -42,10 +42,10 @@ class Forest:
     def scores(self, columns: list[np.ndarray]) -> np.ndarray:
         """The trees' mean for each row of ``columns``, one array a feature."""
         x = binned(columns, self.edges)
-        at, depth = np.arange(len(x), dtype=np.int32) * x.shape[1], self.value.shape[1].bit_length() - 1
+        at, depth = np.arange(len(x)) * x.shape[1], self.value.shape[1].bit_length() - 1
         flat, out = x.ravel(), np.zeros(len(x))
-        for f, b, v in zip(self.feature, self.bin, self.value):
-            out += v.take(_walk(flat, at, f, b, depth) - (len(v) - 1))
+        for f, b, v in zip(self.feature.astype(np.intp), self.bin, self.value):
+            out += v.take(_walk(flat, at, f, b, depth) - (len(v) - 1), mode="clip")
         return out / len(self.value)
 
 
@@ -55,34 +55,54 @@ def binned(columns: list[np.ndarray], edges: list[list[float]]) -> np.ndarray:
 
 
 def _walk(flat: np.ndarray, at: np.ndarray, feature: np.ndarray, limit: np.ndarray, levels: int) -> np.ndarray:
-    """The node of each row after so many levels; ``at`` is where a row begins in ``flat``."""
-    node = np.zeros(len(at), dtype=np.int32)
-    for _ in range(levels):
-        right = flat.take(at + feature.take(node)) > limit.take(node)
-        node = 2 * node + 1 + right
+    """The node of each row after so many levels; ``at`` is where a row begins in ``flat``.
+
+    Places are of numpy's own index type, which it would turn others into at every look-up, and none is out of range.
+    """
+    if not levels:
+        return np.zeros(len(at), np.intp)
+    node = (flat.take(at + feature[0], mode="clip") > limit[0]) + np.intp(1)
+    for _ in range(levels - 1):
+        place = feature.take(node, mode="clip")
+        place += at
+        right = flat.take(place, mode="clip") > limit.take(node, mode="clip")
+        node += node
+        node += right
+        node += 1
     return node
 
 
 def _draws(hashes: np.ndarray, seed: int, trees: int) -> Iterator[np.ndarray]:
     """For each tree how often it draws each row: the high bits of the row's hash times an odd number of the tree's."""
     for m in np.random.default_rng(seed).integers(0, 2**63, trees, dtype=np.uint64) * np.uint64(2) + np.uint64(1):
-        yield _POISSON.take(((hashes * m) >> np.uint64(48)).astype(np.int32))
+        high = hashes * m
+        high >>= np.uint64(48)
+        yield _POISSON.take(high.view(np.int64), mode="clip")
 
 
 def _edges(rows: DataFrame, group: str, features: list[str]) -> dict[int, list[list[float]]]:
     """Limits of at most BINS bins for each group's features: between all values where they are few, else at even shares of the rows."""
     at = [i / BINS for i in range(1, BINS)]
-    one = rows.groupBy(group).agg(*(f(F.col(c).cast("double")).alias(f"{n}{i}") for i, c in enumerate(features) for n, f in (("n", F.approx_count_distinct), ("lo", F.min), ("q", lambda x: F.percentile_approx(x, at, 10_000))))).collect()
-    few = [i for i in range(len(features)) if all(r[f"n{i}"] <= 2 * BINS for r in one)]
-    sets = {r[group]: r for r in rows.groupBy(group).agg(F.lit(0).alias("_"), *(F.sort_array(F.collect_set(F.col(features[i]).cast("double"))).alias(f"v{i}") for i in few)).collect()}
+    value = lambda i: F.col(features[i]).cast("double")
+
+    def per(which: list[int], **found) -> dict:
+        return {r[group]: r for r in rows.groupBy(group).agg(F.lit(0).alias("_"), *(f(value(i)).alias(f"{n}{i}") for i in which for n, f in found.items())).collect()}
 
-    def limits(r, i: int) -> list[float]:
-        values = sets[r[group]][f"v{i}"] if i in few else None
+    every = list(range(len(features)))
+    one = per(every, n=F.approx_count_distinct)
+    few = [i for i in every if all(r[f"n{i}"] <= 2 * BINS for r in one.values())]
+    sets = per(few, v=lambda x: F.sort_array(F.collect_set(x)))
+    # shares are costly and only looked for where a feature has more values than bins
+    many = [i for i in every if i not in few or any(len(r[f"v{i}"]) > BINS for r in sets.values())]
+    shares = per(many, lo=F.min, q=lambda x: F.percentile_approx(x, at, 10_000)) if many else {}
+
+    def limits(g: int, i: int) -> list[float]:
+        values = sets[g][f"v{i}"] if i in few else None
         if values is not None and len(values) <= BINS:
             return [(a + b) / 2 for a, b in zip(values, values[1:])]
-        return sorted({x for x in (r[f"lo{i}"], *(r[f"q{i}"] or ())) if x is not None})[:BINS]
+        return sorted({x for x in (shares[g][f"lo{i}"], *(shares[g][f"q{i}"] or ())) if x is not None})[:BINS]
 
-    return {r[group]: [limits(r, i) for i in range(len(features))] for r in one}
+    return {g: [limits(g, i) for i in every] for g in one}
 
 
 def _packed(rows: DataFrame, group: str, label: str, key: list[str], features: list[str], edges: dict[int, list[list[float]]]) -> DataFrame:
@@ -165,37 +185,50 @@ def _share(w: np.ndarray) -> np.ndarray:
 
 def _level(made, live, chosen, sizes, weights, level: int, seed: int):
     """What counts the draws of blocks by tree, live node, chosen feature, bin and class, and what splits a tree's nodes by all counts."""
-    first, trees, n, take = 2**level - 1, chosen.shape[0], len(next(iter(sizes.values()))), chosen.shape[2]
-    walks = {g: (f.feature[:, : max(first, 1)], f.bin[:, : max(first, 1)]) for g, f in made.items()}
+    first, trees, n = 2**level - 1, chosen.shape[0], len(next(iter(sizes.values())))
+    # blocks are counted by twice the bin and the class in one byte, so limits are doubled too
+    walks = {g: (f.feature[:, : max(first, 1)], np.minimum(2 * f.bin[:, : max(first, 1)].astype(int) + 1, ALL_LEFT).astype(np.uint8)) for g, f in made.items()}
     own = {(g, t): chosen[t, first + nodes] for (g, t), nodes in live.items()}  # (live node, feature)
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total: dict[tuple[int, int], np.ndarray] = {}
+        total: dict[tuple[int, int], np.ndarray] = {}  # whole numbers, exact as such
         starts: dict[tuple[int, int], np.ndarray] = {}
+        places: dict[tuple[int, int], np.ndarray] = {}
+        chosen_of = {k: np.ascontiguousarray(f.T, np.intp) for k, f in own.items()}
         for k, f in own.items():
             ends = np.cumsum(sizes[k[0]][f].ravel())
-            starts[k] = (2 * (ends - sizes[k[0]][f].ravel())).reshape(f.shape).astype(np.int32)
-            total[k] = np.zeros(2 * int(ends[-1]), np.int64)
+            starts[k] = np.ascontiguousarray((2 * (ends - sizes[k[0]][f].ravel())).reshape(f.shape).T, np.intp)
+            total[k] = np.zeros(2 * int(ends[-1]))
+            if len(live[k]) < 2**level:
+                places[k] = np.full(2**level, -1, np.intp)
+                places[k][live[k]] = np.arange(len(live[k]))
+        paths = {g: (f.astype(np.intp), b) for g, (f, b) in walks.items()}
         for batch in batches:
             for row in batch.to_pylist():
-                g, flat, y = row["g"], np.frombuffer(row["x"], np.uint8), np.frombuffer(row["y"], np.uint8)
+                g, y = row["g"], np.frombuffer(row["y"], np.uint8)
+                flat = (2 * np.frombuffer(row["x"], np.uint8).reshape(-1, n) + y[:, None]).ravel()
                 for t, times in enumerate(_draws(np.frombuffer(row["s"], np.uint64), seed, trees)):
                     if (k := (g, t)) not in live:
                         continue
-                    at = np.flatnonzero(times).astype(np.int32)
-                    place = np.full(2**level, -1, np.int32)
-                    place[live[k]] = np.arange(len(live[k]))
-                    node = place.take(_walk(flat, at * n, walks[g][0][t], walks[g][1][t], level) - first)
-                    if len(live[k]) < 2**level:
-                        at, node = at[node >= 0], node[node >= 0]
-                    w, c = times.take(at).astype(float), y.take(at)
-                    for i in range(take):
-                        bins = flat.take(at * n + own[k][:, i].take(node)).astype(np.int32)
-                        total[k] += np.bincount(starts[k][:, i].take(node) + 2 * bins + c, w, len(total[k])).astype(np.int64)
+                    at = np.flatnonzero(times)
+                    w = times.take(at, mode="clip").astype(float)
+                    at *= n
+                    node = _walk(flat, at, paths[g][0][t], paths[g][1][t], level)
+                    node -= first
+                    if k in places:
+                        node = places[k].take(node, mode="clip")
+                        there = node >= 0
+                        at, node, w = at[there], node[there], w[there]
+                    for f, start in zip(chosen_of[k], starts[k]):
+                        cell = f.take(node, mode="clip")
+                        cell += at
+                        to = start.take(node, mode="clip")
+                        to += flat.take(cell, mode="clip")
+                        total[k] += np.bincount(to, w, len(total[k]))
         schema = pa.schema([("g", pa.int32()), ("t", pa.int32()), ("c", pa.binary())])
         for (g, t), c in total.items():
             if c.any():
-                yield pa.RecordBatch.from_pylist([{"g": g, "t": t, "c": c.tobytes()}], schema=schema)
+                yield pa.RecordBatch.from_pylist([{"g": g, "t": t, "c": c.astype(np.int64).tobytes()}], schema=schema)
 
     def split(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total: dict[tuple[int, int], np.ndarray] = {}

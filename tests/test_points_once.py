@@ -36,3 +36,31 @@ def test_labels_of_points_that_are_read_once(spark):
         assert r.interference == (inside(bad) or (bool(topics) and not inside(topics)))
     assert got.count() == 3000
     assert got._jdf.queryExecution().optimizedPlan().toString().count("Range (0, 3000") == 1
+
+
+def test_places_in_trees_need_no_other_index_type(spark):
+    from chalkline.operators import forests as O
+
+    r = np.random.default_rng(2)
+    x, f, b = r.integers(0, 33, (500, 4)).astype(np.uint8), r.integers(0, 4, 7), r.integers(0, 32, 7).astype(np.uint8)
+    b[2] = O.ALL_LEFT
+    want = []
+    for row in x:
+        node = 0
+        for _ in range(3):
+            node = 2 * node + 1 + int(row[f[node]] > b[node])
+        want.append(node)
+    got = O._walk(x.ravel(), np.arange(500) * 4, f, b, 3)
+    assert got.tolist() == want and got.dtype == np.intp
+
+
+def test_shares_are_sought_only_of_features_with_many_values(spark, monkeypatch):
+    from chalkline.operators import forests as O
+
+    sought = []
+    real = F.percentile_approx
+    monkeypatch.setattr(O.F, "percentile_approx", lambda *a: sought.append(a) or real(*a))
+    rows = spark.range(3000).selectExpr("cast(id % 2 as int) as g", "id % 7 as few", "id % 40 as more", "id as many")
+    got = O._edges(rows, "g", ["few", "more", "many"])
+    assert len(sought) == 1
+    assert got[0][0] == [0.5, 1.5, 2.5, 3.5, 4.5, 5.5] and len(got[1][1]) == 20 - 1 and len(got[1][2]) == 32
