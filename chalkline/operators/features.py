@@ -23,11 +23,11 @@ def point_features(timeline: DataFrame, resolution: float = 1.0) -> DataFrame:
     has itself as its predecessor. Points are numbered by a sharded scan and windowed in blocks
     with a halo, so all fourteen share one sort and no recording is one task.
     """
-    # word sets and lengths before the windows, so that each text is read once and none is shuffled
+    # word sets only where the text is not that of the point before, which it mostly is
     text = F.concat("speech_text", F.lit(" "), "ppt_text")
     slim = timeline.select(
         "video_name", "id", "time", "present", "motion", "slide", "confidence", "silent", "slide_idx", "speaker",
-        X.word_set(text).alias("_words"), F.length("speech_text").alias("_length"),
+        text.alias("_text"), F.length("speech_text").alias("_length"),
     )
     rows, w, once = with_halo(numbered(slim, "video_name", ["time", "id"]), "video_name", ROWS, ROWS)
     back, ahead = w.rowsBetween(-ROWS, 0), w.rowsBetween(0, ROWS)
@@ -38,10 +38,12 @@ def point_features(timeline: DataFrame, resolution: float = 1.0) -> DataFrame:
         "slide_delta": (F.col("slide_idx") != prev("slide_idx")).cast("int"),
         "roll_silence": F.avg(num("silent")).over(back), "roll_present": F.avg(num("present")).over(back),
         "roll_silence_ahead": F.avg(num("silent")).over(ahead),
-        "_prev_words": prev("_words"), "_prev_length": prev("_length"), "speaker_change": (F.col("speaker") != prev("speaker")).cast("int"),
+        "_prev_text": prev("_text"), "_prev_length": prev("_length"), "speaker_change": (F.col("speaker") != prev("speaker")).cast("int"),
     }).where(once)
+    changed = F.col("_text") != F.col("_prev_text")
+    out = out.withColumns({"_words": F.when(changed, X.word_set(F.col("_text"))), "_prev_words": F.when(changed, X.word_set(F.col("_prev_text")))})
     out = out.withColumns({
-        "text_similarity": X.jaccard(F.col("_words"), F.col("_prev_words")),
+        "text_similarity": F.when(F.col("_words").isNull(), 1.0).otherwise(X.jaccard(F.col("_words"), F.col("_prev_words"))),
         "rate_change": F.abs(F.col("_length") - F.col("_prev_length")) / max(resolution, 1e-3),
         "present": num("present"), "slide": num("slide"), "silent": num("silent"),
     })

@@ -64,3 +64,17 @@ def test_shares_are_sought_only_of_features_with_many_values(spark, monkeypatch)
     got = O._edges(rows, "g", ["few", "more", "many"])
     assert len(sought) == 1
     assert got[0][0] == [0.5, 1.5, 2.5, 3.5, 4.5, 5.5] and len(got[1][1]) == 20 - 1 and len(got[1][2]) == 32
+
+
+def test_words_are_sought_only_where_the_text_changes(spark):
+    from chalkline.operators.features import point_features
+
+    texts = ["a b", "a b", "b c", "", "", "学习 a", "习学 a"]
+    points = spark.createDataFrame([("v", i, float(i), True, 0.1, 0, "", False, t, "x", 0.5, False) for i, t in enumerate(texts)],
+        "video_name string, id long, time double, present boolean, motion double, slide_idx int, ppt_text string, slide boolean, speech_text string, speaker string, confidence double, silent boolean")
+    f = point_features(points)
+    got = [r.text_similarity for r in f.orderBy("id").collect()]
+    assert got == [1.0, 1.0, pytest.approx(1 / 3), 0.0, 1.0, 0.0, 1.0]
+    plan = f._jdf.queryExecution().optimizedPlan().toString().split("\n")
+    below = plan[next(i for i, x in enumerate(plan) if "Window" in x) :]
+    assert not any("regexp_extract_all" in x for x in below)
