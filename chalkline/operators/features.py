@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -81,8 +83,34 @@ def drawn(rows: DataFrame, group: list[str], key: list[str]) -> DataFrame:
     return both.select("a.*", (F.col("_k") + F.col("_before")).alias("_rank")).drop("_d", "_k")
 
 
+def first_drawn(rows: DataFrame, label: str, wanted: dict[int, int], key: list[str], name: str) -> DataFrame:
+    """``rows`` with ``name``: whether a row is among the first so many of its ``label``, in the order of :func:`drawn`.
+
+    Rows are counted by label and fixed number; only those of the one number in which a count is reached are
+    put in order. Rows of labels that are not ``wanted`` are not among them. ``rows`` is read three times.
+    """
+    d = F.coalesce(draw(key[-1]), F.lit(-1))
+    some = {k: n for k, n in wanted.items() if n > 0}
+    sizes = F.create_map(*(F.lit(x) for p in some.items() for x in p))[F.col(label)] if some else F.lit(None)
+    upto = F.sum("_n").over(Window.partitionBy(label).orderBy("_d").rowsBetween(Window.unboundedPreceding, 0))
+    counts = rows.where(F.col(label).isin(*some)).groupBy(label, d.alias("_d")).agg(F.count("*").alias("_n")).withColumn("_upto", upto)
+    last = {r[label]: r for r in counts.where((F.col("_upto") >= sizes) & (F.col("_upto") - F.col("_n") < sizes)).collect()}  # a row a label
+    inside, at_last, left = F.lit(False), F.lit(False), F.lit(0)
+    for k, n in some.items():
+        mine = F.col(label).eqNullSafe(F.lit(k))
+        if k not in last:
+            inside = inside | mine
+            continue
+        r = last[k]
+        inside = inside | (mine & (d < r["_d"]))
+        at_last = at_last | (mine & (d == r["_d"]))
+        left = F.when(mine, F.lit(n - r["_upto"] + r["_n"])).otherwise(left)
+    ranked = rows.where(at_last).withColumn(name, F.row_number().over(Window.partitionBy(label).orderBy(*key)) <= left)
+    return rows.where(~at_last).withColumn(name, inside).unionByName(ranked)
+
+
 def balanced(rows: DataFrame, label: str, key: list[str], ratio: int = CONFIG.negative_ratio) -> DataFrame:
-    """All positive rows and exactly ``ratio`` times as many negatives, or all there are, drawn by :func:`drawn`.
+    """All positive rows and exactly ``ratio`` times as many negatives, or all there are, in the order of :func:`drawn`.
 
     With no row of one class everything is kept.
     """
@@ -90,8 +118,7 @@ def balanced(rows: DataFrame, label: str, key: list[str], ratio: int = CONFIG.ne
     positive = n.get(1, 0)
     if not positive or not n.get(0, 0):
         return rows
-    negatives = drawn(rows.where(F.col(label) == 0), [label], key).where(F.col("_rank") <= positive * max(ratio, 1)).drop("_rank")
-    return rows.where(F.col(label) == 1).unionByName(negatives)
+    return first_drawn(rows, label, {0: positive * max(ratio, 1), 1: positive}, key, "_in").where("_in").drop("_in")
 
 
 def held_out(rows: DataFrame, label: str, key: list[str], share: float = 0.2) -> DataFrame:
@@ -102,8 +129,5 @@ def held_out(rows: DataFrame, label: str, key: list[str], share: float = 0.2) ->
     n = rows.groupBy(label).agg(F.count("*").alias("_n")).collect()  # a row a class
     if len(n) < 2 or min(r["_n"] for r in n) < 2:
         of = sum(r["_n"] for r in n)
-        ranked = drawn(rows.withColumn("_all", F.lit(0)), ["_all"], key).withColumn("_n", F.lit(of)).drop("_all")
-    else:
-        sizes = F.create_map(*(F.lit(x) for r in n for x in (r[label], r["_n"])))
-        ranked = drawn(rows, [label], key).withColumn("_n", sizes[F.col(label)])
-    return ranked.withColumn("held_out", F.col("_rank") <= F.ceil(F.round(F.col("_n") * share, 6))).drop("_rank", "_n")
+        return first_drawn(rows.withColumn("_all", F.lit(0)), "_all", {0: math.ceil(round(of * share, 6))}, key, "held_out").drop("_all")
+    return first_drawn(rows, label, {r[label]: math.ceil(round(r["_n"] * share, 6)) for r in n}, key, "held_out")

@@ -78,3 +78,17 @@ def test_words_are_sought_only_where_the_text_changes(spark):
     plan = f._jdf.queryExecution().optimizedPlan().toString().split("\n")
     below = plan[next(i for i, x in enumerate(plan) if "Window" in x) :]
     assert not any("regexp_extract_all" in x for x in below)
+
+
+@pytest.mark.parametrize("ids", [1, 50, 5000])
+def test_only_the_last_number_drawn_is_put_in_order(spark, monkeypatch, ids):
+    from chalkline.operators import features as P
+
+    rows = spark.range(5000).selectExpr("id as row", f"id % {ids} as id", "cast(id % 9 = 0 as int) as label").cache()
+    want = {(k, n): {r.row for r in P.drawn(rows, ["label"], ["row", "id"]).where(f"label = {k} and _rank <= {n}").collect()} for k, n in ((0, 1), (0, 777), (1, 0), (1, 100), (1, 9999))}
+    monkeypatch.setattr(P, "drawn", None)
+    for (k, n), mine in want.items():
+        got = P.first_drawn(rows, "label", {k: n}, ["row", "id"], "in").collect()
+        assert len(got) == 5000 and {r.row for r in got if r["in"]} == mine
+    assert P.held_out(rows, "label", ["row", "id"]).where("held_out").count() == 889 + 112
+    assert P.balanced(rows, "label", ["row", "id"]).count() == 556 + 3 * 556
