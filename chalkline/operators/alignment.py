@@ -2,12 +2,17 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from chalkline.plans.scan import sharded_scan
+from chalkline.plans.session import materialise_by
 
 SHARD_S = 3600.0
+#: Seconds of a recording whose spans meet its points in one row.
+STRETCH = 300
 
 
 def as_of(points: DataFrame, events: dict[str, tuple[DataFrame, str, list[str]]], key: str = "video_name", time: str = "time", both: bool = False) -> DataFrame:
@@ -157,6 +162,34 @@ def contained(inner: DataFrame, outer: DataFrame, key: str, bucket: int = 300) -
     return inner.select(key, "id", "start", "end", b("start").alias("_b")).join(o, [key, "_b"]).where("start >= _s and end <= _e").select(key, "id", "outer_id")
 
 
+def sharded(df: DataFrame, time: str = "time") -> DataFrame:
+    """``df`` with its ``_shard`` by time; as it is where it has one."""
+    return df if "_shard" in df.columns else df.withColumn("_shard", F.floor(F.col(time) / SHARD_S))
+
+
+def ordered(df: DataFrame, key: str, order: Sequence[str] = ("time", "id")) -> DataFrame:
+    """``df`` with ``_shard``, written once by recording and shard: scans and windows by these read it without another shuffle."""
+    return materialise_by(sharded(df, order[0]).where(F.col(key).isNotNull() & F.col("_shard").isNotNull()), [key, "_shard"], order)
+
+
+def with_spans(points: DataFrame, spans: DataFrame, key: str, kinds: Sequence[str]) -> DataFrame:
+    """``points`` with an array of (a, b) for each of ``kinds``: the spans (key, _kind, a, b) of this kind that touch the point's STRETCH.
+
+    Spans are listed for each STRETCH that they touch and looked up there, so points are neither put in order nor multiplied; nor are
+    they moved where they are spread by shard already.
+    """
+    part = lambda c: F.floor(F.col(c) / STRETCH)
+    listed = [F.collect_list(F.when(F.col("_kind") == k, F.struct("a", "b"))).alias(f"_{k}") for k in kinds]
+    here = spans.select(key, F.explode(F.sequence(part("a"), part("b"))).alias("_part"), "_kind", "a", "b").groupBy(key, "_part").agg(*listed)
+    rows = points.withColumn("_part", part("time"))
+    if "_shard" not in points.columns:
+        return rows.join(here.hint("shuffle_hash"), [key, "_part"], "left").drop("_part")
+    each = F.struct("_part", F.struct(*(f"_{k}" for k in kinds)))
+    hours = here.groupBy(key, F.floor(F.col("_part") * STRETCH / SHARD_S).alias("_shard")).agg(F.map_from_entries(F.collect_list(each)).alias("_here"))
+    got = rows.join(hours.hint("shuffle_hash"), [key, "_shard"], "left").withColumn("_here", F.col("_here")[F.col("_part")])
+    return got.select(*points.columns, "_here.*")
+
+
 def numbered(df: DataFrame, key: str, order: list[str], time: str = "time") -> DataFrame:
     """``df`` with its row number ``idx`` from 0 within the recording, without sorting a recording in one task."""
     placed = df.withColumn("_shard", F.floor(F.col(time) / SHARD_S))

@@ -6,6 +6,7 @@ import math
 
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.window import WindowSpec
 
 from chalkline.functions import text as X
 from chalkline.functions.config import CONFIG
@@ -23,33 +24,49 @@ def point_features(timeline: DataFrame, resolution: float = 1.0) -> DataFrame:
 
     Windows are rows: the point and the ROWS before (or after) it. A recording's first point
     has itself as its predecessor. Points are numbered by a sharded scan and windowed in blocks
-    with a halo, so all fourteen share one sort and no recording is one task.
+    with a halo, so all fourteen share one sort and no recording is one task. Those that have a ``_shard``, which is kept, are
+    windowed where they are, but for the ROWS at either end of a shard.
     """
     # word sets only where the text is not that of the point before, which it mostly is
     text = F.concat("speech_text", F.lit(" "), "ppt_text")
+    placed = [c for c in timeline.columns if c == "_shard"]
     slim = timeline.select(
         "video_name", "id", "time", "present", "motion", "slide", "confidence", "silent", "slide_idx", "speaker",
-        text.alias("_text"), F.length("speech_text").alias("_length"),
+        text.alias("_text"), F.length("speech_text").alias("_length"), *placed,
     )
-    rows, w, once = with_halo(numbered(slim, "video_name", ["time", "id"]), "video_name", ROWS, ROWS)
+    if placed:
+        within = Window.partitionBy("video_name", "_shard").orderBy("time", "id")
+        near = lambda n: F.lag(F.lit(1), n).over(within).isNull() | F.lead(F.lit(1), n).over(within).isNull()
+        # what an end's rows look at are the next ROWS inside and, beyond, only rows of other shards' ends
+        at_ends = slim.withColumns({"_end": near(ROWS), "_seen": near(2 * ROWS)}).where("_seen").drop("_seen")
+        inner = _windowed(slim.withColumn("_end", near(ROWS)), within).where("not _end")
+        out = inner.unionByName(_windowed(at_ends, Window.partitionBy("video_name").orderBy("time", "id")).where("_end")).drop("_end")
+    else:
+        rows, w, once = with_halo(numbered(slim, "video_name", ["time", "id"]), "video_name", ROWS, ROWS)
+        out = _windowed(rows, w).where(once)
+    num = lambda c: F.col(c).cast("int")
+    changed = F.col("_text") != F.col("_prev_text")
+    out = out.withColumns({"_words": F.when(changed, X.word_set(F.col("_text"))), "_prev_words": F.when(changed, X.word_set(F.col("_prev_text")))})
+    out = out.withColumns({
+        "text_similarity": F.when(F.col("_words").isNull(), 1.0).otherwise(X.jaccard(F.col("_words"), F.col("_prev_words"))),
+        "rate_change": F.abs(F.col("_length") - F.col("_prev_length")) / max(resolution, 1e-3),
+        "present": num("present"), "slide": num("slide"), "silent": num("silent"),
+    })
+    return out.select("video_name", "id", "time", *FEATURES, *placed)
+
+
+def _windowed(rows: DataFrame, w: WindowSpec) -> DataFrame:
+    """``rows`` with what their features take from the rows around."""
     back, ahead = w.rowsBetween(-ROWS, 0), w.rowsBetween(0, ROWS)
     num = lambda c: F.col(c).cast("int")
     prev = lambda c: F.coalesce(F.lag(c).over(w), F.col(c))
-    out = rows.withColumns({
+    return rows.withColumns({
         "prev_present": prev("present").cast("int"), "prev_confidence": prev("confidence"),
         "slide_delta": (F.col("slide_idx") != prev("slide_idx")).cast("int"),
         "roll_silence": F.avg(num("silent")).over(back), "roll_present": F.avg(num("present")).over(back),
         "roll_silence_ahead": F.avg(num("silent")).over(ahead),
         "_prev_text": prev("_text"), "_prev_length": prev("_length"), "speaker_change": (F.col("speaker") != prev("speaker")).cast("int"),
-    }).where(once)
-    changed = F.col("_text") != F.col("_prev_text")
-    out = out.withColumns({"_words": F.when(changed, X.word_set(F.col("_text"))), "_prev_words": F.when(changed, X.word_set(F.col("_prev_text")))})
-    out = out.withColumns({
-        "text_similarity": F.when(F.col("_words").isNull(), 1.0).otherwise(X.jaccard(F.col("_words"), F.col("_prev_words"))),
-        "rate_change": F.abs(F.col("_length") - F.col("_prev_length")) / max(resolution, 1e-3),
-        "present": num("present"), "slide": num("slide"), "silent": num("silent"),
     })
-    return out.select("video_name", "id", "time", *FEATURES)
 
 
 def class_weights(rows: DataFrame, label: str, positive: float = CONFIG.positive_weight) -> DataFrame:

@@ -11,43 +11,37 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, StructField, StructType
 
 from chalkline.functions.config import CONFIG
+from chalkline.operators.alignment import with_spans
 from chalkline.operators.features import FEATURES
 from chalkline.operators.forests import Forest, grow
 from chalkline.operators.periods import merge_intervals
 from chalkline.operators.stats import boundary_threshold
 
 
-#: Seconds of a recording whose annotations meet its points in one row.
-STRETCH = 300
-
-
 def point_labels(points: DataFrame, annotations: DataFrame, tolerance: float = 3.0, keep: Sequence[str] = ()) -> DataFrame:
     """``(video_name, id, time, keep, boundary, interference)``, the last two as 0 or 1, for timeline points.
 
     A boundary lies within ``tolerance`` of the start or end of an annotated topic. Interference
-    is an annotated stretch of it and, where a recording has topics, all time outside them. Annotations are listed
-    for each STRETCH that they touch and looked up there, so points are neither put in order nor multiplied.
+    is an annotated stretch of it and, where a recording has topics, all time outside them.
     """
     ranges = lambda which: merge_intervals(annotations.where(which), ["video_name"]).select(
         "video_name", (F.col("from_ms") / 1000).alias("a"), (F.col("to_ms") / 1000).alias("b")
     )
     ends = annotations.where("not is_interference").select("video_name", F.explode(F.array("start", "end")).alias("a")).select("video_name", F.col("a").cast("double").alias("a")).distinct()
     topics = ranges("not is_interference")
-    part = lambda c: F.floor(c / STRETCH)
-    over = lambda a, b: F.explode(F.sequence(part(a), part(b))).alias("_part")
-    spans = lambda t, kind: t.select("video_name", over(F.col("a"), F.col("b")), F.lit(kind).alias("_kind"), "a", "b")
+    spans = lambda t, kind: t.select("video_name", F.lit(kind).alias("_kind"), "a", "b")
     # a second more than the tolerance: distances are rounded
-    near = ends.select("video_name", over(F.col("a") - tolerance - 1, F.col("a") + tolerance + 1), F.lit("e").alias("_kind"), "a", F.col("a").alias("b"))
-    listed = [F.collect_list(F.when(F.col("_kind") == k, F.struct("a", "b"))).alias(f"_{k}") for k in "kxe"]
-    here = spans(topics, "k").unionByName(spans(ranges("is_interference"), "x")).unionByName(near).groupBy("video_name", "_part").agg(*listed)
+    near = ends.select("video_name", F.lit("e").alias("_kind"), (F.col("a") - tolerance - 1).alias("a"), (F.col("a") + tolerance + 1).alias("b"))
+    here = spans(topics, "k").unionByName(spans(ranges("is_interference"), "x")).unionByName(near)
     has_topics = topics.select("video_name").distinct().withColumn("_topics", F.lit(True))  # no more than the annotations
     t = F.col("time").cast("double")
-    rows = points.where("video_name is not null and time is not null").select("video_name", "id", t.alias("time"), *keep, part(t).alias("_part"))
-    got = rows.join(here.hint("shuffle_hash"), ["video_name", "_part"], "left").join(has_topics, "video_name", "left")
+    placed = [c for c in points.columns if c == "_shard"]
+    rows = points.where("video_name is not null and time is not null").select("video_name", "id", t.alias("time"), *keep, *placed)
+    got = with_spans(rows, here, "video_name", "kxe").join(has_topics, "video_name", "left")
     any_of = lambda k, f: F.coalesce(F.exists(f"_{k}", f), F.lit(False))
     inside = lambda k: any_of(k, lambda r: F.col("time").between(r["a"], r["b"]))
     return got.select(
-        "video_name", "id", "time", *keep, any_of("e", lambda r: F.round(F.abs(F.col("time") - r["a"]), 6) <= tolerance).cast("int").alias("boundary"),
+        "video_name", "id", "time", *keep, any_of("e", lambda r: F.round(F.abs(F.col("time") - (r["a"] + r["b"]) / 2), 6) <= tolerance).cast("int").alias("boundary"),
         (inside("x") | (F.coalesce("_topics", F.lit(False)) & ~inside("k"))).cast("int").alias("interference"),
     )
 

@@ -32,15 +32,15 @@ def _row(df, rank, reasons, absent=0.0, silent=0.0):
 def interference_parts(s, d, model=None):
     """The stretches each rule and the model find, not yet merged, with their reasons. ``model``: its stretches, by default those of a rule."""
     # the points each once, which all rules read; each would find them anew
-    t = materialise(L.timeline(s, d).select("video_name", "id", "time", "present", "silent", "speaker", "speech_text"))
+    t = L.points(s, d, "video_name", "id", "time", "present", "silent", "speaker", "speech_text")
     th = thresholds(s, d, t)
     k = L.knowledge(s, d)
     per = _points_in_segment(s, d, t).groupBy("ks_id").agg(F.avg((~F.col("present")).cast("int")).alias("a"), F.avg(F.col("silent").cast("int")).alias("q"))
     hit = per.join(k, per.ks_id == k.id).join(th, "video_name").where((F.round("a", 9) > F.col("absent")) | (F.round("q", 9) > F.col("quiet")))
     why = F.filter(F.array(F.when(F.round("a", 9) > F.col("absent"), F.concat(F.lit("教师缺席 "), percent(F.col("a")))), F.when(F.round("q", 9) > F.col("quiet"), F.concat(F.lit("静默占比 "), percent(F.col("q"))))), lambda x: x.isNotNull())
     know = _row(hit, 0, why, F.round("a", 3), F.round("q", 3))
-    still = I.flag_islands(t.select("video_name", "id", "time", "silent"), "video_name", F.col("silent")).withColumn("end", F.col("next_time")).join(th, "video_name").where(F.col("end") - F.col("start") >= F.col("seconds"))
-    talk = W.rule_a(s, d, timeline=t.select("video_name", "id", "time", "present", "silent", "speaker"))
+    still = I.flag_islands(t.select("video_name", "id", "time", "silent", "_shard"), "video_name", F.col("silent")).withColumn("end", F.col("next_time")).join(th, "video_name").where(F.col("end") - F.col("start") >= F.col("seconds"))
+    talk = W.rule_a(s, d, timeline=t.select("video_name", "id", "time", "present", "silent", "speaker", "_shard"))
     qa, model = W.qa(s, d, timeline=t), W.model_ranges(s, d) if model is None else model
     why = lambda x: F.array(F.lit(x))
     quiet = F.array(F.concat(F.lit("连续静默 "), seconds(F.col("end") - F.col("start")), F.lit("s")))
@@ -153,8 +153,13 @@ def media_commands(s, d, model=None):
 
 
 def _by_forests(query):
-    """The query with the stretches of the forests as its model source; they are trained once."""
-    return lambda s, d: query(s, d, materialise(FM.forest_ranges(s, d)))
+    """The query with the stretches of the forests as its model source; they are trained once, and all points are found once."""
+
+    def run(s, d):
+        with L.points_kept():
+            return query(s, d, materialise(FM.forest_ranges(s, d)))
+
+    return run
 
 
 FOREST = {"forest_" + f.__name__: _by_forests(f) for f in (detect_interference, edit_commands, removed_segments, final_index, media_commands)}

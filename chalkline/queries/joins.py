@@ -68,8 +68,11 @@ def _topics(s, d):
 
 
 def with_topic_flag(s, d, timeline=None):
-    """Timeline points with ``inside``: whether a topic holds them. The topics are merged first, so one as-of join tells."""
+    """Timeline points with ``inside``: whether a topic holds them. The topics are merged first, so one as-of join tells, or a look-up where points have a ``_shard``."""
     u = _topics(s, d)
+    if timeline is not None and "_shard" in timeline.columns:
+        found = A.with_spans(timeline, u.select("video_name", F.lit("k").alias("_kind"), F.col("start").alias("a"), F.col("end").alias("b")), "video_name", "k")
+        return found.withColumn("inside", F.coalesce(F.exists("_k", lambda r: F.col("time").between(r["a"], r["b"])), F.lit(False))).drop("_k")
     got = A.as_of(L.timeline(s, d) if timeline is None else timeline, {"k": (u, "start", ["start", "end"])})
     return got.withColumn("inside", F.coalesce((F.col("time") >= F.col("k.start")) & (F.col("time") <= F.col("k.end")), F.lit(False))).drop("k")
 

@@ -31,7 +31,7 @@ def labels(s, d):
 
 def _examples(s, d, label):
     """The points with features and labels; ``held_out`` for a fifth of each class of ``label``."""
-    x = materialise(M.point_labels(point_features(L.timeline(s, d)), annotations(raw_annotations(s, d)), keep=FEATURES))
+    x = materialise(M.point_labels(point_features(L.points(s, d)), annotations(raw_annotations(s, d)), keep=FEATURES))
     return materialise(held_out(x, label, ["video_name", "id"]))
 
 

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from chalkline.functions import config as C
 from chalkline.functions import text as X
 from chalkline.operators import islands as I
-from chalkline.operators.alignment import SHARD_S, as_of, numbered
+from chalkline.operators.alignment import SHARD_S, as_of, numbered, sharded
 from chalkline.operators.features import point_features
 from chalkline.operators.periods import merge_intervals
 from chalkline.plans.scan import sharded_scan
@@ -51,7 +51,7 @@ rule_a_islands = rule_a
 def turns(s, d, cfg=C.CONFIG, timeline=None):
     """Turns of one known speaker: video_name, turn, speaker, start, end, texts."""
     known = ~F.col("silent") & F.col("speaker").isin(C.TEACHER, C.STUDENT)
-    rows = (L.timeline(s, d) if timeline is None else timeline).withColumn("known", known).withColumn("_shard", F.floor(F.col("time") / SHARD_S))
+    rows = sharded((L.timeline(s, d) if timeline is None else timeline).withColumn("known", known))
     order = ["time", "id"]
     seen = sharded_scan(rows, ["video_name"], "_shard", order, {"was": ("before", F.struct("known", "speaker", "time"))}).where("known")
     same = F.col("was.known") & (F.col("was.speaker") == F.col("speaker")) & (F.col("time") <= F.col("was.time") + cfg.resolution + cfg.eps)
