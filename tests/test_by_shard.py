@@ -21,6 +21,36 @@ def points(spark):
     return spark.createDataFrame(data, "video_name string, time double, id long, f boolean").cache(), data
 
 
+def by_recording(data):
+    own = {}
+    for v, t, i, f in data:
+        own.setdefault(v, []).append((t, i, f))
+    return {v: sorted(rows) for v, rows in own.items()}
+
+
+def test_runs_are_found_within_shards(spark, points, monkeypatch):
+    from chalkline.operators import islands as I
+    from chalkline.operators.alignment import ordered
+
+    df, data = points
+    want = []
+    for v, rows in by_recording(data).items():
+        cuts = [0, *(i for i in range(1, len(rows)) if rows[i][2] != rows[i - 1][2]), len(rows)]
+        want += [(v, rows[a][0], rows[b - 1][0], b - a, rows[b][0] if b < len(rows) else None) for a, b in zip(cuts, cuts[1:]) if rows[a][2]]
+    monkeypatch.setattr(I, "sharded_scan", None)
+    for given in (df, ordered(df, "video_name")):
+        got = [(r.video_name, r.start, r["last"], r.n, r.next_time) for r in I.flag_islands(given, "video_name", F.col("f")).collect()]
+        assert sorted(got, key=str) == sorted(want, key=str)
+    for gap in (1.5, 300.0, 6000.0):
+        want = []
+        for v, rows in by_recording(data).items():
+            t = sorted({x[0] for x in rows})
+            cuts = [0, *(i for i in range(1, len(t)) if t[i] - t[i - 1] > gap), len(t)]
+            want += [(v, t[a], t[b - 1], b - a) for a, b in zip(cuts, cuts[1:])]
+        got = [(r.video_name, r.start, r["last"], r.n) for r in I.gap_islands(df.select("video_name", "time").distinct(), "video_name", "time", gap).collect()]
+        assert sorted(got) == sorted(want)
+
+
 def test_ordered_points_are_not_moved_again(spark, points):
     from pyspark.sql import Window
 
