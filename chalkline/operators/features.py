@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import math
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.window import WindowSpec
 
@@ -104,14 +104,26 @@ def first_drawn(rows: DataFrame, label: str, wanted: dict[int, int], key: list[s
     """``rows`` with ``name``: whether a row is among the first so many of its ``label``, in the order of :func:`drawn`.
 
     Rows are counted by label and fixed number; only those of the one number in which a count is reached are
-    put in order. Rows of labels that are not ``wanted`` are not among them. ``rows`` is read three times.
+    put in order. Rows of labels that are not ``wanted`` are not among them. ``rows`` is read four times.
     """
     d = F.coalesce(draw(key[-1]), F.lit(-1))
     some = {k: n for k, n in wanted.items() if n > 0}
     sizes = F.create_map(*(F.lit(x) for p in some.items() for x in p))[F.col(label)] if some else F.lit(None)
     upto = F.sum("_n").over(Window.partitionBy(label).orderBy("_d").rowsBetween(Window.unboundedPreceding, 0))
-    counts = rows.where(F.col(label).isin(*some)).groupBy(label, d.alias("_d")).agg(F.count("*").alias("_n")).withColumn("_upto", upto)
-    last = {r[label]: r for r in counts.where((F.col("_upto") >= sizes) & (F.col("_upto") - F.col("_n") < sizes)).collect()}  # a row a label
+
+    def reached(where: Column, by: Column, sizes: Column) -> dict:
+        """The number ``by`` in which each label's count is reached."""
+        counts = rows.where(F.col(label).isin(*some) & where).groupBy(label, by.alias("_d")).agg(F.count("*").alias("_n")).withColumn("_upto", upto)
+        return {r[label]: r for r in counts.where((F.col("_upto") >= sizes) & (F.col("_upto") - F.col("_n") < sizes)).collect()}  # a row a label
+
+    # by thousands of numbers first: numbers are about as many as rows
+    coarse = F.floor(d / 1000)
+    rough = reached(F.lit(True), coarse, sizes)
+    within, rest = F.lit(False), F.lit(None)
+    for k, r in rough.items():
+        mine = F.col(label) == k
+        within, rest = within | (mine & (coarse == r["_d"])), F.when(mine, some[k] - r["_upto"] + r["_n"]).otherwise(rest)
+    last = reached(within, d, rest) if rough else {}
     inside, at_last, left = F.lit(False), F.lit(False), F.lit(0)
     for k, n in some.items():
         mine = F.col(label).eqNullSafe(F.lit(k))
@@ -121,7 +133,7 @@ def first_drawn(rows: DataFrame, label: str, wanted: dict[int, int], key: list[s
         r = last[k]
         inside = inside | (mine & (d < r["_d"]))
         at_last = at_last | (mine & (d == r["_d"]))
-        left = F.when(mine, F.lit(n - r["_upto"] + r["_n"])).otherwise(left)
+        left = F.when(mine, F.lit(n - rough[k]["_upto"] + rough[k]["_n"] - r["_upto"] + r["_n"])).otherwise(left)
     ranked = rows.where(at_last).withColumn(name, F.row_number().over(Window.partitionBy(label).orderBy(*key)) <= left)
     return rows.where(~at_last).withColumn(name, inside).unionByName(ranked)
 

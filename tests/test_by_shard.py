@@ -99,3 +99,16 @@ def test_topics_are_looked_up_by_shard(spark, monkeypatch):
     got = J.with_topic_flag(spark, FOLDER, ordered(t, "video_name")).collect()
     assert len(got) == 9000
     assert all(r.inside == any(r.video_name == v and a <= r.time <= b for v, _, a, b in topics) for r in got)
+
+
+def test_draws_are_counted_by_thousands_first(spark, monkeypatch):
+    from pyspark.sql.classic.dataframe import DataFrame
+
+    from chalkline.operators import features as P
+
+    plans = []
+    real = DataFrame.collect
+    monkeypatch.setattr(DataFrame, "collect", lambda self: plans.append(self._jdf.queryExecution().optimizedPlan().toString()) or real(self))
+    rows = spark.range(30_000).selectExpr("id", "cast(id % 9 = 0 as int) as label")
+    assert P.balanced(rows, "label", ["id"]).count() == 3334 * 4
+    assert "FLOOR" in plans[1].upper()
